@@ -35,7 +35,7 @@ THRESHOLD = 0.5
 
 #: (name, votes bad when, votes good when); abstains otherwise.
 RULES = (
-    ("length", "n_words < 20", "n_words >= 50"),
+    ("length", "n_words < 10", "n_words >= 50"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
     ("symbols", "10 * n_symbols > n_words", "n_symbols = 0"),
     ("marked_words", "5 * n_marks > n_words", "20 * n_marks < n_words"),

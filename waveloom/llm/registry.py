@@ -11,10 +11,11 @@ from waveloom.llm.op4_pii_surrogates import op4_pii_surrogates
 from waveloom.llm.op5_best_fit_packing import op5_best_fit_packing
 from waveloom.llm.op6_language_id import op6_language_id
 from waveloom.llm.op7_template_decontamination import op7_template_decontamination
+from waveloom.llm.op8_minhash_dedup import op8_minhash_dedup
 from waveloom.llm.op9_token_counts import op9_token_counts
 from waveloom.llm.op10_license_scan import op10_license_scan
 
-OPERATORS = (op1_quality_rules, op4_pii_surrogates, op5_best_fit_packing, op6_language_id, op7_template_decontamination, op9_token_counts, op10_license_scan)
+OPERATORS = (op1_quality_rules, op4_pii_surrogates, op5_best_fit_packing, op6_language_id, op7_template_decontamination, op8_minhash_dedup, op9_token_counts, op10_license_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
