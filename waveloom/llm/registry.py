@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waveloom.llm.op1_quality_rules import op1_quality_rules
+from waveloom.llm.op2_lm_scoring import op2_lm_scoring
+from waveloom.llm.op3_suffix_dedup import op3_suffix_dedup
 from waveloom.llm.op4_pii_surrogates import op4_pii_surrogates
 from waveloom.llm.op5_best_fit_packing import op5_best_fit_packing
 from waveloom.llm.op6_language_id import op6_language_id
@@ -15,7 +17,7 @@ from waveloom.llm.op8_minhash_dedup import op8_minhash_dedup
 from waveloom.llm.op9_token_counts import op9_token_counts
 from waveloom.llm.op10_license_scan import op10_license_scan
 
-OPERATORS = (op1_quality_rules, op4_pii_surrogates, op5_best_fit_packing, op6_language_id, op7_template_decontamination, op8_minhash_dedup, op9_token_counts, op10_license_scan)
+OPERATORS = (op1_quality_rules, op2_lm_scoring, op3_suffix_dedup, op4_pii_surrogates, op5_best_fit_packing, op6_language_id, op7_template_decontamination, op8_minhash_dedup, op9_token_counts, op10_license_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
