@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from waveloom.llm.common import BYTE_CODE, U, chunks, driver_file, mix, powers, prefix_sums, slice_hash, stored, table, words
 
@@ -257,8 +258,10 @@ def train(docs: DataFrame, model: str) -> tuple[list[str], np.ndarray, np.ndarra
     return langs, np.log(np.array([max(priors.get(x, 0), 1) / total for x in langs])), keys, theta, longest
 
 
-def identify(docs: DataFrame, model: str | None = None) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def identify(docs: DataFrame, model: str | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row; with carry also the row itself, as column ``row``."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.lit(None).cast("struct<none:int>").alias("row")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), row)
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, model or driver_file(MODEL)))
     stamp = uuid.uuid4().hex
 
@@ -277,11 +280,13 @@ def identify(docs: DataFrame, model: str | None = None) -> DataFrame:
                 top = np.where(known, top, 0.0)
             else:
                 name, top = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(name, pa.string()), pa.array(top, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(name, pa.string()), pa.array(top, pa.float64()), *([batch.column(4)] if carry else [])], names=["doc_id", "held_out", "lang_pred", "score", *(["row"] if carry else [])])
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", F.lower("text").alias("text"), held.alias("held_out"), letter.alias("letter")).mapInArrow(predict, SCHEMA)
+    given = docs.select("doc_id", F.lower("text").alias("text"), held.alias("held_out"), letter.alias("letter"), *(["row"] if carry else []))
+    schema = StructType([*StructType.fromDDL(SCHEMA), *([docs.schema["row"]] if carry else [])])
+    return given.mapInArrow(predict, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
