@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waveloom.plans import base, detectors, extras, intervals, media, recurring, series, signals, vectors
+
+MODULES = (recurring, series, intervals, detectors, vectors, signals, media, extras)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
