@@ -35,14 +35,18 @@ def recurring(marks: DataFrame, low: int = MIN_DF, high: int = MAX_DF, occur: in
     return held.join(usable, "hash", "left_semi")
 
 
-def offset_votes(held: DataFrame) -> DataFrame:
-    """a < b, delta = t in a minus t in b, votes = distinct hashes, and the passage's extent in a."""
+def offset_votes(held: DataFrame, robust: bool = False) -> DataFrame:
+    """a < b, delta = t in a minus t in b, votes = distinct hashes, and the passage's extent in a:
+    from the first to the last vote, or robust to strays the densest window of the votes."""
     left = held.select("hash", F.col("doc_id").alias("a"), F.col("ts").alias("ta"))
     right = held.select("hash", F.col("doc_id").alias("b"), F.col("ts").alias("tb"))
     pairs = left.join(right, "hash").filter("a < b")
     each = pairs.select("hash", "a", "b", F.explode("ta").alias("x"), "tb").select("hash", "a", "b", "x", F.explode("tb").alias("y"))
-    return each.groupBy("a", "b", (F.col("x") - F.col("y")).alias("delta")).agg(
-        F.count_distinct("hash").alias("votes"), F.min("x").alias("a_from"), F.max("x").alias("a_to"))
+    bins = each.groupBy("a", "b", (F.col("x") - F.col("y")).alias("delta"))
+    if not robust:
+        return bins.agg(F.count_distinct("hash").alias("votes"), F.min("x").alias("a_from"), F.max("x").alias("a_to"))
+    held = bins.agg(F.size(F.collect_set("hash")).cast("long").alias("votes"), F.array_sort(F.collect_list("x")).alias("ts")).withColumn("w", densest(F.col("ts")))
+    return held.select("a", "b", "delta", "votes", F.col("w.start").alias("a_from"), (F.col("w.start") + F.col("w.span")).alias("a_to"))
 
 
 def with_threshold(votes: DataFrame, least: int = MIN_VOTES) -> DataFrame:
@@ -69,14 +73,18 @@ def suppressed(top: DataFrame, apart: int = NMS) -> DataFrame:
     return top.groupBy("a", "b").agg(taken.alias("p")).select("a", "b", F.explode("p").alias("p")).select("a", "b", "p.delta", "p.votes")
 
 
+def densest(ts: Column, share: float = 0.85) -> Column:
+    """Span and start of the narrowest window over sorted times that holds max(2, floor(share * n)) of them."""
+    n = F.size(ts)
+    k = F.greatest(F.lit(2), F.floor(share * n)).cast("int")
+    windows = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct((F.element_at(ts, i + k - 1) - F.element_at(ts, i)).alias("span"), F.element_at(ts, i).alias("start")))
+    return F.when(n < 4, F.struct((F.element_at(ts, -1) - F.element_at(ts, 1)).alias("span"), F.element_at(ts, 1).alias("start"))).otherwise(F.array_min(windows))
+
+
 def robust_span(df: DataFrame, keys: list[str], time: str, share: float = 0.85) -> DataFrame:
     """Densest window that holds max(2, floor(share * n)) of the times; the earliest of equals; all of fewer than four."""
     held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(time)).alias("ts"))
-    n = F.size("ts")
-    k = F.greatest(F.lit(2), F.floor(share * n)).cast("int")
-    windows = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct((F.element_at("ts", i + k - 1) - F.element_at("ts", i)).alias("span"), F.element_at("ts", i).alias("start")))
-    best = F.when(n < 4, F.struct((F.element_at("ts", -1) - F.element_at("ts", 1)).alias("span"), F.element_at("ts", 1).alias("start"))).otherwise(F.array_min(windows))
-    return held.select(*keys, n.cast("long").alias("n"), best.alias("b")).select(*keys, "n", F.col("b.start").alias("start"), (F.col("b.start") + F.col("b.span")).alias("end"))
+    return held.select(*keys, F.size("ts").cast("long").alias("n"), densest(F.col("ts"), share).alias("b")).select(*keys, "n", F.col("b.start").alias("start"), (F.col("b.start") + F.col("b.span")).alias("end"))
 
 
 def upper_median(values: Column) -> Column:

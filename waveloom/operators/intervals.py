@@ -22,7 +22,7 @@ def coalesce(df: DataFrame, key: str) -> DataFrame:
 def complement(merged: DataFrame, whole: DataFrame, key: str) -> DataFrame:
     """What merged intervals leave of [lo, hi) of each key in whole (key, lo, hi)."""
     inside = whole.join(merged, key, "left").withColumn("from", F.greatest("s", "lo")).withColumn("to", F.least("e", "hi"))
-    inside = inside.withColumn("hit", F.coalesce(F.col("to") > F.col("from"), F.lit(False)))
+    inside = inside.withColumn("hit", F.col("s").isNotNull() & (F.col("to") > F.col("from")))
     first = inside.groupBy(key, "lo", "hi").agg(F.min(F.when(F.col("hit"), F.col("from"))).alias("e")).select(key, F.col("lo").alias("s"), F.coalesce("e", "hi").alias("e"))
     after = inside.filter("hit").select(key, F.col("to").alias("s"), F.coalesce(F.lead("from").over(Window.partitionBy(key).orderBy("from")), F.col("hi")).alias("e"))
     return first.unionByName(after).filter("e > s")

@@ -91,7 +91,7 @@ def theme_peaks(spark: SparkSession) -> DataFrame:
     """Offset peaks between episodes from their landmarks; ids are numbered by name."""
     marks = R.landmarks(synth.episodes(spark)).select("hash", F.substring("id", 2, 9).cast("long").alias("doc_id"), "t")
     held = C.recurring(marks, 2, 20, 3)
-    return C.top_peaks(C.peaks(C.offset_votes(held)), 1)
+    return C.top_peaks(C.peaks(C.offset_votes(held, robust=True)), 1)
 
 
 @query()
