@@ -15,7 +15,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     made = (
-        SparkSession.builder.master("local[8]").appName("waveloom-tests")
+        SparkSession.builder.master("local[4]").appName("waveloom-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-")).getOrCreate())
     made.sparkContext.setLogLevel("ERROR")
