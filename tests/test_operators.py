@@ -183,3 +183,44 @@ def test_mp3_frames_and_mp4_boxes(spark):
 def test_episode_ids(spark):
     rows = spark.createDataFrame([("/x/Show.s01e02.title.mkv",), ("/x/other.m4a",)], "p string").select(M.episode_id(F.col("p")).alias("i")).collect()
     assert [r["i"] for r in rows] == ["S01E02", "other"]
+
+
+def flac_frame(number: int, payload: bytes) -> bytes:
+    head = bytes([0xFF, 0xF8, 0xC9, 0x08, number])  # 4096 samples, 44.1 kHz, mono, 16 bits
+    crc = 0
+    for b in head:
+        crc ^= b
+        for _ in range(8):
+            crc = ((crc << 1) ^ 7 if crc & 128 else crc << 1) & 255
+    return head + bytes([crc]) + payload
+
+
+def test_flac_frames_and_cut(spark):
+    info = bytes([16, 0, 16, 0, 0, 0, 0, 0, 0, 0]) + (44100 << 12 | 0 << 9 | 15 << 4).to_bytes(4, "big") + (4 * 4096).to_bytes(4, "big") + b"m" * 16
+    head = b"fLaC" + bytes([128]) + len(info).to_bytes(3, "big") + info
+    frames = [flac_frame(k, bytes([k + 1]) * 50) for k in range(4)]
+    files = spark.createDataFrame([("a.flac", head + b"".join(frames))], "path string, content binary")
+    rows = M.flac_frames(files)
+    assert [(r["offset"], r["size"], r["samples"], r["rate"]) for r in rows.orderBy("idx").collect()] == [(42 + 56 * k, 56, 4096, 44100) for k in range(4)]
+    cut = M.cut_frames(files, rows, spark.createDataFrame([("a.flac", 0.1, 0.15)], "path string, s double, e double")).first()
+    content = bytes(cut["content"])
+    assert content[42:] == frames[0] + frames[2] + frames[3] and cut["total"] == 3 * 4096
+    assert int.from_bytes(content[21:26], "big") & (2**36 - 1) == 3 * 4096 and content[26:42] == bytes(16) and content[:21] == head[:21]
+
+
+def test_mp3_cut_keeps_tags(spark):
+    frame = bytes([0xFF, 0xFB, 0x90, 0x64]) + bytes(413)
+    files = spark.createDataFrame([("a.mp3", b"ID3" + bytes([4, 0, 0, 0, 0, 0, 5]) + b"hello" + frame * 100)], "path string, content binary")
+    cut = M.cut_frames(files, M.mp3_frames(files), spark.createDataFrame([("a.mp3", 1.0, 2.0)], "path string, s double, e double")).first()
+    assert bytes(cut["content"])[:15] == b"ID3" + bytes([4, 0, 0, 0, 0, 0, 5]) + b"hello"
+    assert cut["kept_frames"] == 100 - 39  # frames of 26.1 ms that touch one second
+
+
+def test_mp4_sample_table(spark):
+    box = lambda kind, *parts: (8 + sum(map(len, parts))).to_bytes(4, "big") + kind + b"".join(parts)
+    u = lambda *xs: b"".join(x.to_bytes(4, "big") for x in xs)
+    table = box(b"stbl", box(b"stsd", u(0, 1, 16), b"mp4a", bytes(4)), box(b"stts", u(0, 2, 2, 1024, 1, 512)), box(b"stsc", u(0, 1, 1, 2, 1)), box(b"stsz", u(0, 0, 3, 10, 20, 30)), box(b"stco", u(0, 2, 1000, 2000)))
+    trak = box(b"trak", box(b"mdia", box(b"mdhd", u(0, 0, 0, 44100, 2560)), box(b"hdlr", u(0, 0), b"soun", bytes(12)), box(b"minf", table)))
+    files = spark.createDataFrame([("a.m4a", box(b"ftyp", b"M4A ") + box(b"moov", trak))], "path string, content binary")
+    rows = [(r["offset"], r["size"], r["ts"], r["duration"], r["timescale"], r["codec"]) for r in M.mp4_samples(files).orderBy("idx").collect()]
+    assert rows == [(1000, 10, 0, 1024, 44100, "mp4a"), (1010, 20, 1024, 1024, 44100, "mp4a"), (2000, 30, 2048, 512, 44100, "mp4a")]

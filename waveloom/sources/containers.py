@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from waveloom.operators import intervals as I
+
 #: Container -> extension written.
 EXTENSIONS = {"mp4": "m4a", "matroska": "mka", "webm": "webm", "wav": "wav", "mp3": "mp3", "flac": "flac", "ogg": "ogg", "aiff": "aiff"}
 CUTTABLE = ("wav", "aiff")
@@ -98,8 +100,6 @@ def pcm(files: DataFrame) -> DataFrame:
 
 def kept_frames(headers: DataFrame, ranges: DataFrame) -> DataFrame:
     """path, and the byte ranges (lo, hi) of the frames outside the seconds (path, s, e): floor of starts, ceiling of ends, merged, complemented."""
-    from waveloom.operators import intervals as I
-
     cut = headers.join(ranges, "path").filter("e > s").select("path", F.greatest(F.lit(0), F.floor(F.col("s") * F.col("rate"))).alias("s"), F.least(F.col("frames"), F.ceil(F.col("e") * F.col("rate"))).alias("e"))
     whole = headers.select("path", F.lit(0).cast("long").alias("lo"), F.col("frames").alias("hi"))
     return I.complement(I.coalesce(cut, "path").drop("n"), whole, "path")
@@ -188,28 +188,156 @@ class Mp3Frames:
         return samples // 8 * _MP3_RATES[1 if version == 3 else 2][rate] * 1000 // sample_rate + ((b[2] >> 1) & 1), samples, sample_rate
 
 
+#: Boxes that hold boxes.
+_NESTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta")
+
+
+def boxes(content: bytes, at: int, end: int, under: str = "") -> Iterator[tuple[str, int, int]]:
+    """Path, offset and size of each box; sizes of 32 or 64 bits or to the end."""
+    while at + 8 <= end:
+        size, kind, head = int.from_bytes(content[at: at + 4], "big"), content[at + 4: at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(content[at + 8: at + 16], "big"), 16
+        size = size or end - at
+        if size < head or at + size > end:
+            return
+        path = f"{under}/{kind.decode('latin-1')}".lstrip("/")
+        yield path, at, size
+        if kind in _NESTS:
+            yield from boxes(content, at + head, at + size, path)
+        at += size
+
+
 @udtf(returnType="path string, offset bigint, size bigint")
 class Mp4Boxes:
     """Boxes of an ISO media file, nested ones under a path such as moov/trak/mdia."""
 
-    CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta")
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        yield from boxes(content, 0, len(content))
+
+
+@udtf(returnType="idx int, offset bigint, size bigint, ts bigint, duration bigint, timescale int, codec string")
+class Mp4Samples:
+    """Sample table of the first sound track of an ISO media file, expanded from its run-length boxes."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
-        yield from self.walk(content, 0, len(content), "")
-
-    def walk(self, content: bytes, at: int, end: int, under: str) -> Iterator[tuple]:
-        while at + 8 <= end:
-            size, kind, head = int.from_bytes(content[at: at + 4], "big"), content[at + 4: at + 8], 8
-            if size == 1:
-                size, head = int.from_bytes(content[at + 8: at + 16], "big"), 16
-            size = size or end - at
-            if size < head or at + size > end:
+        tracks: list[dict[str, tuple[int, int]]] = []
+        for path, at, size in boxes(content, 0, len(content)):
+            if path == "moov/trak":
+                tracks.append({})
+            if tracks and path.startswith("moov/trak/"):
+                tracks[-1].setdefault(path.rsplit("/", 1)[1], (at, size))
+        for track in tracks:
+            if "hdlr" in track and content[track["hdlr"][0] + 16: track["hdlr"][0] + 20] == b"soun" and "stsz" in track:
+                yield from self.samples(content, track)
                 return
-            path = f"{under}/{kind.decode('latin-1')}".lstrip("/")
-            yield path, at, size
-            if kind in self.CONTAINERS:
-                yield from self.walk(content, at + head, at + size, path)
-            at += size
+
+    @staticmethod
+    def numbers(content: bytes, at: int, n: int, width: int = 4) -> list[int]:
+        return [int.from_bytes(content[at + k * width: at + (k + 1) * width], "big") for k in range(n)]
+
+    def samples(self, content: bytes, track: dict[str, tuple[int, int]]) -> Iterator[tuple]:
+        body = lambda kind: track[kind][0] + 12  # noqa: E731  behind size, type, version and flags
+        u32 = lambda at: self.numbers(content, at, 1)[0]
+        timescale = u32(body("mdhd") + (16 if content[track["mdhd"][0] + 8] == 1 else 8))
+        codec = content[body("stsd") + 8: body("stsd") + 12].decode("latin-1")
+        fixed, count = self.numbers(content, body("stsz"), 2)
+        sizes = [fixed] * count if fixed else self.numbers(content, body("stsz") + 8, count)
+        wide = "co64" in track
+        at = body("co64" if wide else "stco")
+        chunks = self.numbers(content, at + 4, u32(at), 8 if wide else 4)
+        flat = self.numbers(content, body("stsc") + 4, 3 * u32(body("stsc")))
+        runs = [*zip(flat[::3], flat[1::3]), (len(chunks) + 1, 0)]
+        flat = self.numbers(content, body("stts") + 4, 2 * u32(body("stts")))
+        durations = (d for n, d in zip(flat[::2], flat[1::2]) for _ in range(n))
+        idx, ts = 0, 0
+        for (first, per), (end, _) in zip(runs, runs[1:]):
+            for chunk in range(first - 1, min(end - 1, len(chunks))):
+                at = chunks[chunk]
+                for _ in range(per):
+                    if idx >= count:
+                        return
+                    lasts = next(durations, 0)
+                    yield idx, at, sizes[idx], ts, lasts, timescale, codec
+                    at, idx, ts = at + sizes[idx], idx + 1, ts + lasts
+
+
+#: FLAC block sizes and sample rates by header code (0: stated elsewhere).
+_FLAC_BLOCKS = (0, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
+_FLAC_RATES = (0, 88200, 176400, 192000, 8000, 16000, 22050, 24000, 32000, 44100, 48000, 96000)
+
+
+@udtf(returnType="idx int, offset bigint, size bigint, samples int, rate int")
+class FlacFrames:
+    """Frames of a FLAC stream: a header counts where its fields are valid and its CRC-8 is right; a frame ends at the next."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        if content[:4] != b"fLaC":
+            return
+        at, last = 4, False
+        while not last and at + 4 <= len(content):
+            last = bool(content[at] & 128)
+            at += 4 + int.from_bytes(content[at + 1: at + 4], "big")
+        rate = int.from_bytes(content[18:21], "big") >> 4
+        held = None
+        idx = 0
+        while (at := content.find(b"\xff", at)) >= 0 and at + 6 < len(content):
+            found = self.header(content, at, rate)
+            if found:
+                if held:
+                    yield idx, held[0], at - held[0], held[1], held[2]
+                    idx += 1
+                held = (at, *found)
+            at += 1
+        if held:
+            yield idx, held[0], len(content) - held[0], held[1], held[2]
+
+    @staticmethod
+    def header(c: bytes, at: int, rate: int) -> tuple[int, int] | None:
+        block, hz, channels, bits = c[at + 2] >> 4, c[at + 2] & 15, c[at + 3] >> 4, (c[at + 3] >> 1) & 7
+        if c[at + 1] & 254 != 248 or not block or hz == 15 or channels > 10 or bits in (3, 7) or c[at + 3] & 1:
+            return None
+        ones = 8 - (c[at + 4] ^ 255).bit_length()  # the frame number is coded as UTF-8 is: its length by leading ones
+        end = at + 5 + max(0, ones - 1)
+        samples = _FLAC_BLOCKS[block]
+        if block in (6, 7):
+            samples, end = int.from_bytes(c[end: end + block - 5], "big") + 1, end + block - 5
+        end += {12: 1, 13: 2, 14: 2}.get(hz, 0)
+        crc = 0
+        for b in c[at:end]:
+            crc ^= b
+            for _ in range(8):
+                crc = (crc << 1) ^ 7 if crc & 128 else crc << 1
+            crc &= 255
+        return (samples, _FLAC_RATES[hz] if 0 < hz < 12 else rate) if end < len(c) and crc == c[end] else None
+
+
+def mp4_samples(files: DataFrame) -> DataFrame:
+    held = files.lateralJoin(Mp4Samples(F.col("content").outer()))
+    return held.select("path", "idx", "offset", "size", "ts", "duration", "timescale", "codec", F.floor(F.col("ts") * 1_000_000 / F.col("timescale")).alias("ts_us"))
+
+
+def flac_frames(files: DataFrame) -> DataFrame:
+    held = files.lateralJoin(FlacFrames(F.col("content").outer())).select("path", "idx", "offset", "size", "samples", "rate")
+    before = F.coalesce(F.sum("samples").over(Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("ts_us", F.floor(before * 1_000_000 / F.col("rate")))
+
+
+def cut_frames(files: DataFrame, frames: DataFrame, ranges: DataFrame) -> DataFrame:
+    """path and content of MP3 or FLAC files without the frames that overlap the seconds (path, s, e): any overlap takes the
+    whole frame. What stands before the first frame is kept; a FLAC header gets its new sample count and no MD5."""
+    spans = frames.select("path", F.col("ts_us").alias("s"), (F.col("ts_us") + F.col("samples").cast("long") * 1_000_000 / F.col("rate")).cast("long").alias("e"), "offset", "size", "samples")
+    wanted = ranges.filter("e > s").select("path", F.round(F.col("s") * 1e6).cast("long").alias("s"), F.round(F.col("e") * 1e6).cast("long").alias("e"))
+    kept = I.overlapping(spans, wanted, "path", 10_000_000, keep=False)
+    parts = kept.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "size"))).alias("kept"), F.sum("samples").alias("total"))
+    heads = frames.groupBy("path").agg(F.min("offset").alias("head"))
+    c = F.col("content")
+    body = F.aggregate("kept", F.lit(b"").cast("binary"), lambda a, r: F.concat(a, F.substring(c, (r["offset"] + 1).cast("int"), r["size"].cast("int"))))
+    head = F.substring(c, F.lit(1), F.col("head").cast("int"))
+    nibble = F.lpad(F.hex(number(c, 21, 1).bitwiseAND(F.lit(240)) + F.floor(F.col("total") / 2**32)), 2, "0")
+    patched = F.concat(F.substring(head, 1, 21), F.unhex(nibble), F.unhex(F.lpad(F.hex(F.col("total") % 2**32), 8, "0")), F.unhex(F.lit("00" * 16)), F.substring(head, F.lit(43), F.lit(2**31 - 1)))
+    held = files.join(parts, "path").join(heads, "path")
+    return held.select("path", F.concat(F.when(sniff(c) == "flac", patched).otherwise(head), body).alias("content"), F.size("kept").alias("kept_frames"), "total")
 
 
 def mp3_frames(files: DataFrame) -> DataFrame:
