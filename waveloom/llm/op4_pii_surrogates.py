@@ -53,9 +53,10 @@ TITLES = {
 _FIRST = sorted({n for names in GIVEN.values() for n in names} | set("Alice Bob John Jane Mary Michael William Elizabeth Thomas Susan Hans Pierre Jean Juan José Ana".split()))
 _TITLE = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
 _FEMALE = [*TITLES["f"], *(n for (_, g), ns in GIVEN.items() if g == "f" for n in ns), *"Alice Jane Mary Elizabeth Susan Ana".split()]
+_CAPITAL = r"(?=\p{Lu})\b"  # names begin with a capital: tested first, since nearly every place fails there
 _PART = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 KINDS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"),
     ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_.-]{6,}"),
     ("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{12,20}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9_-]{16,}"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -63,11 +64,11 @@ KINDS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])"),
-    ("name", rf"\b(?:{'|'.join(_TITLE)})\b\.?\s{_PART}(?:\s{_PART})?|\b(?:{'|'.join(_FIRST)})\s{_PART}"),
+    ("name", rf"{_CAPITAL}(?:(?:{'|'.join(_TITLE)})\b\.?\s{_PART}(?:\s{_PART})?|(?:{'|'.join(_FIRST)})\s{_PART})"),
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
-#: A cheap test that every text with an entity passes.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|\b(?:{'|'.join([*_TITLE, *_FIRST])})\b"
+#: A cheap test that every text with an entity passes: a character that all but names need, or a title or given name.
+HINT = rf"[0-9@=:]|{_CAPITAL}(?:{'|'.join([*_TITLE, *_FIRST])})\b"
 
 
 def stream(kind: Column, value: Column, salt: Column) -> Column:
@@ -101,8 +102,16 @@ def luhn_sum(digits: Column) -> Column:
         F.lit(0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def surrogate(kind: Column, value: Column, norm: Column, salt: Column) -> Column:
-    digits = stream(kind, norm, salt)
+    return let(stream(kind, norm, salt), lambda digits: drawn_from(digits, kind, value, salt))
+
+
+def drawn_from(digits: Column, kind: Column, value: Column, salt: Column) -> Column:
     prefix = F.coalesce(
         F.when(kind == "secret", F.regexp_extract(value, r"^[A-Za-z_-]+\s*[=:]\s*[\"']?", 0))
         .when(kind == "key", F.regexp_extract(value, r"^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0))
@@ -111,7 +120,7 @@ def surrogate(kind: Column, value: Column, norm: Column, salt: Column) -> Column
     plain = F.concat(prefix, respelt(F.substring(value, F.length(prefix) + 1, F.length(value)), digits))
     ip = F.concat_ws(".", *[(byte(digits, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     host = F.lower(F.substring_index(value, "@", -1))
-    email = F.concat(respelt(F.substring_index(value, "@", 1), digits), F.lit("@"), F.translate(respelt(F.regexp_replace(host, r"\.[^.]*$", ""), stream(F.lit("host"), host, F.lit(0))), ".", "-"), F.lit(".example."), F.regexp_extract(host, r"[^.]*$", 0))
+    email = F.concat(respelt(F.substring_index(value, "@", 1), digits), F.lit("@"), F.translate(let(stream(F.lit("host"), host, F.lit(0)), lambda d: respelt(F.regexp_replace(host, r"\.[^.]*$", ""), d)), ".", "-"), F.lit(".example."), F.regexp_extract(host, r"[^.]*$", 0))
     only = F.regexp_replace(value, "[^0-9]", "")
     body = F.regexp_replace(F.substring(plain, F.lit(1), F.length(plain) - 1), "[^0-9]", "")
     check = ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
@@ -153,7 +162,7 @@ def canonical(kind: Column, value: Column) -> Column:
 
 
 def found(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
 def surrogates(values: DataFrame) -> DataFrame:
@@ -176,19 +185,23 @@ def surrogates(values: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with text rewritten, and n_entities. All other columns are kept."""
-    columns = docs.columns
-    held = docs.withColumn("__found", found(F.col("text").cast("string")))
-    values = held.filter(F.size("__found") > 0).select(F.explode("__found").alias("value")).distinct()
-    by_value = surrogates(values)
+    columns, text = docs.columns, F.col("text").cast("string")
+    hinted = F.coalesce(text.rlike(HINT), F.lit(False))
+    maybe, clean = docs.filter(hinted), docs.filter(~hinted)
     key = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")]
-    mentions = held.filter(F.size("__found") > 0).select(*key, F.explode(F.array_distinct("__found")).alias("value"))
-    maps = mentions.join(by_value, "value").groupBy("__id", "__text").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("__map"))
-    hit = held.filter(F.size("__found") > 0).withColumn("__hash", F.xxhash64("text"))
-    rebuilt = F.concat(*[F.array_join(F.flatten(F.transform(F.split("text", ENTITY, -1), lambda part, i: F.array(part, F.coalesce(F.element_at(F.col("__map"), F.get(F.col("__found"), i)), F.lit(""))))), "")])
-    changed = hit.join(maps, hit["doc_id"].eqNullSafe(maps["__id"]) & (hit["__hash"] == maps["__text"])).withColumn("text", rebuilt)
-    clean = held.filter(F.size("__found") == 0)
-    n = F.size("__found").cast("long").alias("n_entities")
-    return changed.select(*columns, n).unionByName(clean.select(*columns, n))
+    mentions = stored(maybe.select(*key, F.explode(F.array_distinct(found(text))).alias("value")), "mentions")
+    maps = mentions.join(surrogates(mentions.select("value").distinct()), "value").groupBy("__id", "__text").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("__map"))
+
+    def rewritten(z: Column) -> Column:
+        pieces = F.transform(z["between"], lambda part, i: F.array(part, F.coalesce(F.try_element_at(F.col("__map"), F.get(z["found"], i)), F.lit(""))))
+        return F.struct(F.array_join(F.flatten(pieces), "").alias("text"), F.size(z["found"]).cast("long").alias("n"))
+
+    same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+    out = let(F.struct(F.split(text, ENTITY, -1).alias("between"), found(text).alias("found")), rewritten)
+    maybe = maybe.withColumn("__hash", F.xxhash64("text"))
+    joined = maybe.join(maps, maybe["doc_id"].eqNullSafe(maps["__id"]) & (maybe["__hash"] == maps["__text"]), "left")
+    changed = joined.withColumn("__out", F.when(F.col("__map").isNull(), same).otherwise(out)).withColumn("text", F.col("__out.text"))
+    return changed.select(*columns, F.col("__out.n").alias("n_entities")).unionByName(clean.select(*columns, F.lit(0).cast("long").alias("n_entities")))
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
