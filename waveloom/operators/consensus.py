@@ -21,18 +21,18 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def landmarks(docs: DataFrame, max_dt: int = MAX_DT) -> DataFrame:
     """hash, doc_id, t of every token pair at most max_dt apart."""
-    pairs = F.flatten(F.transform("w", lambda a, i: F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(max_dt)), lambda d: i + d < F.size("w")),
-        lambda d: F.struct(F.concat_ws("|", a, F.get("w", i + d), d.cast("string")).alias("hash"), i.cast("long").alias("t")))))
-    return tokens(docs).select("doc_id", F.explode(pairs).alias("p")).select("p.hash", "doc_id", "p.t")
+    apart = tokens(docs).select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.lit(max_dt))).alias("dt")).filter(F.size("w") > F.col("dt"))
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - F.col("dt")).alias("a"), F.slice("w", F.col("dt") + 1, F.size("w")).alias("b"))
+    each = apart.select("doc_id", "dt", F.posexplode(pairs).alias("t", "p"))
+    return each.select(F.concat_ws("|", "p.a", "p.b", F.col("dt").cast("string")).alias("hash"), "doc_id", F.col("t").cast("long").alias("t"))
 
 
 def recurring(marks: DataFrame, low: int = MIN_DF, high: int = MAX_DF, occur: int = MAX_OCCUR) -> DataFrame:
-    """Postings of hashes in low..high documents, the first ``occur`` of each document. Frequency and postings
-    come from one grouping by (hash, doc_id), so the text's landmarks are shuffled once."""
-    held = marks.groupBy("hash", "doc_id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, occur).alias("ts"))
-    usable = held.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(low, high)).select("hash")
-    return held.join(usable, "hash", "left_semi")
+    """Postings of hashes in low..high documents, the first ``occur`` of each document. Frequencies are plain counts with
+    map-side combine; only landmarks of usable hashes are grouped into postings."""
+    df = marks.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
+    usable = df.filter(F.col("df").between(low, high)).select("hash")
+    return marks.join(usable, "hash", "left_semi").groupBy("hash", "doc_id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, occur).alias("ts"))
 
 
 def offset_votes(held: DataFrame, robust: bool = False) -> DataFrame:
