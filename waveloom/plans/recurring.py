@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT token, count(*) AS df FROM x GROUP BY 1 HAVING count(*) >= (SELECT least FROM n)""")
 def doc_freq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.tokens(table(spark, sf_dir, "documents"))
-    least = docs.agg(F.greatest(F.lit(2), F.ceil(0.2 * F.count(F.lit(1)))).alias("least"))
+    least = max(2, math.ceil(0.2 * docs.count()))
     df = docs.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(least), F.col("df") >= F.col("least")).select("token", "df")  # one row
+    return df.filter(F.col("df") >= least)
 
 
 @query(f"WITH {HELD} SELECT hash, doc_id, t FROM held")
