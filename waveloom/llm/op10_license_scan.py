@@ -37,7 +37,7 @@ def known(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, licence (of the entire text) and notices (of its lines, sorted)."""
+    """doc_id, digest, licence (of the entire text) and notices (licences of its lines, sorted, joined by commas)."""
     table_ = known(docs.sparkSession)
     whole = F.broadcast(table_.filter("kind = 'text'").groupBy("digest").agg(F.min("licence").alias("licence")))
     notices = table_.filter("kind = 'notice'").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("m"))
@@ -47,10 +47,30 @@ def scan(docs: DataFrame) -> DataFrame:
     found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(pairs, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())))
     return (
         keyed_documents(docs)
-        .select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.when(F.col("text").rlike(r"(?i)licen[sc]e|public domain|spdx"), found).otherwise(F.array().cast("array<string>")).alias("notices"))
+        .select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.when(F.col("text").rlike(r"(?i)licen[sc]e|public domain|spdx"), F.array_join(found, ",")).otherwise("").alias("notices"))
         .join(whole, "digest", "left").select("doc_id", "digest", "licence", "notices")
     )
 
 
+def _sql_canonical(text: str) -> str:
+    out = f"""concat(' ', regexp_replace(lower(regexp_replace({text}, '(?im)^[^\\p{{L}}\\n]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"""
+    for a, b in SPELLINGS:
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    return f"sha256(trim({out}))"
+
+
+def _sql_values(kinds: dict) -> str:
+    return ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}')" for k, ts in kinds.items() for t in ts)
+
+
+SQL = f"""WITH texts AS (SELECT {_sql_canonical('t')} AS digest, min(k) AS licence FROM (VALUES {_sql_values(TEXTS)}) v(k, t) GROUP BY 1),
+marks AS (SELECT DISTINCT {_sql_canonical('t')} AS digest, k AS licence FROM (VALUES {_sql_values(NOTICES)}) v(k, t)),
+lines AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\r\n]+')) AS line FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e|public domain|spdx')),
+seen AS (SELECT DISTINCT doc_id, licence FROM lines JOIN marks ON marks.digest = {_sql_canonical('line')} WHERE regexp_matches(line, '(?i)licen[sc]e|public domain|spdx')),
+notes AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS notices FROM seen GROUP BY 1),
+d AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_sql_canonical('text')} END AS digest FROM documents)
+SELECT d.doc_id, d.digest, licence, coalesce(notices, '') AS notices FROM d LEFT JOIN texts ON texts.digest = d.digest LEFT JOIN notes ON notes.doc_id = d.doc_id"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))

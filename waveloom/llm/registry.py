@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waveloom.llm import op8_minhash_dedup as op8_minhash_dedup_module
+from waveloom.llm import op10_license_scan as op10_license_scan_module
 from waveloom.llm.op1_quality_rules import op1_quality_rules
 from waveloom.llm.op2_lm_scoring import op2_lm_scoring
 from waveloom.llm.op3_suffix_dedup import op3_suffix_dedup
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_minhash_dedup": op8_minhash_dedup_module.SQL, "op10_license_scan": op10_license_scan_module.SQL}
