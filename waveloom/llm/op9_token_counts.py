@@ -113,8 +113,8 @@ def count_chunk(raw: np.ndarray, at: np.ndarray, keys: np.ndarray, sizes: np.nda
 
 
 def frequent(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).toArrow()
-    raw, at = text_buffer(sample.column(0).combine_chunks())
+    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).take(SAMPLE_ROWS)  # reads as many partitions as it needs
+    raw, at = text_buffer(pa.array([r["text"] for r in sample], pa.large_string()))
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     keys, sizes = [], []
