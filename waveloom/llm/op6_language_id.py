@@ -11,8 +11,8 @@ A word is a run of bytes outside 0x20 and 0x09-0x0D, lower-cased, with the word
 mark in front; runs over ``WORD_BYTES`` bytes are scored as consecutive stretches of that
 size. Likelihoods are computed once per distinct word and worker.
 
-Training uses a bounded, documented sample: at most ``PER_LANGUAGE`` training
-rows of each language, those first in hash order. Prediction covers every row
+Training uses a bounded, documented sample: ``PER_LANGUAGE`` training rows of
+each language on average, those lowest in a hash of doc_id. Prediction covers every row
 and looks at the text alone.
 
 Defined cases: text null or without a letter gives 'und' with score 0; ties go
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,7 +37,7 @@ from waveloom.llm.common import BYTE_CODE, U, chunks, driver_file, mix, powers,
 MODEL = "piece_bpe_32k.model"
 PER_LANGUAGE = 400
 ROUNDS = 3
-BROADCAST_LANGUAGES = 1000  # the chosen ids (PER_LANGUAGE a language) are sent whole up to here
+LITERAL_LANGUAGES = 1000  # up to here the counts by language are constants of the plan, beyond they are joined
 SMOOTHING = 0.01
 WORD_BYTES = 64
 CACHE = 1 << 19
@@ -215,14 +215,16 @@ def train(docs: DataFrame, model: str) -> tuple[list[str], np.ndarray, np.ndarra
     spark = docs.sparkSession
     keys, longest = vocabulary(model)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    priors = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = known.select("lang", "doc_id").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= PER_LANGUAGE).select("doc_id").distinct()
-    if len(priors) <= BROADCAST_LANGUAGES:
-        chosen = F.broadcast(chosen)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    priors = {r["lang"]: r["n"] for r in sizes.collect()}
+    share = F.least(F.lit(1.0), PER_LANGUAGE / F.col("n"))  # of a language's rows, by hash: no window, so no language in one task
+    if not priors or len(priors) > LITERAL_LANGUAGES:
+        chosen = known.join(sizes, "lang")
+    else:
+        chosen = known.withColumn("n", F.element_at(F.create_map(*[F.lit(x) for kv in sorted(priors.items()) for x in kv]), F.col("lang")))
+    chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share * (1 << 32))
     counts = stored(
-        known.join(chosen, "doc_id", "left_semi")
-        .select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("text"))
+        chosen.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("text"))
         .filter(F.col("text") != "")
         .groupBy("lang", "text").agg(F.count(F.lit(1)).alias("n")), "language-words")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
