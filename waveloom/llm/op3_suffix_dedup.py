@@ -11,7 +11,8 @@ corpus in one place is neither possible nor needed:
    The stretch of consecutive windows with one anchor is a region. One row per
    region goes out: anchor hash, hash of the region's bytes, place (about one row per 35 bytes).
 2. Sifting. Rows are dealt and sorted by anchor hash, then region hash. Anchors that occur once
-   drop out. Equal regions need no further look: all but the first go whole. An
+   drop out. Equal regions need no further look: all but the first go whole; a chunk of text settles its own,
+   so a hot anchor sends one row per chunk and region. An
    anchor with regions that differ (edges of copies, edits) passes one
    representative of each on.
 3. Suffix order. The representatives' bytes are dealt by anchor; blocks of them
@@ -43,7 +44,7 @@ from waveloom.llm.common import U, chunks, keyed_documents, prefix_sums, slice_h
 LENGTH, GRAM = 100, 32
 CHUNK = 2 << 20
 BLOCK = 2 << 20  # bytes of regions in one suffix array
-REGIONS = "h long, r long, doc_id long, start long, n int"
+REGIONS = "h long, r long, doc_id long, start long, n int, again boolean"
 SIFTED = "h long, doc_id long, start long, n int, whole boolean"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -87,7 +88,14 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         for batch, raw, at in chunks(batches, CHUNK):
             text, start, n, h, r = regions(raw, at)
             ids = batch.column(0).to_numpy()
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(ids[text]), pa.array(start - at[text]), pa.array(n, pa.int32())], names=["h", "r", "doc_id", "start", "n"])
+            doc, start, h, r = ids[text], start - at[text], h.view(np.int64), r.view(np.int64)
+            order = np.lexsort((start, doc, r, h))
+            h, r, doc, start, n = (x[order] for x in (h, r, doc, start, n))
+            again, same = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            again[1:] = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
+            same[1:] = again[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+            columns = (pa.array(x[~same], t) for x, t in zip((h, r, doc, start, n, again), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())))
+            yield pa.record_batch(list(columns), names=["h", "r", "doc_id", "start", "n", "again"])
 
     return docs.mapInArrow(make, REGIONS)
 
@@ -103,9 +111,13 @@ def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(x, t) for x, t in zip((h, doc, start, n, np.full(len(h), whole)), kinds)], names=names)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        again = batch.column(5).to_numpy(zero_copy_only=False)
         h, r, doc, start, n = (batch.column(i).to_numpy() for i in range(5))
+        if again.any():
+            yield rows(h[again], doc[again], start[again], n[again], True)
+            h, r, doc, start, n = (x[~again] for x in (h, r, doc, start, n))
+        if not len(h):
+            continue
         before = lambda x, i: np.concatenate([[last[i] if last else ~x[0]], x[:-1]])
         same_h = h == before(h, 0)
         same_run = same_h & (r == before(r, 1))
@@ -229,7 +241,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = keyed_documents(docs)
     known = docs.filter(F.col("doc_id").isNotNull())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sifted = stored(anchor_rows(known).repartition(parts, "h").sortWithinPartitions("h", "r", "doc_id", "start").mapInArrow(sift, SIFTED), "regions")
+    deal = F.when(F.col("again"), F.xxhash64("doc_id", "start")).otherwise(F.col("h"))  # what its own chunk has settled goes anywhere
+    sifted = stored(anchor_rows(known).repartition(parts, deal).sortWithinPartitions("h", "r", "doc_id", "start").mapInArrow(sift, SIFTED), "regions")
     wanted = sifted.filter("NOT whole").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "h")).alias("wanted"))
     bytes_ = known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_regions, "h long, doc_id long, start long, region binary")
     edges = bytes_.repartition(parts, "h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(earlier_windows, "doc_id long, lo long, hi long")
