@@ -7,12 +7,13 @@
    empty, so every coordinate is filled and values compare across sets.
 2. Equal sets are one class; only its smallest document goes on.
 3. Bands of ``ROWS`` coordinates are bucket keys. A bucket proposes only pairs
-   with a centre (the least id under one of ``MASKS`` id scramblings), not all
+   with a centre (the least id under the round's scrambling), not all
    pairs. Pairs are verified on full sets: 100 * common >= 75 * union.
-4. Components are spread over verified links. A bucket that still holds two
-   components proposes its pairs *across* components, so no link inside a bucket
-   is lost to the choice of centres. At similarity 0.75 a pair meets in no
-   bucket with probability 3e-7.
+4. Components are spread over verified links. Buckets that still hold two
+   components get another centre, up to ``STAR_ROUNDS`` rounds; in the last one the documents left in
+   such buckets are joined by prefix filter, which proposes every pair across components that can be similar
+   enough, so no link inside a bucket is lost to the choice of centres. At
+   similarity 0.75 a pair meets in no bucket with probability 2e-6.
 
 Nothing of document size passes the driver; classes, labels and sets are
 written to the shared folder.
@@ -37,10 +38,9 @@ from waveloom.llm.graph import components
 
 WINDOW = 5
 PERCENT = 75
-BINS, ROWS = 160, 4
-MASKS = 8
+BINS, ROWS = 72, 3
 STAR_ROUNDS = 3
-CROSS_FACTOR = 20  # pairs across components per bucket member up to which they are all verified at once
+HELPFUL = 0.05  # links found per open document below which another centre is not tried
 _rng = np.random.Generator(np.random.PCG64(8))
 _PLACE = _rng.integers(1, 2**63, WINDOW, dtype=np.uint64) * U(2) + U(1)
 _ROUND = _rng.integers(1, 2**63, 2 * BINS, dtype=np.uint64)
@@ -128,18 +128,29 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def centred(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's members with its centre; turn picks other scramblings."""
-    masks = F.array(*[F.lit(m) for m in _SCRAMBLE[turn * MASKS: (turn + 1) * MASKS]])
-    mask = F.element_at(masks, (F.pmod("key", F.lit(MASKS)) + 1).cast("int"))
-    centres = (
-        buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.min(F.col("doc_id").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_SCRAMBLE[turn * MASKS: (turn + 1) * MASKS])])
-        .filter("size > 1")
-        .select("key", F.element_at(F.array(*[f"m{k}" for k in range(MASKS)]), (F.pmod("key", F.lit(MASKS)) + 1).cast("int")).bitwiseXOR(mask).alias("centre"))
-    )
+    """Pairs (a, b) of each bucket's members with its centre, the least id under the turn's scrambling."""
+    mask = F.lit(_SCRAMBLE[turn])
+    centres = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("doc_id").bitwiseXOR(mask)).alias("low")).filter("size > 1").select("key", F.col("low").bitwiseXOR(mask).alias("centre"))
     pairs = buckets.join(centres, "key").filter("doc_id <> centre")
     return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
 
 
+def by_prefix(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) across components that can reach the similarity. With the shingles of every set in one order,
+    the rarest first, two sets that similar share one among their first n - ceil(percent n / 100) + 1, and from their first
+    common one on both have enough shingles left. placed: doc_id, component."""
+    held = sets.join(placed, "doc_id").select("doc_id", "component", "n", F.explode("s").alias("x"))
+    rare = held.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    ordered = held.join(rare, "x").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
+    length = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")
+    prefix = stored(ordered.select("doc_id", "component", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("i", "z")).filter("z.df > 1").select("doc_id", "component", "n", "i", "z.x"), "prefixes")
+    other = prefix.select("x", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    least = percent * (F.col("n") + F.col("nb"))  # common shingles that the pair needs, times 100 + percent
+    enough = ((100 + percent) * (F.col("n") - F.col("i")) >= least) & ((100 + percent) * (F.col("nb") - F.col("ib")) >= least)
+    near = (F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & enough
+    return prefix.withColumnRenamed("doc_id", "a").join(other, "x").filter(near).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
@@ -161,24 +172,19 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = stored(shingle_sets(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     tested = stored(centred(buckets, 0), "pairs")
     links = stored(verified(tested, sets, percent), "links")
-    label = components(links)
-    for turn in range(1, STAR_ROUNDS + 2):
+    label, found = components(links), None
+    for turn in range(1, STAR_ROUNDS + 1):
         placed = buckets.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        mixed = by_part.groupBy("key").agg(F.sum("m").alias("size"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("across"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 AND size > 2")
-        open_ = stored(placed.join(mixed.select("key"), "key"), "open")
-        total = mixed.agg(F.sum("across").alias("across"), F.sum("size").alias("size")).first()
-        if not total["size"]:
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high AND size > 2").select("key")
+        open_ = stored(placed.join(mixed, "key"), "open")
+        left = open_.agg(F.count_distinct("doc_id").alias("n")).first()["n"]
+        if not left:
             break
-        last = total["across"] / 2 <= CROSS_FACTOR * total["size"] or turn > STAR_ROUNDS
-        if last:
-            other = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            fresh = open_.withColumnRenamed("doc_id", "a").join(other, "key").filter("a < b AND component <> cb").select("a", "b").distinct()
-        else:
-            fresh = centred(open_.select("doc_id", "key"), turn)
+        last = turn == STAR_ROUNDS or (found is not None and found < HELPFUL * left)
+        fresh = by_prefix(open_.select("doc_id", "component").distinct(), sets, percent) if last else centred(open_.select("doc_id", "key"), turn)
         fresh = stored(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = stored(verified(fresh, sets, percent), "links")
-        if not more.isEmpty():
+        if found := more.count():
             links = links.union(more)
             label = components(links)
         if last:
