@@ -107,6 +107,33 @@ def test_lm_scores_match_plain_bigrams(docs, spark):
         assert seen[i]["score"] == pytest.approx(loss[0] - loss[1], abs=1e-5), i
 
 
+@pytest.mark.parametrize("most", [2_000_000, 40])
+def test_lm_scores_count_every_word(spark, monkeypatch, most):
+    monkeypatch.setattr(q2, "HOT_WORDS", most)
+    monkeypatch.setattr(q2, "HOT_PAIRS", most)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{edge.WORDS[k % 20]}{k}" for k in np.append(rng.zipf(1.3, 200) % 4000, rng.integers(0, 5000, 100))), "en") for i in range(60)]
+    rows += [(60, "", "en"), (61, None, "en"), (3, rows[3][1], "en"), (3, "other text of one id", "en"), (None, "no id here", "en"), (None, "no id here", "en")]
+    texts = [(i, WORD.findall((t or "").translate(LOWER))) for i, t, _ in rows]
+    size = len({w for _, ws in texts for w in ws}) + 2
+    assert size > 3000
+
+    def model(chosen):
+        held = [ws for i, ws in texts if chosen(i)]
+        pair, word = Counter(x for ws in held for x in zip(["<s>", *ws], ws)), Counter(w for ws in held for w in ws)
+        context, n = Counter(v for ws in held for v, _ in zip(["<s>", *ws], ws)), sum(map(len, held))
+        return lambda v, w: -np.log((pair[v, w] + q2.PULL * (word[w] + 1) / (n + size)) / (context[v] + q2.PULL))
+
+    models = [model({1, 3, 8}.__contains__), model(lambda i: True)]
+    want = []
+    for i, ws in texts:
+        loss = [round(float(np.mean([m(v, w) for v, w in zip(["<s>", *ws], ws)])), 7) for m in models] if ws else [None, None]
+        want.append((i, len(ws), *loss))
+    got = q2.score(edge.documents(spark, rows), spark.createDataFrame([(1,), (3,), (8,)], "doc_id long")).collect()
+    rounded = lambda x: None if x is None else round(x, 7)
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_tokens"], rounded(r["target_loss"]), rounded(r["background_loss"]))) for r in got)
+
+
 def plain_removal(rows):
     seen, out, done = set(), {}, set()
     for i, t in sorted(rows):

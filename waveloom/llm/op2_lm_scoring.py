@@ -1,17 +1,25 @@
 """Cross-entropy difference from matched bigram models.
 
 The target model is trained on the documents labelled good, the background
-model on all documents; same order, same smoothing, one closed vocabulary: the
-``VOCABULARY - 2`` commonest words of the whole corpus, an unknown word and a
-start mark. Bigram probabilities are smoothed towards the unigram,
+model on all documents; same order, same smoothing, one vocabulary: every word of
+the corpus, an unknown word and a start mark. Bigram probabilities are smoothed towards the unigram,
 p(w|v) = (c(v,w) + K p(w)) / (c(v) + K), p(w) = (c(w) + 1) / (N + V).
 A document's score is the mean over its tokens of target loss minus background
 loss (nats): the lower, the more like the target.
 
-Both counts cover every document whole: word counts are pre-aggregated per
-chunk, then summed by an exchange that grows with the corpus; bigram counts are
-summed per (word, word) cell. The closed vocabulary bounds the model at
-``VOCABULARY``**2 cells for any corpus size, so it can be sent to the workers.
+No word and no pair is left out, so the model grows with the corpus:
+
+1. Words and pairs are counted per chunk and summed by an exchange. Pairs that occur
+   once are not kept: a pair the table lacks occurs where it is met and nowhere else.
+2. The commonest words and pairs, at most ``HOT_WORDS`` and ``HOT_PAIRS``, are sent to the workers,
+   which sum their losses per document. So no key that goes through a join is hot.
+3. All other pairs go out as one row per document and pair, are joined to the counts by an
+   exchange and summed per document; so are the words beyond ``HOT_WORDS``, if there are any.
+
+``score(..., size)`` closes the vocabulary instead: the ``size - 2`` commonest words, all
+others one unknown word, and one table of size x size cells.
+
+Keys of words and pairs are 64-bit hashes.
 
 Defined cases: null and empty texts have 0 tokens and null losses and score; rows without a doc_id
 count as background; repeated rows count each; an empty table gives no row; without a target document the
@@ -27,12 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waveloom.llm.common import LOWER, chunks, keyed_documents, prefix_sums, slice_hash, table, words
+from waveloom.llm.common import BASE, LOWER, U, chunks, keyed_documents, mix, prefix_sums, slice_hash, stored, table, words
 
-VOCABULARY = 2048
+HOT_WORDS, HOT_PAIRS = 2_000_000, 2_000_000  # the commonest are sent whole up to here, the others joined by shuffle
 PULL = 16.0  # K
+START = U(0)
+SCORED_BYTES = 1 << 20  # text scored at once, beside the commonest words and pairs in memory
 BROADCAST_TARGET = 2_000_000  # ids of target documents sent whole up to here, joined by shuffle above
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+TALLIES = "word boolean, key long, t long, b long, ct long, cb long"
+PARTS = "doc_id long, text_hash long, p long, n long, own long, wt long, wb long, n_tokens long, lt double, lb double"
+COLD = ", cold_w long, cold_v long"
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +113,136 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log((counts + PULL * unigram) / (counts.sum(axis=1, keepdims=True) + PULL)).astype(np.float32)
 
 
-def score(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """target_ids: a column doc_id, distinct."""
+def tallies(docs: DataFrame) -> DataFrame:
+    """Of each word and each pair (v, w): its count in target documents (t) and in all (b), and of a word those before
+    another word (ct, cb). Pairs that occur once are left out. docs: text, target."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, at in chunks(batches):
+            hashes, edges = word_hashes(raw, at)
+            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(edges))
+            inner = np.ones(len(hashes), bool)
+            inner[edges[1:][edges[1:] > edges[:-1]] - 1] = False
+            for word, keys in ((True, hashes), (False, pair_keys(hashes, edges)[1])):
+                found, which = np.unique(keys, return_inverse=True)
+                n = lambda held: pa.array(np.bincount(which[held], minlength=len(found)), pa.int64())  # noqa: B023, E731
+                yield pa.record_batch([pa.array(np.full(len(found), word)), pa.array(found.view(np.int64)), n(target), n(slice(None)), n(target & inner & word), n(inner & word)], names=["word", "key", "t", "b", "ct", "cb"])
+
+    sums = [F.sum(c).alias(c) for c in ("t", "b", "ct", "cb")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # dealt first: chunks have combined what they can
+    return docs.select("text", "target").mapInArrow(count, TALLIES).repartition(parts, "word", "key").groupBy("word", "key").agg(*sums).filter("word OR b > 1")
+
+
+def pair_keys(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word (START for the first of a text) and the key of the two."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[edges[:-1][edges[1:] > edges[:-1]]] = START
+    return before, before * BASE + hashes
+
+
+def hot(counts: DataFrame, most: int) -> tuple[np.ndarray, list[np.ndarray], bool]:
+    """Sorted keys and t, b, ct, cb of the commonest rows, at most ``most``, and whether there are others."""
+    upto, least, others = 0, None, False
+    for r in sorted(counts.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # one row per frequency
+        upto += r["n"]
+        if others := upto > most:
+            break
+        least = r["b"]
+    got = counts.filter(F.col("b") >= least if least is not None else F.lit(False)).toArrow()
+    keys = got["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    narrow = np.int32 if upto and got["b"].to_numpy().max(initial=0) < 2**31 else np.int64
+    return keys[order], [got[c].to_numpy()[order].astype(narrow) for c in ("t", "b", "ct", "cb")], others
+
+
+def looked_up(keys: np.ndarray, table_keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which keys the table has, and their values; 0 where it has none."""
+    if not len(table_keys) or not len(keys):
+        return np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in columns]
+    u, which = np.unique(keys, return_inverse=True)  # in order, so the search runs through the table once
+    at = np.minimum(np.searchsorted(table_keys, u), len(table_keys) - 1)
+    known = table_keys[at] == u
+    return known[which], [np.where(known, c[at], 0)[which] for c in columns]
+
+
+def open_score(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """docs: doc_id, text. chosen: doc_id, target. Every word and pair counts."""
+    flagged = docs.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counts = stored(tallies(flagged), "tallies")
+    every, pairs = counts.filter("word"), counts.filter("NOT word").drop("word", "ct", "cb")
+    total = every.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b", "ct", "cb"))).first()
+    size = total["words"] + 2
+    starts = (total["t"] - total["ct"], total["b"] - total["cb"])
+    scale = tuple(PULL / (total[c] + size) for c in ("t", "b"))  # K p(w) = scale * (c(w) + 1)
+    often = every.filter("b > 1")
+    word_keys, word_counts, others = hot(often, HOT_WORDS)
+    keys, pair_counts, _ = hot(pairs.withColumns({"ct": F.lit(0), "cb": F.lit(0)}), HOT_PAIRS)
+    sent = docs.sparkSession.sparkContext.broadcast((word_keys, word_counts, keys, pair_counts[:2]))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_keys, word_counts, keys, pair_counts = sent.value
+        for batch, raw, at in chunks(batches, SCORED_BYTES):
+            hashes, edges = word_hashes(raw, at)
+            before, pair = pair_keys(hashes, edges)
+            n = np.diff(edges)
+            owner = np.repeat(np.arange(len(n)), n)
+            own = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), n)
+            # what occurs once occurs here: own in the target documents, 1 in all
+            known_w, (wt, wb, *_) = looked_up(hashes, word_keys, word_counts)
+            wt, wb = np.where(known_w, wt, own), np.where(known_w, wb, 1)
+            known_v, (_, _, vt, vb) = looked_up(before, word_keys, word_counts)
+            first = before == START
+            vt, vb = (np.where(first, s, np.where(known_v, v, once)) for s, v, once in zip(starts, (vt, vb), (own, 1)))
+            cold_w, cold_v = ~known_w & others, ~known_v & ~first & others
+            known, (pt, pb) = looked_up(pair, keys, pair_counts)
+            ready = known & ~cold_w & ~cold_v
+            base = [np.bincount(owner, np.where(cold_v, 0.0, np.log(v + PULL)) - np.where(ready, np.log(p + k * (w + 1)), 0.0), len(n)) for v, p, w, k in zip((vt, vb), (pt, pb), (wt, wb), scale)]
+            rest = np.flatnonzero(~ready)
+            rest = rest[np.lexsort((pair[rest], owner[rest]))]
+            new = np.ones(len(rest), bool)
+            new[1:] = (pair[rest[1:]] != pair[rest[:-1]]) | (owner[rest[1:]] != owner[rest[:-1]])
+            head = np.flatnonzero(new)
+            times, rest = np.diff(np.append(head, len(rest))), rest[head]
+            text_hash = batch.column(3).to_numpy()
+            doc = batch.column(0)
+            lone = mix(text_hash.view(np.uint64) + np.arange(len(n), dtype=np.uint64) * BASE + U(1)).view(np.int64)  # a key of its own, to be dealt by
+            long = lambda x, absent=None: pa.array(x, pa.int64(), mask=absent)
+            nothing = pa.nulls(len(n), pa.int64())
+            yield pa.record_batch([doc, long(text_hash), long(lone), nothing, nothing, nothing, nothing, long(n), pa.array(base[0]), pa.array(base[1]), *[nothing] * (2 * others)], names=names)
+            nothing = pa.nulls(len(rest), pa.int64())
+            yield pa.record_batch([
+                doc.take(pa.array(owner[rest])), long(text_hash[owner[rest]]), long(pair[rest].view(np.int64)), long(times), long(own[rest]), long(wt[rest]), long(wb[rest]),
+                nothing, nothing.cast(pa.float64()), nothing.cast(pa.float64()), *([long(hashes[rest].view(np.int64), ~cold_w[rest]), long(before[rest].view(np.int64), ~cold_v[rest])] if others else [])], names=names)
+
+    schema = PARTS + COLD * others
+    names = [c.split()[0] for c in schema.split(", ")]
+    parts = flagged.withColumn("text_hash", F.xxhash64("text")).mapInArrow(measure, schema)
+    context = [F.lit(0.0), F.lit(0.0)]
+    if others:
+        for c, kept in (("cold_w", ("t", "b")), ("cold_v", ("ct", "cb"))):
+            side = often.select(F.col("key").alias(f"{c}_key"), *(F.col(k).alias(f"{c}_{m}") for k, m in zip(kept, "tb")))
+            parts = parts.join(side, F.coalesce(c, "p") == F.col(f"{c}_key"), "left")  # rows without a cold word are dealt by their pair
+        held = lambda c, m, once: F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_{m}", once))
+        once = {"t": F.col("own"), "b": F.lit(1)}
+        context = [F.when(F.col("cold_v").isNotNull(), F.log(held("cold_v", m, once[m]) + PULL)).otherwise(0.0) for m in "tb"]
+        parts = parts.withColumns({f"w{m}": F.coalesce(held("cold_w", m, once[m]), f"w{m}") for m in "tb"})
+    joined = parts.join(pairs.hint("shuffle_hash"), F.col("p") == F.col("key"), "left")
+    pair_count = (F.coalesce("t", "own"), F.coalesce("b", F.lit(1)))
+    loss = [F.coalesce(f"l{m}", F.col("n") * (x - F.log(c + k * (F.col(f"w{m}") + 1)))) for m, c, k, x in zip("tb", pair_count, scale, context)]
+    sums = joined.groupBy("doc_id", "text_hash").agg(F.sum("n_tokens").alias("tokens"), F.count("n_tokens").alias("copies"), F.sum(loss[0]).alias("lt"), F.sum(loss[1]).alias("lb"))
+    each = sums.select("doc_id", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), *(F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")).alias(a) for c, a in (("lt", "target_loss"), ("lb", "background_loss"))), "copies")
+    return each.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+
+def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> DataFrame:
+    """target_ids: a column doc_id, distinct. With a size the vocabulary is closed."""
     docs = keyed_documents(docs)
-    vocabulary = commonest(docs, size - 2)
     chosen = target_ids.select("doc_id", F.lit(True).alias("target"))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_TARGET else chosen
+    if size is None:
+        return open_score(docs, chosen)
+    vocabulary = commonest(docs, size - 2)
     counts = bigrams(docs.join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, losses(counts[0]), losses(counts[1])))
 
