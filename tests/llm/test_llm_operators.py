@@ -293,6 +293,22 @@ def test_leaks_verbatim_and_reparameterised(spark):
     assert got[1]["n_changed"] == 0 and got[2]["n_changed"] >= 4
 
 
+REPARAMETERISED = [
+    ("Alice has 3 apples. Bob gives her 4 apples. How many apples does Alice have?", "Tom has 5 apples. Sam gives her 9 apples. How many apples does Tom have?"),
+    ("A shirt costs 40 dollars and a pair of shoes costs 60 dollars more than it.", "A shirt costs 39.50 dollars and a pair of shoes costs 1,200 dollars more than it."),
+    ("On the first day of school our teacher Novak gave 12 red pencils to each child.", "On the first day of school our teacher Maria Lopez gave 9 red pencils to each child."),
+]
+
+
+def test_leaks_of_opening_names_whole_numbers_and_long_names(spark):
+    items = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(REPARAMETERISED)], "item_id long, text string")
+    inconsistent = "Tom has 5 apples. Sam gives her 9 apples. How many apples does Sam have?"
+    rows = [(k, edge.prose(k, 20) + " " + b, "en") for k, (_, b) in enumerate(REPARAMETERISED)] + [(9, inconsistent, "en")]
+    got = q7.leaks(edge.documents(spark, rows), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 0), (1, 1), (2, 2)]
+    assert all(r["n_matched"] == r["n_windows"] and r["n_changed"] >= 2 for r in got)
+
+
 def plain_classes(rows):
     sets, texts = {}, dict(rows)
     for i, t in texts.items():

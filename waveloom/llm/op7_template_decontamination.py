@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 A text becomes tokens (runs of letters and digits, lower-cased); a token that
-starts with a digit is a number slot, a unit word right after a number is a unit
-slot, a capitalised word inside a sentence is a name slot. Every window of
+starts with a digit is a number slot (one for a whole number with its decimals and
+thousands separators), a unit word right after a number is a unit slot, a run of
+capitalised words is one name slot. Whether a capital that opens a sentence is a name can't be
+told, so there are two variants of each text, without and with those (``VARIANTS``), and a leak in either counts. Every window of
 ``WINDOW`` template tokens is hashed and hash-joined to the benchmark's windows.
 Hits with the same shift (document position minus item position) form an
 alignment. Within an alignment the slots must be consistent: equal values in the
@@ -33,60 +35,69 @@ LITERALS = 4
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 500_000
 SLOT = "§"
+JOINED = "¤"  # stands for what is between the parts of one number or one name
+INNER, EVERY = "inner", "every"
+#: The capital that begins a name: inside a sentence (it follows a word and one blank), or at the start of any word.
+VARIANTS = {INNER: r"\p{Lu}(?<=[^.!?:\s]\s\p{Lu})", EVERY: r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})"}
 #: Unit words that may follow a number.
 UNITS = tuple("""km m cm mm mi mile miles yard yards ft foot feet inch inches kg g mg lb lbs pound pounds ounce ounces oz ton tons litre litres liter
 liters l ml gallon gallons second seconds sec s minute minutes min hour hours h day days week weeks month months year years dollar dollars usd eur euro
 euros cent cents percent degrees celsius fahrenheit watt watts kw kwh volt volts mph kmh hz khz mhz ghz kb mb gb tb byte bytes bit bits""".split())
 
 
-def tokens(text: Column) -> Column:
-    """Tokens with their values; names inside a sentence carry the slot mark. (A capital that follows a word and one blank.)"""
-    marked = F.regexp_replace(F.replace(text, F.lit(SLOT), F.lit(" ")), r"\p{Lu}(?<=[^.!?:\s]\s\p{Lu})", SLOT + "$0")
-    return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{SLOT}]+"), "")
+def tokens(text: Column, variant: str = INNER) -> Column:
+    """Tokens with their values; names carry the slot mark."""
+    whole = F.regexp_replace(F.translate(text, SLOT + JOINED, "  "), r"(?<=\p{N})[.,](?=\p{N})", JOINED)
+    marked = F.regexp_replace(whole, VARIANTS[variant], SLOT + "$0")
+    runs = F.regexp_replace(marked, rf"({SLOT}[\p{{L}}\p{{N}}]+)\s(?={SLOT})", "$1" + JOINED)
+    return F.array_remove(F.split(F.lower(runs), rf"[^\p{{L}}\p{{N}}{SLOT}{JOINED}]+"), "")
 
 
 def template(held: Column) -> Column:
     """The tokens with each slot replaced by its type: §n, §u or §p."""
-    digit = lambda t: t.between("0", "9~")  # noqa: E731  its first character is a digit
+    digit = lambda t: (t >= "0") & (t < ":")  # noqa: E731  its first character is a digit
     return F.transform(held, lambda t, i: F.when(digit(t), SLOT + "n").when(t.startswith(SLOT), SLOT + "p").when(t.isin(*UNITS) & digit(F.get(held, i - 1)), SLOT + "u").otherwise(t))
 
 
-def windows(rows: DataFrame, key: str) -> DataFrame:
+def windows(rows: DataFrame, key: str, variant: str) -> DataFrame:
     """key, pos, h and the tokens of each text with at least WINDOW of them: one row a window."""
-    held = rows.select(key, F.transform(F.array(tokens(F.col("text"))), lambda t: F.struct(t.alias("held"), template(t).alias("shape")))[0].alias("t")).filter(F.size("t.held") >= WINDOW)
-    hashes = F.transform(F.array("t.shape"), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - WINDOW), lambda i: F.xxhash64(*[F.get(s, i + k) for k in range(WINDOW)])))[0]
-    return held.select(key, "t", F.posexplode(hashes).alias("pos", "h"))
+    held = rows.select(key, F.transform(F.array(tokens(F.col("text"), variant)), lambda t: F.struct(t.alias("held"), template(t).alias("shape")))[0].alias("t")).filter(F.size("t.held") >= WINDOW)
+    hashes = F.transform(F.array("t.shape"), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - WINDOW), lambda i: F.xxhash64(F.slice(s, i + 1, F.lit(WINDOW)), F.lit(variant))))[0]
+    return held.select(key, F.lit(variant).alias("variant"), "t", F.posexplode(hashes).alias("pos", "h"))
 
 
 def at_window(column: str) -> Column:
     return F.slice(F.col(column), F.col("pos") + 1, F.lit(WINDOW))
 
 
+def both(rows: DataFrame, key: str) -> DataFrame:
+    return windows(rows, key, INNER).unionByName(windows(rows, key, EVERY))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, n_windows of the item, n_matched, n_slots checked and n_changed: one row a leak."""
+    """doc_id, item_id, n_windows of the item, n_matched, n_slots checked and n_changed: one row a leak, of the variant that covers more."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull())
-    all_windows = stored(windows(items, "item_id").select("item_id", "h", F.col("pos").alias("item_pos"), at_window("t.held").alias("item_held"), at_window("t.shape").alias("shape")), "benchmark-windows")
+    all_windows = stored(both(items, "item_id").select("item_id", "variant", "h", F.col("pos").alias("item_pos"), at_window("t.held").alias("item_held"), at_window("t.shape").alias("shape")), "benchmark-windows")
     usable = all_windows.filter(F.size(F.filter("shape", lambda x: ~x.startswith(SLOT))) >= LITERALS)
-    sizes = usable.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
+    sizes = usable.groupBy("item_id", "variant").agg(F.count_distinct("item_pos").alias("n_windows"))
     side = F.broadcast(usable) if usable.count() <= BROADCAST_WINDOWS else usable
     hits = (
-        windows(keyed_documents(docs).filter(F.col("doc_id").isNotNull()), "doc_id").join(side, "h")
-        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "item_held", "shape", at_window("t.held").alias("held"))
+        both(keyed_documents(docs).filter(F.col("doc_id").isNotNull()), "doc_id").drop("variant").join(side, "h")
+        .select("doc_id", "item_id", "variant", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "item_held", "shape", at_window("t.held").alias("held"))
         .filter(F.forall(F.arrays_zip("shape", "item_held", "held"), lambda z: z["shape"].startswith(SLOT) | (z["item_held"] == z["held"])))
         .withColumn("slots", F.filter(F.arrays_zip("shape", "item_held", "held"), lambda z: z["shape"].startswith(SLOT)))
     )
-    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(
+    aligned = hits.groupBy("doc_id", "item_id", "variant", "shift").agg(
         F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     same = lambda s: F.size(F.array_distinct(s))
     side_of = lambda name: F.transform("slots", lambda z: F.concat(z["shape"], F.lit(" "), z[name]))
     consistent = aligned.filter((same(side_of("item_held")) == F.size("slots")) & (same(side_of("held")) == F.size("slots")))
-    found = consistent.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"),
-        F.max(F.size("slots")).alias("n_slots"), F.max(F.size(F.filter("slots", lambda z: z["item_held"] != z["held"]))).alias("n_changed"))
-    return (
-        found.join(sizes, "item_id").filter(F.col("n_matched") >= coverage * F.col("n_windows"))
-        .select("doc_id", "item_id", "n_windows", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_slots").cast("long").alias("n_slots"), F.col("n_changed").cast("long").alias("n_changed"))
-    )
+    found = consistent.groupBy("doc_id", "item_id", "variant").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"),
+        F.max(F.size("slots")).cast("long").alias("n_slots"), F.max(F.size(F.filter("slots", lambda z: z["item_held"] != z["held"]))).cast("long").alias("n_changed"))
+    enough = found.join(sizes, ["item_id", "variant"]).filter(F.col("n_matched") >= coverage * F.col("n_windows"))
+    best = F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("share"), "variant", "n_windows", "n_matched", "n_slots", "n_changed"))
+    return enough.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", *(f"best.{c}" for c in ("n_windows", "n_matched", "n_slots", "n_changed")))
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
