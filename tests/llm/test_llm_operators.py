@@ -309,6 +309,15 @@ def test_leaks_of_opening_names_whole_numbers_and_long_names(spark):
     assert all(r["n_matched"] == r["n_windows"] and r["n_changed"] >= 2 for r in got)
 
 
+def test_leaks_of_short_and_literal_poor_items(spark):
+    short, poor, tiny = "What is 17 times 24 plus 9?", "Add 1 2 3 4 5 6 7 8 9 10 11 12", "Is 7 odd?"
+    items = spark.createDataFrame([(1, short), (2, poor), (3, tiny), (4, ""), (5, "?!")], "item_id long, text string")
+    rows = [(1, "Question: " + short + " " + edge.prose(1, 20), "en"), (2, edge.prose(2, 20) + " Please add 1 2 3 4 5 6 7 8 9 10 11 12 now.", "en"), (3, tiny, "en"),
+            (4, "What is 30 times 11 plus 8?", "en"), (5, poor.replace("7", "70"), "en"), (6, "Is 9 odd?", "en"), (7, edge.prose(3, 30), "en"), (8, "And so: what is 17 times 24 plus 9", "en")]
+    got = q7.leaks(edge.documents(spark, rows), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 1), (8, 1)]
+
+
 def plain_classes(rows):
     sets, texts = {}, dict(rows)
     for i, t in texts.items():

@@ -25,6 +25,15 @@ def test_runs(spark, name):
     assert df.columns and df.count() > 0
 
 
+def test_short_benchmark_texts_are_found(spark, tmp_path):
+    texts = ["What is 17 times 24 plus 9?", "one two three", "two words", "word", "a b c d e f g h", "", None]
+    docs = ["so:What is 17 times 24 plus 9?Yes", "xone two threey", "two wordsword", "za b c d e f g hi", "one two", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["benchmark_occurrences"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted((i, k) for i, d in enumerate(docs) for k, t in enumerate(texts) if d is not None and t is not None and t in d)
+
+
 def test_entry(spark):
     import __spark_entry__
 

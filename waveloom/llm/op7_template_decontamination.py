@@ -13,18 +13,23 @@ the same question with new numbers, names or units is told from chance. An item
 leaks into a document if consistent alignments hold at least ``COVERAGE`` of the
 item's windows.
 
+An item with fewer than ``WINDOW`` tokens has one window of its whole length. Such an item, and one
+without a window of enough literals, also has one window of its whole length with all values as they are (``EXACT``). Documents
+have windows of these few lengths too, as far as the benchmark has such items.
+
 The benchmark's window table is broadcast if it counts at most
 ``BROADCAST_WINDOWS`` rows, else the windows are joined by shuffle. Windows with
 fewer than ``LITERALS`` literal tokens are no evidence and are left out of the
-benchmark's side. Only hits are shuffled, so a hot passage costs its hits.
+benchmark's side, except exact ones. Only hits are shuffled, so a hot passage costs its hits.
 
-Defined cases: null or short texts (under ``WINDOW`` tokens) have no window and never
-match, on either side; repeated documents match each by doc_id; a null doc_id is
+Defined cases: null texts and texts without a token have no window and never match, on either side; repeated documents match each by doc_id; a null doc_id is
 ignored; empty tables give no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +41,9 @@ COVERAGE = 0.5
 BROADCAST_WINDOWS = 500_000
 SLOT = "§"
 JOINED = "¤"  # stands for what is between the parts of one number or one name
-INNER, EVERY = "inner", "every"
+INNER, EVERY, EXACT = "inner", "every", "exact"
 #: The capital that begins a name: inside a sentence (it follows a word and one blank), or at the start of any word.
-VARIANTS = {INNER: r"\p{Lu}(?<=[^.!?:\s]\s\p{Lu})", EVERY: r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})"}
+VARIANTS = {INNER: r"\p{Lu}(?<=[^.!?:\s]\s\p{Lu})", EVERY: r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})", EXACT: None}
 #: Unit words that may follow a number.
 UNITS = tuple("""km m cm mm mi mile miles yard yards ft foot feet inch inches kg g mg lb lbs pound pounds ounce ounces oz ton tons litre litres liter
 liters l ml gallon gallons second seconds sec s minute minutes min hour hours h day days week weeks month months year years dollar dollars usd eur euro
@@ -48,9 +53,10 @@ euros cent cents percent degrees celsius fahrenheit watt watts kw kwh volt volts
 def tokens(text: Column, variant: str = INNER) -> Column:
     """Tokens with their values; names carry the slot mark."""
     whole = F.regexp_replace(F.translate(text, SLOT + JOINED, "  "), r"(?<=\p{N})[.,](?=\p{N})", JOINED)
-    marked = F.regexp_replace(whole, VARIANTS[variant], SLOT + "$0")
-    runs = F.regexp_replace(marked, rf"({SLOT}[\p{{L}}\p{{N}}]+)\s(?={SLOT})", "$1" + JOINED)
-    return F.array_remove(F.split(F.lower(runs), rf"[^\p{{L}}\p{{N}}{SLOT}{JOINED}]+"), "")
+    if VARIANTS[variant]:
+        marked = F.regexp_replace(whole, VARIANTS[variant], SLOT + "$0")
+        whole = F.regexp_replace(marked, rf"({SLOT}[\p{{L}}\p{{N}}]+)\s(?={SLOT})", "$1" + JOINED)
+    return F.array_remove(F.split(F.lower(whole), rf"[^\p{{L}}\p{{N}}{SLOT}{JOINED}]+"), "")
 
 
 def template(held: Column) -> Column:
@@ -59,30 +65,46 @@ def template(held: Column) -> Column:
     return F.transform(held, lambda t, i: F.when(digit(t), SLOT + "n").when(t.startswith(SLOT), SLOT + "p").when(t.isin(*UNITS) & digit(F.get(held, i - 1)), SLOT + "u").otherwise(t))
 
 
-def windows(rows: DataFrame, key: str, variant: str) -> DataFrame:
-    """key, pos, h and the tokens of each text with at least WINDOW of them: one row a window."""
-    held = rows.select(key, F.transform(F.array(tokens(F.col("text"), variant)), lambda t: F.struct(t.alias("held"), template(t).alias("shape")))[0].alias("t")).filter(F.size("t.held") >= WINDOW)
-    hashes = F.transform(F.array("t.shape"), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - WINDOW), lambda i: F.xxhash64(F.slice(s, i + 1, F.lit(WINDOW)), F.lit(variant))))[0]
-    return held.select(key, F.lit(variant).alias("variant"), "t", F.posexplode(hashes).alias("pos", "h"))
+def shaped(rows: DataFrame, key: str, variant: str) -> DataFrame:
+    """key and t: the tokens of each text and their shape, which are the tokens themselves where nothing is a slot."""
+    shape = (lambda t: t) if variant == EXACT else template
+    return rows.select(key, F.transform(F.array(tokens(F.col("text"), variant)), lambda t: F.struct(t.alias("held"), shape(t).alias("shape")))[0].alias("t"))
+
+
+def windows(rows: DataFrame, key: str, variant: str, length: int | Column = WINDOW) -> DataFrame:
+    """key, pos, h and the tokens of each text with at least ``length`` of them: one row a window."""
+    length = F.lit(length) if isinstance(length, int) else length
+    held = shaped(rows, key, variant).withColumn("length", length).filter((F.col("length") > 0) & (F.size("t.held") >= F.col("length")))
+    hashes = F.transform(F.array("t.shape"), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - F.col("length")), lambda i: F.xxhash64(F.slice(s, i + 1, F.col("length")), F.lit(variant))))[0]
+    return held.select(key, F.lit(variant).alias("variant"), "length", "t", F.posexplode(hashes).alias("pos", "h"))
 
 
 def at_window(column: str) -> Column:
-    return F.slice(F.col(column), F.col("pos") + 1, F.lit(WINDOW))
+    return F.slice(F.col(column), F.col("pos") + 1, F.col("length"))
 
 
-def both(rows: DataFrame, key: str) -> DataFrame:
-    return windows(rows, key, INNER).unionByName(windows(rows, key, EVERY))
+def item_windows(items: DataFrame) -> DataFrame:
+    """item_id, variant, length, h, item_pos, item_held, shape: the windows that are evidence."""
+    size = F.size("t.held")
+    literal = lambda df: df.filter(F.size(F.filter("shape", lambda x: ~x.startswith(SLOT))) >= LITERALS)
+    columns = lambda df: df.select("item_id", "variant", "length", "h", F.col("pos").alias("item_pos"), at_window("t.held").alias("item_held"), at_window("t.shape").alias("shape"))
+    inner, every = (stored(literal(columns(windows(items, "item_id", v, F.least(size, F.lit(WINDOW))))), "benchmark-windows") for v in (INNER, EVERY))
+    enough = inner.filter(F.col("length") == WINDOW).select("item_id").distinct()
+    exact = columns(windows(items.join(enough, "item_id", "left_anti"), "item_id", EXACT, size))
+    return inner.unionByName(every).unionByName(exact)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows of the item, n_matched, n_slots checked and n_changed: one row a leak, of the variant that covers more."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull())
-    all_windows = stored(both(items, "item_id").select("item_id", "variant", "h", F.col("pos").alias("item_pos"), at_window("t.held").alias("item_held"), at_window("t.shape").alias("shape")), "benchmark-windows")
-    usable = all_windows.filter(F.size(F.filter("shape", lambda x: ~x.startswith(SLOT))) >= LITERALS)
+    usable = stored(item_windows(items), "benchmark-windows")
     sizes = usable.groupBy("item_id", "variant").agg(F.count_distinct("item_pos").alias("n_windows"))
+    named = keyed_documents(docs).filter(F.col("doc_id").isNotNull())
+    kinds = {(INNER, WINDOW), (EVERY, WINDOW), *(tuple(r) for r in usable.select("variant", "length").distinct().collect())}
+    made = reduce(DataFrame.unionByName, [windows(named, "doc_id", *kind) for kind in sorted(kinds)])
     side = F.broadcast(usable) if usable.count() <= BROADCAST_WINDOWS else usable
     hits = (
-        both(keyed_documents(docs).filter(F.col("doc_id").isNotNull()), "doc_id").drop("variant").join(side, "h")
+        made.drop("variant").join(side, ["h", "length"])
         .select("doc_id", "item_id", "variant", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "item_held", "shape", at_window("t.held").alias("held"))
         .filter(F.forall(F.arrays_zip("shape", "item_held", "held"), lambda z: z["shape"].startswith(SLOT) | (z["item_held"] == z["held"])))
         .withColumn("slots", F.filter(F.arrays_zip("shape", "item_held", "held"), lambda z: z["shape"].startswith(SLOT)))

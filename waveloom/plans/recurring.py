@@ -85,14 +85,21 @@ def recurring_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the benchmark found whole in documents: an equi-join on the item's first six words, then the exact test."""
+    """Texts of the benchmark found whole in documents: an equi-join on the item's second to seventh word, or those a
+    shorter item has between its first and last, then the exact test; items of at most two words are tested against each document."""
     words = lambda c: F.split(c, " ")
     items = table(spark, sf_dir, "benchmark").filter("text IS NOT NULL").select("item_id", F.col("text").alias("item"))
-    # the item's first word may be glued to what precedes it, and its last to what follows: words 2 to 7 stand alone in any copy
-    items = items.withColumn("probe", F.array_join(F.slice(words(F.col("item")), 2, 6), " ")).filter(F.size(words(F.col("item"))) > 7)
+    # the item's first word may be glued to what precedes it, and its last to what follows: those between stand alone in any copy
+    items = items.withColumn("n", F.greatest(F.lit(0), F.least(F.lit(6), F.size(words(F.col("item"))) - 2)))
+    items = items.withColumn("probe", F.array_join(F.slice(words(F.col("item")), F.lit(2), F.col("n")), " "))
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
-    grams = F.transform(F.array(words(F.col("text"))), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 5)), lambda i: F.array_join(F.slice(w, i, F.lit(6)), " ")))[0]
-    return docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("probe")).join(items, "probe").filter(F.contains("text", "item")).select("doc_id", "item_id")
+    found = docs.join(F.broadcast(items.filter("n = 0")), F.contains("text", "item")).select("doc_id", "item_id")
+    for n in sorted(r["n"] for r in items.filter("n > 0").select("n").distinct().collect()):
+        grams = F.transform(F.array(words(F.col("text"))), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))[0]  # noqa: B023
+        each = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("probe"))
+        found = found.union(each.join(items.filter(F.col("n") == n), "probe").filter(F.contains("text", "item")).select("doc_id", "item_id"))
+    return found
+
 
 
 KIND = """CASE WHEN t > 0.85 * n THEN 'end-credits' WHEN span < 4 THEN 'sting' WHEN t < 0.35 * n AND span <= 90 THEN 'title-theme' ELSE 'other-recurring' END"""
