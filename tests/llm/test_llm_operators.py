@@ -229,6 +229,14 @@ def test_packing_is_gapless_and_ids_are_the_librarys(docs):
         assert end <= 256
 
 
+def test_ids_of_a_very_long_run_of_blanks_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in ("a" + " " * 1_500_000 + "b", "x" + "\n" * 1_500_000 + "y <|endoftext|>"):
+        assert q5.token_ids(text, P.path(q5.RANKS)).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(1)
     lengths = Counter(np.minimum(2048, rng.lognormal(6, 1, 20000).astype(int) + 1).tolist())

@@ -11,7 +11,9 @@
    length shared by a third of all rows is ranked in many tasks.
 
 The ids come from the rank file of the same vocabulary through the faster of
-the two public libraries; tests hold them equal to the tokenizers file's.
+the two public libraries; tests hold them equal to the tokenizers file's. A text
+that this library can't take (its regular expression gives up on very long runs
+of white space) is encoded whole by the other.
 
 Defined cases: null and empty texts are one piece holding only the end id 0;
 repeated rows (and repeated ids) are packed each; an empty table packs to no
@@ -21,6 +23,7 @@ row; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ from waveloom.llm.common import driver_file, keyed_documents, stored, table
 CAPACITY = 2048
 END_ID = 0
 BROADCAST_RUNS = 1_000_000  # the plan is sent whole below this many runs, joined by shuffle above
-RANKS, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
+RANKS, WHOLE, SPECIAL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, twin int"
 #: Fixed value: the public pre-token pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,9 +55,20 @@ def encoding(path: str):
     return _worker["encoding"]
 
 
+def library(path: str):
+    if _worker.get("library_path") != path:
+        from tokenizers import Tokenizer
+
+        _worker.update(library_path=path, library=Tokenizer.from_file(path))
+    return _worker["library"]
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     """uint32 ids of a whole text, special strings inside it as the tokenizers library treats them."""
-    return np.asarray(encoding(path).encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+    try:
+        return np.asarray(encoding(path).encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+    except ValueError:
+        return np.asarray(library(os.path.join(os.path.dirname(path), WHOLE)).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
