@@ -207,6 +207,14 @@ def test_surrogates_stay_distinct(spark):
     assert not {r["surrogate"] for r in rows} & {r["value"] for r in rows}
 
 
+def test_surrogates_of_more_names_than_short_ones(spark):
+    letters = "αβγδεζηθικλμνξοπρστυφχψω"
+    names = [f"Κυρία Α{a}{b}{c}" for a in letters for b in letters for c in "αη"][:1000]
+    rows = q4.surrogates(spark.createDataFrame([(x,) for x in names], "value string")).collect()
+    assert len({r["surrogate"] for r in rows}) == len(rows) == 1000
+    assert all(r["surrogate"].startswith("Κυρία ") for r in rows)
+
+
 def test_packing_is_gapless_and_ids_are_the_librarys(docs):
     from tokenizers import Tokenizer
 

@@ -129,17 +129,17 @@ def drawn_from(digits: Column, kind: Column, value: Column, salt: Column) -> Col
 
 
 def name(value: Column, digits: Column, salt: Column) -> Column:
-    """Title kept; given and family names of the same script and gender; a salted one carries a second family name, then more."""
+    """Title kept; given and family names of the same script and gender; a salted one carries one more family name for each salt, so there is always room."""
     title = F.regexp_extract(value, rf"^(?:{'|'.join(_TITLE)})\b\.?\s", 0)
     rest = F.substring(value, F.length(title) + 1, F.length(value))
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     female = value.rlike(rf"\b(?:{'|'.join(_FEMALE)})\b") | (~value.rlike(rf"\b(?:{'|'.join(TITLES['m'])})\b") & F.split(rest, r"\s")[0].rlike("(?:a|α|η|а|я)$"))
-    pick = lambda options, k: F.element_at(F.array(*[F.lit(x) for x in options]), (byte(digits, F.lit(k)) * 256 + byte(digits, F.lit(k + 1))) % len(options) + 1)
+    pick = lambda options, k: F.element_at(F.array(*[F.lit(x) for x in options]), (byte(digits, k) * 256 + byte(digits, k + 1)) % len(options) + 1)
     given, family = F.lit(""), F.lit("")
     for (s, g), options in GIVEN.items():
-        given = F.when((script == s) & (female == F.lit(g == "f")), pick(options, 0)).otherwise(given)
+        given = F.when((script == s) & (female == F.lit(g == "f")), pick(options, F.lit(0))).otherwise(given)
     for s, options in FAMILY.items():
-        double = F.concat(pick(options, 2), F.when(salt > 0, F.concat(F.lit("-"), pick(options, 4))).otherwise(""), F.when(salt > 1, F.concat(F.lit("-"), pick(options, 6))).otherwise(""), F.when(salt > 3, F.concat(F.lit("-"), pick(options, 8))).otherwise(""))
+        double = F.array_join(F.transform(F.sequence(F.lit(0), salt), lambda k: pick(options, 2 * k + 2)), "-")  # noqa: B023
         family = F.when(script == s, double).otherwise(family)
     return F.concat(title, F.when(rest.rlike(r"\s"), F.concat_ws(" ", given, family)).when(title == "", given).otherwise(family))
 
