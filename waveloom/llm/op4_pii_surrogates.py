@@ -67,8 +67,8 @@ KINDS = (
     ("name", rf"{_CAPITAL}(?:(?:{'|'.join(_TITLE)})\b\.?\s{_PART}(?:\s{_PART})?|(?:{'|'.join(_FIRST)})\s{_PART})"),
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
-#: A cheap test that every text with an entity passes: a character that all but names need, or a title or given name.
-HINT = rf"[0-9@=:]|{_CAPITAL}(?:{'|'.join([*_TITLE, *_FIRST])})\b"
+#: A cheap test that every text with an entity passes: a character that all but names and keys need, a key's prefix, or a title or given name.
+HINT = rf"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|{_CAPITAL}(?:{'|'.join([*_TITLE, *_FIRST])})\b"
 
 
 def stream(kind: Column, value: Column, salt: Column) -> Column:
