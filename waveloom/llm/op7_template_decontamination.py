@@ -1,29 +1,30 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-A text becomes tokens (runs of letters and digits, lower-cased); a token that
-starts with a digit is a number slot (one for a whole number with its decimals and
-thousands separators), a unit word right after a number is a unit slot, a run of
-capitalised words is one name slot. Whether a capital that opens a sentence is a name can't be
-told, so there are two variants of each text, without and with those (``VARIANTS``), and a leak in either counts. Every window of
-``WINDOW`` template tokens is hashed and hash-joined to the benchmark's windows.
-Hits with the same shift (document position minus item position) form an
-alignment. Within an alignment the slots must be consistent: equal values in the
-item have equal values in the document, and the other way round, which is how
-the same question with new numbers, names or units is told from chance. An item
-leaks into a document if consistent alignments hold at least ``COVERAGE`` of the
-item's windows.
-
-An item with fewer than ``WINDOW`` tokens has one window of its whole length. Such an item, and one
-without a window of enough literals, also has one window of its whole length with all values as they are (``EXACT``). Documents
-have windows of these few lengths too, as far as the benchmark has such items.
-
-The benchmark's window table is broadcast if it counts at most
-``BROADCAST_WINDOWS`` rows, else the windows are joined by shuffle. Windows with
-fewer than ``LITERALS`` literal tokens are no evidence and are left out of the
-benchmark's side, except exact ones. Only hits are shuffled, so a hot passage costs its hits.
-
-Defined cases: null texts and texts without a token have no window and never match, on either side; repeated documents match each by doc_id; a null doc_id is
-ignored; empty tables give no row; other columns are ignored.
+A text becomes a template: its words (runs of letters and digits, lower-cased) in order, with typed
+placeholders for a whole number (its decimals and thousands separators, and letters glued to it), a unit
+word right after a number, and a whole run of capitalised words (a name). A capitalised word that opens a
+sentence counts as a name too, unless it is one of the ``OPENERS``, which never are. Every window
+of ``WINDOW`` template words is hashed and hash-joined to the benchmark's windows. Hits
+with the same shift (document position minus item position) form an alignment. Within an
+alignment the slots must be consistent: equal values of the item have equal values in the
+document, which is how the same question with new numbers, names or units is told from chance. (Different
+values of the item may well become the same value of the document.) An item leaks into a
+document if consistent alignments hold at least ``COVERAGE`` of the item's windows.
+
+A window with fewer than ``LITERALS`` words that are no placeholder is no evidence. An item with fewer than
+``WINDOW`` words has one window of its whole length, as a template if that is evidence, and with all
+words as they are (``EXACT``); an item without any window that is evidence has exact
+windows. Documents have windows of these few shorter lengths too, as far as the benchmark has such items.
+
+Templates and windows are made by regular expressions over strings, one pass each, so a window costs about as much as
+reading it twice. The benchmark's window table is broadcast if it counts at most ``BROADCAST_WINDOWS`` rows, else
+the windows are joined by shuffle. Only hits are shuffled, so a hot passage costs its
+hits; slot values are read again from the documents that have hits.
+
+Defined cases: null texts and texts without a word have no window and never match, on either side; repeated rows
+are one document, different texts under one doc_id are each compared and reported under it; a null doc_id or
+item_id is ignored; very long texts are compared whole (a task holds about 15 times the text's size); items that tie are
+all reported; empty tables give no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,84 +40,92 @@ WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 500_000
-SLOT = "§"
-JOINED = "¤"  # stands for what is between the parts of one number or one name
-INNER, EVERY, EXACT = "inner", "every", "exact"
-#: The capital that begins a name: inside a sentence (it follows a word and one blank), or at the start of any word.
-VARIANTS = {INNER: r"\p{Lu}(?<=[^.!?:\s]\s\p{Lu})", EVERY: r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})", EXACT: None}
+BROADCAST_HITS = 200_000  # texts with hits sent whole up to here, joined by shuffle above
+SHAPE, EXACT = "shape", "exact"
+ALNUM = r"[\p{L}\p{N}]"
+#: Placeholders: words of one digit, which no other word of a template starts with.
+NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "0", "1", "2"
+#: Capitalised words that open sentences and are no names.
+OPENERS = """A An The This That These Those What Which Who Whose Whom When Where Why How If In On At Of For From To By With As After Before During There Here
+It He She They We You I His Her Their Our My Your Its And But Or So Then Now Is Are Was Were Do Does Did Can Could Will Would Should May Might Must
+Has Have Had Each Every All Some Many Much Most Both Find Calculate Solve Add Let Given Suppose Consider Explain Describe Choose Write Compute
+Determine Evaluate Name List Question Answer""".split()
 #: Unit words that may follow a number.
 UNITS = tuple("""km m cm mm mi mile miles yard yards ft foot feet inch inches kg g mg lb lbs pound pounds ounce ounces oz ton tons litre litres liter
 liters l ml gallon gallons second seconds sec s minute minutes min hour hours h day days week weeks month months year years dollar dollars usd eur euro
 euros cent cents percent degrees celsius fahrenheit watt watts kw kwh volt volts mph kmh hz khz mhz ghz kb mb gb tb byte bytes bit bits""".split())
+NUMBER = rf"[0-9](?<!{ALNUM}[0-9]){ALNUM}*+(?:[.,][0-9]{ALNUM}*+)*+"
+_NO_OPENER = rf"(?!(?:{'|'.join(OPENERS)})(?!{ALNUM}))"  # tested at capitals alone
+NAME = rf"(?=\p{{Lu}})(?<!{ALNUM}){_NO_OPENER}{ALNUM}++(?:\s(?=\p{{Lu}}){_NO_OPENER}{ALNUM}++)*+"
+UNIT = rf" {NUMBER_SLOT} (?:{'|'.join(UNITS)})(?= )"
 
 
-def tokens(text: Column, variant: str = INNER) -> Column:
-    """Tokens with their values; names carry the slot mark."""
-    whole = F.regexp_replace(F.translate(text, SLOT + JOINED, "  "), r"(?<=\p{N})[.,](?=\p{N})", JOINED)
-    if VARIANTS[variant]:
-        marked = F.regexp_replace(whole, VARIANTS[variant], SLOT + "$0")
-        whole = F.regexp_replace(marked, rf"({SLOT}[\p{{L}}\p{{N}}]+)\s(?={SLOT})", "$1" + JOINED)
-    return F.array_remove(F.split(F.lower(whole), rf"[^\p{{L}}\p{{N}}{SLOT}{JOINED}]+"), "")
+def template(text: Column, variant: str = SHAPE) -> Column:
+    """The words with a blank before and after each, slots replaced by their placeholder."""
+    if variant == SHAPE:
+        text = F.regexp_replace(F.regexp_replace(text, NUMBER, f" {NUMBER_SLOT} "), NAME, f" {NAME_SLOT} ")
+    spaced = F.lower(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), rf"[^\p{{L}}\p{{N}}]+", " "))
+    return F.regexp_replace(spaced, UNIT, f" {NUMBER_SLOT} {UNIT_SLOT}") if variant == SHAPE else spaced
 
 
-def template(held: Column) -> Column:
-    """The tokens with each slot replaced by its type: §n, §u or §p."""
-    digit = lambda t: (t >= "0") & (t < ":")  # noqa: E731  its first character is a digit
-    return F.transform(held, lambda t, i: F.when(digit(t), SLOT + "n").when(t.startswith(SLOT), SLOT + "p").when(t.isin(*UNITS) & digit(F.get(held, i - 1)), SLOT + "u").otherwise(t))
+def values(text: Column) -> Column:
+    """What stands in the text for each word of its template."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"{NUMBER}|{NAME}|{ALNUM}+"), F.lit(0)), lambda v: F.regexp_replace(F.lower(v), r"\s", " "))
 
 
-def shaped(rows: DataFrame, key: str, variant: str) -> DataFrame:
-    """key and t: the tokens of each text and their shape, which are the tokens themselves where nothing is a slot."""
-    shape = (lambda t: t) if variant == EXACT else template
-    return rows.select(key, F.transform(F.array(tokens(F.col("text"), variant)), lambda t: F.struct(t.alias("held"), shape(t).alias("shape")))[0].alias("t"))
+def windows(shape: Column, length: int) -> Column:
+    """All runs of so many words of a template, each with a blank behind every word."""
+    return F.regexp_extract_all(shape, F.lit(" (?=(" + "[^ ]++ " * length + "))"), F.lit(1))
 
 
-def windows(rows: DataFrame, key: str, variant: str, length: int | Column = WINDOW) -> DataFrame:
-    """key, pos, h and the tokens of each text with at least ``length`` of them: one row a window."""
-    length = F.lit(length) if isinstance(length, int) else length
-    held = shaped(rows, key, variant).withColumn("length", length).filter((F.col("length") > 0) & (F.size("t.held") >= F.col("length")))
-    hashes = F.transform(F.array("t.shape"), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - F.col("length")), lambda i: F.xxhash64(F.slice(s, i + 1, F.col("length")), F.lit(variant))))[0]
-    return held.select(key, F.lit(variant).alias("variant"), "length", "t", F.posexplode(hashes).alias("pos", "h"))
+def literals(window: Column) -> Column:
+    """How many words of a window are no placeholder."""
+    return F.regexp_count(window, F.lit(r"(?:^| )[^0-9 ]"))
 
 
-def at_window(column: str) -> Column:
-    return F.slice(F.col(column), F.col("pos") + 1, F.col("length"))
+def item_windows(items: DataFrame) -> DataFrame:
+    """item_id, variant, length, item_pos, window: what is evidence. At most ``WINDOW`` words a window, so few lengths."""
 
+    def cut(rows: DataFrame, variant: str, lengths: list[int]) -> DataFrame:
+        shaped = rows.select("item_id", template(F.col("text"), variant).alias("t")).withColumn("size", F.length(F.regexp_replace("t", "[^ ]", "")) - 1)
+        parts = [shaped.filter(F.col("size") >= n if n == WINDOW else F.col("size") == n).select("item_id", F.lit(variant).alias("variant"), F.lit(n).alias("length"), F.posexplode(windows(F.col("t"), n)).alias("item_pos", "window")) for n in lengths]
+        return reduce(DataFrame.unionByName, parts)
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, variant, length, h, item_pos, item_held, shape: the windows that are evidence."""
-    size = F.size("t.held")
-    literal = lambda df: df.filter(F.size(F.filter("shape", lambda x: ~x.startswith(SLOT))) >= LITERALS)
-    columns = lambda df: df.select("item_id", "variant", "length", "h", F.col("pos").alias("item_pos"), at_window("t.held").alias("item_held"), at_window("t.shape").alias("shape"))
-    inner, every = (stored(literal(columns(windows(items, "item_id", v, F.least(size, F.lit(WINDOW))))), "benchmark-windows") for v in (INNER, EVERY))
-    enough = inner.filter(F.col("length") == WINDOW).select("item_id").distinct()
-    exact = columns(windows(items.join(enough, "item_id", "left_anti"), "item_id", EXACT, size))
-    return inner.unionByName(every).unionByName(exact)
+    every = list(range(1, WINDOW + 1))
+    shape = stored(cut(items, SHAPE, every).filter(literals(F.col("window")) >= LITERALS), "benchmark-windows")
+    enough = shape.filter(F.col("length") == WINDOW).select("item_id").distinct()
+    return shape.unionByName(cut(items.join(enough, "item_id", "left_anti"), EXACT, every))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows of the item, n_matched, n_slots checked and n_changed: one row a leak, of the variant that covers more."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull())
-    usable = stored(item_windows(items), "benchmark-windows")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    usable = stored(item_windows(items).withColumn("h", F.xxhash64("window", "variant")), "benchmark-windows")
     sizes = usable.groupBy("item_id", "variant").agg(F.count_distinct("item_pos").alias("n_windows"))
-    named = keyed_documents(docs).filter(F.col("doc_id").isNotNull())
-    kinds = {(INNER, WINDOW), (EVERY, WINDOW), *(tuple(r) for r in usable.select("variant", "length").distinct().collect())}
-    made = reduce(DataFrame.unionByName, [windows(named, "doc_id", *kind) for kind in sorted(kinds)])
-    side = F.broadcast(usable) if usable.count() <= BROADCAST_WINDOWS else usable
-    hits = (
-        made.drop("variant").join(side, ["h", "length"])
-        .select("doc_id", "item_id", "variant", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "item_held", "shape", at_window("t.held").alias("held"))
-        .filter(F.forall(F.arrays_zip("shape", "item_held", "held"), lambda z: z["shape"].startswith(SLOT) | (z["item_held"] == z["held"])))
-        .withColumn("slots", F.filter(F.arrays_zip("shape", "item_held", "held"), lambda z: z["shape"].startswith(SLOT)))
-    )
-    aligned = hits.groupBy("doc_id", "item_id", "variant", "shift").agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    same = lambda s: F.size(F.array_distinct(s))
-    side_of = lambda name: F.transform("slots", lambda z: F.concat(z["shape"], F.lit(" "), z[name]))
-    consistent = aligned.filter((same(side_of("item_held")) == F.size("slots")) & (same(side_of("held")) == F.size("slots")))
-    found = consistent.groupBy("doc_id", "item_id", "variant").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"),
-        F.max(F.size("slots")).cast("long").alias("n_slots"), F.max(F.size(F.filter("slots", lambda z: z["item_held"] != z["held"]))).cast("long").alias("n_changed"))
+    side = usable.withColumnsRenamed({"window": "item_window"}).drop("length")
+    side = F.broadcast(side) if usable.count() <= BROADCAST_WINDOWS else side
+    named = keyed_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    key = ["doc_id", "text_hash"]
+    hashed = named.withColumn("text_hash", F.xxhash64("text"))
+    kinds = sorted({(SHAPE, WINDOW), *(tuple(r) for r in usable.select("variant", "length").distinct().collect())})  # at most 2 x WINDOW
+    made = [hashed.select(*key, F.lit(v).alias("kind"), F.posexplode(windows(template(F.col("text"), v), n)).alias("pos", "window")) for v, n in kinds]
+    hits = [m.join(side, F.xxhash64("window", "kind") == F.col("h")).filter("window = item_window AND kind = variant") for m in made]
+    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
+    lengths = [h.select(*key, "item_id", "variant", shift, "item_pos", F.lit(n).alias("length")) for h, (_, n) in zip(hits, kinds)]
+    aligned = stored(reduce(DataFrame.unionByName, lengths).groupBy(*key, "item_id", "variant", "shift").agg(F.collect_set("item_pos").alias("places"), F.max("length").alias("length")), "alignments")
+    by_text = stored(aligned.filter(F.col("variant") == SHAPE).groupBy(*key).agg(F.collect_list(F.struct("item_id", "shift", "places", "length")).alias("found")), "texts-with-hits")
+    by_text = F.broadcast(by_text) if by_text.count() <= BROADCAST_HITS else by_text
+    held = hashed.join(by_text, key).dropDuplicates(key).select(*key, values(F.col("text")).alias("held"), "found").select(*key, "held", F.explode("found").alias("f")).select(*key, "held", "f.*")
+    # the item's own words, for the few items that were hit
+    own = items.join(aligned.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.split(F.trim(template(F.col("text"))), " ").alias("shape"), values(F.col("text")).alias("item_held"))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("length") - 1))))
+    slot = F.transform(F.filter(covered, lambda p: F.get(F.col("shape"), p).rlike("^[0-9]")), lambda p: F.struct(F.get("shape", p).alias("kind"), F.get("item_held", p).alias("item"), F.get("held", p + F.col("shift")).alias("doc")))
+    checked = held.join(own, "item_id").select(*key, "item_id", F.lit(SHAPE).alias("variant"), "places", F.array_distinct(slot).alias("slots"))
+    same = F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["kind"], z["item"])))) == F.size("slots")
+    consistent = checked.filter(same).select(*key, "item_id", "variant", "places", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda z: ~z["item"].eqNullSafe(z["doc"]))).alias("n_changed"))
+    exact = aligned.filter(F.col("variant") == EXACT).select(*key, "item_id", "variant", "places", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
+    found = consistent.unionByName(exact).groupBy(*key, "item_id", "variant").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"), F.max("n_slots").cast("long").alias("n_slots"), F.max("n_changed").cast("long").alias("n_changed"))
     enough = found.join(sizes, ["item_id", "variant"]).filter(F.col("n_matched") >= coverage * F.col("n_windows"))
     best = F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("share"), "variant", "n_windows", "n_matched", "n_slots", "n_changed"))
     return enough.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", *(f"best.{c}" for c in ("n_windows", "n_matched", "n_slots", "n_changed")))
