@@ -74,39 +74,6 @@ def test_quality_em_matches_plain_em(spark):
     assert np.allclose([got[p] for p in patterns], post(), atol=1e-9)
 
 
-def test_lm_scores_match_plain_bigrams(docs, spark):
-    size = 12
-    got = q2.score(docs, spark.createDataFrame([(1,), (8,)], "doc_id long"), size).collect()
-    texts = [(i, WORD.findall(t.translate(LOWER))) for i, t in edge.texts()]
-    counts = Counter(w for _, ws in texts for w in ws)
-    cut = sorted(counts.values(), reverse=True)[size - 3]
-    hashes = {w: int(q2.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].view(np.int64)[0]) for w in counts if counts[w] >= cut}
-    vocabulary = set(sorted(hashes, key=lambda w: (-counts[w], hashes[w]))[: size - 2])
-
-    def model(chosen):
-        pair, word, context = Counter(), Counter(), Counter()
-        for i, ws in texts:
-            if chosen(i):
-                before = "<s>"
-                for w in (w if w in vocabulary else "<unk>" for w in ws):
-                    pair[before, w] += 1
-                    word[w] += 1
-                    context[before] += 1
-                    before = w
-        n = sum(word.values())
-        return lambda v, w: -np.log((pair[v, w] + q2.PULL * (word[w] + 1) / (n + size)) / (context[v] + q2.PULL))
-
-    target, background = model({1, 8}.__contains__), model(lambda i: True)
-    seen = {r["doc_id"]: r for r in got}
-    for i, ws in texts:
-        if not ws:
-            assert seen[i]["n_tokens"] == 0 and seen[i]["score"] is None
-            continue
-        ids = [w if w in vocabulary else "<unk>" for w in ws]
-        loss = [np.mean([m(v, w) for v, w in zip(["<s>", *ids], ids)]) for m in (target, background)]
-        assert seen[i]["score"] == pytest.approx(loss[0] - loss[1], abs=1e-5), i
-
-
 @pytest.mark.parametrize("most", [2_000_000, 40])
 def test_lm_scores_count_every_word(spark, monkeypatch, most):
     monkeypatch.setattr(q2, "HOT_WORDS", most)
@@ -118,22 +85,43 @@ def test_lm_scores_count_every_word(spark, monkeypatch, most):
     size = len({w for _, ws in texts for w in ws}) + 2
     assert size > 3000
 
+    pairs_of = lambda ws: list(zip(["<s>", *ws], ws))
+
     def model(chosen):
         held = [ws for i, ws in texts if chosen(i)]
-        pair, word = Counter(x for ws in held for x in zip(["<s>", *ws], ws)), Counter(w for ws in held for w in ws)
-        context, n = Counter(v for ws in held for v, _ in zip(["<s>", *ws], ws)), sum(map(len, held))
-        return lambda v, w: -np.log((pair[v, w] + q2.PULL * (word[w] + 1) / (n + size)) / (context[v] + q2.PULL))
+        pair, word = Counter(x for ws in held for x in pairs_of(ws)), Counter(w for ws in held for w in ws)
+        context, n = Counter(v for ws in held for v, _ in pairs_of(ws)), sum(map(len, held))
+
+        def mean_loss(i, ws):  # without the text's own counts
+            p, w, c, own = (Counter(pairs_of(ws)), Counter(ws), Counter(v for v, _ in pairs_of(ws)), len(ws)) if chosen(i) else (Counter(), Counter(), Counter(), 0)
+            return float(np.mean([-np.log((pair[x, y] - p[x, y] + q2.PULL * (word[y] - w[y] + 1) / (n - own + size)) / (context[x] - c[x] + q2.PULL)) for x, y in pairs_of(ws)]))
+
+        return mean_loss
 
     models = [model({1, 3, 8}.__contains__), model(lambda i: True)]
     want = []
     for i, ws in texts:
-        loss = [round(float(np.mean([m(v, w) for v, w in zip(["<s>", *ws], ws)])), 7) for m in models] if ws else [None, None]
+        loss = [round(m(i, ws), 7) for m in models] if ws else [None, None]
         want.append((i, len(ws), *loss))
     got = q2.score(edge.documents(spark, rows), spark.createDataFrame([(1,), (3,), (8,)], "doc_id long")).collect()
     rounded = lambda x: None if x is None else round(x, 7)
     assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_tokens"], rounded(r["target_loss"]), rounded(r["background_loss"]))) for r in got)
 
 
+def test_lm_filter_misses_no_pair():
+    rng = np.random.default_rng(11)
+    keys = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    assert (q2.unpack(q2.pack(np.sort(keys))) == np.sort(keys)).all()
+    part = (q2.mix(keys) % q2.U(7)).astype(int)
+    for folds in (0, 3, 40):
+        bits = [q2.folded(q2.part_filter(keys[part == p]), folds) for p in range(7)]
+        sizes = np.array([8 * len(x) for x in bits])
+        filters = (np.concatenate(bits), np.cumsum(sizes) - sizes, sizes)
+        assert q2.maybe(keys, filters).all()
+        if not folds:
+            assert q2.maybe(rng.integers(0, 2**64, 5000, dtype=np.uint64), filters).mean() < 0.1
+
+
 def plain_removal(rows):
     seen, out, done = set(), {}, set()
     for i, t in sorted(rows):
@@ -421,4 +409,4 @@ def test_empty_tables_of_pairs(empty, docs, spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert q7.leaks(docs, items).count() == 0 and q7.leaks(empty, items).count() == 0
     ids = spark.createDataFrame([], "doc_id long")
-    assert q2.score(empty, ids).count() == 0 and q2.score(docs, ids, 16).count() == len(edge.ROWS)
+    assert q2.score(empty, ids).count() == 0 and q2.score(docs, ids).count() == len(edge.ROWS)

@@ -4,26 +4,28 @@ The target model is trained on the documents labelled good, the background
 model on all documents; same order, same smoothing, one vocabulary: every word of
 the corpus, an unknown word and a start mark. Bigram probabilities are smoothed towards the unigram,
 p(w|v) = (c(v,w) + K p(w)) / (c(v) + K), p(w) = (c(w) + 1) / (N + V).
+A text's own counts are left out of all four (and of N) before it is scored, in the background model and, if it is a
+target document, in the target model; so no text is judged by a model that has learned it by heart.
 A document's score is the mean over its tokens of target loss minus background
 loss (nats): the lower, the more like the target.
 
 No word and no pair is left out, so the model grows with the corpus:
 
-1. Words and pairs are counted per chunk and summed by an exchange. Pairs that occur
-   once are not kept: a pair the table lacks occurs where it is met and nowhere else.
+1. Words and pairs are counted per ``COMBINED`` bytes of text, dealt by hash as sorted, packed lists (``pack``), and
+   summed part by part. What occurs once is not kept: without the text's own counts it has a count of 0.
 2. The commonest words and pairs, at most ``HOT_WORDS`` and ``HOT_PAIRS``, are sent to the workers,
    which sum their losses per document. So no key that goes through a join is hot.
-3. All other pairs go out as one row per document and pair, are joined to the counts by an
-   exchange and summed per document; so are the words beyond ``HOT_WORDS``, if there are any.
-
-``score(..., size)`` closes the vocabulary instead: the ``size - 2`` commonest words, all
-others one unknown word, and one table of size x size cells.
+3. A Bloom filter over all pairs that occur twice (at most ``FILTER_BYTES``; beyond it is folded and only lets more through)
+   tells the workers most pairs with a count of 0. Whatever passes goes out as one row per document and pair, is
+   joined to the counts by an exchange and summed per document; so are the words beyond
+   ``HOT_WORDS``, if there are any.
 
 Keys of words and pairs are 64-bit hashes.
 
 Defined cases: null and empty texts have 0 tokens and null losses and score; rows without a doc_id
-count as background; repeated rows count each; an empty table gives no row; without a target document the
-target model is uniform; other columns are ignored.
+count as background; repeated rows count each (one leaves the other's counts in); several texts of one doc_id are scored each; a very long text is scored in one
+piece (a task holds about 40 times its size); ties at the cut to the commonest go to the join together; an empty table gives no row; without a
+target document the target model is uniform; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,15 +39,20 @@ from pyspark.sql import functions as F
 
 from waveloom.llm.common import BASE, LOWER, U, chunks, keyed_documents, mix, prefix_sums, slice_hash, stored, table, words
 
-HOT_WORDS, HOT_PAIRS = 2_000_000, 2_000_000  # the commonest are sent whole up to here, the others joined by shuffle
+HOT_WORDS, HOT_PAIRS = 3_000_000, 2_000_000  # the commonest are sent whole up to here, the others joined by shuffle
+FILTER_BYTES = 64 << 20  # the most bytes of the filter over pairs; 8 bits a pair while it is smaller
 PULL = 16.0  # K
 START = U(0)
+COMBINED = 16 << 20  # text whose counts are summed before they are dealt
+PARTS = 8  # lists per partition of the exchange
+BLOB = 4096  # keys in a packed list at most
 SCORED_BYTES = 1 << 20  # text scored at once, beside the commonest words and pairs in memory
 BROADCAST_TARGET = 2_000_000  # ids of target documents sent whole up to here, joined by shuffle above
-SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-TALLIES = "word boolean, key long, t long, b long, ct long, cb long"
-PARTS = "doc_id long, text_hash long, p long, n long, own long, wt long, wb long, n_tokens long, lt double, lb double"
-COLD = ", cold_w long, cold_v long"
+COUNTS = ("t", "b", "ct", "cb")  # of a word: in target documents, in all, and the same before another word; of a pair t and b
+PACKED = "word boolean, part int, keys binary, t binary, b binary, ct binary, cb binary"
+TALLIES = "word boolean, key long, t long, b long, ct long, cb long, n long, part int, bits binary"
+ROWS = "doc_id long, text_hash int, p long, n long, own long, size long, wt long, wb long, lt double, lb double"
+COLD = ", cold_w long, nw long, cold_v long"
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,94 +62,125 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (slice_hash(prefix_sums(raw), lo, hi) if len(lo) else np.zeros(0, np.uint64)), edges
 
 
-def commonest(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the ``size`` commonest words; ties to the smaller hash."""
+def pair_keys(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word (START for the first of a text) and the key of the two."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[edges[:-1][edges[1:] > edges[:-1]]] = START
+    return before, mix(before * BASE + hashes)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, at in chunks(batches):
-            found, n = np.unique(word_hashes(raw, at)[0], return_counts=True)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["w", "n"])
 
-    top = docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
-    return np.sort(np.array([r["w"] for r in top], np.int64).view(np.uint64))
+def summed(keys: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], [np.add.reduceat(c[order], head) if len(head) else c for c in counts]
 
 
-def word_ids(hashes: np.ndarray, edges: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id of each word and of the one before it; len(vocabulary) is the unknown word, one more the start mark."""
-    unknown = len(vocabulary)
-    if not len(vocabulary):
-        ids = np.full(len(hashes), unknown)
-    else:
-        at = np.minimum(np.searchsorted(vocabulary, hashes), unknown - 1)
-        ids = np.where(vocabulary[at] == hashes, at, unknown)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[edges[:-1][edges[1:] > edges[:-1]]] = unknown + 1
-    return ids, before
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte planes apart: the high planes are zero and compress away."""
+    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def bigrams(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """2 x V x V counts c(v, w): of target documents, of all documents. docs: text, target."""
-    size = len(vocabulary) + 2
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size * size), np.int64)
-        for batch, raw, at in chunks(batches):
-            ids, before = word_ids(*(pair := word_hashes(raw, at)), sent.value)
-            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(pair[1]))
-            cell = before * size + ids
-            total[0] += np.bincount(cell[target], minlength=size * size)
-            total[1] += np.bincount(cell, minlength=size * size)
-        used = np.flatnonzero(total[1])
-        for a in range(0, len(used), 100_000):
-            part = used[a: a + 100_000]
-            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(total[0, part]), pa.array(total[1, part])], names=["cell", "t", "b"])
-
-    got = docs.select("text", "target").mapInArrow(count, "cell int, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()  # at most V * V rows
-    out = np.zeros((2, size * size), np.float64)
-    cell = got["cell"].to_numpy()
-    out[0, cell], out[1, cell] = got["t"].to_numpy(), got["b"].to_numpy()
-    return out.reshape(2, size, size)
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log p(w|v) from c(v, w), float32."""
-    size = counts.shape[0]
-    unigram = (counts.sum(axis=0) + 1) / (counts.sum() + size)
-    return -np.log((counts + PULL * unigram) / (counts.sum(axis=1, keepdims=True) + PULL)).astype(np.float32)
-
-
-def tallies(docs: DataFrame) -> DataFrame:
-    """Of each word and each pair (v, w): its count in target documents (t) and in all (b), and of a word those before
-    another word (ct, cb). Pairs that occur once are left out. docs: text, target."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, at in chunks(batches):
-            hashes, edges = word_hashes(raw, at)
-            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(edges))
-            inner = np.ones(len(hashes), bool)
-            inner[edges[1:][edges[1:] > edges[:-1]] - 1] = False
-            for word, keys in ((True, hashes), (False, pair_keys(hashes, edges)[1])):
-                found, which = np.unique(keys, return_inverse=True)
-                n = lambda held: pa.array(np.bincount(which[held], minlength=len(found)), pa.int64())  # noqa: B023, E731
-                yield pa.record_batch([pa.array(np.full(len(found), word)), pa.array(found.view(np.int64)), n(target), n(slice(None)), n(target & inner & word), n(inner & word)], names=["word", "key", "t", "b", "ct", "cb"])
+def filter_bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """The four places of each key in a filter of ``size`` bits, a power of two (or an array of such, one a key)."""
+    h = mix(keys ^ U(0x2545F4914F6CDD1D))
+    mask = np.asarray(size, dtype=np.uint64) - U(1)
+    return np.stack([(h >> U(s)) & mask for s in (0, 11, 22, 33)]).astype(np.int64)
 
-    sums = [F.sum(c).alias(c) for c in ("t", "b", "ct", "cb")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # dealt first: chunks have combined what they can
-    return docs.select("text", "target").mapInArrow(count, TALLIES).repartition(parts, "word", "key").groupBy("word", "key").agg(*sums).filter("word OR b > 1")
 
+def part_filter(keys: np.ndarray) -> bytes:
+    """At least 8 bits a key, 64 at least, as a power of two."""
+    size = 1 << max(6, int(8 * len(keys) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[filter_bits(keys, size).reshape(-1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
-def pair_keys(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (START for the first of a text) and the key of the two."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[edges[:-1][edges[1:] > edges[:-1]]] = START
-    return before, before * BASE + hashes
+
+def folded(data: bytes, times: int) -> np.ndarray:
+    """The filter of half the size, as often as asked, 8 bytes at least."""
+    bits = np.frombuffer(data, np.uint8)
+    for _ in range(times):
+        if len(bits) > 8:
+            bits = bits[: len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
+def tallies(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows (word, key and counts) of all that occurs twice; of each part of the words one row without key: the sums over its n words;
+    of each part of the pairs its filter. docs: text, target."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out(held: list) -> Iterator[pa.RecordBatch]:
+            for word in (True, False):
+                keys, counts = summed(np.concatenate([h[word][0] for h in held]), [np.concatenate([h[word][1][k] for h in held]) for k in range(4 if word else 2)])
+                part = (mix(keys) % U(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                keys, counts, part = keys[order], [c[order] for c in counts], part[order]
+                edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                cut = sorted({*edge.tolist(), *(x for a, b in zip(edge, np.append(edge[1:], len(part))) for x in range(int(a), int(b), BLOB))})
+                ends = [*cut[1:], len(part)]
+                column = lambda c: pa.array([c[a:b].astype(np.int32).tobytes() for a, b in zip(cut, ends)], pa.binary())
+                blank = pa.array([b""] * len(cut), pa.binary())
+                yield pa.record_batch([pa.array([word] * len(cut)), pa.array(part[cut]), pa.array([pack(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()),
+                                       *(column(counts[k]) if k < len(counts) else blank for k in range(4))], names=["word", "part", "keys", *COUNTS])
+
+        for batch, raw, at in chunks(batches):
+            hashes, edges = word_hashes(raw, at)
+            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(edges))
+            inner = np.ones(len(hashes), np.int64)
+            inner[edges[1:][edges[1:] > edges[:-1]] - 1] = 0
+            ones = np.ones(len(hashes), np.int64)
+            held.append({True: summed(hashes, [target, ones, target * inner, inner]), False: summed(pair_keys(hashes, edges)[1], [target, ones])})
+            size += len(raw)
+            if size >= COMBINED:
+                yield from out(held)
+                held, size = [], 0
+        if held:
+            yield from out(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out(now: tuple, held: list) -> Iterator[pa.RecordBatch]:
+            word, part = now
+            keys, counts = summed(np.concatenate([h[0] for h in held]), [np.concatenate([h[1][k] for h in held]) for k in range(4 if word else 2)])
+            often = counts[1] > 1
+            n = int(often.sum())
+            columns = [pa.array(keys[often].view(np.int64)), *(pa.array(c[often]) for c in counts), *([pa.nulls(n, pa.int64())] * (4 - len(counts)))]
+            names = ["word", "key", *COUNTS, "n", "part", "bits"]
+            yield pa.record_batch([pa.array(np.full(n, word)), *columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            sums = [int(c.sum()) for c in counts] if word else [None] * 4
+            last = [word, None, *sums, len(keys), part, None if word else part_filter(keys[often])]
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(last, (pa.bool_(), *[pa.int64()] * 6, pa.int32(), pa.binary()))], names=names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if now != (row["word"], row["part"]):
+                    if held:
+                        yield from out(now, held)
+                    now, held, waiting = (row["word"], row["part"]), [], 0
+                held.append((unpack(row["keys"]), [np.frombuffer(row[c], np.int32).astype(np.int64) for c in COUNTS[: 4 if row["word"] else 2]]))
+                waiting += len(held[-1][0])
+                if waiting > 4 * len(held[0][0]) + (1 << 20):  # what came since the last sum outweighs it
+                    held = [summed(np.concatenate([h[0] for h in held]), [np.concatenate([h[1][k] for h in held]) for k in range(len(held[0][1]))])]
+                    waiting = 0
+        if held:
+            yield from out(now, held)
+
+    dealt = docs.select("text", "target").mapInArrow(count, PACKED).repartition("word", "part").sortWithinPartitions("word", "part")
+    return dealt.mapInArrow(merge, TALLIES)
 
 
 def hot(counts: DataFrame, most: int) -> tuple[np.ndarray, list[np.ndarray], bool]:
-    """Sorted keys and t, b, ct, cb of the commonest rows, at most ``most``, and whether there are others."""
+    """Sorted keys and counts of the commonest rows, at most ``most``, and whether there are others."""
     upto, least, others = 0, None, False
     for r in sorted(counts.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # one row per frequency
         upto += r["n"]
@@ -152,8 +190,32 @@ def hot(counts: DataFrame, most: int) -> tuple[np.ndarray, list[np.ndarray], boo
     got = counts.filter(F.col("b") >= least if least is not None else F.lit(False)).toArrow()
     keys = got["key"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    narrow = np.int32 if upto and got["b"].to_numpy().max(initial=0) < 2**31 else np.int64
-    return keys[order], [got[c].to_numpy()[order].astype(narrow) for c in ("t", "b", "ct", "cb")], others
+    narrow = np.int32 if got["b"].to_numpy().max(initial=0) < 2**31 else np.int64
+    return keys[order], [got[c].to_numpy()[order].astype(narrow) for c in counts.columns if c != "key"], others
+
+
+def gathered_filter(counts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The filters of all parts end to end, where each starts (in bits) and its size in bits."""
+    whole = counts.filter("bits IS NOT NULL")
+    size = whole.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("n")).first()["n"]
+    times = max(0, int(np.ceil(np.log2(max(size, 1) / FILTER_BYTES))))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([folded(x, times).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["part", "bits"])
+
+    got = whole.select("part", "bits").mapInArrow(fold, "part int, bits binary").toArrow()  # FILTER_BYTES at most, or 8 bytes a part
+    by_part = dict(zip(got["part"].to_pylist(), got["bits"].to_pylist()))
+    sizes = np.array([8 * len(by_part.get(p, bytes(8))) for p in range(parts)], np.int64)
+    return np.frombuffer(b"".join(by_part.get(p, bytes(8)) for p in range(parts)), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def maybe(keys: np.ndarray, filters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether each key may be in the filters; none that is in is missed."""
+    bits, start, sizes = filters
+    part = (mix(keys) % U(len(sizes))).astype(np.int64)
+    places = filter_bits(keys, sizes[part]) + start[part]
+    return ((bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
 def looked_up(keys: np.ndarray, table_keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -163,107 +225,100 @@ def looked_up(keys: np.ndarray, table_keys: np.ndarray, columns: list[np.ndarray
     u, which = np.unique(keys, return_inverse=True)  # in order, so the search runs through the table once
     at = np.minimum(np.searchsorted(table_keys, u), len(table_keys) - 1)
     known = table_keys[at] == u
-    return known[which], [np.where(known, c[at], 0)[which] for c in columns]
+    return known[which], [np.where(known, c[at], 0)[which].astype(np.int64) for c in columns]
 
 
-def open_score(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """docs: doc_id, text. chosen: doc_id, target. Every word and pair counts."""
+def times(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its own text."""
+    _, which, n = np.unique(mix(keys + owner.astype(np.uint64) * BASE), return_inverse=True, return_counts=True)
+    return n[which]
+
+
+def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """target_ids: a column doc_id, distinct."""
+    docs = keyed_documents(docs)
+    chosen = target_ids.select("doc_id", F.lit(True).alias("target"))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_TARGET else chosen
     flagged = docs.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = stored(tallies(flagged), "tallies")
-    every, pairs = counts.filter("word"), counts.filter("NOT word").drop("word", "ct", "cb")
-    total = every.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b", "ct", "cb"))).first()
-    size = total["words"] + 2
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stored(tallies(flagged, parts), "tallies")
+    total = counts.filter("word AND key IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *COUNTS))).first()
+    size = total["n"] + 2
+    tokens = (total["t"], total["b"])
     starts = (total["t"] - total["ct"], total["b"] - total["cb"])
-    scale = tuple(PULL / (total[c] + size) for c in ("t", "b"))  # K p(w) = scale * (c(w) + 1)
-    often = every.filter("b > 1")
+    often, pairs = counts.filter("word AND key IS NOT NULL").select("key", *COUNTS), counts.filter("NOT word AND key IS NOT NULL").select("key", "t", "b")
     word_keys, word_counts, others = hot(often, HOT_WORDS)
-    keys, pair_counts, _ = hot(pairs.withColumns({"ct": F.lit(0), "cb": F.lit(0)}), HOT_PAIRS)
-    sent = docs.sparkSession.sparkContext.broadcast((word_keys, word_counts, keys, pair_counts[:2]))
+    keys, pair_counts, _ = hot(pairs, HOT_PAIRS)
+    sent = docs.sparkSession.sparkContext.broadcast((word_keys, word_counts, keys, pair_counts, gathered_filter(counts, parts)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_keys, word_counts, keys, pair_counts = sent.value
+        word_keys, word_counts, keys, pair_counts, filters = sent.value
         for batch, raw, at in chunks(batches, SCORED_BYTES):
             hashes, edges = word_hashes(raw, at)
             before, pair = pair_keys(hashes, edges)
             n = np.diff(edges)
             owner = np.repeat(np.arange(len(n)), n)
-            own = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), n)
-            # what occurs once occurs here: own in the target documents, 1 in all
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            own, first = target[owner], before == START
+            nw, nv, np_ = times(owner, hashes), times(owner, before), times(owner, pair)
             known_w, (wt, wb, *_) = looked_up(hashes, word_keys, word_counts)
-            wt, wb = np.where(known_w, wt, own), np.where(known_w, wb, 1)
             known_v, (_, _, vt, vb) = looked_up(before, word_keys, word_counts)
-            first = before == START
-            vt, vb = (np.where(first, s, np.where(known_v, v, once)) for s, v, once in zip(starts, (vt, vb), (own, 1)))
-            cold_w, cold_v = ~known_w & others, ~known_v & ~first & others
             known, (pt, pb) = looked_up(pair, keys, pair_counts)
-            ready = known & ~cold_w & ~cold_v
-            base = [np.bincount(owner, np.where(cold_v, 0.0, np.log(v + PULL)) - np.where(ready, np.log(p + k * (w + 1)), 0.0), len(n)) for v, p, w, k in zip((vt, vb), (pt, pb), (wt, wb), scale)]
-            rest = np.flatnonzero(~ready)
-            rest = rest[np.lexsort((pair[rest], owner[rest]))]
-            new = np.ones(len(rest), bool)
-            new[1:] = (pair[rest[1:]] != pair[rest[:-1]]) | (owner[rest[1:]] != owner[rest[:-1]])
-            head = np.flatnonzero(new)
-            times, rest = np.diff(np.append(head, len(rest))), rest[head]
-            text_hash = batch.column(3).to_numpy()
-            doc = batch.column(0)
-            lone = mix(text_hash.view(np.uint64) + np.arange(len(n), dtype=np.uint64) * BASE + U(1)).view(np.int64)  # a key of its own, to be dealt by
+            cold_w, cold_v = ~known_w & others, ~known_v & ~first & others
+            send = cold_w | cold_v
+            unknown = np.flatnonzero(~known)
+            send[unknown] |= maybe(pair[unknown], filters)
+            # without the text's own: what no table has occurs in this text alone
+            wt, wb = np.where(known_w, wt - own * nw, 0), np.where(known_w, wb - nw, 0)
+            vt, vb = (np.where(first, s - o, np.where(known_v, v - o * nv, 0)) for s, v, o in zip(starts, (vt, vb), (own, 1)))
+            pt, pb = np.where(known, pt - own * np_, 0), np.where(known, pb - np_, 0)
+            base = []
+            for v, p, w, all_, o in zip((vt, vb), (pt, pb), (wt, wb), tokens, (target, 1)):
+                scale = (PULL / (all_ - o * n + size))[owner]
+                base.append(np.bincount(owner, np.where(cold_v, 0.0, np.log(v + PULL)) - np.where(send, 0.0, np.log(p + scale * (w + 1))), len(n)))
+            rest = np.flatnonzero(send)
+            _, head = np.unique(mix(pair[rest] + owner[rest].astype(np.uint64) * BASE), return_index=True)
+            rest = rest[head]
+            hash_, doc = batch.column(3).to_numpy(), batch.column(0)
             long = lambda x, absent=None: pa.array(x, pa.int64(), mask=absent)
             nothing = pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([doc, long(text_hash), long(lone), nothing, nothing, nothing, nothing, long(n), pa.array(base[0]), pa.array(base[1]), *[nothing] * (2 * others)], names=names)
-            nothing = pa.nulls(len(rest), pa.int64())
+            yield pa.record_batch([doc, pa.array(hash_), nothing, nothing, nothing, long(n), nothing, nothing, pa.array(base[0]), pa.array(base[1]), *[nothing] * (3 * others)], names=names)
+            absent = pa.nulls(len(rest), pa.float64())
+            cold = [long(hashes[rest].view(np.int64), ~cold_w[rest]), long(nw[rest]), long(before[rest].view(np.int64), ~cold_v[rest])] if others else []
             yield pa.record_batch([
-                doc.take(pa.array(owner[rest])), long(text_hash[owner[rest]]), long(pair[rest].view(np.int64)), long(times), long(own[rest]), long(wt[rest]), long(wb[rest]),
-                nothing, nothing.cast(pa.float64()), nothing.cast(pa.float64()), *([long(hashes[rest].view(np.int64), ~cold_w[rest]), long(before[rest].view(np.int64), ~cold_v[rest])] if others else [])], names=names)
-
-    schema = PARTS + COLD * others
+                doc.take(pa.array(owner[rest])), pa.array(hash_[owner[rest]]), long(pair[rest].view(np.int64)), long(np_[rest]), long(own[rest]), long(n[owner[rest]]), long(wt[rest]), long(wb[rest]), absent, absent, *cold], names=names)
+            if others and cold_v.any():  # a context counts once for each time it precedes a word: nv is n here, and p is none
+                at_v = np.flatnonzero(cold_v)
+                _, head = np.unique(mix(before[at_v] + owner[at_v].astype(np.uint64) * BASE), return_index=True)
+                at_v = at_v[head]
+                nothing, absent = pa.nulls(len(at_v), pa.int64()), pa.nulls(len(at_v), pa.float64())
+                yield pa.record_batch([doc.take(pa.array(owner[at_v])), pa.array(hash_[owner[at_v]]), nothing, long(nv[at_v]), long(own[at_v]), nothing, nothing, nothing, absent, absent, nothing, nothing, long(before[at_v].view(np.int64))], names=names)
+
+    schema = ROWS + COLD * others
     names = [c.split()[0] for c in schema.split(", ")]
-    parts = flagged.withColumn("text_hash", F.xxhash64("text")).mapInArrow(measure, schema)
-    context = [F.lit(0.0), F.lit(0.0)]
+    rows = flagged.withColumn("text_hash", F.hash("text")).mapInArrow(measure, schema)
+    is_base, is_pair = F.col("lt").isNotNull(), F.col("p").isNotNull()
+    own = {"t": F.col("own"), "b": F.lit(1)}
+    prior = {m: F.col(f"w{m}") for m in "tb"}
+    context = {m: F.lit(0.0) for m in "tb"}
+    spread = F.xxhash64("doc_id", "text_hash")  # rows without a key for a join are dealt by their text
     if others:
-        for c, kept in (("cold_w", ("t", "b")), ("cold_v", ("ct", "cb"))):
+        for c, kept, here in (("cold_w", ("t", "b"), is_pair), ("cold_v", ("ct", "cb"), ~is_pair)):
             side = often.select(F.col("key").alias(f"{c}_key"), *(F.col(k).alias(f"{c}_{m}") for k, m in zip(kept, "tb")))
-            parts = parts.join(side, F.coalesce(c, "p") == F.col(f"{c}_key"), "left")  # rows without a cold word are dealt by their pair
-        held = lambda c, m, once: F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_{m}", once))
-        once = {"t": F.col("own"), "b": F.lit(1)}
-        context = [F.when(F.col("cold_v").isNotNull(), F.log(held("cold_v", m, once[m]) + PULL)).otherwise(0.0) for m in "tb"]
-        parts = parts.withColumns({f"w{m}": F.coalesce(held("cold_w", m, once[m]), f"w{m}") for m in "tb"})
-    joined = parts.join(pairs.hint("shuffle_hash"), F.col("p") == F.col("key"), "left")
-    pair_count = (F.coalesce("t", "own"), F.coalesce("b", F.lit(1)))
-    loss = [F.coalesce(f"l{m}", F.col("n") * (x - F.log(c + k * (F.col(f"w{m}") + 1)))) for m, c, k, x in zip("tb", pair_count, scale, context)]
-    sums = joined.groupBy("doc_id", "text_hash").agg(F.sum("n_tokens").alias("tokens"), F.count("n_tokens").alias("copies"), F.sum(loss[0]).alias("lt"), F.sum(loss[1]).alias("lb"))
+            rows = rows.join(side, F.when(here, F.col(c)).isNotNull() & (F.coalesce(F.when(here, F.col(c)), spread) == F.col(f"{c}_key")), "left")
+        prior = {m: F.when(F.col("cold_w").isNotNull(), F.coalesce(F.col(f"cold_w_{m}") - own[m] * F.col("nw"), F.lit(0))).otherwise(prior[m]) for m in "tb"}
+        context = {m: F.when(~is_pair & F.col("cold_v").isNotNull(), F.col("n") * F.log(F.coalesce(F.col(f"cold_v_{m}") - own[m] * F.col("n"), F.lit(0)) + PULL)).otherwise(0.0) for m in "tb"}
+    joined = rows.join(pairs.hint("shuffle_hash"), is_pair & (F.coalesce("p", spread) == F.col("key")), "left")
+    loss = {}
+    for m, all_ in zip("tb", tokens):
+        scale = PULL / (all_ - own[m] * F.col("size") + size)
+        c = F.coalesce(F.col(m) - own[m] * F.col("n"), F.lit(0))
+        loss[m] = F.when(is_base, F.col(f"l{m}")).when(is_pair, -F.col("n") * F.log(c + scale * (prior[m] + 1))).otherwise(context[m])
+    sums = joined.groupBy("doc_id", "text_hash").agg(F.sum(F.when(is_base, F.col("size"))).alias("tokens"), F.count(F.when(is_base, 1)).alias("copies"), F.sum(loss["t"]).alias("lt"), F.sum(loss["b"]).alias("lb"))
     each = sums.select("doc_id", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), *(F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")).alias(a) for c, a in (("lt", "target_loss"), ("lb", "background_loss"))), "copies")
     return each.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
-def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> DataFrame:
-    """target_ids: a column doc_id, distinct. With a size the vocabulary is closed."""
-    docs = keyed_documents(docs)
-    chosen = target_ids.select("doc_id", F.lit(True).alias("target"))
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_TARGET else chosen
-    if size is None:
-        return open_score(docs, chosen)
-    vocabulary = commonest(docs, size - 2)
-    counts = bigrams(docs.join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, losses(counts[0]), losses(counts[1])))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, target, background = sent.value
-        for batch, raw, at in chunks(batches):
-            hashes, edges = word_hashes(raw, at)
-            ids, before = word_ids(hashes, edges, vocabulary)
-            n = np.diff(edges)
-            full = np.flatnonzero(n)
-            means = []
-            for loss in (target, background):
-                mean = np.full(len(n), np.nan)
-                if len(full):
-                    mean[full] = np.add.reduceat(loss[before, ids].astype(np.float64), edges[:-1][full]) / n[full]
-                means.append(mean)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), from_pandas=True) for x in (*means, means[0] - means[1]))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(measure, SCHEMA)
-
-
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     return score(table(spark, sf_dir, "documents"), good)
