@@ -1,59 +1,88 @@
-"""Recurring passages by landmark hashes and offset consensus.
+"""Recurring passages by landmark hashes and offset consensus against reference documents.
 
 A landmark is a pair of tokens ``dt`` apart; documents that share a passage
-share its landmarks at one offset (delta). Postings are capped per document and
-hashes bounded by document frequency *before* the join, so its fan-out is at
-most (frequency * postings)**2 per hash and no hash can be hot.
+share its landmarks at one offset (delta). A landmark counts if it occurs in enough
+documents (a minimum, no maximum), with its first ``occur`` places in each. A few reference
+documents are chosen (the medoid, the one with most landmarks, some spread over all); every
+other document votes for the offsets at which it lines up with a reference. So the work
+grows with the documents, not with their pairs, however common a landmark is.
+
+Hashes are 64-bit numbers. Copies that line up with the reference at one offset alone have one bin, whose mean is its own
+votes: the threshold m + 5 sqrt(m) is then above them, as the published rule has it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DT, MIN_DF, MAX_DF, MAX_OCCUR = 4, 2, 20, 3
-MIN_VOTES, MAX_PEAKS, NMS = 12, 5, 4
+MAX_DT, MIN_DF, MAX_OCCUR = 4, 2, 3
+TRIALS, SPREAD = 4, 2654435761  # references tried; multiplier of the hash that spreads them
+MIN_VOTES, MAX_PEAKS, MERGE = 12, 5, 2
+MIN_DENSITY, ABSENT, LONGEST, MIN_SUPPORT = 0.5, 0.25, 400, 3
+KINDS = ("title-theme", "end-credits", "other-recurring", "sting")  # in order of priority
+BROADCAST_MARKS = 2_000_000  # landmarks of the references sent whole up to here, joined by shuffle above
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     return docs.filter("text IS NOT NULL").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
 
 
-def landmarks(docs: DataFrame, max_dt: int = MAX_DT) -> DataFrame:
-    """hash, doc_id, t of every token pair at most max_dt apart."""
-    apart = tokens(docs).select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.lit(max_dt))).alias("dt")).filter(F.size("w") > F.col("dt"))
-    pairs = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - F.col("dt")).alias("a"), F.slice("w", F.col("dt") + 1, F.size("w")).alias("b"))
-    each = apart.select("doc_id", "dt", F.posexplode(pairs).alias("t", "p"))
-    return each.select(F.concat_ws("|", "p.a", "p.b", F.col("dt").cast("string")).alias("hash"), "doc_id", F.col("t").cast("long").alias("t"))
+def landmarks(docs: DataFrame, max_dt: int = MAX_DT, occur: int = MAX_OCCUR) -> DataFrame:
+    """hash, doc_id, t, r of every token pair at most max_dt apart; r = 0, 1, .. numbers the places of a hash within
+    its document, of which the first ``occur`` are kept. Sorted within the document's row, so nothing is exchanged."""
+
+    def pairs(dt: int) -> Column:
+        def one(i: Column) -> Column:
+            return F.struct(F.xxhash64(F.get("w", i), F.get("w", i + dt), F.lit(dt)).alias("h"), i.cast("long").alias("t"))
+
+        return F.when(F.size("w") > dt, F.transform(F.sequence(F.lit(0), F.size("w") - dt - 1), one)).otherwise(F.array().cast("array<struct<h:bigint,t:bigint>>"))
+
+    held = tokens(docs).select("doc_id", F.sort_array(F.concat(*[pairs(dt) for dt in range(1, max_dt + 1)])).alias("s"))
+    before = lambda i, k: F.coalesce(F.get(F.col("s"), i - k)["h"] == F.get(F.col("s"), i)["h"], F.lit(False))
+    rank = lambda i: reduce(lambda a, b: a + b, [before(i, k).cast("int") for k in range(1, occur + 1)])
+    ranked = F.transform("s", lambda x, i: F.struct(x["h"].alias("h"), x["t"].alias("t"), rank(i).alias("r")))
+    each = held.select("doc_id", F.explode(F.filter(ranked, lambda x: x["r"] < occur)).alias("x"))
+    return each.select(F.col("x.h").alias("hash"), "doc_id", F.col("x.t").alias("t"), F.col("x.r").alias("r"))
+
 
+def recurring(marks: DataFrame, low: int = MIN_DF) -> DataFrame:
+    """hash, doc_id, t, r, df of the landmarks in at least ``low`` documents. One exchange by hash serves the count and the join."""
+    df = marks.filter("r = 0").groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= low)
+    return marks.join(df, "hash")
 
-def recurring(marks: DataFrame, low: int = MIN_DF, high: int = MAX_DF, occur: int = MAX_OCCUR) -> DataFrame:
-    """Postings of hashes in low..high documents, the first ``occur`` of each document. Frequencies are plain counts with
-    map-side combine; only landmarks of usable hashes are grouped into postings."""
-    df = marks.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-    usable = df.filter(F.col("df").between(low, high)).select("hash")
-    return marks.join(usable, "hash", "left_semi").groupBy("hash", "doc_id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, occur).alias("ts"))
 
+def references(held: DataFrame, most: int = TRIALS, hint: list[int] | None = None) -> list[int]:
+    """Ids of the reference documents: the hinted ones, the medoid (most landmarks shared with others, summed over them),
+    the one with most landmarks, then some spread over all by a multiplicative hash of the id. Ties to the smaller id."""
+    sizes = held.filter("r = 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("df") - 1).alias("shared"))
+    top = sizes.agg(F.max(F.struct("shared", -F.col("doc_id"))).alias("medoid"), F.max(F.struct("n", -F.col("doc_id"))).alias("largest")).first()
+    spread = sizes.orderBy(F.pmod(F.col("doc_id") * SPREAD, F.lit(1 << 32)), "doc_id").limit(most).collect()  # at most `most` rows
+    found = [*(hint or []), *(-x[1] for x in (top["medoid"], top["largest"]) if x), *(r["doc_id"] for r in spread)]
+    return list(dict.fromkeys(found))[:most]
 
-def offset_votes(held: DataFrame, robust: bool = False) -> DataFrame:
-    """a < b, delta = t in a minus t in b, votes = distinct hashes, and the passage's extent in a:
-    from the first to the last vote, or robust to strays the densest window of the votes."""
-    left = held.select("hash", F.col("doc_id").alias("a"), F.col("ts").alias("ta"))
-    right = held.select("hash", F.col("doc_id").alias("b"), F.col("ts").alias("tb"))
-    pairs = left.join(right, "hash").filter("a < b")
-    each = pairs.select("hash", "a", "b", F.explode("ta").alias("x"), "tb").select("hash", "a", "b", "x", F.explode("tb").alias("y"))
-    bins = each.groupBy("a", "b", (F.col("x") - F.col("y")).alias("delta"))
-    if not robust:
-        return bins.agg(F.count_distinct("hash").alias("votes"), F.min("x").alias("a_from"), F.max("x").alias("a_to"))
-    held = bins.agg(F.size(F.collect_set("hash")).cast("long").alias("votes"), F.array_sort(F.collect_list("x")).alias("ts")).withColumn("w", densest(F.col("ts")))
-    return held.select("a", "b", "delta", "votes", F.col("w.start").alias("a_from"), (F.col("w.start") + F.col("w.span")).alias("a_to"))
+
+def votes_of(held: DataFrame, refs: list[int]) -> DataFrame:
+    """a (a reference), b, delta = t in a minus t in b, hash, ta: each landmark once a bin, with its first place in a."""
+    spark = held.sparkSession
+    chosen = F.broadcast(spark.createDataFrame([(x,) for x in refs], "a long"))  # a few ids
+    left = held.join(chosen, F.col("doc_id") == F.col("a")).select("a", "hash", F.col("t").alias("ta"))
+    left = F.broadcast(left) if left.count() <= BROADCAST_MARKS else left
+    right = held.select("hash", F.col("doc_id").alias("b"), F.col("t").alias("tb"))
+    return right.join(left, "hash").filter("a <> b").groupBy("a", "b", (F.col("ta") - F.col("tb")).alias("delta"), "hash").agg(F.min("ta").alias("ta"))
+
+
+def offset_votes(bins: DataFrame) -> DataFrame:
+    """a, b, delta, votes: distinct hashes of a bin, and the places in a they come from."""
+    return bins.groupBy("a", "b", "delta").agg(F.count(F.lit(1)).alias("votes"), F.min("ta").alias("a_from"), F.max("ta").alias("a_to"))
 
 
 def with_threshold(votes: DataFrame, least: int = MIN_VOTES) -> DataFrame:
     """Adds the pair's own threshold: max(least, m + 5 sqrt(m)), m the mean over all bins from the lowest delta to the highest."""
-    pair = Window.partitionBy("a", "b")
-    mean = F.sum("votes").over(pair) / (F.max("delta").over(pair) - F.min("delta").over(pair) + 1)
-    return votes.withColumn("threshold", F.greatest(F.lit(float(least)), mean + 5 * F.sqrt(mean)))
+    pair = votes.groupBy("a", "b").agg((F.sum("votes") / (F.max("delta") - F.min("delta") + 1)).alias("m"))
+    return votes.filter(F.col("votes") >= least).join(pair, ["a", "b"]).withColumn("threshold", F.greatest(F.lit(float(least)), F.col("m") + 5 * F.sqrt("m"))).drop("m")
 
 
 def peaks(votes: DataFrame, least: int = MIN_VOTES) -> DataFrame:
@@ -66,13 +95,23 @@ def top_peaks(found: DataFrame, most: int = MAX_PEAKS) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def suppressed(top: DataFrame, apart: int = NMS) -> DataFrame:
-    """Of the ranked peaks of a pair those not within ``apart`` of a stronger one that was taken."""
+def suppressed(top: DataFrame, apart: int = 2 * MERGE) -> DataFrame:
+    """Of the ranked peaks of a pair those not within ``apart`` of a stronger one that was taken. At most MAX_PEAKS a pair."""
     taken = F.aggregate(F.array_sort(F.collect_list(F.struct("rank", "delta", "votes"))), F.array().cast("array<struct<rank:int,delta:bigint,votes:bigint>>"),
                         lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(y["delta"] - x["delta"]) <= apart), acc).otherwise(F.array_append(acc, x)))
     return top.groupBy("a", "b").agg(taken.alias("p")).select("a", "b", F.explode("p").alias("p")).select("a", "b", "p.delta", "p.votes")
 
 
+def merged(bins: DataFrame, taken: DataFrame, width: int = MERGE, share: float = 0.85) -> DataFrame:
+    """Each taken peak with the bins up to ``width`` beside it: a landmark counts once, at its lowest delta. votes, and the
+    passage's extent in a and in b as the densest window of its landmarks, which a few strays don't stretch."""
+    near = taken.select("a", "b", F.col("delta").alias("peak"), F.explode(F.sequence(F.col("delta") - width, F.col("delta") + width)).alias("delta"))
+    once = bins.join(near, ["a", "b", "delta"]).groupBy("a", "b", "peak", "hash").agg(F.min(F.struct("delta", "ta")).alias("x"))
+    places = once.groupBy("a", "b", "peak").agg(F.count(F.lit(1)).alias("votes"), F.array_sort(F.collect_list("x.ta")).alias("ta"), F.array_sort(F.collect_list(F.col("x.ta") - F.col("x.delta"))).alias("tb"))  # as many as the peak has landmarks
+    spans = places.select("a", "b", F.col("peak").alias("delta"), "votes", densest(F.col("ta"), share).alias("x"), densest(F.col("tb"), share).alias("y"))
+    return spans.select("a", "b", "delta", "votes", F.col("x.start").alias("a_from"), (F.col("x.start") + F.col("x.span")).alias("a_to"), F.col("y.start").alias("b_from"), (F.col("y.start") + F.col("y.span")).alias("b_to"))
+
+
 def densest(ts: Column, share: float = 0.85) -> Column:
     """Span and start of the narrowest window over sorted times that holds max(2, floor(share * n)) of them."""
     n = F.size(ts)
@@ -83,48 +122,83 @@ def densest(ts: Column, share: float = 0.85) -> Column:
 
 def robust_span(df: DataFrame, keys: list[str], time: str, share: float = 0.85) -> DataFrame:
     """Densest window that holds max(2, floor(share * n)) of the times; the earliest of equals; all of fewer than four."""
-    held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(time)).alias("ts"))
-    return held.select(*keys, F.size("ts").cast("long").alias("n"), densest(F.col("ts"), share).alias("b")).select(*keys, "n", F.col("b.start").alias("start"), (F.col("b.start") + F.col("b.span")).alias("end"))
+    order = Window.partitionBy(*keys).orderBy(time)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    k = F.when(n < 4, n).otherwise(F.greatest(F.lit(2), F.floor(share * n)))
+    each = df.select(*keys, F.col(time).alias("start"), F.row_number().over(order).alias("i"), n.alias("n"), k.alias("k"))
+    last = each.select(*keys, F.col("start").alias("end"), (F.col("i") - F.col("k") + 1).alias("i"))
+    windows = each.join(last, [*keys, "i"]).groupBy(*keys, "n").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "start", "end")).alias("b"))
+    return windows.select(*keys, "n", "b.start", "b.end")
 
 
-def upper_median(values: Column) -> Column:
-    """Element n >> 1 of the sorted values."""
-    return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
+def upper_median(x: str) -> Column:
+    """Element n >> 1 of the sorted values of a group, from counts of its distinct values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Element round(q (n - 1)) of the sorted values, halves up."""
-    return F.element_at(F.array_sort(values), F.floor(q * (F.size(values) - 1) + 0.5).cast("int") + 1)
+def grouped(found: DataFrame) -> DataFrame:
+    """Peaks of a reference by passage: a, asset (0, 1, ..), ref_from, ref_to, ref_votes beside each peak's own columns.
 
-
-def presence(found: DataFrame, ref: str, share: float = 0.25, longest: int = 90) -> DataFrame:
-    """Marks each occurrence of a reference: present if its votes reach max(2, share * upper median) and its extent is short enough."""
-    medians = found.groupBy(ref).agg(upper_median(F.collect_list("votes")).alias("median_votes"))
+    Peaks in order of votes (then b, delta) join the first passage that overlaps more than half of the shorter, or
+    open one. Peaks of one extent go the same way, so the fold is over a reference's distinct extents,
+    which its own length bounds. Peaks without extent are left out.
+    """
+    found = found.filter("a_to > a_from")
+    extents = found.groupBy("a", "a_from", "a_to").agg(F.min(F.struct((-F.col("votes")).alias("v"), "b", "delta")).alias("lead"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("lead", "a_from", "a_to"))), lambda z: F.struct(z["a_from"].alias("f"), z["a_to"].alias("t"), (-z["lead"]["v"]).alias("v")))
+    meets = lambda x, y: F.least(x["t"], y["t"]) - F.greatest(x["f"], y["f"]) > 0.5 * F.least(x["t"] - x["f"], y["t"] - y["f"])
+    fold = F.aggregate(order, F.array().cast("array<struct<f:bigint,t:bigint,v:bigint>>"), lambda held, x: F.when(F.exists(held, lambda y: meets(x, y)), held).otherwise(F.array_append(held, x)))
+    passages = extents.groupBy("a").agg(fold.alias("held"))
+    first = F.array_position(F.transform("held", lambda y: meets(F.struct(F.col("a_from").alias("f"), F.col("a_to").alias("t")), y)), F.lit(True)).cast("int") - 1
+    numbered = extents.select("a", "a_from", "a_to").join(passages, "a").select("a", "a_from", "a_to", first.alias("asset"), F.get("held", first).alias("p"))
+    return found.join(numbered, ["a", "a_from", "a_to"]).select(*found.columns, "asset", F.col("p.f").alias("ref_from"), F.col("p.t").alias("ref_to"), F.col("p.v").alias("ref_votes"))
+
+
+def members(found: DataFrame, density: float = MIN_DENSITY, share: float = ABSENT, longest: int = LONGEST) -> DataFrame:
+    """One row per passage and document: its best peak, and the reference itself; present if its votes reach
+    max(2, share * upper median) and its extent is at most ``longest``. Passages with scattered votes drop out."""
+    passage = ["a", "asset", "ref_from", "ref_to", "ref_votes"]
+    best = grouped(found).groupBy(*passage, "b").agg(F.min(F.struct((-F.col("votes")).alias("v"), "delta", "b_from", "b_to")).alias("x"))
+    others = best.select(*passage, F.col("b").alias("doc_id"), F.col("x.b_from").alias("start"), F.col("x.b_to").alias("end"), (-F.col("x.v")).alias("votes"), F.lit(False).alias("is_reference"))
+    own = best.select(*passage).distinct().select(*passage, F.col("a").alias("doc_id"), F.col("ref_from").alias("start"), F.col("ref_to").alias("end"), F.col("ref_votes").alias("votes"), F.lit(True).alias("is_reference"))
+    dense = others.unionByName(own).filter(F.col("ref_votes") / F.greatest(F.col("ref_to") - F.col("ref_from"), F.lit(0.001)) >= density)
+    medians = dense.groupBy("a", "asset").agg(upper_median("votes").cast("long").alias("median_votes"))
     cut = F.greatest(F.lit(2.0), share * F.col("median_votes"))
-    return found.join(medians, ref).withColumn("present", (F.col("votes") >= cut) & (F.col("span") <= longest))
+    present = (F.col("is_reference") | (F.col("votes") >= cut)) & (F.col("end") - F.col("start") <= longest)
+    return dense.join(medians, ["a", "asset"]).withColumn("present", present)
 
 
-def recurring_assets(found: DataFrame, documents: int, min_support: int = 3, longest: int = 400) -> DataFrame:
-    """Passages by reference document: peaks by votes take the first passage that overlaps more than half of the shorter.
+def kind(start: Column, duration: Column, span: Column) -> Column:
+    """A label by place and length: early and short, at the end, very short, or other."""
+    return F.when(start > 0.85 * duration, "end-credits").when(span < 4, "sting").when((start < 0.35 * duration) & (span <= 90), "title-theme").otherwise("other-recurring")
 
-    A reference has at most MAX_PEAKS peaks for each other document; its peaks are grouped in one
-    Arrow batch, the references are spread over the cluster.
-    """
-    import pandas as pd
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        assets: list[dict] = []
-        for p in pdf.sort_values(["votes", "b", "delta"], ascending=[False, True, True]).itertuples():
-            for x in assets:
-                common = min(x["to"], p.a_to) - max(x["from"], p.a_from)
-                if common > 0.5 * min(x["to"] - x["from"], p.a_to - p.a_from):
-                    if p.votes > x["members"].get(p.b, 0):
-                        x["members"][p.b] = p.votes
-                    break
-            else:
-                assets.append({"from": p.a_from, "to": p.a_to, "members": {p.b: p.votes}})
-        rows = [(int(pdf.a.iloc[0]), k, x["from"], x["to"], len(x["members"]) + 1, float(sum(x["members"].values())) / len(x["members"])) for k, x in enumerate(assets)]
-        return pd.DataFrame(rows, columns=["ref", "asset", "a_from", "a_to", "support", "mean_votes"])
-
-    grouped = found.groupBy("a").applyInPandas(group, "ref long, asset long, a_from long, a_to long, support long, mean_votes double")
-    return grouped.filter((F.col("support") >= min_support) & (F.col("a_to") - F.col("a_from") <= longest)).withColumn("support_fraction", F.col("support") / documents)
+
+def assets(held: DataFrame, lengths: DataFrame, documents: int, most_support: int = MIN_SUPPORT) -> DataFrame:
+    """Passages present in at least max(2, min(most_support, ceil(0.6 documents))) documents, with their statistics over those.
+    held: rows of members; lengths: doc_id, n."""
+    least = max(2, min(most_support, -(-6 * documents // 10)))
+    present = held.filter("present").join(lengths, "doc_id").withColumn("span", F.col("end") - F.col("start"))
+    stats = present.groupBy("a", "asset", "ref_from", "ref_to", "median_votes").agg(
+        F.count(F.lit(1)).alias("support"), upper_median("span").cast("long").alias("span"), F.avg("start").alias("mean_start"), F.avg("votes").alias("mean_votes"), upper_median("n").cast("long").alias("duration"))
+    return stats.filter(F.col("support") >= least).withColumn("support_fraction", F.col("support") / documents).withColumn("kind", kind(F.col("mean_start"), F.col("duration"), F.col("span")))
+
+
+def kind_priority() -> Column:
+    return F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+
+
+def best_reference(found: DataFrame, refs: list[int]) -> DataFrame:
+    """The passages of the reference whose first one (kinds in order, then support, votes, place) has most support times votes;
+    of equals the one tried first."""
+    order = Window.partitionBy("a").orderBy(kind_priority(), F.desc("support_fraction"), F.desc("mean_votes"), "mean_start", "asset")
+    first = found.withColumn("r", F.row_number().over(order)).filter("r = 1").select("a", (F.col("support_fraction") * F.col("mean_votes")).alias("score"))
+    tried = F.array_position(F.array(*[F.lit(x) for x in refs]) if refs else F.array().cast("array<bigint>"), F.col("a"))
+    best = first.withColumn("tried", tried).orderBy(F.desc("score"), "tried").limit(1).select("a")
+    return found.join(F.broadcast(best), "a")  # one row
+
+
+def ranked_assets(found: DataFrame, by: str = "support", most: int | None = None) -> DataFrame:
+    """rank 1, 2, ..: most common first, or by kind first. Passages of one reference, so they are few."""
+    keys = [*([kind_priority()] if by == "kind" else []), F.desc("support_fraction"), F.desc("mean_votes"), "mean_start", "asset"]
+    out = found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*keys)))
+    return out if most is None else out.filter(F.col("rank") <= most)

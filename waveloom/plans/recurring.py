@@ -9,25 +9,85 @@ from pyspark.sql import functions as F
 
 from waveloom.operators import consensus as C
 from waveloom.plans.base import query, table
+from waveloom.plans.shared import stored
 
 TOK = "tok AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents WHERE text IS NOT NULL)"
 MARKS = f"""{TOK}, p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS t FROM tok), d AS (SELECT *, unnest([1, 2, 3, 4]) AS dt FROM p),
 marks AS (SELECT concat(w[t + 1], '|', w[t + 1 + dt], '|', dt) AS hash, doc_id, t FROM d WHERE t + dt < len(w))"""
-HELD = f"""{MARKS}, df AS (SELECT hash FROM marks GROUP BY 1 HAVING count(DISTINCT doc_id) BETWEEN 2 AND 20),
-held AS (SELECT hash, doc_id, t FROM marks JOIN df USING (hash) QUALIFY row_number() OVER (PARTITION BY hash, doc_id ORDER BY t) <= 3)"""
-VOTES = f"""{HELD}, votes AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t - b.t AS delta, count(DISTINCT a.hash) AS votes, min(a.t) AS a_from, max(a.t) AS a_to
-FROM held a JOIN held b ON a.hash = b.hash AND a.doc_id < b.doc_id GROUP BY 1, 2, 3)"""
+HELD = f"""{MARKS}, df AS (SELECT hash, count(DISTINCT doc_id) AS df FROM marks GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+held AS (SELECT hash, doc_id, t, df, row_number() OVER (PARTITION BY hash, doc_id ORDER BY t) - 1 AS r FROM marks JOIN df USING (hash) QUALIFY r < 3)"""
+REFS = f"""{HELD}, sizes AS (SELECT doc_id, count(*) AS n, CAST(sum(df - 1) AS BIGINT) AS shared FROM held WHERE r = 0 GROUP BY 1),
+tried AS ((SELECT doc_id, 0 AS p FROM sizes ORDER BY shared DESC, doc_id LIMIT 1) UNION ALL (SELECT doc_id, 1 FROM sizes ORDER BY n DESC, doc_id LIMIT 1)
+UNION ALL (SELECT doc_id, 1 + row_number() OVER (ORDER BY (doc_id * {C.SPREAD}) % 4294967296, doc_id) FROM sizes QUALIFY row_number() OVER (ORDER BY (doc_id * {C.SPREAD}) % 4294967296, doc_id) <= {C.TRIALS})),
+refs AS (SELECT doc_id, row_number() OVER (ORDER BY min(p)) AS trial FROM tried GROUP BY 1 QUALIFY trial <= {C.TRIALS})"""
+VOTES = f"""{REFS}, bins AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t - b.t AS delta, hash, min(a.t) AS ta FROM held a JOIN refs ON refs.doc_id = a.doc_id JOIN held b USING (hash) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2, 3, 4),
+votes AS (SELECT a, b, delta, count(*) AS votes, min(ta) AS a_from, max(ta) AS a_to FROM bins GROUP BY 1, 2, 3)"""
 PEAKS = f"""{VOTES}, mean AS (SELECT *, sum(votes) OVER (PARTITION BY a, b) / (max(delta) OVER (PARTITION BY a, b) - min(delta) OVER (PARTITION BY a, b) + 1) AS m FROM votes),
 thr AS (SELECT *, greatest(12.0, m + 5 * sqrt(m)) AS threshold FROM mean), peaks AS (SELECT * FROM thr WHERE votes >= threshold)"""
 TOP = f"{PEAKS}, top AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, delta) AS rank FROM peaks QUALIFY rank <= 5)"
+TAKEN = f"""{TOP}, l AS (SELECT a, b, list(delta ORDER BY rank) AS d, list(votes ORDER BY rank) AS v FROM top GROUP BY 1, 2),
+k1 AS (SELECT *, [1] AS k FROM l),
+k2 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 2 AND len(list_filter(k, lambda i: abs(d[i] - d[2]) <= 4)) = 0 THEN list_append(k, 2) ELSE k END AS k FROM k1),
+k3 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 3 AND len(list_filter(k, lambda i: abs(d[i] - d[3]) <= 4)) = 0 THEN list_append(k, 3) ELSE k END AS k FROM k2),
+k4 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 4 AND len(list_filter(k, lambda i: abs(d[i] - d[4]) <= 4)) = 0 THEN list_append(k, 4) ELSE k END AS k FROM k3),
+k5 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 5 AND len(list_filter(k, lambda i: abs(d[i] - d[5]) <= 4)) = 0 THEN list_append(k, 5) ELSE k END AS k FROM k4),
+u AS (SELECT a, b, d, v, unnest(k) AS i FROM k5), taken AS (SELECT a, b, d[i] AS delta, v[i] AS votes FROM u)"""
+
+
+def _densest(x: str) -> str:
+    k = f"greatest(2, CAST(floor(0.85 * len({x})) AS BIGINT))"
+    return f"CASE WHEN len({x}) < 4 THEN {{'span': {x}[-1] - {x}[1], 'start': {x}[1]}} ELSE list_sort(list_transform(range(1, len({x}) - {k} + 2), lambda i: {{'span': {x}[i + {k} - 1] - {x}[i], 'start': {x}[i]}}))[1] END"
+
+
+MERGED = f"""{TAKEN}, once AS (SELECT t.a, t.b, t.delta AS peak, hash, min({{'delta': n.delta, 'ta': ta}}) AS x FROM taken t JOIN bins n ON n.a = t.a AND n.b = t.b AND n.delta BETWEEN t.delta - 2 AND t.delta + 2 GROUP BY 1, 2, 3, 4),
+places AS (SELECT a, b, peak, count(*) AS votes, list_sort(list(x.ta)) AS p, list_sort(list(x.ta - x.delta)) AS q FROM once GROUP BY 1, 2, 3),
+spans AS (SELECT a, b, peak AS delta, votes, {_densest('p')} AS x, {_densest('q')} AS y FROM places),
+merged AS (SELECT a, b, delta, votes, x.start AS a_from, x.start + x.span AS a_to, y.start AS b_from, y.start + y.span AS b_to FROM spans)"""
+_MEETS = "least({x}.t, {y}.t) - greatest({x}.f, {y}.f) > 0.5 * least({x}.t - {x}.f, {y}.t - {y}.f)"
+MEMBERS = f"""{MERGED}, ex AS (SELECT a, a_from, a_to, min({{'v': -votes, 'b': b, 'delta': delta}}) AS lead FROM merged WHERE a_to > a_from GROUP BY 1, 2, 3),
+fold AS (SELECT a, list_reduce(list([{{'f': a_from, 't': a_to, 'v': -lead.v}}] ORDER BY lead), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {_MEETS.format(x='x[1]', y='y')})) > 0 THEN acc ELSE list_concat(acc, x) END) AS held FROM ex GROUP BY 1),
+num AS (SELECT ex.a, a_from, a_to, held, list_position(list_transform(held, lambda y: least(a_to, y.t) - greatest(a_from, y.f) > 0.5 * least(a_to - a_from, y.t - y.f)), true) AS i FROM ex JOIN fold USING (a)),
+pk AS (SELECT m.*, CAST(i - 1 AS INT) AS asset, held[i].f AS ref_from, held[i].t AS ref_to, held[i].v AS ref_votes FROM merged m JOIN num USING (a, a_from, a_to)),
+best AS (SELECT a, asset, ref_from, ref_to, ref_votes, b, min({{'v': -votes, 'delta': delta, 's': b_from, 'e': b_to}}) AS x FROM pk GROUP BY ALL),
+every AS (SELECT a, asset, ref_from, ref_to, ref_votes, b AS doc_id, x.s AS start, x.e AS "end", -x.v AS votes, false AS is_reference FROM best
+UNION ALL SELECT DISTINCT a, asset, ref_from, ref_to, ref_votes, a, ref_from, ref_to, ref_votes, true FROM best),
+dense AS (SELECT * FROM every WHERE ref_votes / greatest(ref_to - ref_from, 0.001) >= {C.MIN_DENSITY}),
+med AS (SELECT a, asset, list_sort(list(votes))[count(*) // 2 + 1] AS median_votes FROM dense GROUP BY 1, 2),
+members AS (SELECT *, (is_reference OR votes >= greatest(2.0, {C.ABSENT} * median_votes)) AND "end" - start <= {C.LONGEST} AS present FROM dense JOIN med USING (a, asset))"""
+KIND = """CASE WHEN {t} > 0.85 * {n} THEN 'end-credits' WHEN {span} < 4 THEN 'sting' WHEN {t} < 0.35 * {n} AND {span} <= 90 THEN 'title-theme' ELSE 'other-recurring' END"""
+ASSETS = f"""{MEMBERS}, total AS (SELECT count(*) AS n FROM documents), s AS (SELECT a, asset, ref_from, ref_to, median_votes, count(*) AS support, list_sort(list("end" - start))[count(*) // 2 + 1] AS span, avg(start) AS mean_start,
+avg(votes) AS mean_votes, list_sort(list(len(w)))[count(*) // 2 + 1] AS duration FROM members JOIN tok USING (doc_id) WHERE present GROUP BY ALL),
+assets AS (SELECT s.*, support / (SELECT n FROM total) AS support_fraction, {KIND.format(t='mean_start', n='duration', span='span')} AS kind,
+list_position({list(C.KINDS)!r}, {KIND.format(t='mean_start', n='duration', span='span')}) AS priority FROM s WHERE support >= greatest(2, least({C.MIN_SUPPORT}, ceil(0.6 * (SELECT n FROM total))))),
+lead AS (SELECT a, support_fraction * mean_votes AS score FROM assets QUALIFY row_number() OVER (PARTITION BY a ORDER BY priority, support_fraction DESC, mean_votes DESC, mean_start, asset) = 1),
+chosen AS (SELECT a FROM lead JOIN refs ON refs.doc_id = a ORDER BY score DESC, trial LIMIT 1)"""
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recurring(C.landmarks(table(spark, sf_dir, "documents")))
 
 
+def bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """The votes of all documents against the references, and those; landmarks are made once and kept in the shared folder."""
+    marks = stored(held(spark, sf_dir), "landmarks")
+    refs = C.references(marks)
+    return stored(C.votes_of(marks, refs), "votes"), refs
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.offset_votes(held(spark, sf_dir))
+    return C.offset_votes(bins(spark, sf_dir)[0])
+
+
+def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    each, refs = bins(spark, sf_dir)
+    return C.merged(each, C.suppressed(C.top_peaks(C.peaks(C.offset_votes(each))))), refs
+
+
+def found_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    peaks, refs = merged(spark, sf_dir)
+    lengths = C.tokens(docs).select("doc_id", F.size("w").alias("n"))
+    return C.best_reference(stored(C.assets(C.members(stored(peaks, "peaks")), lengths, docs.count()), "assets"), refs)
 
 
 @query(f"""WITH {TOK}, x AS (SELECT DISTINCT doc_id, unnest(w) AS token FROM tok), n AS (SELECT greatest(2, ceil(0.2 * count(*))) AS least FROM tok)
@@ -39,9 +99,23 @@ def doc_freq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.filter(F.col("df") >= least)
 
 
-@query(f"WITH {HELD} SELECT hash, doc_id, t FROM held")
+@query(f"WITH {HELD} SELECT doc_id, count(DISTINCT hash) AS n_hashes, count(*) AS n_places, min(t) AS first_t, CAST(sum(t) AS BIGINT) AS sum_t, max(df) AS most_common FROM held GROUP BY 1")
 def landmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held(spark, sf_dir).select("hash", "doc_id", F.explode("ts").alias("t"))
+    """The landmarks of each document that recur, summed up: their hashes differ between engines."""
+    return held(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("r") == 0).alias("n_hashes"), F.count(F.lit(1)).alias("n_places"), F.min("t").alias("first_t"), F.sum("t").alias("sum_t"), F.max("df").alias("most_common"))
+
+
+@query(f"WITH {REFS} SELECT refs.doc_id, trial, n, shared FROM refs JOIN sizes USING (doc_id)")
+def reference_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = stored(held(spark, sf_dir), "landmarks")
+    order = spark.createDataFrame([(x, k + 1) for k, x in enumerate(C.references(marks))], "doc_id long, trial long")
+    sizes = marks.filter("r = 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("df") - 1).alias("shared"))
+    return sizes.join(F.broadcast(order), "doc_id").select("doc_id", "trial", "n", "shared")  # a few references
+
+
+@query(f"WITH {REFS} SELECT a.doc_id AS a, b.doc_id AS b, count(DISTINCT hash) AS shared FROM held a JOIN refs ON refs.doc_id = a.doc_id JOIN held b USING (hash) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2")
+def shared_hash_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins(spark, sf_dir)[0].select("a", "b", "hash").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query(f"WITH {VOTES} SELECT a, b, delta, votes FROM votes WHERE votes >= 12")
@@ -59,58 +133,68 @@ def top_peaks_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top_peaks(C.peaks(votes(spark, sf_dir))).select("a", "b", "delta", "votes", "rank")
 
 
-@query(f"""WITH {TOP}, l AS (SELECT a, b, list(delta ORDER BY rank) AS d, list(votes ORDER BY rank) AS v FROM top GROUP BY 1, 2),
-k1 AS (SELECT *, [1] AS k FROM l),
-k2 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 2 AND len(list_filter(k, lambda i: abs(d[i] - d[2]) <= 4)) = 0 THEN list_append(k, 2) ELSE k END AS k FROM k1),
-k3 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 3 AND len(list_filter(k, lambda i: abs(d[i] - d[3]) <= 4)) = 0 THEN list_append(k, 3) ELSE k END AS k FROM k2),
-k4 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 4 AND len(list_filter(k, lambda i: abs(d[i] - d[4]) <= 4)) = 0 THEN list_append(k, 4) ELSE k END AS k FROM k3),
-k5 AS (SELECT a, b, d, v, CASE WHEN len(d) >= 5 AND len(list_filter(k, lambda i: abs(d[i] - d[5]) <= 4)) = 0 THEN list_append(k, 5) ELSE k END AS k FROM k4),
-u AS (SELECT a, b, d, v, unnest(k) AS i FROM k5) SELECT a, b, d[i] AS delta, v[i] AS votes FROM u""")
+@query(f"WITH {TAKEN} SELECT a, b, delta, votes FROM taken")
 def suppressed_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.suppressed(C.top_peaks(C.peaks(votes(spark, sf_dir))))
 
 
-@query(f"""WITH {TOP}, one AS (SELECT a, b, votes, a_to - a_from AS span FROM top WHERE rank = 1), m AS (SELECT a, list_sort(list(votes))[len(list(votes)) // 2 + 1] AS median_votes FROM one GROUP BY 1)
-SELECT a, b, votes, span, median_votes, votes >= greatest(2.0, 0.25 * median_votes) AND span <= 90 AS present FROM one JOIN m USING (a)""")
+@query(f"WITH {MERGED} SELECT a, b, delta, votes, a_from, a_to, b_from, b_to FROM merged")
+def merged_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks with the bins beside them, and the passage's extent in both documents."""
+    return merged(spark, sf_dir)[0]
+
+
+@query(f"""WITH {MEMBERS} SELECT a, asset, doc_id, start, "end", votes, median_votes, is_reference, present FROM members""")
 def asset_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = C.top_peaks(C.peaks(votes(spark, sf_dir)), 1).select("a", "b", "votes", (F.col("a_to") - F.col("a_from")).alias("span"))
-    return C.presence(one, "a").select("a", "b", "votes", "span", "median_votes", "present")
+    return C.members(stored(merged(spark, sf_dir)[0], "peaks")).select("a", "asset", "doc_id", "start", "end", "votes", "median_votes", "is_reference", "present")
+
+
+COLUMNS = "a, asset, kind, ref_from, ref_to, support, round(support_fraction, 9) AS support_fraction, span, round(mean_start, 6) AS mean_start, round(mean_votes, 6) AS mean_votes, median_votes"
 
 
-@query()
+@query(f"WITH {ASSETS} SELECT {COLUMNS}, row_number() OVER (ORDER BY support_fraction DESC, mean_votes DESC, mean_start, asset) AS rank FROM assets JOIN chosen USING (a)")
 def recurring_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return C.recurring_assets(C.top_peaks(C.peaks(C.offset_votes(C.recurring(C.landmarks(docs))))), docs.count())
+    """Discovery end to end: landmarks, references, votes, peaks, passages with enough support, the best reference, ranks."""
+    return _columns(C.ranked_assets(found_assets(spark, sf_dir)))
+
+
+@query(f"WITH {ASSETS} SELECT {COLUMNS}, row_number() OVER (ORDER BY priority, support_fraction DESC, mean_votes DESC, mean_start, asset) AS rank FROM assets JOIN chosen USING (a) QUALIFY rank <= 3")
+def assets_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three passages, title themes first."""
+    return _columns(C.ranked_assets(found_assets(spark, sf_dir), "kind", 3))
+
+
+def _columns(found: DataFrame) -> DataFrame:
+    return found.select("a", "asset", "kind", "ref_from", "ref_to", "support", F.round("support_fraction", 9).alias("support_fraction"), "span", F.round("mean_start", 6).alias("mean_start"), F.round("mean_votes", 6).alias("mean_votes"), "median_votes", "rank")
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the benchmark found whole in documents: an equi-join on the item's second to seventh word, or those a
-    shorter item has between its first and last, then the exact test; items of at most two words are tested against each document."""
+    """Texts of the benchmark found whole in documents: an equi-join on the hash of the item's second to seventh word, or those a
+    shorter item has between its first and last, then the exact test on the documents that were hit; items of at most two
+    words, which have none between, are tested against each document."""
     words = lambda c: F.split(c, " ")
     items = table(spark, sf_dir, "benchmark").filter("text IS NOT NULL").select("item_id", F.col("text").alias("item"))
     # the item's first word may be glued to what precedes it, and its last to what follows: those between stand alone in any copy
     items = items.withColumn("n", F.greatest(F.lit(0), F.least(F.lit(6), F.size(words(F.col("item"))) - 2)))
-    items = items.withColumn("probe", F.array_join(F.slice(words(F.col("item")), F.lit(2), F.col("n")), " "))
+    items = items.withColumn("probe", F.xxhash64(F.array_join(F.slice(words(F.col("item")), F.lit(2), F.col("n")), " ")))
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
     found = docs.join(F.broadcast(items.filter("n = 0")), F.contains("text", "item")).select("doc_id", "item_id")
-    for n in sorted(r["n"] for r in items.filter("n > 0").select("n").distinct().collect()):
-        grams = F.transform(F.array(words(F.col("text"))), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))[0]  # noqa: B023
-        each = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("probe"))
-        found = found.union(each.join(items.filter(F.col("n") == n), "probe").filter(F.contains("text", "item")).select("doc_id", "item_id"))
-    return found
-
-
-
-KIND = """CASE WHEN t > 0.85 * n THEN 'end-credits' WHEN span < 4 THEN 'sting' WHEN t < 0.35 * n AND span <= 90 THEN 'title-theme' ELSE 'other-recurring' END"""
+    hits = None
+    for n in sorted(r["n"] for r in items.filter("n > 0").select("n").distinct().collect()):  # six lengths at most
+        grams = F.regexp_extract_all(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.lit(" (?=(" + " ".join(["[^ ]*+"] * n) + ") )"), F.lit(1))
+        each = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).select("doc_id", F.xxhash64("gram").alias("probe"))
+        got = each.join(items.filter(F.col("n") == n).select("item_id", "item", "probe"), "probe").select("doc_id", "item_id", "item")
+        hits = got if hits is None else hits.union(got)
+    return found if hits is None else found.union(docs.join(hits.distinct(), "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id"))
 
 
 @query(f"""WITH {TOP}, n AS (SELECT doc_id, len(w) AS n FROM tok), one AS (SELECT a, b, votes, a_from AS t, a_to - a_from AS span, n FROM top JOIN n ON n.doc_id = a WHERE rank = 1)
-SELECT a, b, {KIND} AS kind FROM one""")
+SELECT a, b, {KIND.format(t='t', n='n', span='span')} AS kind FROM one""")
 def classify_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = C.tokens(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("a"), F.size("w").alias("n"))
     one = C.top_peaks(C.peaks(votes(spark, sf_dir)), 1).select("a", "b", F.col("a_from").alias("t"), (F.col("a_to") - F.col("a_from")).alias("span"))
-    return one.join(n, "a").select("a", "b", F.expr(KIND).alias("kind"))
+    return one.join(n, "a").select("a", "b", C.kind(F.col("t"), F.col("n"), F.col("span")).alias("kind"))
 
 
 @query("""WITH x AS (SELECT doc_id, source, n_chars, regexp_extract(source, '([0-9]+)$', 1) AS id FROM documents)

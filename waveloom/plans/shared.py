@@ -1,10 +1,11 @@
-"""The shared folder for intermediate files."""
+"""The shared folder for intermediate files and tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -14,3 +15,11 @@ def folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waveloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    at = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

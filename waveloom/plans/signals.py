@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions import synth
@@ -13,6 +13,7 @@ from waveloom.operators import filters as L
 from waveloom.operators import frames as R
 from waveloom.operators import segments as S
 from waveloom.plans.base import EV, query, series
+from waveloom.plans.shared import stored
 
 SIZE, HOP = 8, 4
 BAND = L.bandpass(100, 4.5, 1.2)
@@ -53,8 +54,6 @@ def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DFT_SQL}, d AS (SELECT user_id, f, k, mag, lag(mag) OVER (PARTITION BY user_id, k ORDER BY f) AS prev FROM sp) SELECT user_id, f, round(sum(greatest(0.0, mag - coalesce(prev, mag))) / sum(mag), 5) AS flux FROM d GROUP BY 1, 2")
 def spectral_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     prev = F.coalesce(F.lag("mag").over(Window.partitionBy("user_id", "k").orderBy("f")), F.col("mag"))
     held = spectrum(spark, sf_dir).withColumn("rise", F.greatest(F.lit(0.0), F.col("mag") - prev))
     return held.groupBy("user_id", "f").agg(F.round(F.sum("rise") / F.sum("mag"), 5).alias("flux"))
@@ -88,10 +87,12 @@ def dialog_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def theme_peaks(spark: SparkSession) -> DataFrame:
-    """Offset peaks between episodes from their landmarks; ids are numbered by name."""
+    """Offset peaks of the episodes against references among them, from their landmarks; ids are numbered by name."""
     marks = R.landmarks(synth.episodes(spark)).select("hash", F.substring("id", 2, 9).cast("long").alias("doc_id"), "t")
-    held = C.recurring(marks, 2, 20, 3)
-    return C.top_peaks(C.peaks(C.offset_votes(held, robust=True)), 1)
+    places = Window.partitionBy("hash", "doc_id").orderBy("t")
+    held = stored(C.recurring(marks.withColumn("r", F.row_number().over(places) - 1).filter(F.col("r") < C.MAX_OCCUR)), "landmarks")
+    bins = stored(C.votes_of(held, C.references(held)), "votes")
+    return C.merged(bins, C.top_peaks(C.peaks(C.offset_votes(bins)), 1))
 
 
 @query()
