@@ -68,7 +68,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept per worker."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        m = max(n, CHUNK_BYTES + 1)
+        m = 1 << max(16, n.bit_length())
         one = np.full(m, BASE, dtype=np.uint64)
         one[0] = U(1)
         _powers["up"] = np.multiply.accumulate(one)

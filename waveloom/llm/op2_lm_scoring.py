@@ -46,7 +46,7 @@ START = U(0)
 COMBINED = 16 << 20  # text whose counts are summed before they are dealt
 PARTS = 8  # lists per partition of the exchange
 BLOB = 4096  # keys in a packed list at most
-SCORED_BYTES = 1 << 20  # text scored at once, beside the commonest words and pairs in memory
+SCORED_BYTES = 1 << 20  # text counted or scored at once, beside the commonest words and pairs in memory
 BROADCAST_TARGET = 2_000_000  # ids of target documents sent whole up to here, joined by shuffle above
 COUNTS = ("t", "b", "ct", "cb")  # of a word: in target documents, in all, and the same before another word; of a pair t and b
 PACKED = "word boolean, part int, keys binary, t binary, b binary, ct binary, cb binary"
@@ -132,12 +132,12 @@ def tallies(docs: DataFrame, parts: int) -> DataFrame:
                 yield pa.record_batch([pa.array([word] * len(cut)), pa.array(part[cut]), pa.array([pack(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()),
                                        *(column(counts[k]) if k < len(counts) else blank for k in range(4))], names=["word", "part", "keys", *COUNTS])
 
-        for batch, raw, at in chunks(batches):
+        for batch, raw, at in chunks(batches, SCORED_BYTES):
             hashes, edges = word_hashes(raw, at)
-            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(edges))
-            inner = np.ones(len(hashes), np.int64)
+            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32), np.diff(edges))
+            inner = np.ones(len(hashes), np.int32)
             inner[edges[1:][edges[1:] > edges[:-1]] - 1] = 0
-            ones = np.ones(len(hashes), np.int64)
+            ones = np.ones(len(hashes), np.int32)
             held.append({True: summed(hashes, [target, ones, target * inner, inner]), False: summed(pair_keys(hashes, edges)[1], [target, ones])})
             size += len(raw)
             if size >= COMBINED:
