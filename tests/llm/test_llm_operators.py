@@ -356,6 +356,17 @@ def test_classes_match_brute_force(docs):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (*want[r["doc_id"]], r["doc_id"] == want[r["doc_id"]][1]), r["doc_id"]
 
 
+def test_classes_without_an_id_and_with_several_texts(spark):
+    a, b = edge.prose(60, 50), edge.prose(61, 50)
+    rows = [(None, a, "en"), (3, a, "en"), (3, b, "en"), (3, b, "en"), (5, a, "en"), (7, b + " tail", "en"), (None, None, None), (8, "long " + edge.prose(62, 200_000), "en")]
+    docs = edge.documents(spark, rows)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in q8.classes(docs).collect()), key=repr)
+    assert got == sorted([(None, None, True), (None, None, True), (3, 3, True), (3, 3, True), (3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True)], key=repr)
+    left = q8.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(None, a), (3, a), (3, b), (None, None), (8, rows[-1][1])], key=repr)
+
+
 def test_classes_of_a_large_group_of_edits(spark):
     rng = np.random.default_rng(4)
     base = edge.prose(50, 120).split()
