@@ -14,7 +14,7 @@ from waveloom.llm.op4_pii_surrogates import redact
 from waveloom.llm.op5_best_fit_packing import pack
 from waveloom.llm.op6_language_id import UNKNOWN, identify
 from waveloom.llm.op7_template_decontamination import leaks
-from waveloom.llm.op8_minhash_dedup import classes
+from waveloom.llm.op8_minhash_dedup import one_of_each
 
 LEAST_SCORE = 0.5
 BROADCAST_IDS = 1_000_000  # leaked ids sent whole up to here, joined by shuffle above
@@ -27,9 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, the one with the smallest id."""
-    dropped = classes(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one document of each class, the one with the smallest id, and one of rows that repeat whole."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
