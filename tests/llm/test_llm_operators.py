@@ -154,15 +154,35 @@ def test_repeats_across_small_blocks(spark, monkeypatch):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
+def test_repeats_of_a_hot_passage_and_of_texts_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(q3, "HOT", 20)
+    shared = edge.prose(99, 60)
+    rows = [(i, edge.prose(i, 12) + " " + (shared if i % 3 == 0 else edge.prose(2000 + i, 20)) + " " + edge.prose(1000 + i, 12), "en") for i in range(400)]
+    rows += [(7, edge.prose(7, 12) + " another text " + shared, "en"), (5000, edge.prose(31, 100_000), "en"), (5001, edge.prose(31, 100_000)[777:], "en")]
+    seven = sorted((spark.sql("SELECT xxhash64(:t)", {"t": t}).first()[0], t) for i, t, _ in rows if i == 7)
+    keyed = {(i, 0): t for i, t, _ in rows if i != 7} | {(7, k): t for k, (_, t) in enumerate(seven)}
+    want = sorted((i, *row) for (i, _), row in plain_removal(list(keyed.items())).items())
+    assert sum(w[2] for w in want) > 400 / 3 * 300
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in q3.remove_repeats(edge.documents(spark, rows)).collect()) == want
+
+
 def test_lpf_matches_direct_search():
     rng = np.random.default_rng(2)
-    data = rng.integers(97, 99, 3000).astype(np.uint8)
-    starts = np.arange(len(data) - 12)
-    seen, want = set(), []
-    for s in starts:
-        want.append(data[s: s + 12].tobytes() in seen)
-        seen.add(data[s: s + 12].tobytes())
-    assert q3.has_earlier(data, starts, 12).tolist() == want
+    data = rng.integers(97, 99, 1500).astype(np.uint8)
+    starts = np.delete(np.arange(len(data) - 12), np.arange(100, 130))
+    raw, got = data.tobytes(), q3.longest_previous(data, starts, 12).tolist()
+    for k, s in enumerate(starts):
+        lengths = [next((n for n in range(12) if raw[s + n] != raw[e + n]), 12) for e in starts[:k]]
+        assert got[k] == max(lengths, default=0)
+
+
+def test_nearest_smaller():
+    rng = np.random.default_rng(3)
+    for x in (rng.permutation(300), np.arange(300), np.arange(300)[::-1], np.zeros(0, int)):
+        before, after = q3.nearest_smaller(x)
+        for i in range(len(x)):
+            assert before[i] == next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1)
+            assert after[i] == next((j for j in range(i + 1, len(x)) if x[j] < x[i]), len(x))
 
 
 PII = [

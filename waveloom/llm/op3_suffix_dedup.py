@@ -11,22 +11,23 @@ corpus in one place is neither possible nor needed:
    The stretch of consecutive windows with one anchor is a region. One row per
    region goes out: anchor hash, hash of the region's bytes, place (about one row per 35 bytes).
 2. Sifting. Rows are dealt and sorted by anchor hash, then region hash. Anchors that occur once
-   drop out. Equal regions need no further look: all but the first go whole; a chunk of text settles its own,
-   so a hot anchor sends one row per chunk and region. An
-   anchor with regions that differ (edges of copies, edits) passes one
+   drop out. Equal regions of one anchor (64-bit hashes compared within the anchor's own rows) are pre-aggregated: every LPF in all but the first is over LENGTH,
+   so these go whole; a chunk of text settles its own, so a hot anchor sends one row per chunk and
+   region. An anchor with regions that differ (edges of copies, edits) passes one
    representative of each on.
 3. Suffix order. The representatives' bytes are dealt by anchor; blocks of them
-   get a suffix array (prefix doubling, cut at LENGTH bytes). Suffixes equal over LENGTH bytes are neighbours
-   there, in text order, so the previous smaller position is the one before and the next smaller one
-   lies outside; LPF >= LENGTH wherever the one before belongs to the same class. A group longer than a
-   block carries the hashes of its windows to the next block, so memory stays bounded by block and group.
-4. Spans are gathered by document; documents are joined and rewritten.
-
-Hashes are 64 bits wide. The exchange of the text by doc_id is shared by steps 3 and 4.
-
-Defined cases: null and empty texts have no byte; texts under LENGTH bytes lose nothing; doc_id is
-taken as a document's identity: repeated rows of one id are one document (each row comes back), and rows without a
-doc_id come back unchanged; an empty table gives no row; other columns are ignored.
+   get a suffix array (prefix doubling, cut at LENGTH bytes), the previous and next smaller positions in it, and from
+   these the LPF array: the longer of the common prefixes with the two. A group longer than a
+   block carries the hashes of its windows to the next block.
+4. Hot anchors, of more than ``HOT`` representatives (a passage in a third of all documents has an edge in each), don't
+   go to one task: their windows go out as hashes, are counted with map-side combine, and all but the first of
+   each are marked by a join. So a task's memory is bounded by BLOCK and HOT.
+5. Spans are gathered by document; documents are joined and rewritten.
+
+Defined cases: null and empty texts have no byte; texts under LENGTH bytes lose nothing; rows that repeat whole
+are one document (each row comes back); several texts of one doc_id are documents of their own, in order of a hash of their text; rows without a
+doc_id come back unchanged; a very long text is cut into no pieces (a task holds about 60 times its size); of copies that tie in all but doc_id the smallest id keeps its
+bytes; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waveloom.llm.common import U, chunks, keyed_documents, prefix_sums, slice_hash, stored, table
@@ -44,8 +45,10 @@ from waveloom.llm.common import U, chunks, keyed_documents, prefix_sums, slice_h
 LENGTH, GRAM = 100, 32
 CHUNK = 2 << 20
 BLOCK = 2 << 20  # bytes of regions in one suffix array
-REGIONS = "h long, r long, doc_id long, start long, n int, again boolean"
-SIFTED = "h long, doc_id long, start long, n int, whole boolean"
+HOT = 10_000  # representatives of an anchor above which its windows are compared by an exchange
+BROADCAST_ROWS = 2_000_000  # hot anchors, repeated hot windows and texts that share an id are sent whole up to here, joined by shuffle above
+REGIONS = "h long, r long, doc_id long, v int, start long, n int, again boolean"
+SIFTED = "h long, doc_id long, v int, start long, n int, whole boolean"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -87,101 +90,118 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, at in chunks(batches, CHUNK):
             text, start, n, h, r = regions(raw, at)
-            ids = batch.column(0).to_numpy()
-            doc, start, h, r = ids[text], start - at[text], h.view(np.int64), r.view(np.int64)
-            order = np.lexsort((start, doc, r, h))
-            h, r, doc, start, n = (x[order] for x in (h, r, doc, start, n))
+            ids, variants = (batch.column(k).to_numpy() for k in (0, 2))
+            doc, v, start, h, r = ids[text], variants[text], start - at[text], h.view(np.int64), r.view(np.int64)
+            order = np.lexsort((start, v, doc, r, h))
+            h, r, doc, v, start, n = (x[order] for x in (h, r, doc, v, start, n))
             again, same = np.zeros(len(h), bool), np.zeros(len(h), bool)
             again[1:] = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-            same[1:] = again[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-            columns = (pa.array(x[~same], t) for x, t in zip((h, r, doc, start, n, again), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())))
-            yield pa.record_batch(list(columns), names=["h", "r", "doc_id", "start", "n", "again"])
+            same[1:] = again[1:] & (doc[1:] == doc[:-1]) & (v[1:] == v[:-1]) & (start[1:] == start[:-1])
+            columns = (pa.array(x[~same], t) for x, t in zip((h, r, doc, v, start, n, again), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())))
+            yield pa.record_batch(list(columns), names=["h", "r", "doc_id", "v", "start", "n", "again"])
 
     return docs.mapInArrow(make, REGIONS)
 
 
 def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, r, doc_id, start -> repeats of a region (whole) and representatives of anchors with several regions."""
-    names = ["h", "doc_id", "start", "n", "whole"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    """Rows sorted by h, r, doc_id, v, start -> repeats of a region (whole) and representatives of anchors with several regions."""
+    names = ["h", "doc_id", "v", "start", "n", "whole"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
     held, mixed = None, False  # the first row of the run that may go on, and whether its anchor had another region before
     last = None
 
-    def rows(h, doc, start, n, whole):
-        return pa.record_batch([pa.array(x, t) for x, t in zip((h, doc, start, n, np.full(len(h), whole)), kinds)], names=names)
+    def rows(columns, whole):
+        return pa.record_batch([pa.array(x, t) for x, t in zip((*columns, np.full(len(columns[0]), whole)), kinds)], names=names)
 
     for batch in batches:
-        again = batch.column(5).to_numpy(zero_copy_only=False)
-        h, r, doc, start, n = (batch.column(i).to_numpy() for i in range(5))
+        again = batch.column(6).to_numpy(zero_copy_only=False)
+        h, r, *place = (batch.column(i).to_numpy() for i in range(6))  # place: doc_id, v, start, n
         if again.any():
-            yield rows(h[again], doc[again], start[again], n[again], True)
-            h, r, doc, start, n = (x[~again] for x in (h, r, doc, start, n))
+            yield rows([x[again] for x in (h, *place)], True)
+            h, r, *place = (x[~again] for x in (h, r, *place))
         if not len(h):
             continue
-        before = lambda x, i: np.concatenate([[last[i] if last else ~x[0]], x[:-1]])
+        before = lambda x, i: np.concatenate([[last[i] if last else ~x[0]], x[:-1]])  # noqa: B023, E731
         same_h = h == before(h, 0)
         same_run = same_h & (r == before(r, 1))
-        same_row = same_run & (doc == before(doc, 2)) & (start == before(start, 3))
+        same_row = same_run & (place[0] == before(place[0], 2)) & (place[1] == before(place[1], 3)) & (place[2] == before(place[2], 4))
         again = np.flatnonzero(same_run & ~same_row)
         if len(again):
-            yield rows(h[again], doc[again], start[again], n[again], True)
+            yield rows([x[again] for x in (h, *place)], True)
         first = np.flatnonzero(~same_run)
         if len(first):
             if held is not None and (mixed or same_h[first[0]]):
-                yield rows(*(np.array([x]) for x in held), False)
+                yield rows([np.array([x]) for x in held], False)
             part = same_h[first]
             part[:-1] |= same_h[first[1:]]
             give = first[:-1][part[:-1]]
             if len(give):
-                yield rows(h[give], doc[give], start[give], n[give], False)
+                yield rows([x[give] for x in (h, *place)], False)
             i = first[-1]
-            held, mixed = (h[i], doc[i], start[i], n[i]), bool(same_h[i])
-        last = (h[-1], r[-1], doc[-1], start[-1])
+            held, mixed = (h[i], *(x[i] for x in place)), bool(same_h[i])
+        last = (h[-1], r[-1], *(x[-1] for x in place[:3]))
     if held is not None and mixed:
-        yield rows(*(np.array([x]) for x in held), False)
+        yield rows([np.array([x]) for x in held], False)
+
+
+def nearest_smaller(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in an array of distinct numbers the nearest place before it, and after it, with a smaller number; -1 and n for none.
+    Pointer jumping: what lies between a place and its pointer is larger, so a pointer to a larger number moves on to that one's."""
+
+    def before(x: np.ndarray) -> np.ndarray:
+        at = np.arange(len(x)) - 1
+        open_ = np.arange(len(x))
+        while len(open_):
+            open_ = open_[at[open_] >= 0]
+            open_ = open_[x[at[open_]] > x[open_]]
+            at[open_] = at[at[open_]]
+        return at
 
+    return before(order), len(order) - 1 - before(order[::-1])[::-1]
 
-def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Rank of each start's suffix among the suffixes, cut at ``length`` bytes: equal rank, equal bytes. Prefix doubling."""
-    size = 1
-    rank = data.astype(np.uint64)
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The LPF array of the suffixes at the given starts (in text order), cut at ``length`` bytes."""
+    size, ranks = 1, [(1, data.astype(np.uint32))]
     while size < length:
         step = min(size, length - size)
+        rank = ranks[-1][1]
         nxt = np.zeros_like(rank)
         nxt[: len(rank) - step] = rank[step:]
-        _, rank = np.unique((rank << U(32)) | nxt, return_inverse=True)
-        rank = rank.astype(np.uint64)
+        rank = np.unique((rank.astype(np.uint64) << U(32)) | nxt, return_inverse=True)[1].astype(np.uint32)
         size += step
-    return rank[starts].astype(np.int64)
-
-
-def has_earlier(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which starts (given in text order) have LPF >= length: their predecessor in suffix order is of the same class."""
-    rank = suffix_classes(data, starts, length)
-    order = np.argsort(rank, kind="stable")  # suffix order; equal suffixes in text order, so the previous smaller position stands just before
-    found = np.zeros(len(starts), bool)
-    found[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    return found
+        ranks.append((size, rank))
+    order = np.argsort(ranks[-1][1][starts], kind="stable")  # the suffix array; suffixes equal as far as they are looked at stand in text order
+    out = np.zeros(len(starts), np.int64)
+    for near in nearest_smaller(order):
+        has = (near >= 0) & (near < len(order))
+        a, b = starts[order[has]], starts[order[near[has]]]
+        common = np.zeros(len(a), np.int64)
+        for size, rank in reversed(ranks):
+            same = (common + size <= length) & (rank[np.minimum(a + common, len(data) - 1)] == rank[np.minimum(b + common, len(data) - 1)])
+            common[same] += size
+        out[order[has]] = np.maximum(out[order[has]], common)
+    return out
 
 
 def earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions (h, doc_id, start, region) sorted by h, doc_id, start -> spans (doc_id, lo, hi) of windows with an earlier copy."""
+    """Regions (h, doc_id, v, start, region) sorted by h, doc_id, v, start -> spans (doc_id, v, lo, hi) of windows with an earlier copy."""
     seen_h, seen = None, np.zeros(0, np.uint64)
     for batch in batches:
-        sizes = np.diff(np.frombuffer(batch.column(3).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(3).offset: batch.column(3).offset + batch.num_rows + 1])
+        sizes = np.diff(np.frombuffer(batch.column(4).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(4).offset: batch.column(4).offset + batch.num_rows + 1])
         row = 0
         while row < batch.num_rows:
             upto = max(row + 1, row + int(np.searchsorted(np.cumsum(sizes[row:]), BLOCK, side="right")))
             part = batch.slice(row, upto - row)
-            h, doc, start = (part.column(i).to_numpy() for i in range(3))
+            h, doc, v, start = (part.column(i).to_numpy() for i in range(4))
             size = sizes[row:upto]
-            data = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8)
+            data = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
             edge = np.concatenate([[0], np.cumsum(size)])
             n = size - LENGTH + 1
             owner = np.repeat(np.arange(len(n)), n)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = edge[owner] + place
-            found = has_earlier(data, at)
+            found = longest_previous(data, at) >= LENGTH
             codes = slice_hash(prefix_sums(data), at, at + LENGTH)
             if h[0] == seen_h:
                 found |= (h[owner] == seen_h) & np.isin(codes, seen)
@@ -194,12 +214,28 @@ def earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
                 a = hit[new]
                 b = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
-                yield pa.record_batch([pa.array(doc[owner[a]]), pa.array(start[owner[a]] + place[a]), pa.array(start[owner[b]] + place[b] + LENGTH)], names=["doc_id", "lo", "hi"])
+                yield pa.record_batch([pa.array(doc[owner[a]]), pa.array(v[owner[a]]), pa.array(start[owner[a]] + place[a]), pa.array(start[owner[b]] + place[b] + LENGTH)], names=["doc_id", "v", "lo", "hi"])
             row = upto
 
 
+def window_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions (h, doc_id, v, start, region) -> the hash of each of their windows (w, doc_id, v, start)."""
+    for batch in batches:
+        for row in range(0, batch.num_rows, 1000):
+            part = batch.slice(row, 1000)
+            doc, v, start = (part.column(i).to_numpy() for i in (1, 2, 3))
+            parts = part.column(4).to_pylist()
+            size = np.array([len(x) for x in parts])
+            n = size - LENGTH + 1
+            owner = np.repeat(np.arange(len(n)), n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.concatenate([[0], np.cumsum(size)])[owner] + place
+            w = slice_hash(prefix_sums(np.frombuffer(b"".join(parts), np.uint8)), at, at + LENGTH).view(np.int64)
+            yield pa.record_batch([pa.array(w), pa.array(doc[owner]), pa.array(v[owner]), pa.array(start[owner] + place)], names=["w", "doc_id", "v", "start"])
+
+
 def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, wanted(start, n, h) -> the bytes of each wanted region."""
+    """doc_id, text, wanted(start, n, h), v -> the bytes of each wanted region."""
     for batch, raw, at in chunks(batches, CHUNK):
         wanted = batch.column(2)
         edge = wanted.offsets.to_numpy()
@@ -213,7 +249,7 @@ def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
         data = raw[index]
         region = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
-        yield pa.record_batch([pa.array(h), batch.column(0).take(pa.array(owner)), pa.array(start), region], names=["h", "doc_id", "start", "region"])
+        yield pa.record_batch([pa.array(h), *(batch.column(k).take(pa.array(owner)) for k in (0, 3)), pa.array(start), region], names=["h", "doc_id", "v", "start", "region"])
 
 
 def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,18 +273,47 @@ def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds v, 0 but for the second and further texts of one doc_id."""
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    several = hashed.groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).filter("low <> high").select("doc_id")
+    texts = hashed.join(several, "doc_id", "left_semi").select("doc_id", "text_hash").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text_hash")  # the texts of one id
+    variants = stored(texts.select("doc_id", "text_hash", (F.row_number().over(order) - 1).alias("v")), "variants")
+    if variants.isEmpty():
+        return docs.withColumn("v", F.lit(0))
+    return hashed.join(small(variants), ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("v", F.lit(0)).alias("v"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = keyed_documents(docs)
-    known = docs.filter(F.col("doc_id").isNotNull())
+    known = numbered(docs.filter(F.col("doc_id").isNotNull()))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["doc_id", "v"]
     deal = F.when(F.col("again"), F.xxhash64("doc_id", "start")).otherwise(F.col("h"))  # what its own chunk has settled goes anywhere
-    sifted = stored(anchor_rows(known).repartition(parts, deal).sortWithinPartitions("h", "r", "doc_id", "start").mapInArrow(sift, SIFTED), "regions")
-    wanted = sifted.filter("NOT whole").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "h")).alias("wanted"))
-    bytes_ = known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_regions, "h long, doc_id long, start long, region binary")
-    edges = bytes_.repartition(parts, "h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(earlier_windows, "doc_id long, lo long, hi long")
-    whole = sifted.filter("whole").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("hi"))
-    spans = edges.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    kept = known.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    sifted = stored(anchor_rows(known).repartition(parts, deal).sortWithinPartitions("h", "r", *key, "start").mapInArrow(sift, SIFTED), "regions")
+    some = sifted.filter("NOT whole")
+    hot = stored(some.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT).select("h"), "hot")
+    any_hot = not hot.isEmpty()
+    wanted = some.groupBy(*key).agg(F.collect_list(F.struct("start", "n", "h")).alias("wanted"))
+    bytes_ = known.join(wanted, key).select("doc_id", "text", "wanted", "v").mapInArrow(cut_regions, "h long, doc_id long, v int, start long, region binary")
+    if any_hot:
+        bytes_ = stored(bytes_, "region-bytes")
+    cold = bytes_.join(small(hot), "h", "left_anti") if any_hot else bytes_
+    spans = cold.repartition(parts, "h").sortWithinPartitions("h", *key, "start").mapInArrow(earlier_windows, "doc_id long, v int, lo long, hi long")
+    if any_hot:
+        codes = bytes_.join(small(hot), "h", "left_semi").select("h", *key, "start", "region").mapInArrow(window_codes, "w long, doc_id long, v int, start long")
+        place = F.struct(*key, "start")
+        twice = stored(codes.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("w", "first"), "windows")
+        spans = spans.union(codes.join(small(twice), "w").filter(place != F.col("first")).select(*key, F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi")))
+    whole = sifted.filter("whole").select(*key, F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("hi"))
+    spans = spans.union(whole).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    kept = known.join(spans, key, "left").select("doc_id", "text", "spans")
     nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"))
     return kept.union(nameless).mapInArrow(rewrite, SCHEMA)
 
