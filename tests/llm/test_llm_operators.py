@@ -293,11 +293,64 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(q6.forward(rows, pieces, theta)[0], [np.log(total(0, 0)), np.log(total(0, 1))])
 
 
+def test_long_words_are_summed_like_short_ones(monkeypatch):
+    keys, longest = q6.vocabulary(P.path(q6.MODEL))
+    pieces = q6.Pieces(keys, longest)
+    rng = np.random.default_rng(1)
+    theta = np.vstack([rng.random((len(keys), 3)) ** 4, np.zeros(3)])
+    theta /= theta.sum(axis=0)
+    raw = np.frombuffer("thequickbrownfoxüberденьสวัสดี你好世界的人們說話internationalisation".encode() * 5, np.uint8)
+    lo, hi = np.array([0, 7, 30, 100]), np.array([90, 10, 400, 101])
+    for block in (4096, 50):
+        monkeypatch.setattr(q6, "BLOCK", block)
+        got = q6.forward_long(raw, lo, hi, pieces, q6.logs(theta))
+        for k in range(len(lo)):
+            assert np.allclose(got[k], q6.forward(q6._matrix(raw, lo[k: k + 1], int(hi[k] - lo[k])), pieces, theta)[0])
+    a, b = np.zeros((3, len(keys) + 1)), np.zeros((3, len(keys) + 1))
+    weight, lang = np.array([2.0, 1.0, 3.0, 1.0]), np.array([0, 1, 2, 1])
+    q6.expected_long(raw, lo, np.minimum(hi, lo + 60), weight, lang, pieces, q6.logs(theta), a)
+    for k in range(len(lo)):
+        q6.expected(q6._matrix(raw, lo[k: k + 1], int(min(hi[k] - lo[k], 60))), weight[k: k + 1], lang[k: k + 1], pieces, theta, b)
+    assert np.allclose(a[:, :-1], b[:, :-1])
+    sizes = {n: len(p) for n, p in q6.by_length(lo, hi)}
+    assert sizes[0] == 2 and sum(sizes.values()) == 4
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    keys, longest = q6.vocabulary(P.path(q6.MODEL))
+    pieces = q6.Pieces(keys, longest)
+    theta = np.vstack([np.random.default_rng(2).random((len(keys), 1)), np.zeros(1)])
+    theta /= theta.sum()
+    word = "theren".encode()
+    whole = q6.MARK + word
+
+    def find(part: bytes) -> int:
+        x = np.frombuffer(part, np.uint8)
+        return int(pieces.find(q6.slice_hash(q6.prefix_sums(x), np.array([0]), np.array([len(x)])))[0])
+
+    def segmentations(at: int):
+        if at == len(whole):
+            yield []
+        for end in range(at + 1, min(len(whole), at + longest) + 1):
+            if (k := find(whole[at:end])) < len(keys):
+                for rest in segmentations(end):
+                    yield [k, *rest]
+
+    every = [(s, np.prod(theta[s, 0])) for s in segmentations(0)]
+    want = Counter()
+    for s, p in every:
+        for k in s:
+            want[k] += 5 * p / sum(p for _, p in every)
+    got = np.zeros((1, len(keys) + 1))
+    q6.expected(q6._matrix(np.frombuffer(word, np.uint8), np.array([0]), len(word)), np.array([5.0]), np.array([0]), pieces, theta, got)
+    assert len(every) > 20 and np.allclose([got[0, k] for k in want], list(want.values())) and np.isclose(got[0, :-1].sum(), sum(want.values()))
+
+
 def test_language_is_learned_and_und(spark):
     german = "der die und nicht ist das ein zu haben werden über für schön".split()
     english = "the and not is that a to have become over for nice there".split()
     rows = [(i, " ".join(np.random.default_rng(i).choice(german if i % 2 else english, 30)), "de" if i % 2 else "en") for i in range(80)]
-    rows += [(100, None, "de"), (101, "12 34 !!", "en"), (102, "", None), (103, "und" * 3000, None)]
+    rows += [(100, None, "de"), (101, "12 34 !!", "en"), (102, "", None), (103, "und" * 3000, None), (105, "schönüber" * 4000 + " ist", None)]
     got = q6.identify(edge.documents(spark, rows)).collect()
     assert len(got) == len(rows)
     for r in got:

@@ -8,8 +8,9 @@ text's likelihood under a language is the product over its words of the
 forward sum over *all* segmentations of the word.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D, lower-cased, with the word
-mark in front; runs over ``WORD_BYTES`` bytes are scored as consecutive stretches of that
-size. Likelihoods are computed once per distinct word and worker.
+mark in front, however long: in scripts without blanks a sentence is one word. Words up to ``SHORT`` bytes are summed in
+batches of one length; longer ones, of any lengths, in logarithms and block by block, so memory doesn't grow with a word's length.
+Likelihoods are computed once per distinct word and worker.
 
 Training uses a bounded, documented sample: ``PER_LANGUAGE`` training rows of
 each language on average, those lowest in a hash of doc_id. Prediction covers every row
@@ -17,8 +18,8 @@ and looks at the text alone.
 
 Defined cases: text null or without a letter gives 'und' with score 0; ties go
 to the language first in order; without training rows all are 'und'; rows with a
-null doc_id are predicted but not learned from; repeated rows are predicted each; other columns
-are ignored.
+null doc_id are predicted but not learned from; repeated rows are predicted each; very long texts and words are scored whole; an
+empty table gives no row; other columns are ignored. The model is broadcast: pieces x languages, 262 kB a language; batches shrink with the number of languages.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ PER_LANGUAGE = 400
 ROUNDS = 3
 LITERAL_LANGUAGES = 1000  # up to here the counts by language are constants of the plan, beyond they are joined
 SMOOTHING = 0.01
-WORD_BYTES = 64
+SHORT = 64
+CELLS = 300_000  # bytes of words summed at once, fewer with many languages
+BLOCK = 4096  # bytes of a long word looked up at once
 CACHE = 1 << 19
 MARK = "▁".encode()
 UNKNOWN = "und"
@@ -159,29 +162,87 @@ def expected(rows: np.ndarray, weight: np.ndarray, lang: np.ndarray, pieces: Pie
         np.add.at(out, (lang, found), weight * alpha[i] * p[i, j] * beta[j] / z)
 
 
-def by_length(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def pieces_ending(raw: np.ndarray, lo: np.ndarray, n: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+    """For j = 1, 2, .. the piece numbers of the marked words' substrings that end at j, by their length; n counts the mark.
+    What lies beyond a shorter word's end is other text and reaches no sum of its own."""
+    width, mark = int(n.max()), np.frombuffer(MARK, np.uint8)
+    for p in range(0, width, BLOCK):
+        a, b = max(0, p - pieces.longest), min(width, p + BLOCK)
+        k = np.arange(a, b)
+        rows = raw[np.minimum(lo[:, None] + np.maximum(k - len(mark), 0), len(raw) - 1)]
+        if a < len(mark):
+            rows[:, : len(mark) - a] = mark[a:][: rows.shape[1]]
+        up, down = powers(b - a + 1)
+        sums = np.zeros((len(rows), b - a + 1), np.uint64)
+        np.cumsum(BYTE_CODE[rows] * up[: b - a], axis=1, out=sums[:, 1:])
+        found: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for size in range(1, min(pieces.longest, b - a) + 1):
+            first = max(0, p + 1 - size - a)  # the first start whose end is in this block
+            h = mix((sums[:, first + size:] - sums[:, first: b - a + 1 - size]) * down[first: b - a + 1 - size] + U(size * 0xD6E8FEB86659FD93 % 2**64))
+            ids = pieces.find(h.reshape(-1)).reshape(h.shape)
+            for c in np.flatnonzero((ids < pieces.n).any(axis=0)).tolist():
+                found.setdefault(a + first + c + size, []).append((size, ids[:, c]))
+        for j in range(p + 1, b + 1):
+            yield j, found.get(j, [])
+
+
+def forward_long(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, pieces: Pieces, log_theta: np.ndarray) -> np.ndarray:
+    """``forward`` for words of any lengths, in logarithms; only the last sums a piece can reach back to are held."""
+    n = hi - lo + len(MARK)
+    nothing = np.full((len(lo), log_theta.shape[1]), -np.inf)
+    out, last = nothing.copy(), {0: np.zeros_like(nothing)}
+    for j, ending in pieces_ending(raw, lo, n, pieces):
+        total = nothing
+        for size, ids in ending:
+            total = np.logaddexp(total, last[j - size] + log_theta[ids])
+        last[j] = total
+        last.pop(j - pieces.longest, None)
+        out[n == j] = total[n == j]
+    return out
+
+
+def expected_long(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, lang: np.ndarray, pieces: Pieces, log_theta: np.ndarray, out: np.ndarray) -> None:
+    """``expected`` for words of any lengths, in logarithms."""
+    n = hi - lo + len(MARK)
+    steps = list(pieces_ending(raw, lo, n, pieces))
+    width = len(steps)
+    alpha, beta = np.full((width + 1, len(lo)), -np.inf), np.full((width + 1, len(lo)), -np.inf)
+    alpha[0] = 0
+    beta[n, np.arange(len(lo))] = 0
+    for j, ending in steps:
+        for size, ids in ending:
+            alpha[j] = np.logaddexp(alpha[j], alpha[j - size] + log_theta[ids, lang])
+    for j, ending in reversed(steps):
+        for size, ids in ending:
+            beta[j - size] = np.logaddexp(beta[j - size], beta[j] + log_theta[ids, lang])
+    z = alpha[n, np.arange(len(lo))]
+    for j, ending in steps:
+        for size, ids in ending:
+            np.add.at(out, (lang, ids), weight * np.exp(alpha[j - size] + log_theta[ids, lang] + beta[j] - z))
+
+
+def by_length(lo: np.ndarray, hi: np.ndarray, cells: int = CELLS) -> Iterator[tuple[int, np.ndarray]]:
+    """Batches of words of one length, up to SHORT bytes; longer ones in order of length, as length 0."""
     n = hi - lo
     order = np.argsort(n, kind="stable")
-    edges = np.flatnonzero(np.diff(n[order])) + 1
-    for part in np.split(order, edges):
-        step = max(1, 300_000 // (3 + int(n[part[0]]))) if len(part) else 1
+    short = int(np.searchsorted(n[order], SHORT, side="right"))
+    edges = np.flatnonzero(np.diff(n[order[:short]])) + 1
+    for part in np.split(order[:short], edges):
+        step = max(1, cells // (3 + int(n[part[0]]))) if len(part) else 1
         for a in range(0, len(part), step):
             yield int(n[part[0]]), part[a: a + step]
+    a = short
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * int(n[order[b]]) <= cells:
+            b += 1
+        yield 0, order[a:b]
+        a = b
 
 
-def stretches(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words over WORD_BYTES bytes as consecutive stretches."""
-    if not len(lo) or (hi - lo).max() <= WORD_BYTES:
-        return lo, hi
-    n = -(-(hi - lo) // WORD_BYTES)
-    start = np.repeat(lo, n) + WORD_BYTES * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    return start, np.minimum(start + WORD_BYTES, np.repeat(hi, n))
-
-
-def score_chunk(raw: np.ndarray, at: np.ndarray, pieces: Pieces, theta: np.ndarray, cache: dict) -> np.ndarray:
+def score_chunk(raw: np.ndarray, at: np.ndarray, pieces: Pieces, theta: np.ndarray, log_theta: np.ndarray, cache: dict) -> np.ndarray:
     """Texts x languages log-likelihoods."""
     lo, hi, _ = words(raw, at)
-    lo, hi = stretches(lo, hi)
     if not len(lo):
         return np.zeros((len(at) - 1, theta.shape[1]))
     keys = slice_hash(prefix_sums(raw), lo, hi)
@@ -196,10 +257,10 @@ def score_chunk(raw: np.ndarray, at: np.ndarray, pieces: Pieces, theta: np.ndarr
     todo = np.flatnonzero(~hit)
     if len(todo):
         a, b = lo[first[todo]], hi[first[todo]]
-        for n, part in by_length(a, b):
-            value[todo[part]] = forward(_matrix(raw, a[part], n), pieces, theta)
+        for n, part in by_length(a, b, CELLS * 8 // max(8, theta.shape[1])):
+            value[todo[part]] = forward(_matrix(raw, a[part], n), pieces, theta) if n else forward_long(raw, a[part], b[part], pieces, log_theta)
         merged, values = np.concatenate([known, new[todo]]), np.concatenate([cache["values"], value[todo]]) if len(known) else value[todo]
-        if len(merged) > CACHE:
+        if merged.size * theta.shape[1] > 8 * CACHE:
             merged, values = new, value
         order = np.argsort(merged)
         cache.update(keys=merged[order], values=values[order])
@@ -210,6 +271,11 @@ def score_chunk(raw: np.ndarray, at: np.ndarray, pieces: Pieces, theta: np.ndarr
     return out
 
 
+def logs(theta: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(theta)
+
+
 def train(docs: DataFrame, model: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, int]:
     """Languages, log priors, piece keys, theta ((n + 1) x languages) and the longest piece; docs: doc_id, text, lang."""
     spark = docs.sparkSession
@@ -236,17 +302,15 @@ def train(docs: DataFrame, model: str) -> tuple[list[str], np.ndarray, np.ndarra
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             keys, theta, longest = sent.value
-            pieces, total = Pieces(keys, longest), np.zeros((theta.shape[1], len(keys) + 1))
+            pieces, total, log_theta = Pieces(keys, longest), np.zeros((theta.shape[1], len(keys) + 1)), logs(theta)
             for batch, raw, at in chunks(batches):
                 lang = np.array([number[x] for x in batch.column(0).to_pylist()])
                 weight = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-                owner = np.arange(len(at) - 1)
-                n = -(-np.diff(at) // WORD_BYTES)
-                lo, hi = stretches(at[:-1], at[1:])
-                owner = np.repeat(owner, n)
-                for size, part in by_length(lo, hi):
+                for size, part in by_length(at[:-1], at[1:]):
                     if size:
-                        expected(_matrix(raw, lo[part], size), weight[owner[part]], lang[owner[part]], pieces, theta, total)
+                        expected(_matrix(raw, at[part], size), weight[part], lang[part], pieces, theta, total)
+                    elif len(part):
+                        expected_long(raw, at[part], at[part + 1], weight[part], lang[part], pieces, log_theta, total)
             total[:, -1] = 0
             i, j = np.nonzero(total)
             yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["lang", "piece", "n"])
@@ -271,11 +335,11 @@ def identify(docs: DataFrame, model: str | None = None, carry: bool = False) ->
         langs, priors, keys, theta, longest = sent.value
         if _worker.get("stamp") != stamp:
             _worker.clear()
-            _worker.update(stamp=stamp, pieces=Pieces(keys, longest), cache={})
+            _worker.update(stamp=stamp, pieces=Pieces(keys, longest), log_theta=logs(theta), cache={})
         for batch, raw, at in chunks(batches):
             known = batch.column(3).to_numpy(zero_copy_only=False)
             if langs:
-                score = score_chunk(raw, at, _worker["pieces"], theta, _worker["cache"]) + priors
+                score = score_chunk(raw, at, _worker["pieces"], theta, _worker["log_theta"], _worker["cache"]) + priors
                 best = score.argmax(axis=1)
                 top = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
                 name = np.where(known, np.array(langs, dtype=object)[best], UNKNOWN)
