@@ -43,7 +43,8 @@ HOT_WORDS, HOT_PAIRS = 3_000_000, 2_000_000  # the commonest are sent whole up t
 FILTER_BYTES = 64 << 20  # the most bytes of the filter over pairs; 8 bits a pair while it is smaller
 PULL = 16.0  # K
 START = U(0)
-COMBINED = 16 << 20  # text whose counts are summed before they are dealt
+COMBINED = 8 << 20  # text whose counts are summed before they are dealt
+SENT = 64  # packed lists in an Arrow batch
 PARTS = 8  # lists per partition of the exchange
 BLOB = 4096  # keys in a packed list at most
 SCORED_BYTES = 1 << 20  # text counted or scored at once, beside the commonest words and pairs in memory
@@ -127,10 +128,12 @@ def tallies(docs: DataFrame, parts: int) -> DataFrame:
                 edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
                 cut = sorted({*edge.tolist(), *(x for a, b in zip(edge, np.append(edge[1:], len(part))) for x in range(int(a), int(b), BLOB))})
                 ends = [*cut[1:], len(part)]
-                column = lambda c: pa.array([c[a:b].astype(np.int32).tobytes() for a, b in zip(cut, ends)], pa.binary())
-                blank = pa.array([b""] * len(cut), pa.binary())
-                yield pa.record_batch([pa.array([word] * len(cut)), pa.array(part[cut]), pa.array([pack(keys[a:b]) for a, b in zip(cut, ends)], pa.binary()),
-                                       *(column(counts[k]) if k < len(counts) else blank for k in range(4))], names=["word", "part", "keys", *COUNTS])
+                for k in range(0, len(cut), SENT):
+                    some = list(zip(cut[k: k + SENT], ends[k: k + SENT]))
+                    column = lambda c: pa.array([c[a:b].astype(np.int32).tobytes() for a, b in some], pa.binary())  # noqa: B023, E731
+                    blank = pa.array([b""] * len(some), pa.binary())
+                    yield pa.record_batch([pa.array([word] * len(some)), pa.array(part[cut[k: k + SENT]]), pa.array([pack(keys[a:b]) for a, b in some], pa.binary()),
+                                           *(column(counts[c]) if c < len(counts) else blank for c in range(4))], names=["word", "part", "keys", *COUNTS])
 
         for batch, raw, at in chunks(batches, SCORED_BYTES):
             hashes, edges = word_hashes(raw, at)
@@ -162,7 +165,8 @@ def tallies(docs: DataFrame, parts: int) -> DataFrame:
             yield pa.record_batch([pa.array([x], t) for x, t in zip(last, (pa.bool_(), *[pa.int64()] * 6, pa.int32(), pa.binary()))], names=names)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one list at a time: a batch may hold many
+                row = batch.slice(k, 1).to_pylist()[0]
                 if now != (row["word"], row["part"]):
                     if held:
                         yield from out(now, held)
