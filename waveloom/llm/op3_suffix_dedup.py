@@ -45,7 +45,7 @@ from waveloom.llm.common import U, chunks, keyed_documents, prefix_sums, slice_h
 LENGTH, GRAM = 100, 32
 CHUNK = 2 << 20
 BLOCK = 2 << 20  # bytes of regions in one suffix array
-HOT = 10_000  # representatives of an anchor above which its windows are compared by an exchange
+HOT = 1_000  # representatives of an anchor above which its windows are compared by an exchange
 BROADCAST_ROWS = 2_000_000  # hot anchors, repeated hot windows and texts that share an id are sent whole up to here, joined by shuffle above
 REGIONS = "h long, r long, doc_id long, v int, start long, n int, again boolean"
 SIFTED = "h long, doc_id long, v int, start long, n int, whole boolean"
