@@ -28,6 +28,13 @@ def fisher(df: DataFrame, key: str, positive: Column, features: list[str]) -> Da
     return got.select(key, "pos_count", "neg_count", *[f"w_{x}" for x in features], middle.alias("mid"), separation.alias("separation"))
 
 
+def calibration_errors(df: DataFrame, key: str, positive: Column) -> DataFrame:
+    """key, error of the keys that have too few rows of a class for ``fisher``."""
+    counts = df.groupBy(key).agg(F.count_if(positive).alias("pos_count"), F.count_if(~positive).alias("neg_count"))
+    bad = counts.filter((F.col("pos_count") < LEAST_POSITIVES) | (F.col("neg_count") < LEAST_NEGATIVES))
+    return bad.select(key, F.format_string(f"calibration needs {LEAST_POSITIVES} positive and {LEAST_NEGATIVES} negative frames, has %d and %d", "pos_count", "neg_count").alias("error"))
+
+
 def scored(df: DataFrame, weights: DataFrame, key: str, features: list[str]) -> DataFrame:
     """Adds score = w . x minus the class midpoint. weights: one row a key."""
     total = reduce(lambda a, b: a + b, [F.col(f"w_{x}") * F.col(x) for x in features])

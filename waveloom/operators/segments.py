@@ -6,44 +6,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveloom.operators import detect as D
+from waveloom.operators import intervals as I
 from waveloom.operators import windows as W
 
 FEATURES = ["log_rms", "low_ratio", "flatness", "flux", "chroma_self"]
 FPS = 15.625
+ROOM = 64  # frames of a bucket when frames meet ranges
 SMOOTH, MIN_SECONDS, MAX_GAP, EDGE, PEAK, CEILING = 3, 4.0, 0.8, 0.10, 0.7, 0.25
 
 
-def segments(scores: DataFrame, threshold: Column | float, floor: Column | float, seconds: DataFrame, fps: float = FPS) -> DataFrame:
+def segments(scores: DataFrame, threshold: Column | float, floor: Column | float, seconds: DataFrame, fps: float = FPS, ceiling: float = CEILING) -> DataFrame:
     """id, s, e (seconds), peak, mean_score of runs over the threshold.
 
     scores: id, t, score. Median and mean of seven frames, runs above the threshold, gaps up to MAX_GAP
     bridged, runs of MIN_SECONDS and a peak over the floor kept, edges grown while the score stays above
     threshold - EDGE * (peak - threshold) and within the midpoints to the neighbouring runs, then at most
-    CEILING of the episode.
+    ``ceiling`` of the episode.
     """
     smooth = W.edge_mean(W.edge_median(scores, "id", "score", SMOOTH, "med"), "id", "med", SMOOTH, "v").withColumn("thr", F.lit(threshold) if not isinstance(threshold, Column) else threshold)
-    found = W.bridged(W.runs(smooth, "id", F.col("v") > F.col("thr")), "id", int(MAX_GAP * fps))
+    found = W.bridged(W.runs(smooth, "id", F.col("v") > F.col("thr")), "id", int(MAX_GAP * fps)).join(smooth.groupBy("id").agg(F.max("t").alias("top")), "id")
     order = Window.partitionBy("id").orderBy("a")
-    found = found.withColumn("lo", F.coalesce(F.floor((F.lag("b").over(order) + F.col("a")) / 2) + 1, F.lit(0))).withColumn("hi", F.coalesce(F.floor((F.col("b") + F.lead("a").over(order)) / 2), F.lit(2**31)))
-    # frames of a run and of the room around it: an equi-join on the episode with the bounds behind; runs of an episode are few
-    near = smooth.join(found, "id").filter("t >= lo AND t <= hi")
+    found = found.withColumn("s", F.coalesce(F.floor((F.lag("b").over(order) + F.col("a")) / 2) + 1, F.lit(0))).withColumn("e", F.coalesce(F.floor((F.col("b") + F.lead("a").over(order)) / 2), F.col("top")) + 1)
+    # frames of a run and of the room around it: the rooms of an episode don't overlap, so each frame meets one
+    near = I.rows_in(smooth.select("id", "t", "v", "thr"), found, "id", F.col("t"), ROOM).join(found.select("id", F.col("s").alias("o_s"), "a", "b"), ["id", "o_s"])
     run = Window.partitionBy("id", "a")
     inside = F.col("t").between(F.col("a"), F.col("b"))
     near = near.withColumn("peak", F.max(F.when(inside, F.col("v"))).over(run)).withColumn("edge", F.col("thr") - EDGE * (F.col("peak") - F.col("thr")))
     low = F.max(F.when((F.col("t") < F.col("a")) & (F.col("v") <= F.col("edge")), F.col("t"))).over(run)
     high = F.min(F.when((F.col("t") > F.col("b")) & (F.col("v") <= F.col("edge")), F.col("t"))).over(run)
-    near = near.withColumn("from", F.coalesce(low + 1, F.greatest("lo", F.min("t").over(run)))).withColumn("to", F.coalesce(high - 1, F.max("t").over(run)))
+    near = near.withColumn("from", F.coalesce(low + 1, F.min("t").over(run))).withColumn("to", F.coalesce(high - 1, F.max("t").over(run)))
     cut = near.filter(F.col("t").between(F.col("from"), F.col("to"))).groupBy("id", "a", "b").agg(F.min("t").alias("from"), F.max("t").alias("to"), F.first("peak").alias("peak"), F.avg("v").alias("mean_score"))
     floor_ = floor if isinstance(floor, Column) else F.lit(floor)
     kept = cut.filter(((F.col("b") - F.col("a") + 1) / fps >= MIN_SECONDS)).join(seconds, "id").filter(F.col("peak") >= floor_)
     out = kept.select("id", (F.col("from") / fps).alias("s"), ((F.col("to") + 1) / fps).alias("e"), "peak", "mean_score", "duration")
-    return out.filter(F.col("e") - F.col("s") <= CEILING * F.col("duration")).drop("duration")
+    return out.filter(F.col("e") - F.col("s") <= ceiling * F.col("duration")).drop("duration")
 
 
-def music(frames: DataFrame, exemplars: DataFrame, seconds: DataFrame) -> DataFrame:
-    """Segments like the exemplars. frames: id, t, FEATURES; exemplars: id, s, e; seconds: id, duration."""
-    marked = frames.join(exemplars, "id").withColumn("positive", (F.col("t") >= F.floor(F.col("s") * FPS + 0.5)) & (F.col("t") < F.floor(F.col("e") * FPS + 0.5)))
-    weights = D.fisher(marked, "id", F.col("positive"), FEATURES)
-    scored = D.scored(marked, weights, "id", FEATURES)
-    level = scored.filter("positive").groupBy("id").agg((PEAK * F.avg("score")).alias("floor"))
-    return segments(scored.select("id", "t", "score"), 0.0, F.col("floor"), seconds.join(level, "id"))
+def marked(frames: DataFrame, exemplars: DataFrame, fps: float = FPS) -> DataFrame:
+    """Adds positive: whether a frame is in one of its episode's exemplars (id, s, e), however many there are. One row a frame."""
+    edge = lambda x: F.floor(F.col(x) * fps + 0.5)
+    ranges = exemplars.groupBy("id").agg(F.collect_list(F.struct(edge("s").alias("a"), edge("e").alias("b"))).alias("__ranges"))  # a few an episode
+    inside = F.exists("__ranges", lambda r: (F.col("t") >= r["a"]) & (F.col("t") < r["b"]))
+    return frames.join(ranges, "id").withColumn("positive", inside).drop("__ranges")
+
+
+def gated(found: DataFrame, frames: DataFrame, exemplars: DataFrame, level: str, slack: float, fps: float = FPS) -> DataFrame:
+    """Segments whose mean level is at most ``slack`` below the mean of the exemplars' levels; all of them for slack 0."""
+    if not slack:
+        return found
+
+    def levels(spans: DataFrame) -> DataFrame:
+        of = spans.select("id", F.floor(F.col("s") * fps + 0.5).alias("s"), F.floor(F.col("e") * fps + 0.5).alias("e")).distinct()
+        return I.rows_in(frames.select("id", "t", level), of, "id", F.col("t"), ROOM).groupBy("id", "o_s", "o_e").agg(F.avg(level).alias("level"))
+
+    kept = D.level_gate(levels(found), levels(exemplars), "id", slack).select("id", F.col("o_s").alias("__s"), F.col("o_e").alias("__e"))
+    here = found.withColumn("__s", F.floor(F.col("s") * fps + 0.5)).withColumn("__e", F.floor(F.col("e") * fps + 0.5))
+    return here.join(kept, ["id", "__s", "__e"], "left_semi").drop("__s", "__e")
+
+
+def music(frames: DataFrame, exemplars: DataFrame, seconds: DataFrame, features: list[str] = FEATURES, strictness: float = 0.0, slack: float = 0.0, fps: float = FPS, ceiling: float = CEILING) -> DataFrame:
+    """Segments like the exemplars. frames: id, t, features (the first is the level); exemplars: id, s, e; seconds: id, duration.
+    strictness 0 to 1 raises the floor of a segment's peak from PEAK of the exemplars' mean score to all of it."""
+    held = marked(frames, exemplars, fps)
+    scored = D.scored(held, D.fisher(held, "id", F.col("positive"), features), "id", features)
+    level = scored.filter("positive").groupBy("id").agg(((PEAK + (1 - PEAK) * strictness) * F.avg("score")).alias("floor"))
+    found = segments(scored.select("id", "t", "score"), 0.0, F.col("floor"), seconds.join(level, "id"), fps, ceiling)
+    return gated(found, frames, exemplars, features[0], slack, fps)
+
+
+def by_series(frames: DataFrame, exemplars: DataFrame, seconds: DataFrame, x: str, direction: int = 1, fps: float = FPS, ceiling: float = CEILING) -> DataFrame:
+    """Segments by one series and the midpoint of its class means; direction -1 where music is the low side."""
+    held = marked(frames, exemplars, fps).withColumn("score", direction * F.col(x))
+    middle = D.midpoints(held, "id", F.col("positive"), "score")
+    floor = held.filter("positive").groupBy("id").agg(F.avg("score").alias("mean")).join(middle, "id").select("id", (F.col("threshold") + PEAK * (F.col("mean") - F.col("threshold"))).alias("floor"))
+    scores = held.join(middle, "id").select("id", "t", (F.col("score") - F.col("threshold")).alias("score"))
+    lifted = floor.join(middle, "id").select("id", (F.col("floor") - F.col("threshold")).alias("floor"))
+    return segments(scores, 0.0, F.col("floor"), seconds.join(lifted, "id"), fps, ceiling)
+
+
+def ranges_for(frames: DataFrame, exemplars: DataFrame, seconds: DataFrame, exclude: DataFrame | None = None, **options) -> DataFrame:
+    """id, s, e, peak, mean_score, separation, error: the segments of every episode with exemplars, without those that overlap ``exclude``
+    (id, s, e). An episode that can't be calibrated has one row that says why, and costs the others nothing."""
+    features, fps = options.get("features", FEATURES), options.get("fps", FPS)
+    held = marked(frames, exemplars, fps)
+    separation = D.fisher(held, "id", F.col("positive"), features).select("id", "separation")
+    found = music(frames, exemplars, seconds, **options)
+    if exclude is not None:
+        found = I.overlapping(found, exclude, "id", 60, keep=False)
+    errors = D.calibration_errors(held, "id", F.col("positive"))
+    good = separation.join(found, "id", "left").select("id", "s", "e", "peak", "mean_score", "separation", F.lit(None).cast("string").alias("error"))
+    bad = errors.select("id", *[F.lit(None).cast("double").alias(c) for c in ("s", "e", "peak", "mean_score", "separation")], "error")
+    return good.unionByName(bad)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waveloom.plans import base, detectors, extras, intervals, media, recurring, series, signals, speech, vectors
+from waveloom.plans import base, detectors, export, extras, intervals, media, recurring, series, signals, speech, vectors
 
-MODULES = (recurring, series, intervals, detectors, vectors, signals, media, speech, extras)
+MODULES = (recurring, series, intervals, detectors, vectors, signals, media, speech, export, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,6 +66,28 @@ def spectral_flatness(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.exp(F.avg(F.log(p + 1e-12))) / F.avg(p), 5).alias("flatness"), F.round(F.sum(F.when(F.col("k") <= 1, p).otherwise(0.0)) / F.sum(p), 5).alias("low_ratio"))
 
 
+@query(f"""WITH {DFT_SQL}, n AS (SELECT *, lag(mag) OVER b AS lo, lead(mag) OVER b AS hi, lag(mag) OVER w AS before, lead(mag) OVER w AS after FROM sp WINDOW b AS (PARTITION BY user_id, f ORDER BY k), w AS (PARTITION BY user_id, k ORDER BY f))
+SELECT user_id, f, k, round(mag, 4) AS mag, row_number() OVER (PARTITION BY user_id, f ORDER BY round(mag, 6) DESC, k) AS rank FROM n
+WHERE round(mag, 6) > round(lo, 6) AND round(mag, 6) >= round(hi, 6) AND round(mag, 6) >= coalesce(round(before, 6), 0) AND round(mag, 6) >= coalesce(round(after, 6), 0) QUALIFY rank <= 2""")
+def spectral_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two loudest local peaks over bins and frames of each frame; the first and last bin are none."""
+    bins, time = Window.partitionBy("user_id", "f").orderBy("k"), Window.partitionBy("user_id", "k").orderBy("f")
+    m = F.round("mag", 6)
+    held = spectrum(spark, sf_dir).withColumn("m", m).withColumns({"lo": F.lag("m").over(bins), "hi": F.lead("m").over(bins), "before": F.coalesce(F.lag("m").over(time), F.lit(0.0)), "after": F.coalesce(F.lead("m").over(time), F.lit(0.0))})
+    top = held.filter("m > lo AND m >= hi AND m >= before AND m >= after")
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("user_id", "f").orderBy(F.desc("m"), "k"))).filter("rank <= 2").select("user_id", "f", "k", F.round("mag", 4).alias("mag"), "rank")
+
+
+@query(f"""WITH {DFT_SQL}, d AS (SELECT user_id, f, k, 20 * log10(greatest(mag, 1e-12)) AS db FROM sp), o AS (SELECT user_id, k, round(db - avg(db) OVER (PARTITION BY user_id, f ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) > 0.1 AS stands_out FROM d)
+SELECT user_id, k, round(avg(CASE WHEN stands_out THEN 1.0::DOUBLE ELSE 0 END), 6) AS active FROM o GROUP BY 1, 2""")
+def bin_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each bin stands out from the mean of the bins around it."""
+    db = 20 * F.log10(F.greatest("mag", F.lit(1e-12)))
+    around = Window.partitionBy("user_id", "f").orderBy("k").rowsBetween(-1, 1)
+    held = spectrum(spark, sf_dir).withColumn("db", db).withColumn("on", F.round(F.col("db") - F.avg("db").over(around), 6) > 0.1)
+    return held.groupBy("user_id", "k").agg(F.round(F.avg(F.col("on").cast("double")), 6).alias("active"))
+
+
 @query()
 def stft_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.features(synth.episodes(spark)).drop("chroma")
