@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from waveloom.llm.common import BASE, LOWER, U, chunks, keyed_documents, mix, prefix_sums, slice_hash, stored, table, words
 
-HOT_WORDS, HOT_PAIRS = 3_000_000, 2_000_000  # the commonest are sent whole up to here, the others joined by shuffle
+HOT_WORDS, HOT_PAIRS = 3_000_000, 1_000_000  # the commonest are sent whole up to here, the others joined by shuffle
 FILTER_BYTES = 64 << 20  # the most bytes of the filter over pairs; 8 bits a pair while it is smaller
 PULL = 16.0  # K
 START = U(0)
@@ -52,8 +52,9 @@ BROADCAST_TARGET = 2_000_000  # ids of target documents sent whole up to here, j
 COUNTS = ("t", "b", "ct", "cb")  # of a word: in target documents, in all, and the same before another word; of a pair t and b
 PACKED = "word boolean, part int, keys binary, t binary, b binary, ct binary, cb binary"
 TALLIES = "word boolean, key long, t long, b long, ct long, cb long, n long, part int, bits binary"
-ROWS = "doc_id long, text_hash int, p long, n long, own long, size long, wt long, wb long, lt double, lb double"
-COLD = ", cold_w long, nw long, cold_v long"
+#: Of a pair to be looked up: how often it occurs (negative in a target document) and K p(w) in both models; of a text: its size and sums.
+ROWS = "doc_id long, text_hash int, p long, n int, kt float, kb float, size long, lt double, lb double"
+COLD = ", cold_w long, nw int, cold_v long, of long"
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,48 +277,52 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
             wt, wb = np.where(known_w, wt - own * nw, 0), np.where(known_w, wb - nw, 0)
             vt, vb = (np.where(first, s - o, np.where(known_v, v - o * nv, 0)) for s, v, o in zip(starts, (vt, vb), (own, 1)))
             pt, pb = np.where(known, pt - own * np_, 0), np.where(known, pb - np_, 0)
-            base = []
+            base, prior = [], []
             for v, p, w, all_, o in zip((vt, vb), (pt, pb), (wt, wb), tokens, (target, 1)):
-                scale = (PULL / (all_ - o * n + size))[owner]
-                base.append(np.bincount(owner, np.where(cold_v, 0.0, np.log(v + PULL)) - np.where(send, 0.0, np.log(p + scale * (w + 1))), len(n)))
+                k = (PULL / (all_ - o * n + size))[owner] * (w + 1)
+                prior.append(k)
+                base.append(np.bincount(owner, np.where(cold_v, 0.0, np.log(v + PULL)) - np.where(send, 0.0, np.log(p + k)), len(n)))
             rest = np.flatnonzero(send)
             _, head = np.unique(mix(pair[rest] + owner[rest].astype(np.uint64) * BASE), return_index=True)
             rest = rest[head]
+            signed = lambda of, at: pa.array(np.where(own[at] > 0, -of[at], of[at]).astype(np.int32))  # noqa: B023, E731
             hash_, doc = batch.column(3).to_numpy(), batch.column(0)
-            long = lambda x, absent=None: pa.array(x, pa.int64(), mask=absent)
-            nothing = pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([doc, pa.array(hash_), nothing, nothing, nothing, long(n), nothing, nothing, pa.array(base[0]), pa.array(base[1]), *[nothing] * (3 * others)], names=names)
-            absent = pa.nulls(len(rest), pa.float64())
-            cold = [long(hashes[rest].view(np.int64), ~cold_w[rest]), long(nw[rest]), long(before[rest].view(np.int64), ~cold_v[rest])] if others else []
-            yield pa.record_batch([
-                doc.take(pa.array(owner[rest])), pa.array(hash_[owner[rest]]), long(pair[rest].view(np.int64)), long(np_[rest]), long(own[rest]), long(n[owner[rest]]), long(wt[rest]), long(wb[rest]), absent, absent, *cold], names=names)
-            if others and cold_v.any():  # a context counts once for each time it precedes a word: nv is n here, and p is none
-                at_v = np.flatnonzero(cold_v)
-                _, head = np.unique(mix(before[at_v] + owner[at_v].astype(np.uint64) * BASE), return_index=True)
-                at_v = at_v[head]
-                nothing, absent = pa.nulls(len(at_v), pa.int64()), pa.nulls(len(at_v), pa.float64())
-                yield pa.record_batch([doc.take(pa.array(owner[at_v])), pa.array(hash_[owner[at_v]]), nothing, long(nv[at_v]), long(own[at_v]), nothing, nothing, nothing, absent, absent, nothing, nothing, long(before[at_v].view(np.int64))], names=names)
+            at_v = np.flatnonzero(cold_v)  # a context counts once for each time it precedes a word: nv is n here, and p is none
+            _, head = np.unique(mix(before[at_v] + owner[at_v].astype(np.uint64) * BASE), return_index=True)
+            at_v = at_v[head]
+            none = lambda size, kind=pa.int64(): pa.nulls(size, kind)
+            real = pa.float64()
+            yield pa.record_batch([doc, pa.array(hash_), none(len(n)), none(len(n), pa.int32()), none(len(n), pa.float32()), none(len(n), pa.float32()), pa.array(n, pa.int64()), pa.array(base[0]), pa.array(base[1]),
+                                   *([none(len(n)), none(len(n), pa.int32()), none(len(n)), none(len(n))] if others else [])], names=names)
+            cold = [pa.array(hashes[rest].view(np.int64), mask=~cold_w[rest]), pa.array(nw[rest].astype(np.int32)), none(len(rest)), pa.array(n[owner[rest]], pa.int64())] if others else []
+            yield pa.record_batch([doc.take(pa.array(owner[rest])), pa.array(hash_[owner[rest]]), pa.array(pair[rest].view(np.int64)), signed(np_, rest), *(pa.array(k[rest].astype(np.float32)) for k in prior), none(len(rest)), none(len(rest), real), none(len(rest), real), *cold], names=names)
+            if len(at_v):
+                m = len(at_v)
+                yield pa.record_batch([doc.take(pa.array(owner[at_v])), pa.array(hash_[owner[at_v]]), none(m), signed(nv, at_v), none(m, pa.float32()), none(m, pa.float32()), none(m), none(m, real), none(m, real),
+                                       none(m), none(m, pa.int32()), pa.array(before[at_v].view(np.int64)), none(m)], names=names)
 
     schema = ROWS + COLD * others
     names = [c.split()[0] for c in schema.split(", ")]
     rows = flagged.withColumn("text_hash", F.hash("text")).mapInArrow(measure, schema)
-    is_base, is_pair = F.col("lt").isNotNull(), F.col("p").isNotNull()
-    own = {"t": F.col("own"), "b": F.lit(1)}
-    prior = {m: F.col(f"w{m}") for m in "tb"}
+    is_base, is_pair, n = F.col("lt").isNotNull(), F.col("p").isNotNull(), F.abs("n")
+    own = {"t": F.when(F.col("n") < 0, n).otherwise(0), "b": n}  # of the text's own pair or context in either model
+    prior = {m: F.col(f"k{m}").cast("double") for m in "tb"}
     context = {m: F.lit(0.0) for m in "tb"}
     spread = F.xxhash64("doc_id", "text_hash")  # rows without a key for a join are dealt by their text
     if others:
         for c, kept, here in (("cold_w", ("t", "b"), is_pair), ("cold_v", ("ct", "cb"), ~is_pair)):
             side = often.select(F.col("key").alias(f"{c}_key"), *(F.col(k).alias(f"{c}_{m}") for k, m in zip(kept, "tb")))
             rows = rows.join(side, F.when(here, F.col(c)).isNotNull() & (F.coalesce(F.when(here, F.col(c)), spread) == F.col(f"{c}_key")), "left")
-        prior = {m: F.when(F.col("cold_w").isNotNull(), F.coalesce(F.col(f"cold_w_{m}") - own[m] * F.col("nw"), F.lit(0))).otherwise(prior[m]) for m in "tb"}
-        context = {m: F.when(~is_pair & F.col("cold_v").isNotNull(), F.col("n") * F.log(F.coalesce(F.col(f"cold_v_{m}") - own[m] * F.col("n"), F.lit(0)) + PULL)).otherwise(0.0) for m in "tb"}
+        own_w = {"t": F.when(F.col("n") < 0, F.col("nw")).otherwise(0), "b": F.col("nw")}
+        for m, all_ in zip("tb", tokens):
+            scale = PULL / (all_ - (F.when(F.col("n") < 0, F.col("of")).otherwise(0) if m == "t" else F.col("of")) + size)
+            prior[m] = F.when(F.col("cold_w").isNotNull(), scale * (F.coalesce(F.col(f"cold_w_{m}") - own_w[m], F.lit(0)) + 1)).otherwise(prior[m])
+        context = {m: F.when(~is_pair & F.col("cold_v").isNotNull(), n * F.log(F.coalesce(F.col(f"cold_v_{m}") - own[m], F.lit(0)) + PULL)).otherwise(0.0) for m in "tb"}
     joined = rows.join(pairs.hint("shuffle_hash"), is_pair & (F.coalesce("p", spread) == F.col("key")), "left")
     loss = {}
-    for m, all_ in zip("tb", tokens):
-        scale = PULL / (all_ - own[m] * F.col("size") + size)
-        c = F.coalesce(F.col(m) - own[m] * F.col("n"), F.lit(0))
-        loss[m] = F.when(is_base, F.col(f"l{m}")).when(is_pair, -F.col("n") * F.log(c + scale * (prior[m] + 1))).otherwise(context[m])
+    for m in "tb":
+        c = F.coalesce(F.col(m) - own[m], F.lit(0))
+        loss[m] = F.when(is_base, F.col(f"l{m}")).when(is_pair, -n * F.log(c + prior[m])).otherwise(context[m])
     sums = joined.groupBy("doc_id", "text_hash").agg(F.sum(F.when(is_base, F.col("size"))).alias("tokens"), F.count(F.when(is_base, 1)).alias("copies"), F.sum(loss["t"]).alias("lt"), F.sum(loss["b"]).alias("lb"))
     each = sums.select("doc_id", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), *(F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")).alias(a) for c, a in (("lt", "target_loss"), ("lb", "background_loss"))), "copies")
     return each.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
