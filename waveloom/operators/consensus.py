@@ -125,10 +125,11 @@ def robust_span(df: DataFrame, keys: list[str], time: str, share: float = 0.85)
     order = Window.partitionBy(*keys).orderBy(time)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     k = F.when(n < 4, n).otherwise(F.greatest(F.lit(2), F.floor(share * n)))
-    each = df.select(*keys, F.col(time).alias("start"), F.row_number().over(order).alias("i"), n.alias("n"), k.alias("k"))
-    last = each.select(*keys, F.col("start").alias("end"), (F.col("i") - F.col("k") + 1).alias("i"))
-    windows = each.join(last, [*keys, "i"]).groupBy(*keys, "n").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "start", "end")).alias("b"))
-    return windows.select(*keys, "n", "b.start", "b.end")
+    each = df.select(*keys, F.col(time).alias("__start"), F.row_number().over(order).alias("__i"), n.alias("__n"), k.alias("__k"))
+    last = each.select(*keys, F.col("__start").alias("__end"), (F.col("__i") - F.col("__k") + 1).alias("__i"))
+    spans = F.struct((F.col("__end") - F.col("__start")).alias("span"), F.col("__start").alias("start"), F.col("__end").alias("end"))
+    windows = each.join(last, [*keys, "__i"]).groupBy(*keys, F.col("__n").alias("n")).agg(F.min(spans).alias("__b"))
+    return windows.select(*keys, "n", "__b.start", "__b.end")
 
 
 def upper_median(x: str) -> Column:

@@ -49,7 +49,7 @@ def encoded(signals: DataFrame, rate: int = synth.RATE) -> DataFrame:
 
 
 def themes(episodes: DataFrame) -> DataFrame:
-    return episodes.select(F.concat("id", F.lit(".wav")).alias("path"), F.col("theme_at").alias("s"), (F.col("theme_at") + 11).alias("e"))
+    return episodes.select(F.concat("id", F.lit(".wav")).alias("path"), F.col("theme_at").alias("s"), (F.col("theme_at") + synth.THEME).alias("e"))
 
 
 @query()

@@ -62,6 +62,9 @@ def episode_id(path: Column) -> Column:
     return F.when(found != "", found).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+MOST_CHUNKS = 1024  # walked of a file; one whose samples lie behind more is reported without data
+
+
 def chunks(content: Column, little: bool) -> Column:
     """Chunks (id, at, size) of a RIFF or FORM body in order: at is the offset of the chunk's data."""
     start = F.struct(F.lit(12).cast("long").alias("next"), F.array().cast("array<struct<id:string,at:bigint,size:bigint>>").alias("found"))
@@ -72,7 +75,7 @@ def chunks(content: Column, little: bool) -> Column:
         more = F.struct((s["next"] + 8 + size + size % 2).alias("next"), F.array_append(s["found"], row).alias("found"))
         return F.when(s["next"] + 8 <= F.length(content), more).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s["found"])  # files hold a handful of chunks
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_CHUNKS)), start, step, lambda s: s["found"])  # files hold a handful of chunks
 
 
 def pcm(files: DataFrame) -> DataFrame:
@@ -106,10 +109,12 @@ def kept_frames(headers: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def cut_pcm(headers: DataFrame, ranges: DataFrame) -> DataFrame:
-    """path, content without the given seconds, and a report. Chunks after the data are kept; length fields are rewritten."""
+    """path, content without the given seconds, and a report. Chunks after the data are kept; length fields are rewritten.
+    A file that nothing would be left of comes back without content and with the refusal."""
     parts = kept_frames(headers, ranges).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("kept"))
     asked = ranges.filter("e > s").groupBy("path").agg(F.sum(F.col("e") - F.col("s")).alias("requested_s"))
-    held = headers.join(parts, "path").join(asked, "path", "left")
+    held = headers.join(parts, "path", "left").join(asked, "path", "left").withColumn("empty", F.col("kept").isNull())
+    held = held.withColumn("kept", F.coalesce("kept", F.array().cast(held.schema["kept"].dataType)))
     c = F.col("content")
     piece = lambda r: F.substring(c, (F.col("data_at") + r["s"] * F.col("block_align") + 1).cast("int"), ((r["e"] - r["s"]) * F.col("block_align")).cast("int"))
     data = F.aggregate("kept", F.lit(b"").cast("binary"), lambda a, r: F.concat(a, piece(r)))
@@ -124,7 +129,8 @@ def cut_pcm(headers: DataFrame, ranges: DataFrame) -> DataFrame:
     out = F.concat(F.substring(c, 1, 4), field(F.length(body).cast("long")), body)
     seconds = lambda x: x / F.col("block_align") / F.col("rate")
     removed = seconds(F.col("data_size") - F.col("n"))
-    return held.select("path", out.alias("content"), "container", extension(F.col("container")).alias("extension"), seconds(F.col("data_size")).alias("source_s"), seconds(F.col("n")).alias("output_s"), removed.alias("removed_s"), F.coalesce("requested_s", F.lit(0.0)).alias("requested_s"), (removed - F.coalesce("requested_s", F.lit(0.0))).alias("snap_s"))
+    refusal = F.when(F.col("empty"), "every sample would be removed").alias("refusal")
+    return held.select("path", F.when(~F.col("empty"), out).alias("content"), "container", extension(F.col("container")).alias("extension"), seconds(F.col("data_size")).alias("source_s"), seconds(F.col("n")).alias("output_s"), removed.alias("removed_s"), F.coalesce("requested_s", F.lit(0.0)).alias("requested_s"), (removed - F.coalesce("requested_s", F.lit(0.0))).alias("snap_s"), refusal)
 
 
 def _little(x: Column) -> Column:
@@ -133,25 +139,36 @@ def _little(x: Column) -> Column:
 
 
 def decoded(headers: DataFrame, seconds: tuple[float, float] | None = None, block: int = 8192) -> DataFrame:
-    """path, seq, x: mean over channels of 16-bit integer PCM, in blocks of ``block`` frames, of a range of seconds.
+    """path, seq, rate, x, error: mean over channels of PCM samples (8 to 32 bits, or 32-bit floats), in blocks of ``block`` frames, of a
+    range of seconds. Samples of other kinds give one row with the error.
 
     Blocks are dealt out as rows first, so a long file is decoded by many tasks, and a range touches its blocks alone.
     """
     lo, hi = (F.floor(F.lit(seconds[0]) * F.col("rate")), F.ceil(F.lit(seconds[1]) * F.col("rate"))) if seconds else (F.lit(0).cast("long"), F.col("frames"))
-    held = headers.filter("bits = 16 AND format = 'int'").withColumn("lo", lo).withColumn("hi", F.least(hi, "frames")).filter("hi > lo")
+    whole, real = (F.col("format") == "int") & F.col("bits").isin(8, 16, 24, 32), (F.col("format") == "float") & (F.col("bits") == 32)
+    known = F.coalesce((whole | real) & F.col("frames").isNotNull(), F.lit(False))
+    held = headers.filter(known).withColumn("lo", lo).withColumn("hi", F.least(hi, "frames")).filter("hi > lo")
     blocks = held.withColumn("seq", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     first, last = F.greatest(F.col("seq") * block, F.col("lo")), F.least((F.col("seq") + 1) * block, F.col("hi"))
     digits = _hex(F.col("content"), F.col("data_at") + first * F.col("block_align"), ((last - first) * F.col("block_align")).cast("int"))
-    wav = F.col("container") == "wav"
+    wav, width = F.col("container") == "wav", F.floor((F.col("bits") + 7) / 8)
+    half = F.pow(F.lit(2.0), F.col("bits") - 1)
+
+    def number_at(k: Column) -> Column:
+        piece = F.substring(F.col("digits"), (2 * width * k + 1).cast("int"), (2 * width).cast("int"))
+        return F.conv(F.when(wav, F.concat(*[F.substring(piece, at, 2) for at in (7, 5, 3, 1)])).otherwise(piece), 16, 10).cast("long")
 
     def sample(k: Column) -> Column:
-        at = (4 * k + 1).cast("int")
-        pair = F.substring(F.col("digits"), at, F.lit(4))
-        raw = F.conv(F.when(wav, F.concat(F.substring(pair, 3, 2), F.substring(pair, 1, 2))).otherwise(pair), 16, 10).cast("int")
-        return F.when(raw >= 32768, raw - 65536).otherwise(raw) / 32768
+        raw = number_at(k)
+        power, part = F.floor(raw / 2**23) % 256, raw % 2**23
+        size = F.when(power == 0, part * 2.0**-149).otherwise((1 + part / 2.0**23) * F.pow(F.lit(2.0), power - 127))
+        signed = F.when(raw >= half, raw - 2 * half).otherwise(raw) / half
+        return F.when(F.col("format") == "float", F.when(raw >= 2**31, -size).otherwise(size)).when((F.col("bits") == 8) & wav, (raw - 128) / 128).otherwise(signed)
 
     mean = lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.col("channels") - 1), lambda ch: sample(i * F.col("channels") + ch)), F.lit(0.0), lambda a, v: a + v) / F.col("channels")
-    return blocks.withColumn("digits", digits).select("path", "seq", "rate", F.transform(F.sequence(F.lit(0).cast("long"), last - first - 1), mean).alias("x"))
+    made = blocks.withColumn("digits", digits).select("path", "seq", "rate", F.transform(F.sequence(F.lit(0).cast("long"), last - first - 1), mean).alias("x"), F.lit(None).cast("string").alias("error"))
+    error = F.format_string("%s-bit %s samples are not decoded", F.coalesce(F.col("bits").cast("string"), F.lit("unknown")), "format")
+    return made.unionByName(headers.filter(~known).select("path", F.lit(None).cast("long").alias("seq"), "rate", F.lit(None).cast("array<double>").alias("x"), error.alias("error")))
 
 
 # ------------------------------------------------------------- encoded frames

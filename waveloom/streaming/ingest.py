@@ -1,7 +1,9 @@
 """Streaming ingestion: chunks of an episode arrive in any order inside a batch and are resampled with state carried on.
 
 State per episode: next expected chunk, filter memory of each section, last sample,
-fractional position, and chunks that came early.
+fractional position, and chunks that came early. A chunk without samples (x null) ends its episode: the last sample is flushed, chunks
+that are still missing are named in an error row, and the state is dropped. A chunk of another rate is an error row of its own; the
+stream goes on.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from waveloom.operators.filters import butterworth, filter_block
 
 OUT_RATE, CUTOFF = 8000, 0.45
 STATE = "held binary"
-OUTPUT = "episode_id string, seq long, first long, y array<double>"
+OUTPUT = "episode_id string, seq long, first long, y array<double>, error string"
 
 
 class Resampler:
@@ -49,24 +51,45 @@ class Resampler:
         self.made += len(y)
         return y
 
+    def flush(self) -> np.ndarray:
+        """The last sample, if an output falls on it."""
+        out = np.array([self.last]) if self.last is not None and self.ratio != 1 and abs(self.pos) < 1e-9 else np.zeros(0)
+        self.made += len(out)
+        return out
+
 
 def resample_chunks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, lowpass: bool = True) -> Iterator[pd.DataFrame]:
-    due, early, worker = pickle.loads(state.get[0]) if state.exists else (0, {}, None)
+    due, early, worker, end = pickle.loads(state.get[0]) if state.exists else (0, {}, None, None)
     for pdf in batches:
         for row in pdf.itertuples():
-            if row.seq >= due:
+            if row.x is None:
+                end = int(row.seq)
+            elif row.seq >= due:
                 early[int(row.seq)] = (float(row.sample_rate), np.asarray(row.x, float))
     rows = []
-    while due in early:
-        rate, x = early.pop(due)
+
+    def take(seq: int) -> None:
+        nonlocal worker
+        rate, x = early.pop(seq)
         worker = worker or Resampler(rate, lowpass=lowpass)
         if abs(worker.ratio * OUT_RATE - rate) > 1e-9:
-            raise ValueError(f"the rate of {key[0]} changed at chunk {due}")
-        first = worker.made
-        rows.append((key[0], due, first, worker.process(x)))
+            rows.append((key[0], seq, worker.made, None, f"rate {rate:g} instead of {worker.ratio * OUT_RATE:g}"))
+        else:
+            rows.append((key[0], seq, worker.made, worker.process(x), None))
+
+    while due in early:
+        take(due)
         due += 1
-    state.update((pickle.dumps((due, early, worker)),))
-    yield pd.DataFrame(rows, columns=["episode_id", "seq", "first", "y"])
+    if end is not None:
+        missing = [k for k in range(due, end) if k not in early]
+        for seq in sorted(early):
+            take(seq)
+        made = worker.made if worker else 0
+        rows.append((key[0], end, made, worker.flush() if worker else np.zeros(0), f"chunks missing: {missing}" if missing else None))
+        state.remove()
+    else:
+        state.update((pickle.dumps((due, early, worker, end)),))
+    yield pd.DataFrame(rows, columns=["episode_id", "seq", "first", "y", "error"])
 
 
 def resampled(chunks: DataFrame, lowpass: bool = True) -> DataFrame:
