@@ -484,6 +484,21 @@ def test_licences_whole_and_by_line(spark):
     assert got[4]["digest"] is None and got[5]["licence"] is None and got[6]["notices"] == ""
 
 
+def test_long_licences_by_digest(spark):
+    import textwrap
+
+    files = {k: f"/usr/share/common-licenses/{f}" for k, f in {"GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0"}.items()}
+    if not all(map(os.path.exists, files.values())):
+        pytest.skip("no licence texts on this machine")
+    rows = []
+    for k, (name, at) in enumerate(files.items()):
+        text = open(at, encoding="utf-8").read()
+        wrapped = "\n\n".join(textwrap.fill(part, 50) if "opyright (C)" not in part and "Copyright [" not in part else part for part in text.split("\n\n"))
+        rows += [(3 * k, text, name), (3 * k + 1, "Copyright (C) 2031 A. Body\n" + wrapped.upper(), name), (3 * k + 2, text[:-200], None)]
+    got = {r["doc_id"]: r["licence"] for r in q10.scan(edge.documents(spark, rows)).collect()}
+    assert got == {i: name for i, _, name in rows}
+
+
 @pytest.mark.parametrize("f", [q1.judge, q3.remove_repeats, q4.redact, q5.pack, q6.identify, q8.classes, q9.token_counts, q10.scan])
 def test_empty_table(empty, f):
     assert f(empty).count() == 0
