@@ -1,21 +1,27 @@
 """PII surrogates: keyed, type-consistent, in DataFrame functions only.
 
-Entities (e-mail, IPv4, card, phone, SSN, IBAN, access key, named secret, titled
-or known personal name) are found by one regular expression. Each distinct
-(kind, canonical value) of the corpus gets one surrogate from a keyed SHA-512
-stream, so mentions stay coreferent over the whole corpus. Surrogates keep kind,
+Entities (e-mail, IPv4, card, phone, SSN, IBAN, access key, named secret, personal
+names) are found by one regular expression. Personal names are one or two capitalised words after a title, a listed
+given name and a word, or two capitalised words where the text around says that a person is meant (``BEFORE``, ``AFTER``).
+Each distinct (kind, canonical value) of the corpus gets one surrogate from a keyed SHA-512
+stream, so mentions stay coreferent over the whole corpus. Names are drawn by their parts: a given name and a family name
+have a surrogate each, so a person keeps one name with a title, without, and by the surname alone; in a document that
+names somebody, the parts standing alone are replaced too. Surrogates keep kind,
 format (digits for digits, case, separators, prefixes, a valid Luhn digit where the
-card had one, octets in range), script and, for names, gender.
+card had one, octets in range), script and, for given names, gender.
 
 Collision checks keep distinct entities distinct: while two entities share a
 surrogate, or one equals a real value of the corpus, the later ones take the
-next salt; this is repeated until no collision is left.
+next salt, which lengthens a name by one part each time; this is repeated until no collision is left.
 
 Only documents with an entity are shuffled (by doc_id and text hash); the
 others pass straight through.
 
+The key is an argument: whoever has it can tell which surrogate a guessed value gets, so it is kept apart from the data.
+
 Defined cases: null and empty texts come back unchanged with 0 entities;
-repeated rows come back each; a null doc_id stays null; an empty table gives no row; other
+repeated rows come back each; a null doc_id stays null; a very long text is rewritten whole in its task (about 20 times its size); where two
+kinds could match, the first of ``KINDS`` at the first place does; an empty table gives no row; other
 columns are kept by ``redact`` and dropped by the query.
 """
 
@@ -26,8 +32,9 @@ from pyspark.sql import functions as F
 
 from waveloom.llm.common import stored, table
 
-KEY = "waveloom-surrogates"
-ROUNDS = 30
+#: Spark setting that holds the key of the registered query; a public stand-in where it is unset, as in tests.
+KEY_SETTING, STAND_IN = "spark.waveloom.pii.key", "public-stand-in"
+ROUNDS = 60
 
 #: Given names by script and gender, family names by script.
 GIVEN = {
@@ -52,7 +59,11 @@ TITLES = {
 
 _FIRST = sorted({n for names in GIVEN.values() for n in names} | set("Alice Bob John Jane Mary Michael William Elizabeth Thomas Susan Hans Pierre Jean Juan José Ana".split()))
 _TITLE = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
-_FEMALE = [*TITLES["f"], *(n for (_, g), ns in GIVEN.items() if g == "f" for n in ns), *"Alice Jane Mary Elizabeth Susan Ana".split()]
+_MALE = [n for (_, g), ns in GIVEN.items() if g == "m" for n in ns] + "Bob John Michael William Thomas Hans Pierre Jean Juan José".split()
+_FEMALE = [*(n for (_, g), ns in GIVEN.items() if g == "f" for n in ns), *"Alice Jane Mary Elizabeth Susan Ana".split()]
+#: Words that a person's name stands behind, and before.
+BEFORE = "by from with contact dear regards sincerely signed cc attn".split()
+AFTER = "wrote writes said says replied asked answered called emailed told reported explained added agreed".split()
 _CAPITAL = r"(?=\p{Lu})\b"  # names begin with a capital: tested first, since nearly every place fails there
 _PART = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 KINDS = (
@@ -64,16 +75,17 @@ KINDS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])"),
-    ("name", rf"{_CAPITAL}(?:(?:{'|'.join(_TITLE)})\b\.?\s{_PART}(?:\s{_PART})?|(?:{'|'.join(_FIRST)})\s{_PART})"),
+    ("name", rf"{_CAPITAL}(?:(?:{'|'.join(_TITLE)})\b\.?\s{_PART}(?:\s{_PART})?|(?:{'|'.join(_FIRST)})\s{_PART}|{_PART}\s{_PART}(?=\s(?:and\s{_PART}\s{_PART}\s)?(?:{'|'.join(AFTER)})\b)|(?<=\b(?i:{'|'.join(BEFORE)}),?\s){_PART}\s{_PART})"),
 )
+PARTS = "array<struct<old:string,new:string>>"
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: A cheap test that every text with an entity passes: a character that all but names and keys need, a key's prefix, or a title or given name.
-HINT = rf"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|{_CAPITAL}(?:{'|'.join([*_TITLE, *_FIRST])})\b"
+HINT = rf"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|{_CAPITAL}(?:{'|'.join([*_TITLE, *_FIRST])})\b|\p{{Ll}}\s(?:{'|'.join(AFTER)})\b|\b(?i:{'|'.join(BEFORE)}),?\s\p{{Lu}}"
 
 
-def stream(kind: Column, value: Column, salt: Column) -> Column:
-    """512 hex digits keyed by kind, value and salt."""
-    return F.concat(*[F.sha2(F.concat_ws("|", F.lit(KEY), F.lit(str(k)), kind, value, salt.cast("string")), 512) for k in range(4)])
+def stream(key: str, kind: Column, value: Column, salt: Column) -> Column:
+    """512 hex digits keyed by key, kind, value and salt."""
+    return F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(k)), kind, value, salt.cast("string")), 512) for k in range(4)])
 
 
 def byte(digits: Column, k: Column) -> Column:
@@ -107,11 +119,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def surrogate(kind: Column, value: Column, norm: Column, salt: Column) -> Column:
-    return let(stream(kind, norm, salt), lambda digits: drawn_from(digits, kind, value, salt))
+def surrogate(key: str, kind: Column, value: Column, norm: Column, salt: Column) -> Column:
+    return let(stream(key, kind, norm, salt), lambda digits: drawn_from(key, digits, kind, value, salt))
 
 
-def drawn_from(digits: Column, kind: Column, value: Column, salt: Column) -> Column:
+def drawn_from(key: str, digits: Column, kind: Column, value: Column, salt: Column) -> Column:
     prefix = F.coalesce(
         F.when(kind == "secret", F.regexp_extract(value, r"^[A-Za-z_-]+\s*[=:]\s*[\"']?", 0))
         .when(kind == "key", F.regexp_extract(value, r"^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0))
@@ -120,28 +132,33 @@ def drawn_from(digits: Column, kind: Column, value: Column, salt: Column) -> Col
     plain = F.concat(prefix, respelt(F.substring(value, F.length(prefix) + 1, F.length(value)), digits))
     ip = F.concat_ws(".", *[(byte(digits, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     host = F.lower(F.substring_index(value, "@", -1))
-    email = F.concat(respelt(F.substring_index(value, "@", 1), digits), F.lit("@"), F.translate(let(stream(F.lit("host"), host, F.lit(0)), lambda d: respelt(F.regexp_replace(host, r"\.[^.]*$", ""), d)), ".", "-"), F.lit(".example."), F.regexp_extract(host, r"[^.]*$", 0))
+    email = F.concat(respelt(F.substring_index(value, "@", 1), digits), F.lit("@"), F.translate(let(stream(key, F.lit("host"), host, F.lit(0)), lambda d: respelt(F.regexp_replace(host, r"\.[^.]*$", ""), d)), ".", "-"), F.lit(".example."), F.regexp_extract(host, r"[^.]*$", 0))
     only = F.regexp_replace(value, "[^0-9]", "")
     body = F.regexp_replace(F.substring(plain, F.lit(1), F.length(plain) - 1), "[^0-9]", "")
     check = ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(luhn_sum(only) % 10 == 0, F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), check)).otherwise(plain)
-    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "name", name(value, digits, salt)).otherwise(plain)
+    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind.isin("given", "family"), name_part(kind, value, digits, salt)).otherwise(plain)
 
 
-def name(value: Column, digits: Column, salt: Column) -> Column:
-    """Title kept; given and family names of the same script and gender; a salted one carries one more family name for each salt, so there is always room."""
-    title = F.regexp_extract(value, rf"^(?:{'|'.join(_TITLE)})\b\.?\s", 0)
-    rest = F.substring(value, F.length(title) + 1, F.length(value))
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    female = value.rlike(rf"\b(?:{'|'.join(_FEMALE)})\b") | (~value.rlike(rf"\b(?:{'|'.join(TITLES['m'])})\b") & F.split(rest, r"\s")[0].rlike("(?:a|α|η|а|я)$"))
+def name_part(kind: Column, value: Column, digits: Column, salt: Column) -> Column:
+    """A given name of the same script and gender, or a family name of the same script; a salted one carries one more for each salt, so there is always room."""
+    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    female = value.isin(*_FEMALE) | (~value.isin(*_MALE) & value.rlike("(?:a|α|η|а|я)$"))
     pick = lambda options, k: F.element_at(F.array(*[F.lit(x) for x in options]), (byte(digits, k) * 256 + byte(digits, k + 1)) % len(options) + 1)
-    given, family = F.lit(""), F.lit("")
-    for (s, g), options in GIVEN.items():
-        given = F.when((script == s) & (female == F.lit(g == "f")), pick(options, F.lit(0))).otherwise(given)
-    for s, options in FAMILY.items():
-        double = F.array_join(F.transform(F.sequence(F.lit(0), salt), lambda k: pick(options, 2 * k + 2)), "-")  # noqa: B023
-        family = F.when(script == s, double).otherwise(family)
-    return F.concat(title, F.when(rest.rlike(r"\s"), F.concat_ws(" ", given, family)).when(title == "", given).otherwise(family))
+    out = F.lit("")
+    for options, fits in [(o, (kind == "given") & (script == s) & (female == F.lit(g == "f"))) for (s, g), o in GIVEN.items()] + [(o, (kind == "family") & (script == s)) for s, o in FAMILY.items()]:
+        joined = F.array_join(F.transform(F.sequence(F.lit(0), salt), lambda k: pick(options, 2 * k)), "-")  # noqa: B023
+        out = F.when(fits, joined).otherwise(out)
+    return out
+
+
+def name_parts(value: Column) -> Column:
+    """title with the blank behind it, given and family name of a name as it stands; what is absent is empty."""
+    title = F.regexp_extract(value, rf"^(?:{'|'.join(_TITLE)})\b\.?\s", 0)
+    rest = F.split(F.substring(value, F.length(title) + 1, F.length(value)), r"\s")
+    alone = F.size(rest) == 1
+    given = F.when(~alone | rest[0].isin(*_FIRST), rest[0]).otherwise("")
+    return F.struct(title.alias("title"), given.alias("given"), F.when(alone, F.when(given == "", rest[0]).otherwise("")).otherwise(F.element_at(rest, -1)).alias("family"))
 
 
 def kind_of(value: Column) -> Column:
@@ -152,9 +169,11 @@ def kind_of(value: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What makes mentions the same entity: digits of numbers, lower case of addresses, the value of a secret."""
+    """What makes mentions the same entity: digits of numbers (a North American phone number with or without its country), lower case of addresses and names, the value of a secret."""
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(value, "[^0-9]", ""))
+        F.when(kind.isin("card", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(F.regexp_replace(value, r"^\+1(?=[ .(-])", ""), "[^0-9]", ""))
+        .when(kind.isin("given", "family"), F.lower(value))
         .when(kind == "email", F.lower(value))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_replace(value, r"^[A-Za-z_-]+\s*[=:]\s*[\"']?", ""))
@@ -165,35 +184,58 @@ def found(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
-def surrogates(values: DataFrame) -> DataFrame:
-    """value -> surrogate for every distinct value; entities that differ get surrogates that differ."""
-    kinds = values.withColumn("kind", kind_of(F.col("value"))).withColumn("norm", canonical(F.col("kind"), F.col("value")))
-    make = lambda df: df.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("norm"), F.col("salt")))
-    drawn = stored(make(kinds.withColumn("salt", F.lit(0))), "surrogates")
+def surrogates(values: DataFrame, key: str) -> DataFrame:
+    """value, kind, surrogate, parts: a row for every distinct value; entities that differ get surrogates that differ. parts: what a
+    name's given and family name become, for mentions of them alone."""
+    kinds = stored(values.select("value").distinct().withColumn("kind", kind_of(F.col("value"))), "entities")
+    names = kinds.filter("kind = 'name'").withColumn("p", name_parts(F.col("value"))).select("value", "p.*")
+    parts = names.select(F.explode(F.array(*[F.struct(F.col(k).alias("value"), F.lit(k).alias("kind")) for k in ("given", "family")])).alias("x")).select("x.*").filter("value <> ''").distinct()
+    made = drawn(kinds.filter("kind <> 'name'").select("value", "kind").unionByName(parts), key)
+    plain = made.filter("kind NOT IN ('given', 'family')").select("value", "kind", "surrogate", F.array().cast(PARTS).alias("parts"))
+    for k in ("given", "family"):
+        names = names.join(made.filter(F.col("kind") == k).select(F.col("value").alias(k), F.col("surrogate").alias(f"{k}_new")), k, "left")
+    whole = F.concat("title", F.concat_ws(" ", "given_new", "family_new"))
+    alone = F.filter(F.array(*[F.struct(F.col(k).alias("old"), F.col(f"{k}_new").alias("new")) for k in ("given", "family")]), lambda x: F.length(x["old"]) >= 3)
+    return plain.unionByName(names.select("value", F.lit("name").alias("kind"), whole.alias("surrogate"), alone.cast(PARTS).alias("parts")))
+
+
+def drawn(entities: DataFrame, key: str) -> DataFrame:
+    """value, kind -> surrogate by rounds of salts, until no two collide and none is a real value."""
+    kinds = entities.withColumn("norm", canonical(F.col("kind"), F.col("value")))
+    make = lambda df: df.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("norm"), F.col("salt")))
+    now = stored(make(kinds.withColumn("salt", F.lit(0))), "surrogates")
     for _ in range(ROUNDS):
-        drawn_key = drawn.withColumn("made_norm", canonical(F.col("kind"), F.col("made")))
+        keyed = now.withColumn("made_norm", canonical(F.col("kind"), F.col("made")))
         order = Window.partitionBy("kind", "made_norm").orderBy("norm")
-        ranked = drawn_key.withColumn("late", F.dense_rank().over(order) > 1)
-        real = drawn.select(F.col("kind").alias("real_kind"), F.col("norm").alias("real_norm")).distinct()
+        ranked = keyed.withColumn("late", F.dense_rank().over(order) > 1)
+        real = now.select(F.col("kind").alias("real_kind"), F.col("norm").alias("real_norm")).distinct()
         marked = ranked.join(real, (F.col("kind") == F.col("real_kind")) & (F.col("made_norm") == F.col("real_norm")), "left")
         clash = marked.withColumn("clash", F.col("late") | F.col("real_norm").isNotNull()).groupBy("kind", "norm").agg(F.max("clash").alias("clash")).filter("clash")
         if clash.isEmpty():
-            return drawn.select("value", "kind", F.col("made").alias("surrogate"))
-        drawn = stored(make(drawn.join(clash, ["kind", "norm"], "left").withColumn("salt", F.col("salt") + F.when(F.col("clash"), 1).otherwise(0)).drop("clash", "made")), "surrogates")
+            return now.select("value", "kind", F.col("made").alias("surrogate"))
+        now = stored(make(now.join(clash, ["kind", "norm"], "left").withColumn("salt", F.col("salt") + F.when(F.col("clash"), 1).otherwise(0)).drop("clash", "made")), "surrogates")
     raise ValueError(f"surrogates still collide after {ROUNDS} rounds")
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def parts_replaced(piece: Column, parts: Column) -> Column:
+    """Parts of the document's names standing alone, all marked before any is written, so no surrogate is replaced again."""
+    mark = lambda i: F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001"))
+    numbered = F.transform(parts, lambda x, i: F.struct(x["old"].alias("old"), x["new"].alias("new"), mark(i).alias("mark")))
+    marked = F.aggregate(numbered, piece, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), x["old"], F.lit(r"(?![\p{L}\p{N}_])")), x["mark"]))
+    return F.aggregate(numbered, marked, lambda t, x: F.replace(t, x["mark"], x["new"]))
+
+
+def redact(docs: DataFrame, key: str) -> DataFrame:
     """docs with text rewritten, and n_entities. All other columns are kept."""
     columns, text = docs.columns, F.col("text").cast("string")
     hinted = F.coalesce(text.rlike(HINT), F.lit(False))
     maybe, clean = docs.filter(hinted), docs.filter(~hinted)
-    key = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")]
-    mentions = stored(maybe.select(*key, F.explode(F.array_distinct(found(text))).alias("value")), "mentions")
-    maps = mentions.join(surrogates(mentions.select("value").distinct()), "value").groupBy("__id", "__text").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("__map"))
+    mentions = stored(maybe.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), F.explode(F.array_distinct(found(text))).alias("value")), "mentions")
+    maps = mentions.join(stored(surrogates(mentions, key), "replacements"), "value").groupBy("__id", "__text").agg(
+        F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("__map"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("parts")))).alias("__parts"))  # as many as the document has entities
 
     def rewritten(z: Column) -> Column:
-        pieces = F.transform(z["between"], lambda part, i: F.array(part, F.coalesce(F.try_element_at(F.col("__map"), F.get(z["found"], i)), F.lit(""))))
+        pieces = F.transform(z["between"], lambda part, i: F.array(F.when(F.size("__parts") > 0, parts_replaced(part, F.col("__parts"))).otherwise(part), F.coalesce(F.try_element_at(F.col("__map"), F.get(z["found"], i)), F.lit(""))))
         return F.struct(F.array_join(F.flatten(pieces), "").alias("text"), F.size(z["found"]).cast("long").alias("n"))
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
@@ -205,4 +247,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return redact(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.conf.get(KEY_SETTING, STAND_IN))
