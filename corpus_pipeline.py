@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waveloom.llm.common import stored, table
-from waveloom.llm.op4_pii_surrogates import redact
+from waveloom.llm.op4_pii_surrogates import KEY_SETTING, STAND_IN, redact
 from waveloom.llm.op5_best_fit_packing import pack
 from waveloom.llm.op6_language_id import UNKNOWN, identify
 from waveloom.llm.op7_template_decontamination import leaks
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogate_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewrites personal data; n_chars follows the text."""
-    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    return redact(docs, spark.conf.get(KEY_SETTING, STAND_IN)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
