@@ -7,8 +7,8 @@
    empty, so every coordinate is filled and values compare across sets.
 2. Equal sets are one node (a 64-bit digest of the set); only the text of its smallest document goes on.
 3. Bands of ``ROWS`` coordinates are bucket keys. A bucket proposes only pairs
-   with a centre (the least id under the round's scrambling), not all
-   pairs. Pairs are verified on full sets: 100 * common >= 75 * union.
+   with a centre, not all pairs: one of those members that meet most others over all their buckets, since a text with few edits
+   is near to far more of its group than one with many; another one each round. Pairs are verified on full sets: 100 * common >= 75 * union.
 4. Components are spread over verified links. Buckets that still hold two
    components get another centre, up to ``STAR_ROUNDS`` rounds; in the last one the documents left in
    such buckets are joined by prefix filter, which proposes every pair across components that can be similar
@@ -145,13 +145,19 @@ def small(df: DataFrame, name: str) -> DataFrame:
 
 
 def centred(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's members with its centre, the least node under the turn's scrambling."""
-    mask = F.lit(_SCRAMBLE[turn])
-    centres = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(mask)).alias("low")).filter("size > 1").select("key", F.col("low").bitwiseXOR(mask).alias("centre"))
+    """Pairs (a, b) of each bucket's members with its centre, the first under the turn's scrambling of those in the highest class of popularity."""
+    rank = F.struct(F.col("popular"), F.col("node").bitwiseXOR(F.lit(_SCRAMBLE[turn])).alias("scrambled"))
+    centres = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(rank).alias("top")).filter("size > 1").select("key", F.col("top.scrambled").bitwiseXOR(F.lit(_SCRAMBLE[turn])).alias("centre"))
     pairs = buckets.join(small(centres, "centres"), "key").filter("node <> centre")
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def with_popularity(buckets: DataFrame) -> DataFrame:
+    """buckets (node, key, size) with popular: the class (powers of the square root of 2) of how many others a node meets, over all its buckets."""
+    met = buckets.groupBy("node").agg(F.floor(2 * F.log2(F.sum(F.col("size") - 1).cast("double"))).alias("popular"))
+    return buckets.join(small(met, "popularity"), "node").select("node", "key", "popular")
+
+
 def by_prefix(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) across components that can reach the similarity. With the shingles of every set in one order,
     the rarest first, two sets that similar share one among their first n - ceil(percent n / 100) + 1, and from their first
@@ -183,8 +189,8 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = stored(all_.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
     texts = all_.join(first, (all_["node"] == first["node"]) & (all_["doc_id"] == first["first"]), "left_semi").dropDuplicates(["node"])
     members = texts.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    buckets = stored(members.join(small(shared, "keys"), "key"), "buckets")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = stored(with_popularity(stored(members.join(small(shared, "keys"), "key"), "members")), "buckets")
     wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id", "text_hash")
     sets = stored(shingle_sets(docs.join(wanted, ["doc_id", "text_hash"], "left_semi")).dropDuplicates(["node"]), "sets")
     tested = stored(centred(buckets, 0), "pairs")
@@ -198,7 +204,7 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not left:
             break
         last = turn == STAR_ROUNDS or (found is not None and found < HELPFUL * left)
-        fresh = by_prefix(open_.select("node", "component").distinct(), sets, percent) if last else centred(open_.select("node", "key"), turn)
+        fresh = by_prefix(open_.select("node", "component").distinct(), sets, percent) if last else centred(open_.select("node", "key", "popular"), turn)
         fresh = stored(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = stored(verified(fresh, sets, percent), "links")
         if found := more.count():
