@@ -55,6 +55,17 @@ def test_quality_counts_match_brute_force(docs):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_rates_follow_the_documents(spark):
+    m = len(q1.RULES)
+    code = lambda votes: sum(x * 3**k for k, x in enumerate(votes))
+    usual, junk = [2] * m, [0, 0, *[2] * (m - 2)]
+    noisy = [2] * (m - 1) + [0]  # a rule that votes bad on many documents that are good by all others
+    rows = [(code(usual), 6000), (code(junk), 1000), (code(noisy), 3000)]
+    got = {r["pattern"]: r for r in q1.fitted(spark.createDataFrame(rows, "pattern int, n long")).collect()}
+    assert got[code(usual)]["quality"] > 0.9 > 0.1 > got[code(junk)]["quality"]
+    assert got[code(noisy)]["good"][3 * (m - 1)] > 0.1 > 10 * q1.EXPECTED_GOOD[0] and got[code(noisy)]["quality"] > 0.5
+
+
 def test_quality_em_matches_plain_em(spark):
     m, rng = len(q1.RULES), np.random.default_rng(5)
     patterns = sorted({int(sum((2 if rng.random() < 0.8 else rng.integers(0, 2)) * 3**k for k in range(m))) for _ in range(30)})
@@ -62,15 +73,14 @@ def test_quality_em_matches_plain_em(spark):
     df = spark.createDataFrame([(p, int(c)) for p, c in zip(patterns, n)], "pattern int, n long")
     got = {r["pattern"]: r["quality"] for r in q1.fitted(df, 10).collect()}
     v = np.array([[p // 3**k % 3 for k in range(m)] for p in patterns])
-    prior, good, bad = q1.START_PRIOR, np.tile([0.05, 0.15, 0.8], (m, 1)), np.tile([0.4, 0.2, 0.4], (m, 1))
+    weight = n / n.sum()
+    prior, good, bad = q1.PRIOR, np.tile(q1.EXPECTED_GOOD, (m, 1)), np.tile(q1.EXPECTED_BAD, (m, 1))
     post = lambda: 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (np.log(good[np.arange(m), v]) - np.log(bad[np.arange(m), v])).sum(axis=1))))
     for _ in range(10):
         p = post()
-        prior = min(max((n * p).sum() / n.sum(), 0.05), 0.95)
-        share = lambda w: np.array([[(0.5 + (w * (v[:, j] == k)).sum()) / (1.5 + w.sum()) for k in range(3)] for j in range(m)])
-        good, bad = share(n * p), share(n * (1 - p))
-        good[:, 0] = np.minimum(good[:, 0], q1.BAD_ON_GOOD)
-        bad[:, 0], bad[:, 2] = np.maximum(bad[:, 0], q1.BAD_ON_BAD), np.maximum(bad[:, 2], q1.GOOD_ON_BAD)
+        prior = (q1.BELIEF * q1.PRIOR + (weight * p).sum()) / (q1.BELIEF + 1)
+        share = lambda w, e: np.array([[(q1.BELIEF * e[k] + (w * (v[:, j] == k)).sum()) / (q1.BELIEF + w.sum()) for k in range(3)] for j in range(m)])
+        good, bad = share(weight * p, q1.EXPECTED_GOOD), share(weight * (1 - p), q1.EXPECTED_BAD)
     assert np.allclose([got[p] for p in patterns], post(), atol=1e-9)
 
 

@@ -2,17 +2,19 @@
 
 Nine rules look at counts of a document; each votes good (+1), bad (-1) or
 abstains (0). A document is thus one of 3**9 vote patterns. Expectation-
-maximisation runs over the pattern counts (one row holding at most 6,561
+maximisation runs over the pattern counts (one row holding at most 3**9 = 19,683
 entries, whatever the corpus): it estimates, without labels, the share of good
-documents and how often each rule is right on good and on bad ones. A document's
+documents and how often each rule is right on good and on bad ones. What a rule's author expects (``EXPECTED_GOOD``,
+``EXPECTED_BAD``) counts like ``BELIEF`` of the corpus beside the documents themselves, so no rate is fixed or bounded; without any, EM
+takes the commonest kind of junk for the whole bad class. A document's
 posterior probability of being good decides, instead of passing every rule. The base limits of the contract are reported beside it.
 
 Counts are taken in the scan's own tasks by array functions (no exchange of
 words); the feature rows go to the shared folder once, so the text is read once.
 
 Defined cases: null and empty text have zero counts and fail the base; repeated
-rows get a row each; an empty table gives no row; a null doc_id stays null;
-other columns are ignored. Windows are compared by 64-bit hash of their words.
+rows get a row each; an empty table gives no row; a null doc_id stays null; a very long text is counted whole in its
+task (about 30 times its size); a posterior at the threshold is good; other columns are ignored. Windows are compared by 64-bit hash of their words.
 """
 
 from __future__ import annotations
@@ -25,12 +27,8 @@ from waveloom.llm.common import keyed_documents, stored, table
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 ROUNDS = 25
-START_PRIOR = 0.85
-START_GOOD, START_BAD = "0.05D, 0.15D, 0.8D", "0.4D, 0.2D, 0.4D"  # where EM starts: votes bad, abstains, votes good
-# What a rule's author vouches for, kept as bounds while the rates are estimated; without them EM takes the commonest
-# kind of junk for the whole bad class, and the absence of that kind for goodness.
-BAD_ON_GOOD, BAD_ON_BAD, GOOD_ON_BAD = 0.002, 0.2, 0.45  # at most, at least, at least
-SMOOTHING = 0.5  # documents added to each count
+PRIOR, BELIEF = 0.85, 0.05  # expected share of good documents; weight of all expectations, as a share of the corpus
+EXPECTED_GOOD, EXPECTED_BAD = (0.002, 0.15, 0.848), (0.25, 0.25, 0.5)  # a rule's votes bad, abstains, votes good; EM starts here
 THRESHOLD = 0.5
 
 #: (name, votes bad when, votes good when); abstains otherwise.
@@ -102,21 +100,22 @@ def fitted(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     m = len(RULES)
     powers = ", ".join(str(3**k) for k in range(m))
-    start = "flatten(array_repeat(array({}), " + str(m) + "))"
+    expected = {c: f"flatten(array_repeat(array({', '.join(f'{x}D' for x in e)}), {m}))" for c, e in (("good", EXPECTED_GOOD), ("bad", EXPECTED_BAD))}
     odds = "ln(s.prior / (1 - s.prior)) + aggregate(q.slots, 0D, (x, i) -> x + ln(s.good[i]) - ln(s.bad[i]))"
-    share = (
-        f"transform(sequence(0, {3 * m - 1}), i -> (aggregate(held, {{w0}}, (x, q) -> x + CASE WHEN q.slots[i div 3] = i THEN q.n * {{w}} ELSE 0D END))"
-        f" / aggregate(held, {{w1}}, (x, q) -> x + q.n * {{w}}))")
+
+    def share(c: str, w: str) -> str:  # n adds up to 1, so BELIEF is a share of the corpus
+        return (
+            f"transform({expected[c]}, (e, i) -> (aggregate(held, {BELIEF}D * e, (x, q) -> x + CASE WHEN q.slots[i div 3] = i THEN q.n * {w} ELSE 0D END))"
+            f" / aggregate(held, {BELIEF}D, (x, q) -> x + q.n * {w}))")
+
     step = f"""
-      aggregate(sequence(1, {rounds}), named_struct('prior', {START_PRIOR}D, 'good', {start.format(START_GOOD)}, 'bad', {start.format(START_BAD)}), (s, r) ->
+      aggregate(sequence(1, {rounds}), named_struct('prior', {PRIOR}D, 'good', {expected['good']}, 'bad', {expected['bad']}), (s, r) ->
         transform(array(transform(seen, q -> named_struct('slots', q.slots, 'n', q.n, 'p', 1 / (1 + exp(-({odds})))))), held ->
-          named_struct(
-            'prior', least(greatest(aggregate(held, 0D, (x, q) -> x + q.n * q.p) / aggregate(held, 0D, (x, q) -> x + q.n), 0.05D), 0.95D),
-            'good', transform({share.format(w='q.p', w0=f'{SMOOTHING}D', w1=f'{3 * SMOOTHING}D')}, (x, i) -> IF(i % 3 = 0, least(x, {BAD_ON_GOOD}D), x)),
-            'bad', transform({share.format(w='(1 - q.p)', w0=f'{SMOOTHING}D', w1=f'{3 * SMOOTHING}D')}, (x, i) -> CASE i % 3 WHEN 0 THEN greatest(x, {BAD_ON_BAD}D) WHEN 2 THEN greatest(x, {GOOD_ON_BAD}D) ELSE x END)))[0])"""
+          named_struct('prior', ({BELIEF * PRIOR}D + aggregate(held, 0D, (x, q) -> x + q.n * q.p)) / {1 + BELIEF}D, 'good', {share('good', 'q.p')}, 'bad', {share('bad', '(1 - q.p)')}))[0])"""
     one = (
         counts.select("n", "pattern", F.expr(f"transform(array({powers}), (p, j) -> CAST((pattern div p) % 3 + 3 * j AS INT))").alias("slots"))
-        .agg(F.collect_list(F.struct("pattern", "slots", F.col("n").cast("double").alias("n"))).alias("seen"))
+        .agg(F.collect_list(F.struct("pattern", "slots", F.col("n").cast("double").alias("n"))).alias("seen"), F.sum("n").cast("double").alias("total"))
+        .withColumn("seen", F.expr("transform(seen, q -> named_struct('pattern', q.pattern, 'slots', q.slots, 'n', q.n / total))"))
         .withColumn("s", F.expr(step))
     )
     return one.select("s", F.explode("seen").alias("q")).select("q.pattern", F.expr(f"1 / (1 + exp(-({odds})))").alias("quality"), "s.prior", "s.good", "s.bad")
