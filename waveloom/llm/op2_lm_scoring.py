@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waveloom.llm.common import BASE, LOWER, U, chunks, keyed_documents, mix, prefix_sums, slice_hash, stored, table, words
@@ -52,9 +52,11 @@ BROADCAST_TARGET = 2_000_000  # ids of target documents sent whole up to here, j
 COUNTS = ("t", "b", "ct", "cb")  # of a word: in target documents, in all, and the same before another word; of a pair t and b
 PACKED = "word boolean, part int, keys binary, t binary, b binary, ct binary, cb binary"
 TALLIES = "word boolean, key long, t long, b long, ct long, cb long, n long, part int, bits binary"
-#: Of a pair to be looked up: how often it occurs (negative in a target document) and K p(w) in both models; of a text: its size and sums.
-ROWS = "doc_id long, text_hash int, p long, n int, kt float, kb float, size long, lt double, lb double"
+#: Of a pair to be looked up: tn, the text's hash and how often the pair occurs in it (negative in a target document), and k, the logarithms
+#: of K p(w) in both models, two 32-bit numbers each; of a text: its size and sums.
+ROWS = "doc_id long, tn long, p long, k long, size long, lt double, lb double"
 COLD = ", cold_w long, nw int, cold_v long, of long"
+STEPS = float(1 << 25)  # of a logarithm: half a step is 1.5e-8
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,6 +235,15 @@ def looked_up(keys: np.ndarray, table_keys: np.ndarray, columns: list[np.ndarray
     return known[which], [np.where(known, c[at], 0)[which].astype(np.int64) for c in columns]
 
 
+def two(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two 32-bit numbers in one of 64."""
+    return (high.astype(np.int64) << 32) | (low.astype(np.int64) & 0xFFFFFFFF)
+
+
+def halves(column: str) -> tuple[Column, Column]:
+    return F.shiftright(column, 32), F.shiftright(F.shiftleft(column, 32), 32)
+
+
 def times(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """How often each key occurs in its own text."""
     _, which, n = np.unique(mix(keys + owner.astype(np.uint64) * BASE), return_inverse=True, return_counts=True)
@@ -285,37 +296,38 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
             rest = np.flatnonzero(send)
             _, head = np.unique(mix(pair[rest] + owner[rest].astype(np.uint64) * BASE), return_index=True)
             rest = rest[head]
-            signed = lambda of, at: pa.array(np.where(own[at] > 0, -of[at], of[at]).astype(np.int32))  # noqa: B023, E731
             hash_, doc = batch.column(3).to_numpy(), batch.column(0)
             at_v = np.flatnonzero(cold_v)  # a context counts once for each time it precedes a word: nv is n here, and p is none
             _, head = np.unique(mix(before[at_v] + owner[at_v].astype(np.uint64) * BASE), return_index=True)
             at_v = at_v[head]
             none = lambda size, kind=pa.int64(): pa.nulls(size, kind)
+            signed = lambda of, at: pa.array(two(hash_[owner[at]], np.where(own[at] > 0, -of[at], of[at])))  # noqa: B023, E731
             real = pa.float64()
-            yield pa.record_batch([doc, pa.array(hash_), none(len(n)), none(len(n), pa.int32()), none(len(n), pa.float32()), none(len(n), pa.float32()), pa.array(n, pa.int64()), pa.array(base[0]), pa.array(base[1]),
+            yield pa.record_batch([doc, pa.array(two(hash_, np.zeros(len(n)))), none(len(n)), none(len(n)), pa.array(n, pa.int64()), pa.array(base[0]), pa.array(base[1]),
                                    *([none(len(n)), none(len(n), pa.int32()), none(len(n)), none(len(n))] if others else [])], names=names)
             cold = [pa.array(hashes[rest].view(np.int64), mask=~cold_w[rest]), pa.array(nw[rest].astype(np.int32)), none(len(rest)), pa.array(n[owner[rest]], pa.int64())] if others else []
-            yield pa.record_batch([doc.take(pa.array(owner[rest])), pa.array(hash_[owner[rest]]), pa.array(pair[rest].view(np.int64)), signed(np_, rest), *(pa.array(k[rest].astype(np.float32)) for k in prior), none(len(rest)), none(len(rest), real), none(len(rest), real), *cold], names=names)
+            k = two(*(np.rint(np.log(x[rest]) * STEPS) for x in prior))
+            yield pa.record_batch([doc.take(pa.array(owner[rest])), signed(np_, rest), pa.array(pair[rest].view(np.int64)), pa.array(k), none(len(rest)), none(len(rest), real), none(len(rest), real), *cold], names=names)
             if len(at_v):
                 m = len(at_v)
-                yield pa.record_batch([doc.take(pa.array(owner[at_v])), pa.array(hash_[owner[at_v]]), none(m), signed(nv, at_v), none(m, pa.float32()), none(m, pa.float32()), none(m), none(m, real), none(m, real),
-                                       none(m), none(m, pa.int32()), pa.array(before[at_v].view(np.int64)), none(m)], names=names)
+                yield pa.record_batch([doc.take(pa.array(owner[at_v])), signed(nv, at_v), none(m), none(m), none(m), none(m, real), none(m, real), none(m), none(m, pa.int32()), pa.array(before[at_v].view(np.int64)), none(m)], names=names)
 
     schema = ROWS + COLD * others
     names = [c.split()[0] for c in schema.split(", ")]
     rows = flagged.withColumn("text_hash", F.hash("text")).mapInArrow(measure, schema)
-    is_base, is_pair, n = F.col("lt").isNotNull(), F.col("p").isNotNull(), F.abs("n")
-    own = {"t": F.when(F.col("n") < 0, n).otherwise(0), "b": n}  # of the text's own pair or context in either model
-    prior = {m: F.col(f"k{m}").cast("double") for m in "tb"}
+    is_base, is_pair, signed_n = F.col("lt").isNotNull(), F.col("p").isNotNull(), halves("tn")[1]
+    n = F.abs(signed_n)
+    own = {"t": F.when(signed_n < 0, n).otherwise(0), "b": n}  # of the text's own pair or context in either model
+    prior = {m: F.exp(x / STEPS) for m, x in zip("tb", halves("k"))}
     context = {m: F.lit(0.0) for m in "tb"}
-    spread = F.xxhash64("doc_id", "text_hash")  # rows without a key for a join are dealt by their text
+    spread = F.xxhash64("doc_id", "tn")  # rows without a key for a join are dealt by their text
     if others:
         for c, kept, here in (("cold_w", ("t", "b"), is_pair), ("cold_v", ("ct", "cb"), ~is_pair)):
             side = often.select(F.col("key").alias(f"{c}_key"), *(F.col(k).alias(f"{c}_{m}") for k, m in zip(kept, "tb")))
             rows = rows.join(side, F.when(here, F.col(c)).isNotNull() & (F.coalesce(F.when(here, F.col(c)), spread) == F.col(f"{c}_key")), "left")
-        own_w = {"t": F.when(F.col("n") < 0, F.col("nw")).otherwise(0), "b": F.col("nw")}
+        own_w = {"t": F.when(signed_n < 0, F.col("nw")).otherwise(0), "b": F.col("nw")}
         for m, all_ in zip("tb", tokens):
-            scale = PULL / (all_ - (F.when(F.col("n") < 0, F.col("of")).otherwise(0) if m == "t" else F.col("of")) + size)
+            scale = PULL / (all_ - (F.when(signed_n < 0, F.col("of")).otherwise(0) if m == "t" else F.col("of")) + size)
             prior[m] = F.when(F.col("cold_w").isNotNull(), scale * (F.coalesce(F.col(f"cold_w_{m}") - own_w[m], F.lit(0)) + 1)).otherwise(prior[m])
         context = {m: F.when(~is_pair & F.col("cold_v").isNotNull(), n * F.log(F.coalesce(F.col(f"cold_v_{m}") - own[m], F.lit(0)) + PULL)).otherwise(0.0) for m in "tb"}
     joined = rows.join(pairs.hint("shuffle_hash"), is_pair & (F.coalesce("p", spread) == F.col("key")), "left")
@@ -323,7 +335,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     for m in "tb":
         c = F.coalesce(F.col(m) - own[m], F.lit(0))
         loss[m] = F.when(is_base, F.col(f"l{m}")).when(is_pair, -n * F.log(c + prior[m])).otherwise(context[m])
-    sums = joined.groupBy("doc_id", "text_hash").agg(F.sum(F.when(is_base, F.col("size"))).alias("tokens"), F.count(F.when(is_base, 1)).alias("copies"), F.sum(loss["t"]).alias("lt"), F.sum(loss["b"]).alias("lb"))
+    sums = joined.groupBy("doc_id", halves("tn")[0].alias("text_hash")).agg(F.sum(F.when(is_base, F.col("size"))).alias("tokens"), F.count(F.when(is_base, 1)).alias("copies"), F.sum(loss["t"]).alias("lt"), F.sum(loss["b"]).alias("lb"))
     each = sums.select("doc_id", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), *(F.when(F.col("tokens") > 0, F.col(c) / F.col("tokens")).alias(a) for c, a in (("lt", "target_loss"), ("lb", "background_loss"))), "copies")
     return each.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
