@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the cluster; a fresh one only where none is set."""
+    """spark.checkpoint.dir of the cluster; a fresh one where none is set and Spark runs on this machine alone, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waveloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
