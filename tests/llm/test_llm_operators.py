@@ -420,6 +420,7 @@ def test_language_is_learned_and_und(spark):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
 
 
+A_SHORT = edge.prose(12, 30)
 ITEM = "A train leaves Boston at noon and travels 120 miles in 3 hours before Alice boards it with 3 heavy bags and waits."
 
 
@@ -557,6 +558,25 @@ def test_long_licences_by_digest(spark):
     assert got == {i: name for i, _, name in rows}
 
 
+def test_very_long_texts(spark):
+    """One text of three million characters beside short ones, through the counting and searching operators."""
+    text = edge.prose(8, 520_000) + " " + ITEM + " " + edge.prose(9, 10)
+    assert len(text) > 2_900_000
+    docs = edge.documents(spark, [(1, text, "en"), (2, A_SHORT, "en"), (3, text, "en")]).cache()
+    w = WORD.findall(text)
+    got = {r["doc_id"]: r for r in q1.judge(docs).collect()}
+    c = Counter(tuple(w[k: k + 5]) for k in range(len(w) - 4))
+    covered = {k + j for k in range(len(w) - 4) if c[tuple(w[k: k + 5])] > 1 for j in range(5)}
+    assert (got[1]["n_words"], got[1]["n_repeat_words"]) == (len(w), len(covered))
+    leaked = q7.leaks(docs, spark.createDataFrame([(5, ITEM)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in leaked) == [1, 3]
+    assert {r["doc_id"]: r["n_removed"] for r in q3.remove_repeats(docs).collect()}[3] == len(text.encode())
+    scored = {r["doc_id"]: r for r in q2.score(docs, spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert scored[1]["n_tokens"] == len(w) and scored[1]["background_loss"] == pytest.approx(scored[3]["background_loss"])
+    assert {r["doc_id"]: r["component_id"] for r in q8.classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert all(r["licence"] is None for r in q10.scan(docs).collect())
+
+
 @pytest.mark.parametrize("f", [q1.judge, q3.remove_repeats, lambda d: q4.redact(d, "k"), q5.pack, q6.identify, q8.classes, q9.token_counts, q10.scan])
 def test_empty_table(empty, f):
     assert f(empty).count() == 0

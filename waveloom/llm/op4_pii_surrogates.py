@@ -227,23 +227,25 @@ def parts_replaced(piece: Column, parts: Column) -> Column:
 
 def redact(docs: DataFrame, key: str) -> DataFrame:
     """docs with text rewritten, and n_entities. All other columns are kept."""
-    columns, text = docs.columns, F.col("text").cast("string")
+    columns, text = [c for c in docs.columns if c != "n_entities"], F.col("text")
+    others = [docs[c] for c in columns if c != "text"]
+    docs = docs.select(F.struct(*others).alias("others"), docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text"))
+    finished = lambda df, n: df.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`").alias(c) for c in columns), n.alias("n_entities"))
     hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    maybe, clean = docs.filter(hinted), docs.filter(~hinted)
-    mentions = stored(maybe.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), F.explode(F.array_distinct(found(text))).alias("value")), "mentions")
-    maps = mentions.join(stored(surrogates(mentions, key), "replacements"), "value").groupBy("__id", "__text").agg(
-        F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("__map"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("parts")))).alias("__parts"))  # as many as the document has entities
+    maybe, clean = docs.filter(hinted).withColumn("text_hash", F.xxhash64("text")), docs.filter(~hinted)
+    mentions = stored(maybe.select("id", "text_hash", F.explode(F.array_distinct(found(text))).alias("value")), "mentions")
+    maps = mentions.join(stored(surrogates(mentions, key), "replacements"), "value").groupBy(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
+        F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("map"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("parts")))).alias("parts"))  # as many as the document has entities
 
     def rewritten(z: Column) -> Column:
-        pieces = F.transform(z["between"], lambda part, i: F.array(F.when(F.size("__parts") > 0, parts_replaced(part, F.col("__parts"))).otherwise(part), F.coalesce(F.try_element_at(F.col("__map"), F.get(z["found"], i)), F.lit(""))))
+        pieces = F.transform(z["between"], lambda part, i: F.array(F.when(F.size("parts") > 0, parts_replaced(part, F.col("parts"))).otherwise(part), F.coalesce(F.try_element_at(F.col("map"), F.get(z["found"], i)), F.lit(""))))
         return F.struct(F.array_join(F.flatten(pieces), "").alias("text"), F.size(z["found"]).cast("long").alias("n"))
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     out = let(F.struct(F.split(text, ENTITY, -1).alias("between"), found(text).alias("found")), rewritten)
-    maybe = maybe.withColumn("__hash", F.xxhash64("text"))
-    joined = maybe.join(maps, maybe["doc_id"].eqNullSafe(maps["__id"]) & (maybe["__hash"] == maps["__text"]), "left")
-    changed = joined.withColumn("__out", F.when(F.col("__map").isNull(), same).otherwise(out)).withColumn("text", F.col("__out.text"))
-    return changed.select(*columns, F.col("__out.n").alias("n_entities")).unionByName(clean.select(*columns, F.lit(0).cast("long").alias("n_entities")))
+    joined = maybe.join(maps, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    changed = joined.withColumn("out", F.when(F.col("map").isNull(), same).otherwise(out)).withColumn("text", F.col("out.text"))
+    return finished(changed, F.col("out.n")).unionByName(finished(clean, F.lit(0).cast("long")))
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,11 +232,11 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without all but one document of each class; of rows that repeat whole one stays, and so do rows without a doc_id."""
     judged = stored(classified(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times")).filter("NOT kept OR times > 1"), "judged")
-    judged = judged.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "kept": "__kept", "times": "__times"})
     judged = F.broadcast(judged) if judged.count() <= BROADCAST_KEYS else judged
-    marked = docs.join(judged, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash")), "left").filter("__kept IS NULL OR __kept")
-    once = marked.filter("__times > 1").dropDuplicates(["__id", "__hash"])
-    return marked.filter("__times IS NULL OR __times = 1").select(*docs.columns).union(once.select(*docs.columns))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("text_hash"))
+    marked = rows.join(judged, ["doc_id", "text_hash"], "left").filter("kept IS NULL OR kept")
+    once = marked.filter("times > 1").dropDuplicates(["doc_id", "text_hash"])
+    return marked.filter("times IS NULL OR times = 1").select("row.*").union(once.select("row.*"))
 
 
 #: The same rows by comparing all documents that share a shingle.
