@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waveloom.operators import orders as O
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -39,7 +41,7 @@ def centred(df: DataFrame, key: str, v: str, gate: float) -> DataFrame:
     """Per key subtract the mean vector, zero vectors shorter than gate times the upper median length, normalise the rest.
     Dimensions are exploded, so the mean is an ordinary aggregate whatever the number of rows of a key."""
     length = df.select(key, "t", norm(v).alias("len"))
-    median = length.groupBy(key).agg(F.element_at(F.array_sort(F.collect_list("len")), F.floor(F.count(F.lit(1)) / 2).cast("int") + 1).alias("median"))
+    median = O.ranks(length, key, "len", {"median": lambda n: F.floor(n / 2)})
     parts = df.select(key, "t", F.posexplode(v).alias("i", "x"))
     means = parts.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
     vector = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda z: z["mean"]).alias("means"))

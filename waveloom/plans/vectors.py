@@ -31,10 +31,10 @@ def vector_self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EM}, p AS (SELECT a.label AS pair, d, avg(list_dot_product(a.v, b.v)) AS sim FROM em a CROSS JOIN (SELECT unnest(range(-5, 6)) AS d) JOIN em b ON b.label = a.label + 1 AND b.t = a.t + d
-WHERE a.t < 30 GROUP BY 1, 2) SELECT pair, CAST(d AS INT) AS d, round(sim, 5) AS sim FROM p QUALIFY row_number() OVER (PARTITION BY pair ORDER BY round(sim, 6) DESC, d) = 1""")
+GROUP BY 1, 2) SELECT pair, CAST(d AS INT) AS d, round(sim, 5) AS sim FROM p QUALIFY row_number() OVER (PARTITION BY pair ORDER BY round(sim, 6) DESC, d) = 1""")
 def offset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = held(spark, sf_dir)
-    a = em.filter("t < 30").select(F.col("label").alias("pair"), "t", "embedding")
+    a = em.select(F.col("label").alias("pair"), "t", "embedding")
     b = em.select((F.col("label") - 1).alias("pair"), "t", "embedding")
     return V.best_offset(V.offset_similarity(a, b, "embedding", 5)).select("pair", "d", F.round("sim", 5).alias("sim"))
 
