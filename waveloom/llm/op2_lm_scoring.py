@@ -45,7 +45,7 @@ PULL = 16.0  # K
 START = U(0)
 COMBINED = 8 << 20  # text whose counts are summed before they are dealt
 SENT = 64  # packed lists in an Arrow batch
-PARTS = 8  # lists per partition of the exchange
+PARTS = 2  # lists per partition of the exchange
 BLOB = 4096  # keys in a packed list at most
 SCORED_BYTES = 1 << 20  # text counted or scored at once, beside the commonest words and pairs in memory
 BROADCAST_TARGET = 2_000_000  # ids of target documents sent whole up to here, joined by shuffle above
