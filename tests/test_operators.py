@@ -302,3 +302,17 @@ def test_two_exemplars_keep_one_row_a_frame(spark):
     frames = spark.createDataFrame([("x", t, float(t % 5)) for t in range(40)], "id string, t long, level double")
     held = S.marked(frames, spark.createDataFrame([("x", 0.0, 1.0), ("x", 2.0, 2.5), ("x", 0.5, 1.0)], "id string, s double, e double"), 10.0)
     assert held.count() == 40 and held.filter("positive").count() == 15
+
+
+def test_library_of_documents(spark):
+    from waveloom.library import Library
+
+    words = [f"w{k}" for k in range(400)]
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(i, " ".join(words[i * 7 % 50: i * 7 % 50 + 120]) + " " + passage + " " + " ".join(words[100 + i: 220])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lengths = spark.createDataFrame([(i, len(t.split(" "))) for i, t in rows], "doc_id long, n int")
+    half = lambda keep: Library(C.landmarks(docs.filter(keep)), lengths.filter(keep))
+    whole = half("doc_id < 6").add(half("doc_id >= 6"))
+    found = whole.discover(most=2, hint=[4]).collect()
+    assert found and found[0]["rank"] == 1 and found[0]["support"] >= 3 and found[0]["a"] in {i for i, _ in rows}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waveloom.functions import synth
+from waveloom.operators import export as X
 from waveloom.plans.base import EV, query, series
 from waveloom.sources import containers as M
 from waveloom.streaming import ingest
@@ -48,23 +49,67 @@ def encoded(signals: DataFrame, rate: int = synth.RATE) -> DataFrame:
     return signals.select("id", "x").mapInPandas(make, "path string, content binary")
 
 
-def themes(episodes: DataFrame) -> DataFrame:
-    return episodes.select(F.concat("id", F.lit(".wav")).alias("path"), F.col("theme_at").alias("s"), (F.col("theme_at") + synth.THEME).alias("e"))
+RATE = 10  # the events of a user as samples, ten a second
 
 
-@query()
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of each user's events, in order, as a WAV file."""
+    held = series(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("z"))
+    return encoded(held.select(F.col("user_id").cast("string").alias("id"), F.transform("z", lambda z: z["value"] / 500).alias("x")), RATE)
+
+
+@query(f"""WITH {EV}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1), c AS (SELECT *, greatest(0, least(n, 25) - 10) + CASE WHEN n > 30 THEN least(n, 40) - 30 ELSE 0 END AS gone FROM n)
+SELECT user_id || '.wav' AS path, 'wav' AS container, n / 10.0::DOUBLE AS source_s, (n - gone) / 10.0::DOUBLE AS output_s, round(gone / 10.0::DOUBLE, 6) AS removed_s, 2.5::DOUBLE AS requested_s, n - gone AS frames, 10 AS rate, 16 AS bits, 1 AS channels FROM c""")
 def cut_wav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cuts the theme out of each synthetic episode and reads the result's header again."""
-    episodes = synth.episodes(spark)
-    cut = M.cut_pcm(M.pcm(encoded(episodes)), themes(episodes))
+    """Cuts two stretches out of each recording and reads the header of the result again."""
+    files = recordings(spark, sf_dir)
+    ranges = files.select("path", F.explode(F.array(*[F.struct(F.lit(a).alias("s"), F.lit(b).alias("e")) for a, b in ((1.0, 2.5), (3.0, 4.0))])).alias("r")).select("path", "r.s", "r.e")
+    cut = M.cut_pcm(M.pcm(files), ranges)
     again = M.pcm(cut.select("path", "content")).select("path", "frames", "rate", "bits", "channels")
-    return cut.drop("content").join(again, "path")
+    return cut.select("path", "container", "source_s", "output_s", F.round("removed_s", 6).alias("removed_s"), "requested_s").join(again, "path")
 
 
-@query()
+@query(f"""WITH {EV} SELECT user_id || '.wav' AS path, CAST(t // 4 AS BIGINT) AS seq, count(*) AS n, round(sum(power(trunc(value / 500 * 32767) / 32768, 2)), 6) AS energy FROM ev WHERE t >= 10 AND t < 31 GROUP BY 1, 2""")
 def decode_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half a second of each episode, decoded from its bytes."""
-    return M.decoded(M.pcm(encoded(synth.episodes(spark))), (1.0, 1.5)).select("path", "seq", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 6).alias("energy"))
+    """Two seconds and a bit of each recording, decoded from its bytes in blocks of four frames."""
+    made = M.decoded(M.pcm(recordings(spark, sf_dir)), (1.0, 3.05), block=4)
+    return made.select("path", "seq", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 6).alias("energy"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', {('NULL' if v in X.CUTTABLE else chr(39) + ('cutting ' + v + ' is not implemented' if v in ('matroska', 'webm') else 'unknown container') + chr(39))})" for k, _, v in MAGIC) + ") t(name, container, refusal)")
+def open_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file is and, where it can't be cut, why not."""
+    rows = spark.createDataFrame([(k, x) for k, x, _ in MAGIC], "name string, digits string").select("name", M.sniff(F.unhex("digits")).alias("container"))
+    refusal = F.when(F.col("container").isin("matroska", "webm"), F.concat(F.lit("cutting "), "container", F.lit(" is not implemented"))).when(~F.col("container").isin(*X.CUTTABLE), "unknown container")
+    return rows.select("name", "container", refusal.alias("refusal"))
+
+
+@query("""SELECT k, CASE WHEN f >= 55 AND f <= 4000 THEN CAST(((floor(12 * log2(f / 440) + 0.5) % 12) + 12) % 12 AS INT) ELSE -1 END AS pitch_class FROM (SELECT k, k * 8000 / 2048.0::DOUBLE AS f FROM (SELECT unnest(range(1, 1025)) AS k))""")
+def pitch_class_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pitch class (A is 0) of each bin of a transform of 2048 samples at 8 kHz, -1 outside 55 to 4000 Hz."""
+    f = F.col("id") * 8000 / 2048
+    return spark.range(1, 1025).select(F.col("id").alias("k"), F.when((f >= 55) & (f <= 4000), F.pmod(F.floor(12 * F.log2(f / 440) + 0.5), F.lit(12))).otherwise(-1).cast("int").alias("pitch_class"))
+
+
+#: Sample rates of AAC by index.
+AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+
+
+@query("SELECT * FROM (VALUES (48000, 2, '1190', 2), (44100, 2, '1210', 2), (44100, 1, '1208', 2), (8000, 1, '1588', 2), (12345, 2, NULL, NULL)) t(rate, channels, config, object_type)")
+def aac_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two configuration bytes of low-complexity AAC (type 2) for a rate and a channel count, and the type read back from them."""
+    rows = spark.createDataFrame([(48000, 2), (44100, 2), (44100, 1), (8000, 1), (12345, 2)], "rate int, channels int")
+    index = F.array_position(F.array(*[F.lit(r) for r in AAC_RATES]), F.col("rate")) - 1
+    bits = F.shiftleft(F.lit(2), 11).bitwiseOR(F.shiftleft(index.cast("int"), 7)).bitwiseOR(F.shiftleft("channels", 3))
+    held = rows.withColumn("bits", F.when(index >= 0, bits))
+    return held.select("rate", "channels", F.lpad(F.hex("bits"), 4, "0").alias("config"), F.shiftright("bits", 11).alias("object_type"))
+
+
+@query(f"""WITH {EV} SELECT user_id, seq, count(*) AS frames, count(*) / 10.0::DOUBLE AS seconds, round(seq * 100 / 10.0::DOUBLE, 6) AS at, user_id || chr(9) || seq || chr(9) || count(*) AS line FROM (SELECT user_id, t // 100 AS seq FROM ev) GROUP BY 1, 2""")
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a hundred samples with their place and length in seconds, and as tab-separated lines."""
+    held = series(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / 100).alias("seq")).agg(F.count(F.lit(1)).alias("frames"))
+    return held.select("user_id", "seq", "frames", (F.col("frames") / RATE).alias("seconds"), F.round(F.col("seq") * 100 / RATE, 6).alias("at"), F.concat_ws("\t", F.col("user_id").cast("string"), F.col("seq").cast("string"), F.col("frames").cast("string")).alias("line"))
 
 
 @query(f"""WITH {EV}, m AS (SELECT user_id, max(t) AS top FROM ev GROUP BY 1), k AS (SELECT user_id, top, unnest(range(0, CAST(top / 1.5 AS BIGINT) + 2)) AS k FROM m),

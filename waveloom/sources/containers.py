@@ -62,7 +62,7 @@ def episode_id(path: Column) -> Column:
     return F.when(found != "", found).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
-MOST_CHUNKS = 1024  # walked of a file; one whose samples lie behind more is reported without data
+FEW_CHUNKS, MOST_CHUNKS = 8, 4096  # walked of a file at first, and of one with more; samples behind still more are reported as not found
 
 
 def chunks(content: Column, little: bool) -> Column:
@@ -75,7 +75,8 @@ def chunks(content: Column, little: bool) -> Column:
         more = F.struct((s["next"] + 8 + size + size % 2).alias("next"), F.array_append(s["found"], row).alias("found"))
         return F.when(s["next"] + 8 <= F.length(content), more).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_CHUNKS)), start, step, lambda s: s["found"])  # files hold a handful of chunks
+    walk = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda s: s["found"])
+    return F.transform(F.array(walk(FEW_CHUNKS)), lambda few: F.when(F.size(few) < FEW_CHUNKS, few).otherwise(walk(MOST_CHUNKS)))[0]  # files hold a handful of chunks
 
 
 def pcm(files: DataFrame) -> DataFrame:
@@ -98,7 +99,9 @@ def pcm(files: DataFrame) -> DataFrame:
     align = (F.col("channels") * F.floor((F.col("bits") + 7) / 8)).alias("block_align")
     data_at = F.col("body.at") + F.when(F.col("container") == "aiff", 8).otherwise(0)
     room = F.least(F.col("body.size") - F.when(F.col("container") == "aiff", 8).otherwise(0), F.length("content") - data_at)
-    return out.select("path", "content", "container", F.when(F.col("tag") == 3, "float").otherwise("int").alias("format"), "bits", "channels", align, "rate", data_at.alias("data_at"), room.alias("data_size"), F.floor(room / align).alias("frames"))
+    fields = F.struct("container", F.when(F.col("tag") == 3, "float").otherwise("int").alias("format"), "bits", "channels", align, "rate", data_at.alias("data_at"), room.alias("data_size"), F.floor(room / align).alias("frames"))
+    # through a generator, so that what follows reads the fields instead of working them out of the bytes each time
+    return out.select("path", "content", F.explode(F.array(fields)).alias("h")).select("path", "content", "h.*")
 
 
 def kept_frames(headers: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -130,7 +133,8 @@ def cut_pcm(headers: DataFrame, ranges: DataFrame) -> DataFrame:
     seconds = lambda x: x / F.col("block_align") / F.col("rate")
     removed = seconds(F.col("data_size") - F.col("n"))
     refusal = F.when(F.col("empty"), "every sample would be removed").alias("refusal")
-    return held.select("path", F.when(~F.col("empty"), out).alias("content"), "container", extension(F.col("container")).alias("extension"), seconds(F.col("data_size")).alias("source_s"), seconds(F.col("n")).alias("output_s"), removed.alias("removed_s"), F.coalesce("requested_s", F.lit(0.0)).alias("requested_s"), (removed - F.coalesce("requested_s", F.lit(0.0))).alias("snap_s"), refusal)
+    cut = F.struct(F.when(~F.col("empty"), out).alias("content"), "container", extension(F.col("container")).alias("extension"), seconds(F.col("data_size")).alias("source_s"), seconds(F.col("n")).alias("output_s"), removed.alias("removed_s"), F.coalesce("requested_s", F.lit(0.0)).alias("requested_s"), (removed - F.coalesce("requested_s", F.lit(0.0))).alias("snap_s"), refusal)
+    return held.select("path", F.explode(F.array(cut)).alias("c")).select("path", "c.*")
 
 
 def _little(x: Column) -> Column:
