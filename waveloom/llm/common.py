@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20  # text handled at once by a kernel; one longer text is its own chunk
+CHUNK_BYTES = 1 << 20  # text handled at once by a kernel; one longer text is its own chunk
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
 

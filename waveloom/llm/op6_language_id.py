@@ -41,7 +41,7 @@ ROUNDS = 3
 LITERAL_LANGUAGES = 1000  # up to here the counts by language are constants of the plan, beyond they are joined
 SMOOTHING = 0.01
 SHORT = 64
-CELLS = 300_000  # bytes of words summed at once, fewer with many languages
+CELLS = 150_000  # bytes of words summed at once, fewer with many languages
 BLOCK = 4096  # bytes of a long word looked up at once
 CACHE = 1 << 19
 MARK = "▁".encode()
@@ -260,7 +260,7 @@ def score_chunk(raw: np.ndarray, at: np.ndarray, pieces: Pieces, theta: np.ndarr
         for n, part in by_length(a, b, CELLS * 8 // max(8, theta.shape[1])):
             value[todo[part]] = forward(_matrix(raw, a[part], n), pieces, theta) if n else forward_long(raw, a[part], b[part], pieces, log_theta)
         merged, values = np.concatenate([known, new[todo]]), np.concatenate([cache["values"], value[todo]]) if len(known) else value[todo]
-        if merged.size * theta.shape[1] > 8 * CACHE:
+        if merged.size * theta.shape[1] > 2 * CACHE:
             merged, values = new, value
         order = np.argsort(merged)
         cache.update(keys=merged[order], values=values[order])
