@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waveloom.plans.shared import stored
+
 
 def bandpass(rate: float, f0: float, q: float) -> tuple[float, float, float, float, float]:
     """b0, b1, b2, a1, a2 of the usual constant-peak band-pass biquad; q is at least 0.05."""
@@ -31,20 +34,118 @@ def butterworth(rate: float, f0: float, order: int = 4) -> list[tuple[float, flo
     return [lowpass(rate, f0, q) for q in BUTTERWORTH_Q[4 if order >= 4 else 2]]
 
 
-def filtered(df: DataFrame, key: str, sections: list[tuple[float, float, float, float, float]], x: str = "x") -> DataFrame:
-    """key, t, y: the cascade applied to each key's series in order of t. A recursion over a whole series has no
-    window form (and folding it into a growing array is quadratic), so each key's series is one Arrow group."""
+BLOCK, FAN = 256, 1024  # rows of a block; blocks whose states are carried on in one group
+
+
+def cascade_step(sections: list[tuple[float, ...]], states: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One sample through the cascade for many series at once: states (series x 4 a section: x1, x2, y1, y2) move on in place."""
+    for i, (b0, b1, b2, a1, a2) in enumerate(sections):
+        s = states[:, 4 * i: 4 * i + 4]
+        y = b0 * x + b1 * s[:, 0] + b2 * s[:, 1] - a1 * s[:, 2] - a2 * s[:, 3]
+        s[:, 1], s[:, 3] = s[:, 0], s[:, 2]
+        s[:, 0], s[:, 2] = x, y
+        x = y
+    return x
+
+
+def transition(sections: list[tuple[float, ...]]) -> np.ndarray:
+    """What one sample of silence does to a state: state' = state @ transition."""
+    states = np.eye(4 * len(sections))
+    cascade_step(sections, states, np.zeros(len(states)))
+    return states
+
+
+def _blocks_run(sections: list[tuple[float, ...]], xs: list[np.ndarray], states: np.ndarray) -> np.ndarray:
+    """Blocks side by side, shorter ones padded: outputs (blocks x longest); states become those at each block's own end."""
+    n = np.array([len(x) for x in xs])
+    padded = np.zeros((len(xs), n.max(initial=0)))
+    for i, x in enumerate(xs):
+        padded[i, : n[i]] = x
+    out = np.empty_like(padded)
+    for j in range(padded.shape[1]):
+        live = n > j
+        if live.all():
+            out[:, j] = cascade_step(sections, states, padded[:, j])
+        else:
+            part = states[live]
+            out[live, j] = cascade_step(sections, part, padded[live, j])
+            states[live] = part
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y = pdf["x"].to_numpy(dtype=float)
-        for section in sections:
-            y = filter_block(y, section, np.zeros(4))
-        return pdf.assign(y=y)[[key, "t", "y"]]
 
-    held = df.select(key, "t", F.col(x).cast("double").alias("x"))
-    kind = held.schema[key].dataType.simpleString()
-    return held.groupBy(key).applyInPandas(run, f"{key} {kind}, t long, y double")
+def _carried(sums: DataFrame, key: str, kind: str, step: np.ndarray, fan: int) -> DataFrame:
+    """key, block, state: the state at each block's start. sums: key, block, n (rows), c (state at its end from silence). A block
+    is an affine map, state -> state @ step**n + c, and so is a run of blocks, so runs of ``fan`` blocks are composed, carried on one level up
+    in the same way, and opened again: no group has more than ``fan`` rows, whatever the length of a key."""
+    size = len(step)
+
+    def passed(pdf: pd.DataFrame, state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, int]:
+        before = []
+        powers = {n: np.linalg.matrix_power(step, int(n)) for n in set(pdf["n"])}
+        for n, c in zip(pdf["n"], pdf["c"]):
+            before.append(state)
+            state = state @ powers[n] + np.asarray(c)
+        return before, state, int(pdf["n"].sum())
+
+    def opened(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        first = pdf["state"].iloc[0]
+        before, _, _ = passed(pdf, np.zeros(size) if first is None else np.asarray(first, float))
+        return pdf.assign(state=before)[[key, "block", "state"]]
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, state, n = passed(pdf.sort_values("block"), np.zeros(size))
+        return pd.DataFrame({key: pdf[key].iloc[:1], "block": pdf["run"].iloc[:1], "n": [n], "c": [state]})
+
+    runs = sums.withColumn("run", F.floor(F.col("block") / fan).cast("long"))
+    if (runs.agg(F.max("run")).first()[0] or 0) == 0:
+        held = runs.withColumn("state", F.lit(None).cast("array<double>"))
+    else:
+        above = _carried(stored(runs.groupBy(key, "run").applyInPandas(composed, f"{key} {kind}, block long, n long, c array<double>"), "runs"), key, kind, step, fan)
+        held = runs.join(above.select(key, F.col("block").alias("run"), "state"), [key, "run"])
+    return held.groupBy(key, "run").applyInPandas(opened, f"{key} {kind}, block long, state array<double>")
+
+
+def filter_bank(df: DataFrame, key: str, banks: list[list[tuple[float, float, float, float, float]]], x: str = "x", block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """key, band, t, y: each cascade of ``banks`` applied to each key's series in order of t (0, 1, ..), by a blocked scan.
+
+    A recursion has no window form, but the state at a block's end is an affine map of the one at its start. Blocks of ``block`` rows run from silence
+    side by side, their end states are carried on by a prefix scan over the blocks, and the blocks run again from their true states. So a key
+    of any length is dealt in blocks, and all bands share one pass. A null x counts as 0.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    each = df.select(key, "t", F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias("x"), F.floor(F.col("t") / block).cast("long").alias("block"))
+    rows = F.array_sort(F.collect_list(F.struct("t", "x")))  # at most ``block``
+    packed = stored(each.groupBy(key, "block").agg(rows.alias("r")).select(key, "block", F.transform("r", lambda z: z["t"]).alias("ts"), F.transform("r", lambda z: z["x"]).alias("xs")), "blocks")
+    ends = np.cumsum([0, *(4 * len(sections) for sections in banks)])
+    step = np.zeros((ends[-1], ends[-1]))
+    for sections, a, b in zip(banks, ends, ends[1:]):
+        step[a:b, a:b] = transition(sections)
+
+    def banked(xs: list[np.ndarray], states: np.ndarray) -> list[np.ndarray]:
+        return [_blocks_run(sections, xs, states[:, a:b]) for sections, a, b in zip(banks, ends, ends[1:])]
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            states = np.zeros((len(pdf), len(step)))
+            banked(list(pdf["xs"]), states)
+            yield pdf.assign(n=[len(v) for v in pdf["xs"]], c=list(states))[[key, "block", "n", "c"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            outs = banked(list(pdf["xs"]), np.array(pdf["state"].tolist(), float).reshape(len(pdf), len(step)))
+            for band, out in enumerate(outs):
+                yield pdf.assign(band=band, ys=[out[i, : len(v)] for i, v in enumerate(pdf["xs"])])[[key, "band", "ts", "ys"]]
+
+    sums = stored(packed.mapInPandas(summed, f"{key} {kind}, block long, n long, c array<double>"), "states")
+    met = packed.join(_carried(sums, key, kind, step, fan), [key, "block"])
+    done = met.mapInPandas(run, f"{key} {kind}, band int, ts array<long>, ys array<double>")
+    return done.select(key, "band", F.explode(F.arrays_zip("ts", "ys")).alias("z")).select(key, "band", F.col("z.ts").alias("t"), F.col("z.ys").alias("y"))
+
+
+def filtered(df: DataFrame, key: str, sections: list[tuple[float, float, float, float, float]], x: str = "x", **dealt) -> DataFrame:
+    """key, t, y: the cascade applied to each key's series in order of t."""
+    return filter_bank(df, key, [sections], x, **dealt).drop("band")
 
 
 def resampled(df: DataFrame, key: str, ratio: float, x: str = "x") -> DataFrame:

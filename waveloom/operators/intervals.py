@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waveloom.plans.shared import stored
+
 
 def sane(df: DataFrame) -> DataFrame:
     return df.filter("s IS NOT NULL AND e IS NOT NULL AND e > s")
@@ -47,11 +49,37 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, width: int, keep: bool = T
     return a.join(hit, [key, "s", "e"], "left_semi" if keep else "left_anti")
 
 
+def accepted(df: DataFrame, key: str, *ties: str) -> DataFrame:
+    """Of the intervals of a key, taken in order of (s, e, ties), those that overlap none accepted before.
+
+    After an accepted interval comes the first one in order that starts at or after its end, so the accepted ones are the chain of these
+    pointers from the first interval of each island of overlapping ones. Pointers come from one window over starts and ends; the chain is marked
+    by pointer jumping, in as many rounds as the longest island's chain has binary digits, over rows and not over keys.
+    """
+    order = Window.partitionBy(key).orderBy("s", "e", *ties)
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    held = sane(df).withColumn("__i", F.row_number().over(order).cast("long")).withColumn("__first", F.coalesce(F.col("s") >= F.max("e").over(upto), F.lit(True)))
+    held = stored(held, "intervals")
+    ends = held.select(key, F.col("e").alias("at"), F.lit(0).alias("side"), F.col("__i").alias("own"), F.lit(None).cast("long").alias("next"))
+    starts = held.select(key, F.col("s").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("own"), F.col("__i").alias("next"))
+    ahead = Window.partitionBy(key).orderBy("at", "side", "next").rowsBetween(0, Window.unboundedFollowing)
+    after = ends.unionByName(starts).withColumn("next", F.first("next", True).over(ahead)).filter("side = 0").select(key, F.col("own").alias("i"), "next")
+    first = held.filter("__first").select(key, F.col("__i").alias("i"))
+    # islands are chains of their own: a pointer to the first interval of an island leads to what is marked already
+    jumps = stored(after.join(first.select(key, F.col("i").alias("next")), [key, "next"], "left_anti").filter("next IS NOT NULL").select(key, "i", "next"), "jumps")
+    marked = stored(first, "marked")
+    while not jumps.isEmpty():
+        marked = stored(marked.union(marked.join(jumps, [key, "i"]).select(key, F.col("next").alias("i"))), "marked")
+        jumps = stored(jumps.join(jumps.select(key, F.col("i").alias("next"), F.col("next").alias("beyond")), [key, "next"]).select(key, "i", F.col("beyond").alias("next")), "jumps")
+    return held.join(marked.withColumnRenamed("i", "__i"), [key, "__i"], "left_semi").drop("__i", "__first")
+
+
 def union_without_overlap(groups: list[DataFrame], key: str, width: int) -> DataFrame:
-    """Intervals of the first group, then of each next one those that overlap nothing kept. Within a group none overlap."""
+    """Intervals of the first group, then of each next one, in order of (s, e), those that overlap nothing kept, their own group's included.
+    The first group is taken as it is. Groups have the same columns and distinct (key, s, e)."""
     kept = groups[0]
     for more in groups[1:]:
-        kept = kept.unionByName(overlapping(more, kept, key, width, keep=False))
+        kept = stored(kept.unionByName(accepted(overlapping(more, kept, key, width, keep=False), key)), "kept")
     return kept
 
 

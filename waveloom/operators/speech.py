@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from waveloom.operators import detect as D
 from waveloom.operators import filters as L
 from waveloom.operators import windows as W
+from waveloom.plans.shared import stored
 
 MOD_HZ, FINE_RATE, MOD_WINDOW, SYNC_WINDOW, SYNC_STEP = 4.0, 100.0, 25, 200, 20
 SECONDS, THRESHOLD = 6.0, 0.3
@@ -79,15 +80,12 @@ def envelope_modulation(df: DataFrame, key: str, rate: float, frame_rate: float,
     smoothed and thinned to an envelope; its mean taken off, it is filtered again, and moving mean squares after and before are divided."""
     thin, width = max(1, round(rate / envelope_rate)), max(4, round(envelope_rate))
     smooth = max(1, round(0.02 * rate)) if smooth is None else smooth
-    parts = []
-    for k, (low, high) in enumerate(bands):
-        centre = math.sqrt(low * high)
-        y = L.filtered(df, key, [L.bandpass(rate, centre, max(0.5, centre / (high - low)))])
-        envelope = W.moving_mean(y, key, F.abs("y"), smooth, "e").filter(F.col("t") % thin == 0).select(key, F.floor(F.col("t") / thin).alias("t"), "e")
-        parts.append(envelope.withColumn("band", F.lit(k)))
+    centre = [math.sqrt(low * high) for low, high in bands]
+    y = L.filter_bank(df, key, [[L.bandpass(rate, c, max(0.5, c / (high - low)))] for c, (low, high) in zip(centre, bands)])
+    named = y.withColumn("series", F.concat_ws("|", F.col(key).cast("string"), "band"))
     size = df.groupBy(key).agg(F.floor(F.count(F.lit(1)) / thin).alias("n"))
-    held = reduce(DataFrame.unionByName, parts).join(size, key).filter(F.col("t") < F.col("n")).drop("n")
-    named = held.withColumn("series", F.concat_ws("|", F.col(key).cast("string"), "band"))
+    envelope = W.moving_mean(named, "series", F.abs("y"), smooth, "e").filter(F.col("t") % thin == 0).select(key, "series", F.floor(F.col("t") / thin).alias("t"), "e")
+    named = stored(envelope.join(size, key).filter(F.col("t") < F.col("n")).drop("n"), "envelopes")
     mean = named.groupBy("series").agg(F.avg("e").alias("mean"))
     flat = named.join(mean, "series").select(key, "series", "t", (F.col("e") - F.col("mean")).alias("x"))
     again = L.filtered(flat, "series", [L.bandpass(envelope_rate, *syllables)])

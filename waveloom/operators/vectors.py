@@ -37,16 +37,17 @@ def best_offset(sims: DataFrame) -> DataFrame:
     return sims.withColumn("r", F.row_number().over(order)).filter("r = 1").select("pair", "d", "sim")
 
 
-def centred(df: DataFrame, key: str, v: str, gate: float) -> DataFrame:
-    """Per key subtract the mean vector, zero vectors shorter than gate times the upper median length, normalise the rest.
+def centred(df: DataFrame, key: str, v: str, gate: float, measure: Column | None = None) -> DataFrame:
+    """Per key subtract the mean vector, zero vectors shorter than gate times the upper median length (or ``measure``), normalise the rest.
     Dimensions are exploded, so the mean is an ordinary aggregate whatever the number of rows of a key."""
-    length = df.select(key, "t", norm(v).alias("len"))
+    measure = norm(v) if measure is None else measure
+    length = df.select(key, "t", measure.alias("len"))
     median = O.ranks(length, key, "len", {"median": lambda n: F.floor(n / 2)})
     parts = df.select(key, "t", F.posexplode(v).alias("i", "x"))
     means = parts.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
     vector = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda z: z["mean"]).alias("means"))
     out = df.join(vector, key).join(median, key)
     moved = F.zip_with(v, "means", lambda x, m: x.cast("double") - m)
-    gone = norm(v) < gate * F.col("median")
+    gone = measure < gate * F.col("median")
     out = out.withColumn("moved", moved).withColumn("size", norm("moved"))
     return out.withColumn("c", F.when(gone | (F.col("size") == 0), F.transform("moved", lambda x: F.lit(0.0))).otherwise(F.transform("moved", lambda x: x / F.col("size")))).drop("moved", "size", "means", "median")

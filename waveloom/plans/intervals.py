@@ -64,6 +64,30 @@ def union_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.union_without_overlap(groups, "user_id", WIDTH)
 
 
+def _greedy(name: str, source: str) -> str:
+    """Rows of source accepted in order of (s, e) when they overlap none accepted before: each next one is the first that starts at or after the last one's end."""
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e) AS i FROM {source}),
+{name}_p AS (SELECT a.*, (SELECT min(b.i) FROM {name}_n b WHERE b.user_id = a.user_id AND b.s >= a.e) AS nxt FROM {name}_n a),
+{name}_r AS (SELECT user_id, s, e, i, nxt FROM {name}_p WHERE i = 1 UNION ALL SELECT p.user_id, p.s, p.e, p.i, p.nxt FROM {name}_r r JOIN {name}_p p ON p.user_id = r.user_id AND p.i = r.nxt),
+{name} AS (SELECT user_id, s, e FROM {name}_r)"""
+
+
+_FREE = "SELECT DISTINCT user_id, s, e FROM iv a WHERE event_type = '{}' AND NOT EXISTS (SELECT 1 FROM {} k WHERE k.user_id = a.user_id AND a.s < k.e AND k.s < a.e)"
+
+
+@query(f"""WITH RECURSIVE {IV}, k0 AS (SELECT DISTINCT user_id, s, e FROM iv WHERE event_type = 'purchase'), f1 AS ({_FREE.format('click', 'k0')}), {_greedy('g1', 'f1')},
+k1 AS (SELECT * FROM k0 UNION ALL SELECT * FROM g1), f2 AS ({_FREE.format('view', 'k1')}), {_greedy('g2', 'f2')} SELECT user_id, s, e FROM k1 UNION ALL SELECT user_id, s, e FROM g2""")
+def union_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as they are, then clicks, then views: each kind's intervals overlap one another, and one is taken if it overlaps nothing taken before."""
+    return I.union_without_overlap([spans(spark, sf_dir, f"event_type = '{k}'").distinct() for k in ("purchase", "click", "view")], "user_id", WIDTH)
+
+
+@query(f"""WITH RECURSIVE {IV}, a0 AS (SELECT DISTINCT user_id, s, e FROM iv), {_greedy('g', 'a0')} SELECT user_id, s, e FROM g""")
+def greedy_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All intervals of a user in order of start, each taken if it overlaps none taken before."""
+    return I.accepted(spans(spark, sf_dir).distinct(), "user_id")
+
+
 @query(f"""WITH {IV}, {BOUNDS}, {merged('u', "event_type = 'purchase'")}
 SELECT user_id, round(coalesce(sum(greatest(0, least(e, hi) - greatest(s, lo))), 0) / max(hi - lo), 6) AS fraction FROM bounds LEFT JOIN u USING (user_id) GROUP BY 1""")
 def coverage_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,22 +34,30 @@ def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.resampled(series(spark, sf_dir), "user_id", 1.37, "value").select("user_id", "k", F.round("y", 5).alias("y"))
 
 
-_DFT = [(k, j, 0.5 - 0.5 * math.cos(2 * math.pi * j / (SIZE - 1)), math.cos(2 * math.pi * k * j / SIZE), -math.sin(2 * math.pi * k * j / SIZE)) for k in range(SIZE // 2 + 1) for j in range(SIZE)]
-DFT_SQL = f"""{EV}, m AS (SELECT user_id, max(t) AS top FROM ev GROUP BY 1), f AS (SELECT user_id, unnest(range(0, CASE WHEN top + 1 >= {SIZE} THEN (top + 1 - {SIZE}) // {HOP} + 1 ELSE 0 END)) AS f FROM m),
-w(k, j, h, c, s) AS (VALUES {', '.join(str((k, j)) [:-1] + f', {h!r}::DOUBLE, {c!r}::DOUBLE, {s!r}::DOUBLE)' for k, j, h, c, s in _DFT)}),
-sp AS (SELECT f.user_id, f, k, sqrt(sum(value * h * c) * sum(value * h * c) + sum(value * h * s) * sum(value * h * s)) AS mag FROM f JOIN w ON true JOIN ev ON ev.user_id = f.user_id AND ev.t = f * {HOP} + j GROUP BY 1, 2, 3)"""
+def _dft(size: int) -> list[tuple[int, int, float, float, float]]:
+    """Bin, place, window, cosine and sine of the transform of ``size`` values."""
+    return [(k, j, 0.5 - 0.5 * math.cos(2 * math.pi * j / (size - 1)), math.cos(2 * math.pi * k * j / size), -math.sin(2 * math.pi * k * j / size)) for k in range(size // 2 + 1) for j in range(size)]
 
 
-def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, f, k, mag: Hann-windowed transform of blocks of SIZE values every HOP, by joining the constant transform table."""
+def dft_sql(size: int, hop: int) -> str:
+    return f"""{EV}, m AS (SELECT user_id, max(t) AS top FROM ev GROUP BY 1), f AS (SELECT user_id, unnest(range(0, CASE WHEN top + 1 >= {size} THEN (top + 1 - {size}) // {hop} + 1 ELSE 0 END)) AS f FROM m),
+w(k, j, h, c, s) AS (VALUES {', '.join(str((k, j)) [:-1] + f', {h!r}::DOUBLE, {c!r}::DOUBLE, {s!r}::DOUBLE)' for k, j, h, c, s in _dft(size))}),
+sp AS (SELECT f.user_id, f, k, sqrt(sum(value * h * c) * sum(value * h * c) + sum(value * h * s) * sum(value * h * s)) AS mag FROM f JOIN w ON true JOIN ev ON ev.user_id = f.user_id AND ev.t = f * {hop} + j GROUP BY 1, 2, 3)"""
+
+
+DFT_SQL = dft_sql(SIZE, HOP)
+
+
+def spectrum(spark: SparkSession, sf_dir: str, size: int = SIZE, hop: int = HOP) -> DataFrame:
+    """user_id, f, k, mag: Hann-windowed transform of blocks of ``size`` values every ``hop``, by joining the constant transform table."""
     ev = series(spark, sf_dir).select("user_id", "t", "value")
     top = ev.groupBy("user_id").agg(F.max("t").alias("top"))
-    lowest = F.greatest(F.lit(0), F.floor((F.col("t") - SIZE) / HOP) + 1)
-    blocks = ev.withColumn("f", F.explode(F.sequence(lowest, F.floor(F.col("t") / HOP)))).withColumn("j", (F.col("t") - F.col("f") * HOP).cast("int"))
-    w = F.broadcast(spark.createDataFrame(_DFT, "k int, j int, h double, c double, s double"))
+    lowest = F.greatest(F.lit(0), F.floor((F.col("t") - size) / hop) + 1)
+    blocks = ev.withColumn("f", F.explode(F.sequence(lowest, F.floor(F.col("t") / hop)))).withColumn("j", (F.col("t") - F.col("f") * hop).cast("int"))
+    w = F.broadcast(spark.createDataFrame(_dft(size), "k int, j int, h double, c double, s double"))
     re, im = F.sum(F.col("value") * F.col("h") * F.col("c")), F.sum(F.col("value") * F.col("h") * F.col("s"))
     mags = blocks.join(w, "j").groupBy("user_id", "f", "k").agg(F.sqrt(re * re + im * im).alias("mag"))
-    return mags.join(top, "user_id").filter(F.col("f") * HOP + SIZE - 1 <= F.col("top")).drop("top")
+    return mags.join(top, "user_id").filter(F.col("f") * hop + size - 1 <= F.col("top")).drop("top")
 
 
 @query(f"WITH {DFT_SQL}, d AS (SELECT user_id, f, k, mag, lag(mag) OVER (PARTITION BY user_id, k ORDER BY f) AS prev FROM sp) SELECT user_id, f, round(sum(greatest(0.0, mag - coalesce(prev, mag))) / sum(mag), 5) AS flux FROM d GROUP BY 1, 2")
