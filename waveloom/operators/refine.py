@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from waveloom.operators import orders as O
 from waveloom.operators import vectors as V
 from waveloom.operators import windows as W
+from waveloom.plans.shared import stored
 
 
 @dataclass(frozen=True)
@@ -29,8 +30,12 @@ class Rule:
     least_sim: float = 0.5
     longest: int = 1406
     least_pairs: int = 8  # from so many refined members the extent is the 10th to 90th percentile of theirs
+    boundary: str = "threshold"  # or "gradient": the steepest rise before the profile's peak and the steepest fall after it
+    grad_smooth: int = 4
+    extent: str = "envelope"  # or "member": each member keeps its own extent
 
 
+BROADCAST_FRAMES = 20_000  # frames of a passage's core sent whole up to here, joined by shuffle above
 
 def relocked(reference: DataFrame, others: DataFrame, estimates: DataFrame, a: int, b: int, v: str, rule: Rule) -> DataFrame:
     """id, d: the offset with the greatest mean similarity over the passage's core (6 decimals, the least of equals), ``search`` around the estimate."""
@@ -40,6 +45,7 @@ def relocked(reference: DataFrame, others: DataFrame, estimates: DataFrame, a: i
     near = others.select("id", "t", F.col(v).alias("vb")).join(estimates.filter("present").select("id", "at"), "id")
     near = near.filter((F.col("t") - guess + rule.search >= a + cut) & (F.col("t") - guess - rule.search < b - cut))
     tried = near.withColumn("d", F.explode(F.sequence(guess - rule.search, guess + rule.search))).withColumn("rt", F.col("t") - F.col("d"))
+    core = F.broadcast(core) if b - a <= BROADCAST_FRAMES else core  # at most a row a frame of the passage
     sims = tried.join(core, "rt").groupBy("id", "d").agg(F.avg(V.dot("va", "vb")).alias("sim"))
     best = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 6)), "d")
     return sims.withColumn("r", F.row_number().over(best)).filter("r = 1").select("id", "d")
@@ -65,27 +71,46 @@ def extents(profile: DataFrame, low: int, rule: Rule) -> DataFrame:
     return found.withColumn("r", F.row_number().over(best)).filter("r = 1").select("id", "d", (F.col("a") + low).alias("t0"), (F.col("a") + F.col("n") - 1 + low).alias("t1"))
 
 
+def steepest(profile: DataFrame, low: int, rule: Rule) -> DataFrame:
+    """id, d, t0, t1: from the steepest rise of the smoothed profile at or before its peak to the row after the steepest fall from there on. The
+    slope is the step to the next row (0 at the end), smoothed in its turn; the first of equals counts."""
+    order = Window.partitionBy("id").orderBy("t")
+    slope = profile.withColumn("step", F.coalesce(F.lead("smooth").over(order) - F.col("smooth"), F.lit(0.0)))
+    slope = W.edge_mean(slope, "id", "step", rule.grad_smooth // 2, "slope").select("id", "d", "t", F.round("smooth", 9).alias("v"), F.round("slope", 9).alias("g"))
+    whole = Window.partitionBy("id")
+    peak = slope.withColumn("peak", F.min(F.struct(-F.col("v"), F.col("t").alias("t"))).over(whole)["t"])
+    rise = F.min(F.when(F.col("t") <= F.col("peak"), F.struct((-F.col("g")).alias("g"), "t")))
+    fall = F.min(F.when(F.col("t") >= F.col("peak"), F.struct("g", "t")))
+    return peak.groupBy("id", "d").agg((rise["t"] + low).alias("t0"), (fall["t"] + low + 1).alias("t1"))
+
+
+BOUNDARIES = {"threshold": extents, "gradient": steepest}
+
+
 def refined(reference: DataFrame, others: DataFrame, estimates: DataFrame, a: int, b: int, frames: int, v: str = "v", rule: Rule = Rule()) -> DataFrame:
     """id, present, start, stop, sim, refined, d, is_reference: one row a member of ``estimates`` (id, at, until, present), and one of the reference (id null).
 
     An unconfirmed member (no run, or too short a one) keeps its estimate, one under ``least_sim`` or over ``longest`` is absent. A
-    passage that no member confirms gives no row.
+    passage that no member confirms gives no row. How an extent is read is ``rule.boundary``, one of BOUNDARIES (more can be added:
+    a function of profile, low and rule). Offsets, profiles and the members' own extents are written to the shared folder, each made once.
     """
     low = max(0, a - rule.pad)
-    profile = profiles(reference, others, relocked(reference, others, estimates, a, b, v, rule), a, b, v, rule, frames)
-    cut = extents(profile, low, rule)
+    offsets = stored(relocked(reference, others, estimates, a, b, v, rule), "offsets")
+    profile = stored(profiles(reference, others, offsets, a, b, v, rule, frames), "profiles")
+    cut = stored(BOUNDARIES[rule.boundary](profile, low, rule), "extents")
     inside = profile.withColumn("t", F.col("t") + low).join(cut, ["id", "d"]).filter("t >= t0 AND t < t1").groupBy("id").agg(F.avg("raw").alias("sim"))
     read = cut.join(inside, "id", "left").withColumn("long_enough", (F.col("t1") > F.col("t0")) & (F.col("t1") - F.col("t0") >= rule.least_run))
     each = estimates.join(read, "id", "left").withColumn("read", F.coalesce("long_enough", F.lit(False)) & F.col("present"))
-    each = each.withColumn("sure", F.col("read") & (F.round("sim", 9) >= rule.least_sim))
+    each = stored(each.withColumn("sure", F.col("read") & (F.round("sim", 9) >= rule.least_sim)).withColumn("one", F.lit(1)), "members")
     # the members that are sure share one extent if they are enough
-    sure = each.filter("sure").withColumn("one", F.lit(1))
+    sure = each.filter("sure")
     rank, middle = (lambda q: lambda n: F.floor(q * (n - 1) + 0.5)), (lambda n: F.floor(n / 2))
     shared = sure.groupBy("one").agg(F.count(F.lit(1)).alias("n"))
     for x, wanted in (("t0", {"lo": rank(0.1), "mid0": middle}), ("t1", {"hi": rank(0.9), "mid1": middle}), ("sim", {"mid_sim": middle})):
         shared = shared.join(O.ranks(sure, "one", x, wanted), "one")
-    many = F.col("n") >= rule.least_pairs
-    held = each.withColumn("one", F.lit(1)).join(F.broadcast(shared), "one")  # one row
+    shared = stored(shared, "extent")
+    many = (F.col("n") >= rule.least_pairs) & F.lit(rule.extent == "envelope")
+    held = each.join(F.broadcast(shared), "one")  # one row
     start = F.when(F.col("sure"), F.when(many, F.col("lo")).otherwise(F.col("t0")) + F.col("d")).when(~F.col("read"), F.col("at"))
     stop = F.when(F.col("sure"), F.when(many, F.col("hi")).otherwise(F.col("t1")) + F.col("d")).when(~F.col("read"), F.col("until"))
     members = held.select("id", (F.col("present") & (F.col("sure") | ~F.col("read"))).alias("present"), start.alias("start"), stop.alias("stop"), F.when(F.col("read"), F.col("sim")).otherwise(0.0).alias("sim"), F.col("sure").alias("refined"), F.when(F.col("sure"), F.col("d")).alias("d"), F.lit(False).alias("is_reference"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from waveloom.operators import speech as S
 from waveloom.operators import windows as W
 from waveloom.operators.windows import ranked
 from waveloom.plans.base import EV, query, series, table
+from waveloom.plans.shared import stored
 
 BANDS, WINDOW, HZ, SYNC, STEP = 6, 9, 10.0, 16, 4
 _WEIGHTS = ", ".join(f"({i}, {c!r}::DOUBLE, {s!r}::DOUBLE)" for i, (c, s) in enumerate(S.modulation_weights(WINDOW, HZ, S.FINE_RATE)))
@@ -95,29 +98,48 @@ def envelope_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 A, B, RULE = 10, 24, R.Rule(search=3, pad=5, smooth=4, threshold=0.10, fall=0.04, least_run=3, least_sim=0.02, longest=20, least_pairs=4)
-REFINED = f"""em AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+PROFILES = f"""em AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 nf AS (SELECT count(*) AS n FROM em WHERE label = 0), est AS (SELECT DISTINCT label AS id, CAST({A} + label % 3 AS BIGINT) AS beg, CAST({B} + label % 3 AS BIGINT) AS until, label <> 4 AS present FROM em WHERE label > 0),
 sims AS (SELECT id, d, avg(list_dot_product(r.v, o.v)) AS sim FROM (SELECT id, unnest(range(beg - {A} - 3, beg - {A} + 4)) AS d FROM est WHERE present) g JOIN em r ON r.label = 0 AND r.t >= {A} + 2 AND r.t < {B} - 2 JOIN em o ON o.label = id AND o.t = r.t + d GROUP BY 1, 2),
 off AS (SELECT id, d FROM sims QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC, d) = 1),
 raw AS (SELECT id, d, rt, coalesce(list_dot_product(r.v, o.v), 0) AS raw FROM (SELECT id, d, unnest(range({A - 5}, {B + 5})) AS rt FROM off) x LEFT JOIN em r ON r.label = 0 AND r.t = rt LEFT JOIN em o ON o.label = id AND o.t = rt + d WHERE rt < (SELECT n FROM nf)),
-hi AS (SELECT max(rt) AS top FROM raw), sm AS (SELECT a.id, a.d, a.rt, avg(b.raw) AS sm FROM raw a CROSS JOIN (SELECT unnest(range(-2, 3)) AS k) CROSS JOIN hi JOIN raw b ON b.id = a.id AND b.rt = least(greatest(a.rt + k, {A - 5}), top) GROUP BY 1, 2, 3),
-lev AS (SELECT id, d, k, rt, rt - row_number() OVER (PARTITION BY id, k ORDER BY rt) AS g FROM sm CROSS JOIN (VALUES (0, 0.10::DOUBLE), (1, 0.10::DOUBLE - 0.04::DOUBLE), (2, 0.10::DOUBLE - 2 * 0.04::DOUBLE)) l(k, over_) WHERE round(sm, 9) > over_),
+hi AS (SELECT max(rt) AS top FROM raw), sm AS (SELECT a.id, a.d, a.rt, avg(b.raw) AS sm FROM raw a CROSS JOIN (SELECT unnest(range(-2, 3)) AS k) CROSS JOIN hi JOIN raw b ON b.id = a.id AND b.rt = least(greatest(a.rt + k, {A - 5}), top) GROUP BY 1, 2, 3),"""
+BY_THRESHOLD = f"""lev AS (SELECT id, d, k, rt, rt - row_number() OVER (PARTITION BY id, k ORDER BY rt) AS g FROM sm CROSS JOIN (VALUES (0, 0.10::DOUBLE), (1, 0.10::DOUBLE - 0.04::DOUBLE), (2, 0.10::DOUBLE - 2 * 0.04::DOUBLE)) l(k, over_) WHERE round(sm, 9) > over_),
 run AS (SELECT id, d, k, min(rt) AS t0, count(*) AS n FROM lev GROUP BY id, d, k, g), one AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY n DESC, t0) = 1),
-cut AS (SELECT id, d, t0, t0 + n - 1 AS t1 FROM one QUALIFY row_number() OVER (PARTITION BY id ORDER BY n >= 3 DESC, CASE WHEN n >= 3 THEN k END, n DESC, k) = 1),
-ins AS (SELECT cut.id, avg(raw) AS sim FROM cut JOIN raw ON raw.id = cut.id AND rt >= t0 AND rt < t1 GROUP BY 1),
+cut AS (SELECT id, d, t0, t0 + n - 1 AS t1 FROM one QUALIFY row_number() OVER (PARTITION BY id ORDER BY n >= 3 DESC, CASE WHEN n >= 3 THEN k END, n DESC, k) = 1),"""
+BY_GRADIENT = f"""lead AS (SELECT id, d, rt, sm, coalesce(lead(sm) OVER (PARTITION BY id ORDER BY rt) - sm, 0) AS g FROM sm),
+gs AS (SELECT a.id, a.d, a.rt, round(a.sm, 9) AS v, round(avg(b.g), 9) AS g FROM lead a CROSS JOIN (SELECT unnest(range(-2, 3)) AS k) CROSS JOIN hi JOIN lead b ON b.id = a.id AND b.rt = least(greatest(a.rt + k, {A - 5}), top) GROUP BY ALL),
+top AS (SELECT id, rt AS peak FROM gs QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC, rt) = 1),
+up AS (SELECT gs.id, d, rt AS t0 FROM gs JOIN top USING (id) WHERE rt <= peak QUALIFY row_number() OVER (PARTITION BY gs.id ORDER BY g DESC, rt) = 1),
+down AS (SELECT gs.id, rt + 1 AS t1 FROM gs JOIN top USING (id) WHERE rt >= peak QUALIFY row_number() OVER (PARTITION BY gs.id ORDER BY g, rt) = 1),
+cut AS (SELECT id, d, t0, t1 FROM up JOIN down USING (id)),"""
+
+
+def _refined(cut: str, least: int) -> str:
+    return f"""{PROFILES} {cut} ins AS (SELECT cut.id, avg(raw) AS sim FROM cut JOIN raw ON raw.id = cut.id AND rt >= t0 AND rt < t1 GROUP BY 1),
 ea AS (SELECT est.*, d, t0, t1, sim, coalesce(t1 > t0 AND t1 - t0 >= 3, false) AND present AS read FROM est LEFT JOIN cut USING (id) LEFT JOIN ins USING (id)), ev2 AS (SELECT *, read AND round(sim, 9) >= 0.02 AS sure FROM ea),
 sh AS (SELECT count(*) AS n, list_sort(list(t0))[CAST(floor(0.1 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS lo, list_sort(list(t1))[CAST(floor(0.9 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS hi,
 list_sort(list(t0))[count(*) // 2 + 1] AS m0, list_sort(list(t1))[count(*) // 2 + 1] AS m1, list_sort(list(sim))[count(*) // 2 + 1] AS ms FROM ev2 WHERE sure HAVING count(*) > 0),
-mem AS (SELECT id, present AND (sure OR NOT read) AS present, CASE WHEN sure THEN CASE WHEN n >= 4 THEN lo ELSE t0 END + d WHEN NOT read THEN beg END AS start, CASE WHEN sure THEN CASE WHEN n >= 4 THEN hi ELSE t1 END + d WHEN NOT read THEN until END AS stop,
-CASE WHEN read THEN sim ELSE 0 END AS sim, sure AS refined, CASE WHEN sure THEN d END AS d, false AS is_reference FROM ev2 CROSS JOIN sh UNION ALL SELECT NULL, true, CASE WHEN n >= 4 THEN lo ELSE m0 END, CASE WHEN n >= 4 THEN hi ELSE m1 END, ms, true, NULL, true FROM sh),
+mem AS (SELECT id, present AND (sure OR NOT read) AS present, CASE WHEN sure THEN CASE WHEN n >= {least} THEN lo ELSE t0 END + d WHEN NOT read THEN beg END AS start, CASE WHEN sure THEN CASE WHEN n >= {least} THEN hi ELSE t1 END + d WHEN NOT read THEN until END AS stop,
+CASE WHEN read THEN sim ELSE 0 END AS sim, sure AS refined, CASE WHEN sure THEN d END AS d, false AS is_reference FROM ev2 CROSS JOIN sh UNION ALL SELECT NULL, true, CASE WHEN n >= {least} THEN lo ELSE m0 END, CASE WHEN n >= {least} THEN hi ELSE m1 END, ms, true, NULL, true FROM sh),
 fin AS (SELECT * REPLACE (present AND stop - start <= 20 AS present) FROM mem)"""
 
 
-@query(f"WITH {REFINED} SELECT id, present, CASE WHEN present THEN start END AS start, CASE WHEN present THEN stop END AS stop, round(sim, 5) AS sim, refined, d, is_reference FROM fin")
+@query(f"WITH {_refined(BY_THRESHOLD, 4)} SELECT id, present, CASE WHEN present THEN start END AS start, CASE WHEN present THEN stop END AS stop, round(sim, 5) AS sim, refined, d, is_reference FROM fin")
 def refined_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of embeddings as members, their rows in order as frames; label 0 is the reference."""
-    em = ranked(table(spark, sf_dir, "embeddings"), "label", "vec_id").select(F.col("label").alias("id"), "t", F.col("embedding").alias("v"))
+    return _bounds(spark, sf_dir, RULE)
+
+
+@query(f"WITH {_refined(BY_GRADIENT, 1000)} SELECT id, present, CASE WHEN present THEN start END AS start, CASE WHEN present THEN stop END AS stop, round(sim, 5) AS sim, refined, d, is_reference FROM fin")
+def refined_by_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the boundary at the steepest rise and fall, each member with its own extent."""
+    return _bounds(spark, sf_dir, replace(RULE, boundary="gradient", extent="member"))
+
+
+def _bounds(spark: SparkSession, sf_dir: str, rule: R.Rule) -> DataFrame:
+    em = stored(ranked(table(spark, sf_dir, "embeddings"), "label", "vec_id").select(F.col("label").alias("id"), "t", F.col("embedding").alias("v")), "frames")
     reference, others = em.filter("id = 0"), em.filter("id > 0")
     estimates = others.select("id").distinct().select("id", (A + F.col("id") % 3).cast("long").alias("at"), (B + F.col("id") % 3).cast("long").alias("until"), (F.col("id") != 4).alias("present"))
-    found = R.refined(reference, others, estimates, A, B, reference.count(), rule=RULE)
+    found = R.refined(reference, others, estimates, A, B, reference.count(), rule=rule)
     return found.select("id", "present", "start", "stop", F.round("sim", 5).alias("sim"), "refined", "d", "is_reference")
