@@ -15,7 +15,7 @@ from waveloom.operators import intervals as I
 from waveloom.operators import orders as O
 from waveloom.operators import segments as S
 from waveloom.operators import windows as W
-from waveloom.plans import media, signals
+from waveloom.plans import signals
 from waveloom.sources import containers as M
 from waveloom.streaming.ingest import Resampler
 
@@ -147,17 +147,17 @@ def test_filter_matches_the_series_operator(spark):
 
 def test_cut_is_lossless(spark):
     x = np.linspace(-0.9, 0.9, 8000)
-    files = spark.createDataFrame([("a.wav", media.wav_bytes(x, 8000))], "path string, content binary")
+    files = spark.createDataFrame([("a.wav", M.wav_bytes(x, 8000))], "path string, content binary")
     head = M.pcm(files)
     cut = M.cut_pcm(head, spark.createDataFrame([("a.wav", 0.25, 0.5), ("a.wav", 0.4, 0.75)], "path string, s double, e double")).first()
-    data = media.wav_bytes(x, 8000)[44:]
+    data = M.wav_bytes(x, 8000)[44:]
     assert bytes(cut["content"])[44:] == data[:4000] + data[12000:]
     assert (cut["removed_s"], cut["output_s"], cut["extension"]) == (0.5, 0.5, "wav")
 
 
 def test_decoding_gives_the_samples(spark):
     x = np.linspace(-0.5, 0.5, 1000)
-    files = spark.createDataFrame([("a.wav", media.wav_bytes(x, 8000))], "path string, content binary")
+    files = spark.createDataFrame([("a.wav", M.wav_bytes(x, 8000))], "path string, content binary")
     got = np.concatenate([r["x"] for r in M.decoded(M.pcm(files), block=300).orderBy("seq").collect()])
     assert np.allclose(got, x, atol=1e-4)
 

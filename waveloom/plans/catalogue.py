@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waveloom.plans import base, detectors, export, extras, intervals, media, recurring, series, signals, spectral, speech, vectors
+from waveloom.plans import base, detectors, export, extras, intervals, media, recurring, series, signals, spectral, speech, stores, vectors
 
-MODULES = (recurring, series, intervals, detectors, vectors, signals, spectral, media, speech, export, extras)
+MODULES = (recurring, series, intervals, detectors, vectors, signals, spectral, media, stores, speech, export, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

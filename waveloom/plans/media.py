@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import struct
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waveloom.functions import synth
 from waveloom.operators import export as X
 from waveloom.plans.base import EV, query, series
 from waveloom.sources import containers as M
@@ -31,31 +26,13 @@ def sniff_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", M.sniff(F.unhex("digits")).alias("container"))
 
 
-def wav_bytes(x: np.ndarray, rate: int, channels: int = 1) -> bytes:
-    """16-bit PCM WAV of samples in [-1, 1]; negative values scale by 32768, others by 32767."""
-    x = np.clip(x, -1, 1)
-    data = np.where(x < 0, x * 32768, x * 32767).astype("<i2").tobytes()
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * 2 * channels, 2 * channels, 16, b"data", len(data))
-    return head + data
-
-
-def encoded(signals: DataFrame, rate: int = synth.RATE) -> DataFrame:
-    """path, content: each signal (id, x) as a WAV file."""
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"path": [f"{i}.wav" for i in batch["id"]], "content": [wav_bytes(np.asarray(x), rate) for x in batch["x"]]})
-
-    return signals.select("id", "x").mapInPandas(make, "path string, content binary")
-
-
 RATE = 10  # the events of a user as samples, ten a second
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of each user's events, in order, as a WAV file."""
     held = series(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("z"))
-    return encoded(held.select(F.col("user_id").cast("string").alias("id"), F.transform("z", lambda z: z["value"] / 500).alias("x")), RATE)
+    return M.encoded(held.select(F.col("user_id").cast("string").alias("id"), F.transform("z", lambda z: z["value"] / 500).alias("x")), RATE)
 
 
 @query(f"""WITH {EV}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1), c AS (SELECT *, greatest(0, least(n, 25) - 10) + CASE WHEN n > 30 THEN least(n, 40) - 30 ELSE 0 END AS gone FROM n)
