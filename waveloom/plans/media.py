@@ -106,3 +106,36 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(ingest.OUTPUT).parquet(f"{at}/out").select(F.col("episode_id").cast("long").alias("user_id"), F.explode("y").alias("y"))
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 4).alias("total"))
+
+
+@query(f"""WITH {EV}, m AS (SELECT user_id, max(t) AS top FROM ev GROUP BY 1), k AS (SELECT user_id, top, unnest(range(0, CAST(top / 1.5 AS BIGINT) + 2)) AS k FROM m),
+p AS (SELECT user_id, k, k * 1.5::DOUBLE AS pos, CAST(floor(k * 1.5::DOUBLE) AS BIGINT) AS i FROM k WHERE k * 1.5::DOUBLE < top),
+y AS (SELECT p.user_id, count(*) AS n, sum(a.value + (pos - i) * (b.value - a.value)) AS total FROM p JOIN ev a ON a.user_id = p.user_id AND a.t = i JOIN ev b ON b.user_id = p.user_id AND b.t = i + 1 GROUP BY 1),
+last AS (SELECT ev.user_id, value FROM ev JOIN m ON m.user_id = ev.user_id AND t = top WHERE top % 3 = 0)
+SELECT y.user_id, n + CASE WHEN last.user_id IS NULL THEN 0 ELSE 1 END AS n, round(total + coalesce(last.value, 0), 4) AS total, 1::BIGINT AS errors FROM y LEFT JOIN last ON last.user_id = y.user_id""")
+def stream_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as chunks of ten with an end mark, streamed out of order through the operator with timers; the first
+    chunk of each user comes again after the end, which is the one error of each."""
+    from waveloom.plans.shared import folder
+    from waveloom.streaming import episodes
+
+    ev = series(spark, sf_dir)
+    chunks = ev.groupBy("user_id", F.floor(F.col("t") / 10).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("z"), F.max(F.col("ts").cast("timestamp")).alias("at"))
+    head = F.col("user_id").cast("string").alias("episode_id"), "seq", F.lit(12000.0).alias("sample_rate")
+    chunks = chunks.select(*head, F.transform("z", lambda z: z["value"]).alias("x"), "at")
+    last = chunks.groupBy("episode_id").agg((F.max("seq") + 1).alias("seq"), F.max("at").alias("at"))
+    marks = last.select("episode_id", "seq", F.lit(None).cast("double").alias("sample_rate"), F.lit(None).cast("array<double>").alias("x"), "at")
+    again = chunks.filter("seq = 0").drop("at").join(last.select("episode_id", "at"), "episode_id").select(*marks.columns)
+    at = f"{folder(spark)}/episodes-{uuid.uuid4().hex}"
+    chunks.unionByName(marks).repartition(4, "seq").sortWithinPartitions(F.desc("seq")).write.parquet(f"{at}/in")
+    episodes.with_state_store(spark)
+    for late in (None, again):  # two runs of one stream: what comes in the second is behind the end
+        if late is not None:
+            late.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(marks.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        made = episodes.ingested(stream, delay="3650 days", lowpass=False)
+        made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(episodes.OUTPUT).parquet(f"{at}/out")
+    pieces = out.filter("error IS NULL").select(F.col("episode_id").cast("long").alias("user_id"), F.explode("y").alias("y"))
+    errors = out.groupBy(F.col("episode_id").cast("long").alias("user_id")).agg(F.count("error").alias("errors"))
+    return pieces.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 4).alias("total")).join(errors, "user_id").select("user_id", "n", "total", "errors")
