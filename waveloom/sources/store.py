@@ -113,7 +113,9 @@ class SeriesReader(DataSourceReader):
         held = _read_list(*_open(self.path)).get("chunks", [])
         return [Chunk(c["file"]) for c in held if may_match(c["zone"], self.filters)]
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunk | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition where there is none
+            return
         fs, at = _open(self.path)
         with fs.open_input_file(f"{at}/{partition.file}") as f:
             yield from pq.ParquetFile(f).iter_batches()
