@@ -460,6 +460,20 @@ def test_leaks_of_short_and_literal_poor_items(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 1), (8, 1)]
 
 
+CASED = "Alice has 12 apples and 7 pears. Bob gives her 5 apples and takes 2 pears. How many apples does Alice have now?"
+WORDED = "A shop sells a lamp for twenty dollars and a chair for five percent more than the lamp. What does the chair cost?"
+
+
+def test_leaks_in_another_case_and_with_number_words(spark):
+    items = spark.createDataFrame([(1, CASED), (2, WORDED)], "item_id long, text string")
+    rows = [(1, CASED.lower(), "en"), (2, CASED.upper(), "en"), (3, edge.prose(1, 30) + " " + CASED.upper() + " " + edge.prose(2, 30), "en"), (4, CASED.lower().replace("12", "40"), "en"),
+            (5, WORDED.replace("twenty", "thirty").replace("five", "ten"), "en"), (6, WORDED.upper(), "en"), (7, CASED.replace("Alice", "Carla").replace("Bob", "Ed").replace("12", "31"), "en"),
+            (8, CASED.lower().replace("12 apples", "5 apples"), "en"), (9, "alice has 3 pears and bob gives her nothing at all today", "en"), (10, CASED.lower().replace("takes 2", "takes 7 of the 2"), "en")]
+    got = {(r["doc_id"], r["item_id"]): r for r in q7.leaks(edge.documents(spark, rows), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 1), (8, 1), (10, 1)}
+    assert got[1, 1]["n_changed"] == got[2, 1]["n_changed"] == 0 and got[4, 1]["n_changed"] == 1 and got[5, 2]["n_changed"] == 2
+
+
 def plain_classes(rows):
     sets, texts = {}, dict(rows)
     for i, t in texts.items():
