@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waveloom.llm.common import stored, table
-from waveloom.llm.op4_pii_surrogates import KEY_SETTING, STAND_IN, redact
+from waveloom.llm.op4_pii_surrogates import key_of, redact
 from waveloom.llm.op5_best_fit_packing import pack
 from waveloom.llm.op6_language_id import UNKNOWN, identify
 from waveloom.llm.op7_template_decontamination import leaks
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language or with a posterior under LEAST_SCORE.
 
     Null and empty texts and texts without a letter have no language and go; rows without a doc_id are judged by their text; repeated rows
-    fare alike; ties go to the language first in order; without any training row nothing is recognised; an empty table stays empty; all
+    fare alike; very long texts are judged whole, a part at a time; ties go to the language first in order; without any training row nothing is recognised; an empty table stays empty; all
     columns, whatever their names, come back as they were.
     """
     kept = identify(docs, carry=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each class, the one with the smallest id, and one of rows that repeat whole.
 
     Null and empty texts and rows without a doc_id are near to nothing and stay; several texts of one doc_id are classed each; of copies that
-    tie the smallest id stays; an empty table stays empty; all columns come back as they were.
+    tie the smallest id stays; very long texts are compared whole; an empty table stays empty; all columns come back as they were.
     """
     return one_of_each(docs)
 
@@ -43,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that a benchmark item leaks into.
 
-    Null and empty texts and rows without a doc_id stay; a doc_id goes with all its rows; with an empty benchmark nothing goes; an empty
+    Null and empty texts and rows without a doc_id stay; a doc_id goes with all its rows, repeated ones too; items that tie each count;
+    very long texts are compared whole; with an empty benchmark nothing goes; an empty
     table stays empty; all columns come back as they were.
     """
     leaked = stored(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaked")
@@ -55,15 +56,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def surrogate_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewrites personal data; n_chars follows the text.
 
-    Null and empty texts stay as they are; repeated rows are rewritten alike; an empty table stays empty; all other columns come back as they were.
+    Null and empty texts stay as they are; repeated rows are rewritten alike; very long texts are rewritten whole; where two kinds of entity tie, the first
+    listed counts; an empty table stays empty; all other columns come back as they were.
     """
-    return redact(docs, spark.conf.get(KEY_SETTING, STAND_IN)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    return redact(docs, key_of(spark), count=None).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces and their places in sequences.
 
-    Null and empty texts are one piece with the end id; repeated rows are packed each; an empty table gives no row; other columns are ignored.
+    Null and empty texts are one piece with the end id; repeated rows are packed each; very long texts are cut into pieces; documents of one length tie and
+    take their slots by rank; an empty table gives no row; other columns are ignored.
     """
     return pack(docs)
 

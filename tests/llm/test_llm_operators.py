@@ -235,6 +235,22 @@ def test_one_person_keeps_one_name(spark):
     assert other[4] != got[4][0]
 
 
+def test_names_of_other_forms_and_what_is_no_name(spark):
+    rows = [(1, "Mr Brown left. mark \ue0000\ue001 and Brown in a Brown coat.", "en"), (2, "from New York with United States and by World Bank", "en"), (3, "We hired Priya Raman last week. Priya Raman lives in Pune. Raman is here.", "en"),
+            (4, "ALICE SMITH and JOHN DOE met Alice Smith. SMITH left.", "en"), (5, "联系人：王小明，李女士和张伟先生来了。", "zh"), (6, "ping 2001:0db8:85a3::8a2e:0370:7334 or fe80:0:0:0:1:2:3:4 and std::vector at 12:30:45", "en"), (7, "Paul Paul met Mr Paul. Paul left.", "en")]
+    got = {r["doc_id"]: r["text"] for r in q4.redact(edge.documents(spark, rows), "k").collect()}
+    m = re.fullmatch("Mr (\\S+) left\\. mark \ue0000\ue001 and (\\S+) in a Brown coat\\.", got[1])
+    assert m.group(1) == m.group(2) != "Brown" and got[2] == rows[1][1]
+    m = re.fullmatch(r"We hired (\S+) (\S+) last week\. (\S+) (\S+) lives in Pune\. (\S+) is here\.", got[3])
+    assert m.group(1) == m.group(3) != "Priya" and m.group(2) == m.group(4) == m.group(5) != "Raman"
+    m = re.fullmatch(r"([A-Z]+) ([A-Z]+) and ([A-Z]+) ([A-Z]+) met (\S+) (\S+)\. ([A-Z]+) left\.", got[4])
+    assert (m.group(5).upper(), m.group(6).upper()) == (m.group(1), m.group(2)) and m.group(7) == m.group(2) != "SMITH" and "DOE" not in got[4]
+    m = re.fullmatch("联系人：([\u4e00-\u9fff]{2,4})，([\u4e00-\u9fff]{1,2})女士和([\u4e00-\u9fff]{2,4})先生来了。", got[5])
+    assert m and not any(x in got[5] for x in ("王小明", "李女士", "张伟"))
+    m = re.fullmatch(r"ping ((?:[0-9a-f]{4}:){3}(?::[0-9a-f]{4}){3}) or ([0-9a-f]{4}(?::[0-9a-f]){7}) and std::vector at 12:30:45", got[6])
+    assert m and m.group(1) != "2001:0db8:85a3::8a2e:0370:7334" and m.group(2) != "fe80:0:0:0:1:2:3:4"
+
+
 def test_ten_thousand_values_stay_distinct(spark):
     names = [f"Mr {a}{b}{c}en" for a in "ABCDEFGHIJ" for b in ("aro", "eli", "imu", "oka", "uri") for c in [f"{x}{y}" for x in "bdfglmnrst" for y in "aeiouyäöüé"]][:5000]
     others = [f"10.{k // 250}.{k % 250}.7" for k in range(2500)] + [f"user{k}@mail.org" for k in range(2500)]
@@ -249,7 +265,7 @@ def plain_redaction(text: str, made: dict, parts: dict) -> str:
     pattern = regex.compile(q4.ENTITY.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
     out, at = [], 0
     alone = {p: n for m in pattern.finditer(text) for p, n in parts.get(m.group(), [])}
-    sub = lambda t: regex.sub(r"(?<![\p{L}\p{N}_])(" + "|".join(map(regex.escape, alone)) + r")(?![\p{L}\p{N}_])", lambda m: alone[m.group()], t) if alone else t
+    sub = lambda t: regex.sub(r"(?<![\p{L}\p{N}_])(?<!\b(?:[Aa]n?|[Tt]he)\s)(" + "|".join(map(regex.escape, sorted(alone, key=len, reverse=True))) + r")(?![\p{L}\p{N}_])", lambda m: alone[m.group()], t) if alone else t
     for m in pattern.finditer(text):
         out += [sub(text[at: m.start()]), made[m.group()]]
         at = m.end()

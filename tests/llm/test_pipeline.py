@@ -12,6 +12,8 @@ import edge  # noqa: E402
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F  # noqa: E402
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -94,3 +96,9 @@ def test_packing_stage_edges(spark, wide, bench_dir):
     out = corpus_pipeline.packing(spark, wide, bench_dir).collect()
     assert sorted((r["doc_id"] for r in out if r["piece"] == 0), key=repr) == sorted((r[0] for r in edge_rows()), key=repr)
     assert {r["length"] for r in out if r["doc_id"] in (50, 51)} == {1} and sum(r["doc_id"] == 70 for r in out) > 50
+
+
+def test_given_entity_count_comes_back(spark):
+    docs = edge.documents(spark, [(1, "Mail anna.b@mail.com", "en"), (2, None, None)]).withColumn("n_entities", F.lit(77))
+    got = corpus_pipeline.surrogate_pii(spark, docs, "").collect()
+    assert [r["n_entities"] for r in got] == [77, 77] and "anna.b" not in str(got) and got[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
