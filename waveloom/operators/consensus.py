@@ -7,14 +7,21 @@ documents are chosen (the medoid, the one with most landmarks, some spread over
 other document votes for the offsets at which it lines up with a reference. So the work
 grows with the documents, not with their pairs, however common a landmark is.
 
+``owner_votes`` does without chosen references: every landmark has one owner, the longest of its documents, and its other documents vote
+against that one. So every recurring landmark takes part, and the votes are as many as its places, not as pairs of them.
+
 Hashes are 64-bit numbers. Copies that line up with the reference at one offset alone have one bin, whose mean is its own
 votes: the threshold m + 5 sqrt(m) is then above them, as the published rule has it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,26 +37,61 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.filter("text IS NOT NULL").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
 
 
-def landmarks(docs: DataFrame, max_dt: int = MAX_DT, occur: int = MAX_OCCUR) -> DataFrame:
-    """hash, doc_id, t, r of every token pair at most max_dt apart; r = 0, 1, .. numbers the places of a hash within
-    its document, of which the first ``occur`` are kept. Sorted within the document's row, so nothing is exchanged."""
+TEXT_BYTES = 1 << 20  # text whose landmarks are made at once
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A fixed mixing of 64-bit numbers (multiply and shift)."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(27))
+
+
+def token_pairs(ids: pa.Array, texts: pa.Array, max_dt: int, occur: int) -> pa.RecordBatch:
+    """hash, doc_id, t, r, n of the token pairs of some texts: tokens are hashed once each, pairs by arithmetic, places numbered after one sort."""
+    tokens = pc.split_pattern(texts, " ")
+    at = tokens.offsets.to_numpy().astype(np.int64)
+    words = tokens.flatten().dictionary_encode()
+    known = pd.util.hash_array(np.asarray(words.dictionary.to_pylist(), object)) if len(words.dictionary) else np.zeros(0, np.uint64)
+    h, doc = known[words.indices.to_numpy()], np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = np.arange(len(h)) - at[doc] + at[0]
+    hashes, docs, places = [], [], []
+    for dt in range(1, max_dt + 1):
+        i = np.flatnonzero(doc[:-dt] == doc[dt:]) if len(h) > dt else np.zeros(0, int)
+        hashes.append(_spread(_spread(h[i]) + h[i + dt] * np.uint64(2 * dt + 1) + np.uint64(dt)))
+        docs.append(doc[i])
+        places.append(place[i])
+    x, d, t = (np.concatenate(v) for v in (hashes, docs, places))
+    order = np.lexsort((t, x, d))
+    x, d, t = x[order], d[order], t[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
+    first = np.flatnonzero(new)
+    r = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    keep = r < occur
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x[keep].view(np.int64)), ids.take(pa.array(d[keep])), pa.array(t[keep]), pa.array(r[keep].astype(np.int32)), pa.array(np.diff(at)[d[keep]])], names=["hash", "doc_id", "t", "r", "n"])
+
 
-    def pairs(dt: int) -> Column:
-        def one(i: Column) -> Column:
-            return F.struct(F.xxhash64(F.get("w", i), F.get("w", i + dt), F.lit(dt)).alias("h"), i.cast("long").alias("t"))
+def landmarks(docs: DataFrame, max_dt: int = MAX_DT, occur: int = MAX_OCCUR) -> DataFrame:
+    """hash, doc_id, t, r, n of every token pair at most max_dt apart; r = 0, 1, .. numbers the places of a hash within
+    its document, of which the first ``occur`` are kept (the published rule; a passage is still found by its other landmarks); n is the
+    document's number of tokens. Made in Arrow batches of about 1 MB of text, so nothing is exchanged. A null text has none."""
 
-        return F.when(F.size("w") > dt, F.transform(F.sequence(F.lit(0), F.size("w") - dt - 1), one)).otherwise(F.array().cast("array<struct<h:bigint,t:bigint>>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TEXT_BYTES, side="right")))
+                yield token_pairs(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), max_dt, occur)
+                lo = hi
 
-    held = tokens(docs).select("doc_id", F.sort_array(F.concat(*[pairs(dt) for dt in range(1, max_dt + 1)])).alias("s"))
-    before = lambda i, k: F.coalesce(F.get(F.col("s"), i - k)["h"] == F.get(F.col("s"), i)["h"], F.lit(False))
-    rank = lambda i: reduce(lambda a, b: a + b, [before(i, k).cast("int") for k in range(1, occur + 1)])
-    ranked = F.transform("s", lambda x, i: F.struct(x["h"].alias("h"), x["t"].alias("t"), rank(i).alias("r")))
-    each = held.select("doc_id", F.explode(F.filter(ranked, lambda x: x["r"] < occur)).alias("x"))
-    return each.select(F.col("x.h").alias("hash"), "doc_id", F.col("x.t").alias("t"), F.col("x.r").alias("r"))
+    held = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    return held.mapInArrow(run, "hash long, doc_id long, t long, r int, n long")
 
 
 def recurring(marks: DataFrame, low: int = MIN_DF) -> DataFrame:
-    """hash, doc_id, t, r, df of the landmarks in at least ``low`` documents. One exchange by hash serves the count and the join."""
+    """marks and df of the landmarks in at least ``low`` documents. marks is read twice, for the count and for the join, so it should be a stored table."""
     df = marks.filter("r = 0").groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= low)
     return marks.join(df, "hash")
 
@@ -74,19 +116,34 @@ def votes_of(held: DataFrame, refs: list[int]) -> DataFrame:
     return right.join(left, "hash").filter("a <> b").groupBy("a", "b", (F.col("ta") - F.col("tb")).alias("delta"), "hash").agg(F.min("ta").alias("ta"))
 
 
+def owner_votes(held: DataFrame) -> DataFrame:
+    """a, b, delta, hash, ta as ``votes_of`` has them, with a the owner of each landmark: of the documents that hold it the longest, then the
+    smaller id. A passage that some documents share has mostly landmarks of these alone, which all fall to the same one of them."""
+    own = held.groupBy("hash").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc_id"))["doc_id"].alias("a"))
+    both = held.join(own, "hash")
+    left = both.filter("doc_id = a").select("hash", F.col("t").alias("ta"))
+    right = both.filter("doc_id <> a").select("hash", "a", F.col("doc_id").alias("b"), F.col("t").alias("tb"))
+    return right.join(left, "hash").groupBy("a", "b", (F.col("ta") - F.col("tb")).alias("delta"), "hash").agg(F.min("ta").alias("ta"))
+
+
 def offset_votes(bins: DataFrame) -> DataFrame:
     """a, b, delta, votes: distinct hashes of a bin, and the places in a they come from."""
     return bins.groupBy("a", "b", "delta").agg(F.count(F.lit(1)).alias("votes"), F.min("ta").alias("a_from"), F.max("ta").alias("a_to"))
 
 
-def with_threshold(votes: DataFrame, least: int = MIN_VOTES) -> DataFrame:
-    """Adds the pair's own threshold: max(least, m + 5 sqrt(m)), m the mean over all bins from the lowest delta to the highest."""
+def with_threshold(votes: DataFrame, least: int = MIN_VOTES, others: bool = False) -> DataFrame:
+    """Adds the pair's own threshold: max(least, m + 5 sqrt(m)), m the mean over all bins from the lowest delta to the highest. With
+    ``others`` a bin's own votes are left out of its mean, so that copies that line up at one offset alone are over it."""
+    if others:
+        pair = votes.groupBy("a", "b").agg(F.sum("votes").alias("s"), (F.max("delta") - F.min("delta") + 1).alias("w"))
+        held = votes.filter(F.col("votes") >= least).join(pair, ["a", "b"]).withColumn("m", (F.col("s") - F.col("votes")) / F.col("w"))
+        return held.withColumn("threshold", F.greatest(F.lit(float(least)), F.col("m") + 5 * F.sqrt("m"))).drop("m", "s", "w")
     pair = votes.groupBy("a", "b").agg((F.sum("votes") / (F.max("delta") - F.min("delta") + 1)).alias("m"))
     return votes.filter(F.col("votes") >= least).join(pair, ["a", "b"]).withColumn("threshold", F.greatest(F.lit(float(least)), F.col("m") + 5 * F.sqrt("m"))).drop("m")
 
 
-def peaks(votes: DataFrame, least: int = MIN_VOTES) -> DataFrame:
-    return with_threshold(votes, least).filter("votes >= threshold")
+def peaks(votes: DataFrame, least: int = MIN_VOTES, others: bool = False) -> DataFrame:
+    return with_threshold(votes, least, others).filter("votes >= threshold")
 
 
 def top_peaks(found: DataFrame, most: int = MAX_PEAKS) -> DataFrame:

@@ -64,7 +64,8 @@ chosen AS (SELECT a FROM lead JOIN refs ON refs.doc_id = a ORDER BY score DESC,
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.recurring(C.landmarks(table(spark, sf_dir, "documents")))
+    """Landmarks that recur; made once and kept in the shared folder."""
+    return C.recurring(stored(C.landmarks(table(spark, sf_dir, "documents")), "marks"))
 
 
 def bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
@@ -164,6 +165,38 @@ def assets_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(C.ranked_assets(found_assets(spark, sf_dir), "kind", 3))
 
 
+_OWN_BINS = """len AS (SELECT doc_id, len(w) AS n FROM tok), own AS (SELECT hash, held.doc_id AS a FROM held JOIN len ON len.doc_id = held.doc_id QUALIFY row_number() OVER (PARTITION BY hash ORDER BY n DESC, held.doc_id) = 1),
+bins AS (SELECT own.a, b.doc_id AS b, x.t - b.t AS delta, b.hash, min(x.t) AS ta FROM held b JOIN own ON own.hash = b.hash AND own.a <> b.doc_id JOIN held x ON x.hash = own.hash AND x.doc_id = own.a GROUP BY 1, 2, 3, 4),
+votes AS (SELECT a, b, delta, count(*) AS votes, min(ta) AS a_from, max(ta) AS a_to FROM bins GROUP BY 1, 2, 3),
+mean AS (SELECT *, (sum(votes) OVER (PARTITION BY a, b) - votes) / (max(delta) OVER (PARTITION BY a, b) - min(delta) OVER (PARTITION BY a, b) + 1) AS m FROM votes),
+thr AS (SELECT *, greatest(12.0, m + 5 * sqrt(m)) AS threshold FROM mean), peaks AS (SELECT * FROM thr WHERE votes >= threshold)"""
+EVERYWHERE = f"{HELD}, {_OWN_BINS}" + MEMBERS[len(PEAKS):]
+_SUPPORT = f"""sup AS (SELECT a, asset, ref_from, ref_to, median_votes, count(*) AS support, round(avg(votes), 6) AS mean_votes FROM members WHERE present GROUP BY ALL HAVING count(*) >= {C.MIN_SUPPORT})"""
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of every passage, whatever documents hold it: each landmark's documents vote against its owner."""
+    each = stored(C.owner_votes(stored(held(spark, sf_dir), "landmarks")), "votes")
+    found = C.merged(each, C.suppressed(C.top_peaks(C.peaks(C.offset_votes(each), others=True))))
+    return C.members(stored(found, "peaks"))
+
+
+@query(f"""WITH {EVERYWHERE}, {_SUPPORT} SELECT * FROM sup""")
+def passages_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that at least three documents hold, found without chosen references."""
+    present = passages(spark, sf_dir).filter("present").groupBy("a", "asset", "ref_from", "ref_to", "median_votes")
+    return present.agg(F.count(F.lit(1)).alias("support"), F.round(F.avg("votes"), 6).alias("mean_votes")).filter(F.col("support") >= C.MIN_SUPPORT)
+
+
+@query(f"""WITH {EVERYWHERE}, {_SUPPORT} SELECT m.a, m.asset, doc_id, start, "end", votes FROM members m JOIN sup ON sup.a = m.a AND sup.asset = m.asset WHERE present QUALIFY row_number() OVER (PARTITION BY m.a, m.asset ORDER BY is_reference DESC, start, doc_id) = 1""")
+def example_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place that stands for each passage: in its reference, or else its first member's."""
+    held_ = stored(passages(spark, sf_dir).filter("present"), "members")
+    supported = held_.groupBy("a", "asset").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= C.MIN_SUPPORT)
+    best = F.min(F.struct((~F.col("is_reference")).alias("o"), "start", "doc_id", "end", "votes")).alias("x")
+    return held_.join(supported, ["a", "asset"]).groupBy("a", "asset").agg(best).select("a", "asset", "x.doc_id", "x.start", "x.end", "x.votes")
+
+
 def _columns(found: DataFrame) -> DataFrame:
     return found.select("a", "asset", "kind", "ref_from", "ref_to", "support", F.round("support_fraction", 9).alias("support_fraction"), "span", F.round("mean_start", 6).alias("mean_start"), F.round("mean_votes", 6).alias("mean_votes"), "median_votes", "rank")
 
