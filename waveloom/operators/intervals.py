@@ -1,4 +1,4 @@
-"""Algebra of half-open intervals [s, e) per key. Overlap joins are equi-joins on buckets of time with the exact test behind."""
+"""Algebra of half-open intervals [s, e) per key, of whole numbers or not. Overlap joins are equi-joins on buckets of time with the exact test behind."""
 
 from __future__ import annotations
 
@@ -31,13 +31,13 @@ def complement(merged: DataFrame, whole: DataFrame, key: str) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))))
+    return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / width), F.ceil(F.col("e") / width) - 1)))
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
     """Pairs of overlapping rows: a's columns and b's with prefix o_. Each pair once (in the first bucket they share)."""
     right = b.select(F.col(key).alias("o_key"), *[F.col(c).alias(f"o_{c}") for c in b.columns if c != key])
-    right = right.withColumn("o_bucket", F.explode(F.sequence(F.floor(F.col("o_s") / width), F.floor((F.col("o_e") - 1) / width))))
+    right = right.withColumn("o_bucket", F.explode(F.sequence(F.floor(F.col("o_s") / width), F.ceil(F.col("o_e") / width) - 1)))
     pairs = _bucketed(a, width).join(right, (F.col(key) == F.col("o_key")) & (F.col("bucket") == F.col("o_bucket")))
     once = F.col("bucket") == F.floor(F.greatest("s", "o_s") / width)
     return pairs.filter((F.col("s") < F.col("o_e")) & (F.col("o_s") < F.col("e")) & once).drop("bucket", "o_bucket", "o_key")
@@ -92,6 +92,6 @@ def covered(merged: DataFrame, whole: DataFrame, key: str) -> DataFrame:
 def rows_in(points: DataFrame, spans: DataFrame, key: str, at: Column, width: int) -> DataFrame:
     """Points of a key inside one of its spans, once for each span (o_s, o_e)."""
     right = spans.select(F.col(key).alias("o_key"), F.col("s").alias("o_s"), F.col("e").alias("o_e"))
-    right = right.withColumn("o_bucket", F.explode(F.sequence(F.floor(F.col("o_s") / width), F.floor((F.col("o_e") - 1) / width))))
+    right = right.withColumn("o_bucket", F.explode(F.sequence(F.floor(F.col("o_s") / width), F.ceil(F.col("o_e") / width) - 1)))
     left = points.withColumn("at", at).withColumn("bucket", F.floor(F.col("at") / width))
     return left.join(right, (F.col(key) == F.col("o_key")) & (F.col("bucket") == F.col("o_bucket"))).filter("at >= o_s AND at < o_e").drop("bucket", "o_bucket", "o_key")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waveloom.plans.shared import stored
+
 
 def ranked(df: DataFrame, key: str, *order: str) -> DataFrame:
     """df with t: 0, 1, ... within key by the given order (name a unique last column for ties)."""
@@ -81,3 +83,14 @@ def best_window(df: DataFrame, key: str, x: str, n: int, step: int) -> DataFrame
     sums = df.withColumn("s", F.round(F.sum(x).over(ahead), 6)).withColumn("c", F.count(x).over(ahead)).filter((F.col("c") == n) & (F.col("t") % step == 0))
     best = Window.partitionBy(key).orderBy(F.desc("s"), "t")
     return sums.withColumn("r", F.row_number().over(best)).filter("r = 1").select(key, F.col("t").alias("start"), "s")
+
+
+def best_stretch(df: DataFrame, key: str, x: str, want: int, least: int, step: int) -> DataFrame:
+    """key, start, n, s: the stretch with the greatest sum (6 decimals, the first of equals), of n = ``want`` rows or half the key's if that is less,
+    starting at a multiple of ``step``. Keys with n under ``least`` have none. A sum is the difference of two running ones, met by an equi-join."""
+    size = df.groupBy(key).agg(F.floor(F.least(F.lit(want), F.count(F.lit(1)) / 2)).alias("n")).filter(F.col("n") >= least)
+    upto = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    sums = stored(df.select(key, "t", x, F.sum(x).over(upto).alias("upto")).join(size, key), "sums")
+    ends = sums.select(key, (F.col("t") - F.col("n") + 1).alias("t"), F.col("upto").alias("end"))
+    each = sums.filter(F.col("t") % step == 0).join(ends, [key, "t"]).select(key, "t", "n", F.round(F.col("end") - F.col("upto") + F.col(x), 6).alias("s"))
+    return each.groupBy(key).agg(F.min(F.struct((-F.col("s")).alias("v"), "t", "n")).alias("b")).select(key, F.col("b.t").alias("start"), "b.n", (-F.col("b.v")).alias("s"))

@@ -10,6 +10,7 @@ from waveloom.operators import export as X
 from waveloom.operators import segments as S
 from waveloom.plans.base import EV, query, seconds, series, table
 from waveloom.plans.intervals import BOUNDS, IV, bounds, merged, spans
+from waveloom.plans.shared import stored
 
 FPS, FEATURES = 3.0, ["level", "phase"]
 POSITIVE = "(t >= 6 AND t < 15) OR (t >= 24 AND t < 30)"
@@ -78,6 +79,56 @@ def calibration_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.calibration_errors(S.marked(held, exemplars(held), FPS), "id", F.col("positive"))
 
 
+EXTRAS, DIALOG, CEILING = [("third", 1), ("phase", -1)], {"loud": (0.5, 0.3), "quick": (0.4, 0.2)}, 0.4
+WIDE = FRAMES.replace("AS pos FROM ev)", "AS pos, CASE WHEN user_id % 4 > 0 THEN (event_id % 5) / 5.0::DOUBLE END AS third, value / 100 AS loud, (event_id % 10) / 10.0::DOUBLE AS quick FROM ev)")
+
+
+def _gated(name: str, body: str, detector: str) -> str:
+    """Segments of one detector under the ceiling whose level is at most 40 under the exemplars'."""
+    return f"""{name} AS (WITH {body}, lv AS (SELECT seg.id, s, any_value(e) AS e, any_value(peak) AS peak, any_value(mean_score) AS mean_score, avg(level) AS lev FROM seg JOIN fr ON fr.id = seg.id AND t BETWEEN first AND last GROUP BY 1, 2)
+SELECT lv.id, s, e, peak, mean_score, '{detector}' AS detector FROM lv JOIN ref ON ref.id = lv.id JOIN top ON top.id = lv.id WHERE lev >= r - 40 AND e - s <= {CEILING} * (top + 1) / 3.0::DOUBLE)"""
+
+
+def _by(x: str, side: int) -> str:
+    return _segments(
+        f"mid AS (SELECT id, (avg({side} * {x}) FILTER (pos) + avg({side} * {x}) FILTER (NOT pos)) / 2 AS th, avg({side} * {x}) FILTER (pos) AS mean FROM fr JOIN cal USING (id) GROUP BY 1), sc AS (SELECT id, t, {side} * {x} - th AS score FROM fr JOIN mid USING (id) WHERE th IS NOT NULL)",
+        "fl AS (SELECT id, 0.7 * (mean - th) AS floor FROM mid WHERE th IS NOT NULL)")
+
+
+_NO = "NOT EXISTS (SELECT 1 FROM {k} k WHERE k.id = x.id AND x.s < k.e AND k.s < x.e)"
+FULL = f"""{EV}, {WIDE}, {CALIBRATED}, ref AS (SELECT id, avg(l) AS r FROM (SELECT id, avg(level) AS l FROM fr WHERE pos GROUP BY id, t >= 20) GROUP BY 1),
+{_gated('g0', MUSIC, 'exemplar')}, {_gated('g1', _by(*EXTRAS[0]), 'third')}, {_gated('g2', _by(*EXTRAS[1]), 'phase')},
+k1 AS (SELECT * FROM g0 UNION ALL SELECT * FROM g1 x WHERE {_NO.format(k='g0')}), k2 AS (SELECT * FROM k1 UNION ALL SELECT * FROM g2 x WHERE {_NO.format(k='k1')}),
+ex AS (SELECT DISTINCT id, 12.0::DOUBLE AS s, 13.5::DOUBLE AS e FROM fr WHERE id % 2 = 0), kept AS (SELECT * FROM k2 x WHERE {_NO.format(k='ex')}),
+dm AS (SELECT id, t, avg(loud) OVER w AS loud, avg(quick) OVER w AS quick FROM fr WINDOW w AS (PARTITION BY id ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+win AS (SELECT id, s, e, s AS beg, greatest(0.5, e - s) AS d FROM kept WHERE e - s <= 6 UNION SELECT id, s, e, unnest(list_transform(range(0, CAST(floor((e - s - 6) / 3) AS BIGINT) + 1), lambda k: s + k * 3.0)), 6.0 FROM kept WHERE e - s > 6
+UNION SELECT id, s, e, e - 6 AS beg, 6.0 FROM kept WHERE e - s > 6),
+dt AS (SELECT w.id, s, e, beg, ((coalesce(max(loud), 0) - 0.5) / 0.3 + (coalesce(max(quick), 0) - 0.4) / 0.2) / 2 AS score FROM win w LEFT JOIN dm ON dm.id = w.id AND t >= floor(beg * 3) AND t < ceil((beg + d) * 3) GROUP BY 1, 2, 3, 4),
+fg AS (SELECT id, s, e, max(score) AS score FROM dt GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {FULL} SELECT cal.id, round(kept.s, 6) AS s, round(kept.e, 6) AS e, round(peak, 5) AS peak, round(mean_score, 5) AS mean_score, detector, round(fg.score, 5) AS dialog_score, fg.score >= 0.3 AS has_dialog, round(separation, 6) AS separation,
+CASE WHEN cal.id % 4 = 0 THEN 'third has no values inside or outside the exemplars' END AS extra_error, NULL AS error FROM cal LEFT JOIN kept ON kept.id = cal.id LEFT JOIN fg ON fg.id = kept.id AND fg.s = kept.s AND fg.e = kept.e
+UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {ERROR} FROM m WHERE np < 10 OR nn < 50""")
+def music_ranges_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exemplars' detector with two others in its gaps, ranges left out, dialog marked, errors by name; one user in four lacks a series."""
+    ev = series(spark, sf_dir)
+    lacking = F.when(F.col("user_id") % 4 > 0, F.pmod("event_id", F.lit(5)) / 5)
+    held = stored(ev.select(F.col("user_id").alias("id"), "t", F.col("value").alias("level"), (F.pmod("event_id", F.lit(7)) / 7).alias("phase"), lacking.alias("third"), (F.col("value") / 100).alias("loud"), (F.pmod("event_id", F.lit(10)) / 10).alias("quick")), "frames")
+    taken = held.filter("id % 2 = 0").select("id").distinct().select("id", F.lit(12.0).alias("s"), F.lit(13.5).alias("e"))
+    found = S.full_ranges(held, exemplars(held), durations(held), EXTRAS, taken, DIALOG, features=FEATURES, fps=FPS, slack=40.0, ceiling=CEILING)
+    places = {"s": 6, "e": 6, "peak": 5, "mean_score": 5, "dialog_score": 5, "separation": 6}
+    return found.withColumns({c: F.round(c, k) for c, k in places.items()})
+
+
+@query(f"""WITH {EV}, x AS (SELECT user_id AS id, t, value - 30 * ((event_id % 7) / 7.0::DOUBLE) AS x FROM ev), n AS (SELECT id, least(30, count(*) // 2) AS n FROM x GROUP BY 1),
+w AS (SELECT a.id, a.t, n, round(sum(b.x), 6) AS s FROM x a JOIN n ON n.id = a.id AND n >= 12 JOIN x b ON b.id = a.id AND b.t >= a.t AND b.t < a.t + n WHERE a.t % 2 = 0 GROUP BY 1, 2, 3 HAVING count(*) = n)
+SELECT id, t / 3.0::DOUBLE AS s, (t + n) / 3.0::DOUBLE AS e FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, t) = 1""")
+def foreground_exemplar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loudest and least modulated stretch of each user's events, at most half of them."""
+    return S.foreground(frames(spark, sf_dir), "level", "phase", FPS)
+
+
 CONTAINERS = ["wav", "flac", "webm", "mp4", "unknown"]
 
 
