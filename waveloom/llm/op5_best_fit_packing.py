@@ -16,7 +16,8 @@ that this library can't take (its regular expression gives up on very long runs
 of white space) is encoded whole by the other.
 
 Defined cases: null and empty texts are one piece holding only the end id 0;
-repeated rows (and repeated ids) are packed each; an empty table packs to no
+repeated rows (and repeated ids) are packed each; pieces of one length tie and take their
+slots by rank; a very long text is encoded whole in its task (its ids are about 20 times its size) and cut into pieces; an empty table packs to no
 row; other columns are ignored.
 """
 

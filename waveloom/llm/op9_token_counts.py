@@ -11,7 +11,7 @@ Only the choice of the frequent entries looks at a bounded sample (``SAMPLE_ROWS
 rows, ``SAMPLE_CHARS`` characters each); it changes speed, never a count.
 
 Defined cases: null text and empty text have 0 bytes and 0 tokens; repeated
-rows are counted each; an empty table gives no row; a null doc_id stays null;
+rows are counted each; a very long text is a batch of its own and counted whole; an empty table gives no row; a null doc_id stays null;
 other columns are ignored.
 """
 
