@@ -104,7 +104,7 @@ def test_planted_theme_lines_up(spark):
 
 
 def test_music_is_found_at_the_theme(spark):
-    found = {r["id"]: r for r in signals.music_segments(spark, "").collect()}
+    found = {r["id"]: r for r in signals.music_segments(spark).collect()}
     for e in range(6):
         r = found[f"e{e}"]
         assert abs(r["s"] - theme_at(e)) < 1.5 and abs(r["e"] - theme_at(e) - 12) < 1.5

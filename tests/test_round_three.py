@@ -122,6 +122,47 @@ def test_chroma_folds_bins_to_classes(spark):
     assert {k for k, *_ in weights} == {k for k in range(33) if 55 <= k * rate / size <= 4000}
 
 
+def test_aac_configuration_bytes(spark):
+    from waveloom.plans.media import aac_configs
+
+    rows = spark.createDataFrame([(48000, 2), (44100, 2), (44100, 1), (8000, 1), (12345, 2)], "rate int, channels int")
+    assert [tuple(r) for r in aac_configs(rows).collect()] == [(48000, 2, "1190", 2), (44100, 2, "1210", 2), (44100, 1, "1208", 2), (8000, 1, "1588", 2), (12345, 2, None, None)]
+
+
+def test_intervals_of_fractions_meet_in_every_bucket(spark):
+    a = spark.createDataFrame([("k", 59.5, 60.5), ("k", 10.0, 64.0)], "id string, s double, e double")
+    b = spark.createDataFrame([("k", 60.2, 60.4), ("k", 64.0, 65.0)], "id string, s double, e double")
+    assert I.overlap_pairs(a, b, "id", 60).count() == 2 and I.overlapping(a, b, "id", 60, keep=False).count() == 0
+
+
+def test_passages_are_found_whatever_documents_hold_them(spark):
+    """Passages in one in a hundred documents each: at least nine in ten are found in every document that holds them."""
+    from waveloom.operators import consensus as C
+
+    rng = random.Random(21)
+    words = [a + b for a in "bdfgklmnprstvz" for b in ("a", "en", "ir", "o", "um", "ys")]
+    prose = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
+    docs = {i: prose(150) for i in range(600)}
+    planted = []
+    for p in range(40):
+        passage, members = prose(60), rng.sample(sorted(docs), 6)
+        for m in members:
+            at = rng.randrange(len(docs[m]))
+            docs[m][at:at] = passage
+        planted.append(members)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    marks = C.landmarks(df).cache()
+    held = C.recurring(marks).cache()
+    found = C.peaks(C.offset_votes(C.owner_votes(held)), others=True).select("a", "b").distinct().collect()
+    linked = defaultdict(set)
+    for r in found:
+        linked[r["a"]].add(r["b"])
+    hit = sum(len(set(members) & (linked[a] | {a})) for members in planted for a in [max(members, key=lambda m: len(set(members) & (linked[m] | {m})))])
+    assert hit >= 0.9 * sum(map(len, planted))
+    true = {(a, b) for members in planted for a in members for b in members}
+    assert all((r["a"], r["b"]) in true for r in found)
+
+
 # ---------------------------------------------------------------- filters
 
 def test_blocked_filters_are_the_recursion(spark):

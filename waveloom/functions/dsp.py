@@ -144,27 +144,3 @@ def prominences(curve: np.ndarray) -> np.ndarray:
         width = k - a if left < right else b - k
         out.append(min(left, right) / width if width else 0.0)
     return np.array(out) if out else np.zeros(0)
-
-
-def speech_series(x: np.ndarray, size: int = 512, hop: int = 80, window: int = 25, corr: int = 200) -> dict[str, np.ndarray]:
-    """Per fine frame (100 a second): speech-band modulation at 4 Hz and mean synchrony of band envelopes."""
-    mag = spectra(x, size, hop, periodic=True)
-    centres = 125 * 2 ** (np.arange(17) / 3)
-    f = np.arange(mag.shape[1]) * 8000 / size
-    bands = np.stack([np.sqrt((mag[:, (f >= c / np.sqrt(2)) & (f < c * np.sqrt(2))] ** 2).sum(axis=1)) for c in centres], axis=1)
-    n = len(bands)
-    wave = np.exp(-2j * np.pi * 4 * np.arange(window) / 100)
-    depth = np.zeros((n, 17))
-    if n >= window:
-        view = np.lib.stride_tricks.sliding_window_view(bands, window, axis=0)
-        depth[window - 1:] = np.abs(view @ wave) / np.maximum(view.sum(axis=2), TINY)
-    speech = np.log10(np.maximum(bands[:, 3:14].sum(axis=1), TINY))
-    sync = np.zeros(n)
-    for t in range(corr, n + 1, 20):
-        part = bands[t - corr: t, 3:14]
-        live = part[:, part.std(axis=0) > TINY]
-        r = np.corrcoef(live.T) if live.shape[1] > 1 else np.ones((1, 1))
-        k = r.shape[0]
-        mean = (r.sum() - k) / (k * (k - 1)) if k > 1 else 0.0
-        sync[t - 1: t + 19] = 1 - mean
-    return {"mod4": depth[:, 3:14].mean(axis=1), "mod_speech": speech, "band_sync": sync}

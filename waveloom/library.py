@@ -47,6 +47,20 @@ class Library:
         own, others = self.frames.filter(self.frames["id"] == reference), self.frames.filter(self.frames["id"] != reference)
         return R.refined(own, others, estimates, a, b, own.count(), rule=rule)
 
+    def pinpoint(self, rule: R.Rule = R.Rule(), by: str = "support", hint: list[int] | None = None) -> DataFrame | None:
+        """Discovery and refinement in one: the first passage's exact bounds in every member that may hold it, its reference's own under
+        the reference's id; None where nothing recurs. frames has the members' ids and counts as landmarks do."""
+        found, refs = self.members(hint)
+        found = stored(found, "members")
+        best = C.best_reference(stored(C.assets(found, self.lengths, self.lengths.count()), "assets"), refs)
+        first = C.ranked_assets(best, by, 1).select("a", "asset", "ref_from", "ref_to").first()  # one row
+        if first is None:
+            return None
+        own = found.filter((found["a"] == first["a"]) & (found["asset"] == first["asset"]))
+        estimates = own.filter("NOT is_reference").select(own["doc_id"].alias("id"), own["start"].alias("at"), own["end"].alias("until"), "present")
+        bounds = self.refine(first["a"], stored(estimates, "estimates"), first["ref_from"], first["ref_to"], rule)
+        return bounds.na.fill({"id": first["a"]})
+
     def ranges(self, exemplars: DataFrame, **options) -> DataFrame:
         """Segments like the exemplars (id, s, e), a row with the error where a member can't be calibrated."""
         return S.ranges_for(self.frames, exemplars, self.seconds, **options)

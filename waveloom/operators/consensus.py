@@ -146,6 +146,22 @@ def peaks(votes: DataFrame, least: int = MIN_VOTES, others: bool = False) -> Dat
     return with_threshold(votes, least, others).filter("votes >= threshold")
 
 
+def probed(votes: DataFrame, known: DataFrame) -> DataFrame:
+    """How each known offset (a, b, delta) fares: its votes (0 without any), its rank among all bins of the pair (votes first, then the smaller
+    delta; null without votes), the pair's threshold and whether the bin is over it."""
+    pair = votes.groupBy("a", "b").agg((F.sum("votes") / (F.max("delta") - F.min("delta") + 1)).alias("m"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("votes"), "delta"))
+    bins = votes.select("a", "b", "delta", "votes", place.alias("rank"))
+    met = known.join(bins, ["a", "b", "delta"], "left").join(pair, ["a", "b"], "left").withColumn("threshold", F.greatest(F.lit(float(MIN_VOTES)), F.coalesce(F.col("m") + 5 * F.sqrt("m"), F.lit(0.0))))
+    return met.select("a", "b", "delta", F.coalesce("votes", F.lit(0).cast("long")).alias("votes"), "rank", "threshold", (F.coalesce("votes", F.lit(0)) >= F.col("threshold")).alias("passes"))
+
+
+def ablated(marks: DataFrame, spans: DataFrame) -> DataFrame:
+    """marks without those whose anchor lies in a span (doc_id, s, e) of their document, to see what is still found when a passage is gone from some."""
+    hit = marks.join(spans.select("doc_id", "s", "e"), "doc_id").filter("t >= s AND t < e").select("hash", "doc_id", "t").distinct()
+    return marks.join(hit, ["hash", "doc_id", "t"], "left_anti").drop("r").withColumn("r", F.row_number().over(Window.partitionBy("hash", "doc_id").orderBy("t")) - 1)
+
+
 def top_peaks(found: DataFrame, most: int = MAX_PEAKS) -> DataFrame:
     """The strongest peaks of a pair: votes first, then the smaller delta."""
     order = Window.partitionBy("a", "b").orderBy(F.desc("votes"), "delta")

@@ -49,11 +49,3 @@ def activations(signals: DataFrame) -> DataFrame:
         return {"centre": centre, "value": value}
 
     return _each(signals, "id string, centre double, value double", of)
-
-
-def speech(signals: DataFrame) -> DataFrame:
-    def of(x: np.ndarray) -> dict:
-        held = dsp.speech_series(x)
-        return {"t": np.arange(len(held["mod4"])), **held}
-
-    return _each(signals, "id string, t long, mod4 double, mod_speech double, band_sync double", of)

@@ -12,20 +12,6 @@ from waveloom.plans.base import EV, query, series
 from waveloom.sources import containers as M
 from waveloom.streaming import ingest
 
-#: First bytes of sample files, in hex, and what they are.
-MAGIC = [
-    ("a", "1A45DFA3A34286810142F7810142F2810442F381084282886D6174726F736B61", "matroska"), ("b", "1A45DFA39F4286810142F7810142F2810442F3810842828477656D", "webm"),
-    ("c", "664C614300000022", "flac"), ("d", "4F67675300020000", "ogg"), ("e", "4944330400000000", "mp3"), ("f", "FFFB9064000000000000", "mp3"),
-    ("g", "524946462400000057415645666D7420", "wav"), ("h", "464F524D0000002E41494646434F4D4D", "aiff"), ("i", "000000186674797069736F6D", "mp4"), ("j", "0102", "unknown"), ("k", "DEADBEEFDEADBEEF", "unknown"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, _, v in MAGIC) + ") t(name, container)")
-def sniff_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, x) for k, x, _ in MAGIC], "name string, digits string")
-    return rows.select("name", M.sniff(F.unhex("digits")).alias("container"))
-
-
 RATE = 10  # the events of a user as samples, ten a second
 
 
@@ -53,29 +39,37 @@ def decode_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("path", "seq", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v), 6).alias("energy"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', {('NULL' if v in X.CUTTABLE else chr(39) + ('cutting ' + v + ' is not implemented' if v in ('matroska', 'webm') else 'unknown container') + chr(39))})" for k, _, v in MAGIC) + ") t(name, container, refusal)")
-def open_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: First bytes of other containers, in hex, put before the recordings of some users.
+MAGIC = ("", "664C614300000022", "4F67675300020000", "1A45DFA39F4286810142F7810142F2810442F3810842828477656D", "464F524D0000002E41494646434F4D4D", "0102")
+_KINDS = "(['wav', 'flac', 'ogg', 'webm', 'aiff', 'unknown'])[user_id % 6 + 1]"
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings, five in six behind the first bytes of another container."""
+    user = F.regexp_extract("path", "^([0-9]+)", 1).cast("long")
+    before = F.unhex(F.element_at(F.array(*[F.lit(m) for m in MAGIC]), (user % len(MAGIC) + 1).cast("int")))
+    return recordings(spark, sf_dir).select("path", F.concat(before, "content").alias("content"))
+
+
+@query(f"WITH {EV} SELECT DISTINCT user_id || '.wav' AS name, {_KINDS} AS container FROM ev")
+def sniffed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_files(spark, sf_dir).select(F.col("path").alias("name"), M.sniff(F.col("content")).alias("container"))
+
+
+@query(f"""WITH {EV}, k AS (SELECT DISTINCT user_id, {_KINDS} AS container FROM ev) SELECT user_id || '.wav' AS name, container, CASE WHEN container = 'webm' THEN 'cutting webm is not implemented' WHEN container IN ('ogg', 'unknown') THEN 'unknown container' END AS refusal FROM k""")
+def opened_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each file is and, where it can't be cut, why not."""
-    rows = spark.createDataFrame([(k, x) for k, x, _ in MAGIC], "name string, digits string").select("name", M.sniff(F.unhex("digits")).alias("container"))
+    rows = mixed_files(spark, sf_dir).select(F.col("path").alias("name"), M.sniff(F.col("content")).alias("container"))
     refusal = F.when(F.col("container").isin("matroska", "webm"), F.concat(F.lit("cutting "), "container", F.lit(" is not implemented"))).when(~F.col("container").isin(*X.CUTTABLE), "unknown container")
     return rows.select("name", "container", refusal.alias("refusal"))
 
 
-@query("""SELECT k, CASE WHEN f >= 55 AND f <= 4000 THEN CAST(((floor(12 * log2(f / 440) + 0.5) % 12) + 12) % 12 AS INT) ELSE -1 END AS pitch_class FROM (SELECT k, k * 8000 / 2048.0::DOUBLE AS f FROM (SELECT unnest(range(1, 1025)) AS k))""")
-def pitch_class_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitch class (A is 0) of each bin of a transform of 2048 samples at 8 kHz, -1 outside 55 to 4000 Hz."""
-    f = F.col("id") * 8000 / 2048
-    return spark.range(1, 1025).select(F.col("id").alias("k"), F.when((f >= 55) & (f <= 4000), F.pmod(F.floor(12 * F.log2(f / 440) + 0.5), F.lit(12))).otherwise(-1).cast("int").alias("pitch_class"))
-
-
 #: Sample rates of AAC by index.
 AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
 
-@query("SELECT * FROM (VALUES (48000, 2, '1190', 2), (44100, 2, '1210', 2), (44100, 1, '1208', 2), (8000, 1, '1588', 2), (12345, 2, NULL, NULL)) t(rate, channels, config, object_type)")
-def aac_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two configuration bytes of low-complexity AAC (type 2) for a rate and a channel count, and the type read back from them."""
-    rows = spark.createDataFrame([(48000, 2), (44100, 2), (44100, 1), (8000, 1), (12345, 2)], "rate int, channels int")
+def aac_configs(rows: DataFrame) -> DataFrame:
+    """rate, channels -> the two configuration bytes of low-complexity AAC (type 2) in hex, and the type read back from them."""
     index = F.array_position(F.array(*[F.lit(r) for r in AAC_RATES]), F.col("rate")) - 1
     bits = F.shiftleft(F.lit(2), 11).bitwiseOR(F.shiftleft(index.cast("int"), 7)).bitwiseOR(F.shiftleft("channels", 3))
     held = rows.withColumn("bits", F.when(index >= 0, bits))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waveloom.operators import consensus as C
+from waveloom.operators import refine as R
 from waveloom.plans.base import query, table
 from waveloom.plans.shared import stored
 
@@ -176,7 +177,11 @@ _SUPPORT = f"""sup AS (SELECT a, asset, ref_from, ref_to, median_votes, count(*)
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of every passage, whatever documents hold it: each landmark's documents vote against its owner."""
-    each = stored(C.owner_votes(stored(held(spark, sf_dir), "landmarks")), "votes")
+    return passages_of(stored(held(spark, sf_dir), "landmarks"))
+
+
+def passages_of(landmarks: DataFrame) -> DataFrame:
+    each = stored(C.owner_votes(landmarks), "votes")
     found = C.merged(each, C.suppressed(C.top_peaks(C.peaks(C.offset_votes(each), others=True))))
     return C.members(stored(found, "peaks"))
 
@@ -184,7 +189,12 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVERYWHERE}, {_SUPPORT} SELECT * FROM sup""")
 def passages_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that at least three documents hold, found without chosen references."""
-    present = passages(spark, sf_dir).filter("present").groupBy("a", "asset", "ref_from", "ref_to", "median_votes")
+    return supported(passages(spark, sf_dir))
+
+
+def supported(members: DataFrame) -> DataFrame:
+    """Passages with at least ``MIN_SUPPORT`` documents that hold them."""
+    present = members.filter("present").groupBy("a", "asset", "ref_from", "ref_to", "median_votes")
     return present.agg(F.count(F.lit(1)).alias("support"), F.round(F.avg("votes"), 6).alias("mean_votes")).filter(F.col("support") >= C.MIN_SUPPORT)
 
 
@@ -197,6 +207,71 @@ def example_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_.join(supported, ["a", "asset"]).groupBy("a", "asset").agg(best).select("a", "asset", "x.doc_id", "x.start", "x.end", "x.votes")
 
 
+@query(f"""WITH {PEAKS}, mm AS (SELECT a, b, any_value(m) AS m FROM mean GROUP BY 1, 2), rk AS (SELECT a, b, delta, votes, row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, delta) AS rank FROM votes),
+kn AS (SELECT mm.a, mm.b, 0 AS delta FROM mm) SELECT kn.a, kn.b, CAST(kn.delta AS BIGINT) AS delta, coalesce(votes, 0) AS votes, rank, round(greatest(12.0, m + 5 * sqrt(m)), 6) AS threshold, coalesce(votes, 0) >= greatest(12.0, m + 5 * sqrt(m)) AS passes
+FROM kn JOIN mm ON mm.a = kn.a AND mm.b = kn.b LEFT JOIN rk ON rk.a = kn.a AND rk.b = kn.b AND rk.delta = 0""")
+def probe_known_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How offset 0, where whole copies line up, fares for every pair of a reference and a document that share a landmark."""
+    each = stored(votes(spark, sf_dir), "votes")
+    known = each.select("a", "b").distinct().withColumn("delta", F.lit(0).cast("long"))
+    return C.probed(each, known).withColumn("threshold", F.round("threshold", 6))
+
+
+_CUT = "cut AS (SELECT hash, doc_id, t FROM marks WHERE NOT (doc_id % 2 = 0 AND t >= 20 AND t < 60))"
+ABLATED = EVERYWHERE.replace("df AS (SELECT", f"{_CUT}, df AS (SELECT", 1).replace("FROM marks GROUP BY 1 HAVING", "FROM cut GROUP BY 1 HAVING", 1).replace("FROM marks JOIN df", "FROM cut JOIN df", 1)
+
+
+@query(f"""WITH {ABLATED}, {_SUPPORT} SELECT * FROM sup""")
+def ablated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still found everywhere when every other document loses its tokens 20 to 59."""
+    docs = table(spark, sf_dir, "documents")
+    spans = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(20).alias("s"), F.lit(60).alias("e"))
+    marks = stored(C.ablated(stored(C.landmarks(docs, occur=2**31 - 1), "all-marks"), spans).filter(F.col("r") < C.MAX_OCCUR), "marks")
+    return supported(passages_of(stored(C.recurring(marks), "landmarks")))
+
+
+RULE = R.Rule(search=6, pad=8, smooth=4, threshold=0.75, fall=0.1, least_run=2, least_sim=0.3, longest=400, least_pairs=4)
+_RANK = "list_sort(list({x}))[CAST({at} AS BIGINT) + 1]"
+_TENTH, _NINTH, _MIDDLE = "floor(0.1 * (count(*) - 1) + 0.5)", "floor(0.9 * (count(*) - 1) + 0.5)", "count(*) // 2"
+PINPOINT = f"""{ASSETS}, pick AS (SELECT a, asset, ref_from AS fa, ref_to AS fb FROM assets JOIN chosen USING (a) ORDER BY support_fraction DESC, mean_votes DESC, mean_start, asset LIMIT 1),
+fr AS (SELECT doc_id AS id, unnest(range(0, len(w))) AS t, unnest(list_transform(w, lambda x: md5(x)[1])) AS g FROM tok),
+c AS (SELECT a, fa, fb, CAST(floor((fb - fa) * {RULE.shrink} + 0.5) AS BIGINT) AS cut, greatest(0, fa - {RULE.pad}) AS low, least(len(w), fb + {RULE.pad}) AS high FROM pick JOIN tok ON doc_id = a),
+est AS (SELECT doc_id AS id, start AS beg, "end" AS until, present FROM members m JOIN pick ON m.a = pick.a AND m.asset = pick.asset WHERE NOT is_reference),
+tr AS (SELECT id, unnest(range(beg - fa - {RULE.search}, beg - fa + {RULE.search + 1})) AS d FROM est CROSS JOIN c WHERE present),
+sims AS (SELECT tr.id, d, avg(CASE WHEN r.g = o.g THEN 1.0::DOUBLE ELSE 0 END) AS sim FROM tr CROSS JOIN c JOIN fr r ON r.id = c.a AND r.t >= fa + cut AND r.t < fb - cut JOIN fr o ON o.id = tr.id AND o.t = r.t + d GROUP BY 1, 2),
+off AS (SELECT id, d FROM sims QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC, d) = 1),
+wanted AS (SELECT id, d, a, unnest(range(low, high)) AS rt FROM off CROSS JOIN c),
+raw AS (SELECT w.id, d, rt, CASE WHEN r.g = o.g THEN 1.0::DOUBLE ELSE 0 END AS raw FROM wanted w LEFT JOIN fr r ON r.id = w.a AND r.t = rt LEFT JOIN fr o ON o.id = w.id AND o.t = rt + d),
+sm AS (SELECT x.id, x.d, x.rt, avg(y.raw) AS sm FROM raw x CROSS JOIN (SELECT unnest(range(-2, 3)) AS k) CROSS JOIN c JOIN raw y ON y.id = x.id AND y.rt = least(greatest(x.rt + k, low), high - 1) GROUP BY 1, 2, 3),
+lev AS (SELECT id, d, k, rt, rt - row_number() OVER (PARTITION BY id, k ORDER BY rt) AS g FROM sm CROSS JOIN (VALUES (0, {RULE.threshold}::DOUBLE), (1, {RULE.threshold}::DOUBLE - {RULE.fall}::DOUBLE), (2, {RULE.threshold}::DOUBLE - 2 * {RULE.fall}::DOUBLE)) l(k, over_) WHERE round(sm, 9) > over_),
+run AS (SELECT id, d, k, min(rt) AS t0, count(*) AS n FROM lev GROUP BY id, d, k, g), one AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY n DESC, t0) = 1),
+ext AS (SELECT id, d, t0, t0 + n - 1 AS t1 FROM one QUALIFY row_number() OVER (PARTITION BY id ORDER BY n >= {RULE.least_run} DESC, CASE WHEN n >= {RULE.least_run} THEN k END, n DESC, k) = 1),
+ins AS (SELECT ext.id, avg(raw) AS sim FROM ext JOIN raw ON raw.id = ext.id AND rt >= t0 AND rt < t1 GROUP BY 1),
+ea AS (SELECT est.*, d, t0, t1, sim, coalesce(t1 > t0 AND t1 - t0 >= {RULE.least_run}, false) AND present AS read FROM est LEFT JOIN ext USING (id) LEFT JOIN ins USING (id)), sr AS (SELECT *, read AND round(sim, 9) >= {RULE.least_sim} AS sure FROM ea),
+sh AS (SELECT count(*) AS n, {_RANK.format(x='t0', at=_TENTH)} AS lo, {_RANK.format(x='t1', at=_NINTH)} AS hi, {_RANK.format(x='t0', at=_MIDDLE)} AS m0, {_RANK.format(x='t1', at=_MIDDLE)} AS m1, {_RANK.format(x='sim', at=_MIDDLE)} AS ms FROM sr WHERE sure HAVING count(*) > 0),
+mem AS (SELECT id, present AND (sure OR NOT read) AS present, CASE WHEN sure THEN CASE WHEN n >= {RULE.least_pairs} THEN lo ELSE t0 END + d WHEN NOT read THEN beg END AS start, CASE WHEN sure THEN CASE WHEN n >= {RULE.least_pairs} THEN hi ELSE t1 END + d WHEN NOT read THEN until END AS stop,
+CASE WHEN read THEN sim ELSE 0 END AS sim, sure AS refined, CASE WHEN sure THEN d END AS d, false AS is_reference FROM sr CROSS JOIN sh
+UNION ALL SELECT pick.a, true, CASE WHEN n >= {RULE.least_pairs} THEN lo ELSE m0 END, CASE WHEN n >= {RULE.least_pairs} THEN hi ELSE m1 END, ms, true, NULL, true FROM sh CROSS JOIN pick),
+fin AS (SELECT * REPLACE (present AND stop - start <= {RULE.longest} AS present) FROM mem)"""
+
+
+@query(f"WITH {PINPOINT} SELECT id, present, CASE WHEN present THEN start END AS start, CASE WHEN present THEN stop END AS stop, round(sim, 5) AS sim, refined, d, is_reference FROM fin")
+def pinpointed_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery, then refinement of the first passage: a document's tokens are its frames, alike where the first hex digit of their MD5 is."""
+    from waveloom.library import Library
+
+    docs = table(spark, sf_dir, "documents")
+    tokens = C.tokens(docs)
+    digit = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 1), 16, 10).cast("int")
+    one_hot = lambda k: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(i == k, 1.0).otherwise(0.0))
+    frames = tokens.select(F.col("doc_id").alias("id"), F.posexplode("w").alias("t", "w")).select("id", F.col("t").cast("long").alias("t"), one_hot(digit(F.col("w"))).alias("v"))
+    known = Library(stored(C.landmarks(docs), "marks"), tokens.select("doc_id", F.size("w").alias("n")), frames)
+    found = known.pinpoint(RULE)
+    if found is None:
+        return spark.createDataFrame([], "id long, present boolean, start long, stop long, sim double, refined boolean, d long, is_reference boolean")
+    return found.select("id", "present", "start", "stop", F.round("sim", 5).alias("sim"), "refined", "d", "is_reference")
+
+
 def _columns(found: DataFrame) -> DataFrame:
     return found.select("a", "asset", "kind", "ref_from", "ref_to", "support", F.round("support_fraction", 9).alias("support_fraction"), "span", F.round("mean_start", 6).alias("mean_start"), F.round("mean_votes", 6).alias("mean_votes"), "median_votes", "rank")
 

@@ -96,24 +96,7 @@ def bin_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("user_id", "k").agg(F.round(F.avg(F.col("on").cast("double")), 6).alias("active"))
 
 
-@query()
-def stft_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.features(synth.episodes(spark)).drop("chroma")
-
-
-@query()
-def chroma_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.features(synth.episodes(spark)).select("id", "t", "chroma")
-
-
-@query()
-def cfa_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.activations(synth.episodes(spark))
-
-
-@query()
-def dialog_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.speech(synth.episodes(spark))
+# Analyses of the sample signals, which tests use; they read no table, so they are no registered queries.
 
 
 def theme_peaks(spark: SparkSession) -> DataFrame:
@@ -125,14 +108,12 @@ def theme_peaks(spark: SparkSession) -> DataFrame:
     return C.merged(bins, C.top_peaks(C.peaks(C.offset_votes(bins)), 1))
 
 
-@query()
-def planted_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted_theme(spark: SparkSession) -> DataFrame:
     """Offsets in seconds at which the planted theme lines up between episodes."""
     return theme_peaks(spark).select("a", "b", (F.col("delta") / S.FPS).alias("offset_s"), "votes", (F.col("a_from") / S.FPS).alias("from_s"), (F.col("a_to") / S.FPS).alias("to_s"))
 
 
-@query()
-def music_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def music_segments(spark: SparkSession) -> DataFrame:
     """Segments of each episode that sound like its first five seconds of theme."""
     episodes = synth.episodes(spark)
     frames = R.features(episodes)

@@ -145,6 +145,19 @@ def _little(x: Column) -> Column:
     return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
 
 
+def samples(raw: bytes, kind: str, bits: int, little: bool) -> np.ndarray:
+    """PCM samples as numbers in [-1, 1): integers of 8 to 32 bits (8-bit ones of WAV count from 128) and 32-bit floats."""
+    order = "<" if little else ">"
+    if kind == "float":
+        return np.frombuffer(raw, f"{order}f4").astype(float)
+    if bits == 8:
+        return (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128 if little else np.frombuffer(raw, np.int8) / 128
+    if bits == 24:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3)[:, :: -1 if little else 1].astype(np.int32)
+        return (((b[:, 0] << 24) | (b[:, 1] << 16) | (b[:, 2] << 8)) >> 8) / 2.0**23
+    return np.frombuffer(raw, f"{order}i{bits // 8}") / 2.0 ** (bits - 1)
+
+
 def decoded(headers: DataFrame, seconds: tuple[float, float] | None = None, block: int = 8192) -> DataFrame:
     """path, seq, rate, x, error: mean over channels of PCM samples (8 to 32 bits, or 32-bit floats), in blocks of ``block`` frames, of a
     range of seconds. Samples of other kinds give one row with the error.
@@ -157,25 +170,17 @@ def decoded(headers: DataFrame, seconds: tuple[float, float] | None = None, bloc
     held = headers.filter(known).withColumn("lo", lo).withColumn("hi", F.least(hi, "frames")).filter("hi > lo")
     blocks = held.withColumn("seq", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     first, last = F.greatest(F.col("seq") * block, F.col("lo")), F.least((F.col("seq") + 1) * block, F.col("hi"))
-    digits = _hex(F.col("content"), F.col("data_at") + first * F.col("block_align"), ((last - first) * F.col("block_align")).cast("int"))
-    wav, width = F.col("container") == "wav", F.floor((F.col("bits") + 7) / 8)
-    half = F.pow(F.lit(2.0), F.col("bits") - 1)
-
-    def number_at(k: Column) -> Column:
-        piece = F.substring(F.col("digits"), (2 * width * k + 1).cast("int"), (2 * width).cast("int"))
-        return F.conv(F.when(wav, F.concat(*[F.substring(piece, at, 2) for at in (7, 5, 3, 1)])).otherwise(piece), 16, 10).cast("long")
-
-    def sample(k: Column) -> Column:
-        raw = number_at(k)
-        power, part = F.floor(raw / 2**23) % 256, raw % 2**23
-        size = F.when(power == 0, part * 2.0**-149).otherwise((1 + part / 2.0**23) * F.pow(F.lit(2.0), power - 127))
-        signed = F.when(raw >= half, raw - 2 * half).otherwise(raw) / half
-        return F.when(F.col("format") == "float", F.when(raw >= 2**31, -size).otherwise(size)).when((F.col("bits") == 8) & wav, (raw - 128) / 128).otherwise(signed)
-
-    mean = lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.col("channels") - 1), lambda ch: sample(i * F.col("channels") + ch)), F.lit(0.0), lambda a, v: a + v) / F.col("channels")
-    made = blocks.withColumn("digits", digits).select("path", "seq", "rate", F.transform(F.sequence(F.lit(0).cast("long"), last - first - 1), mean).alias("x"), F.lit(None).cast("string").alias("error"))
+    piece = F.substring("content", (F.col("data_at") + first * F.col("block_align") + 1).cast("int"), ((last - first) * F.col("block_align")).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            xs = [samples(raw, kind, int(bits), container == "wav").reshape(-1, int(n)).mean(axis=1) for raw, kind, bits, container, n in zip(pdf["raw"], pdf["format"], pdf["bits"], pdf["container"], pdf["channels"])]
+            yield pd.DataFrame({"path": pdf["path"], "seq": pdf["seq"], "rate": pdf["rate"], "x": xs})
+
+    rows = blocks.select("path", "seq", F.col("rate").cast("long").alias("rate"), "format", "bits", "container", "channels", piece.alias("raw"))
+    made = rows.mapInPandas(run, "path string, seq long, rate long, x array<double>").withColumn("error", F.lit(None).cast("string"))
     error = F.format_string("%s-bit %s samples are not decoded", F.coalesce(F.col("bits").cast("string"), F.lit("unknown")), "format")
-    return made.unionByName(headers.filter(~known).select("path", F.lit(None).cast("long").alias("seq"), "rate", F.lit(None).cast("array<double>").alias("x"), error.alias("error")))
+    return made.unionByName(headers.filter(~known).select("path", F.lit(None).cast("long").alias("seq"), F.col("rate").cast("long").alias("rate"), F.lit(None).cast("array<double>").alias("x"), error.alias("error")))
 
 
 def wav_bytes(x: np.ndarray, rate: int, channels: int = 1) -> bytes:
