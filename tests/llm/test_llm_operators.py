@@ -605,6 +605,8 @@ def test_very_long_texts(spark):
     assert scored[1]["n_tokens"] == len(w) and scored[1]["background_loss"] == pytest.approx(scored[3]["background_loss"])
     assert {r["doc_id"]: r["component_id"] for r in q8.classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
     assert all(r["licence"] is None for r in q10.scan(docs).collect())
+    counted = {r["doc_id"]: r for r in q9.token_counts(docs).collect()}
+    assert counted[1]["n_bytes"] == len(text.encode()) and counted[1]["n_tokens"] == counted[3]["n_tokens"] > len(w) and counted[1]["over_limit"]
 
 
 @pytest.mark.parametrize("f", [q1.judge, q3.remove_repeats, lambda d: q4.redact(d, "k"), q5.pack, q6.identify, q8.classes, q9.token_counts, q10.scan])
