@@ -95,14 +95,17 @@ KINDS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-])"),
-    ("name", rf"{_CAPITAL}(?:(?:{'|'.join(_TITLE)})\b\.?\s{_PART}(?:\s{_PART})?|(?:{'|'.join(_FIRST)})\s{_PART}|(?:{'|'.join(_FIRST_LOUD)})\s{_LOUD}"
-     rf"|{_NAMED}\s{_NAMED}(?=\s(?:and\s{_PART}\s{_PART}\s)?(?:{'|'.join(AFTER)})\b)|(?<=\b(?i:{'|'.join(BEFORE)}),?\s){_NAMED}\s{_NAMED})"
-     rf"|[{HAN_FAMILIES}]{_HAN}{{0,2}}?(?={'|'.join(HAN_AFTER)})|(?<={'|'.join(HAN_BEFORE)})[{HAN_FAMILIES}]{_HAN}{{1,2}}"),
+    # each rare form is tested behind a cheap look ahead
+    ("name", rf"{_CAPITAL}(?:(?:{'|'.join(_TITLE)})\b\.?\s{_PART}(?:\s{_PART})?|(?:{'|'.join(_FIRST)})\s{_PART}|(?=\p{{Lu}}{{2}})(?:{'|'.join(_FIRST_LOUD)})\s{_LOUD}"
+     rf"|(?={_PART}\s\p{{Lu}})(?:(?={_PART}\s{_PART}\s(?:and\s{_PART}\s{_PART}\s)?(?:{'|'.join(AFTER)})\b)|(?<=\b(?i:{'|'.join(BEFORE)}),?\s)){_NAMED}\s{_NAMED})"
+     rf"|(?={_HAN})(?:[{HAN_FAMILIES}]{_HAN}{{0,2}}?(?={'|'.join(HAN_AFTER)})|(?<={'|'.join(HAN_BEFORE)})[{HAN_FAMILIES}]{_HAN}{{1,2}})"),
 )
 PARTS = "array<struct<old:string,new:string>>"
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: A cheap test that every text with an entity passes: a character that all but names and keys need, a key's prefix, or a title or given name.
-HINT = rf"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|{_CAPITAL}(?:{'|'.join([*_TITLE, *_FIRST, *_FIRST_LOUD])})\b|{'|'.join(HAN_AFTER)}|{'|'.join(sorted({h.rstrip(':：') for h in HAN_BEFORE}))}|\p{{Ll}}\s(?:{'|'.join(AFTER)})\b|\b(?i:{'|'.join(BEFORE)}),?\s\p{{Lu}}"
+HINT = (
+    rf"[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|{_CAPITAL}(?:(?:{'|'.join([*_TITLE, *_FIRST])})\b|(?=\p{{Lu}}{{2}})(?:{'|'.join(_FIRST_LOUD)})\b)|(?={_HAN})(?:{'|'.join(HAN_AFTER)}|{'|'.join(sorted({h.rstrip(':：') for h in HAN_BEFORE}))})"
+    rf"|\p{{Ll}}\s(?:{'|'.join(AFTER)})\b|\b(?i:{'|'.join(BEFORE)}),?\s\p{{Lu}}")
 
 
 def stream(key: str, kind: Column, value: Column, salt: Column) -> Column:
