@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def backward_forward(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, value: str) -> DataFrame:
-    """left with near_at and near_value: the right row nearest in time, the earlier of equally near ones.
+    """left with near_at and near_value: the right row nearest in time, the earlier of equally near ones; of several at one time the largest value.
 
     Both sides are sorted together once per key; the last right row at or before
     and the first one after come from two running windows, so no pair of rows is made.
     left carries a unique row_id; times are longs.
     """
     mark = left.select(key, F.col(at).alias("at"), "row_id", F.lit(None).cast("struct<at:bigint,v:double>").alias("r"), F.lit(1).alias("side"))
-    point = right.select(key, F.col(right_at).alias("at"), F.lit(None).cast("long").alias("row_id"), F.struct(F.col(right_at).cast("long").alias("at"), F.col(value).cast("double").alias("v")).alias("r"), F.lit(0).alias("side"))
+    once = right.groupBy(key, F.col(right_at).cast("long").alias("at")).agg(F.max(F.col(value).cast("double")).alias("v"))  # one row a time, so either window meets the same one
+    point = once.select(key, "at", F.lit(None).cast("long").alias("row_id"), F.struct("at", "v").alias("r"), F.lit(0).alias("side"))
     order = Window.partitionBy(key).orderBy("at", "side", "r")
     both = mark.unionByName(point)
     before = F.last("r", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
