@@ -43,7 +43,8 @@ def segments(scores: DataFrame, threshold: Column | float, floor: Column | float
     floor_ = floor if isinstance(floor, Column) else F.lit(floor)
     kept = cut.filter(((F.col("b") - F.col("a") + 1) / fps >= MIN_SECONDS)).join(seconds, "id").filter(F.col("peak") >= floor_)
     out = kept.select("id", (F.col("from") / fps).alias("s"), ((F.col("to") + 1) / fps).alias("e"), "peak", "mean_score", "duration")
-    return out.filter(F.col("e") - F.col("s") <= ceiling * F.col("duration")).drop("duration")
+    most = ceiling * (F.col("duration") * fps) / fps  # of a whole number of frames, as s and e are: a run of just the ceiling isn't left to the rounding of a part of the seconds
+    return out.filter(F.col("e") - F.col("s") <= most).drop("duration")
 
 
 def marked(frames: DataFrame, exemplars: DataFrame, fps: float = FPS) -> DataFrame:
