@@ -19,7 +19,7 @@ from waveloom.plans.shared import stored
 class Library:
     """landmarks: hash, doc_id, t, r; frames: id, t, v and feature columns; seconds: id, duration; lengths: doc_id, n."""
 
-    landmarks: DataFrame
+    landmarks: DataFrame | None
     lengths: DataFrame
     frames: DataFrame | None = None
     seconds: DataFrame | None = None
@@ -50,8 +50,10 @@ class Library:
     def pinpoint(self, rule: R.Rule = R.Rule(), by: str = "support", hint: list[int] | None = None) -> DataFrame | None:
         """Discovery and refinement in one: the first passage's exact bounds in every member that may hold it, its reference's own under
         the reference's id; None where nothing recurs. frames has the members' ids and counts as landmarks do."""
-        found, refs = self.members(hint)
-        found = stored(found, "members")
+        return self.pinpoint_of(*self.members(hint), rule, by)
+
+    def pinpoint_of(self, found: DataFrame, refs: list[int], rule: R.Rule = R.Rule(), by: str = "support") -> DataFrame | None:
+        """The same of members that are known already (a stored table, as ``members`` gives it) and their references."""
         best = C.best_reference(stored(C.assets(found, self.lengths, self.lengths.count()), "assets"), refs)
         first = C.ranked_assets(best, by, 1).select("a", "asset", "ref_from", "ref_to").first()  # one row
         if first is None:
