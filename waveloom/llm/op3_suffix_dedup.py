@@ -20,8 +20,10 @@ corpus in one place is neither possible nor needed:
    these the LPF array: the longer of the common prefixes with the two. A group longer than a
    block carries the hashes of its windows to the next block.
 4. Hot anchors, of more than ``HOT`` representatives (a passage in a third of all documents has an edge in each), don't
-   go to one task: their windows go out as hashes, are counted with map-side combine, and all but the first of
-   each are marked by a join. So a task's memory is bounded by BLOCK and HOT.
+   go to one task: their gram is made longer. A window holds either the half of the missing bytes before the gram or the half
+   behind it, so a region falls into two at most, each keyed by its longer gram. Equal ones are
+   pre-aggregated again (all but the first go whole), what stands alone drops out, a key of up to ``HOT`` goes to step 3, and one above is parted
+   again: at most seven times, until the gram is the window. So a task's memory is bounded by BLOCK and HOT, and a region is at most two rows a round, however large its group is.
 5. Spans are gathered by document; documents are joined and rewritten.
 
 Defined cases: null and empty texts have no byte; texts under LENGTH bytes lose nothing; rows that repeat whole
@@ -46,7 +48,7 @@ LENGTH, GRAM = 100, 32
 CHUNK = 2 << 20
 BLOCK = 2 << 20  # bytes of regions in one suffix array
 HOT = 1_000  # representatives of an anchor above which its windows are compared by an exchange
-BROADCAST_ROWS = 2_000_000  # hot anchors, repeated hot windows and texts that share an id are sent whole up to here, joined by shuffle above
+BROADCAST_ROWS = 2_000_000  # hot anchors, their repeated parts and texts that share an id are sent whole up to here, joined by shuffle above
 REGIONS = "h long, r long, doc_id long, v int, start long, n int, again boolean"
 SIFTED = "h long, doc_id long, v int, start long, n int, whole boolean"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -218,20 +220,41 @@ def earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             row = upto
 
 
-def window_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions (h, doc_id, v, start, region) -> the hash of each of their windows (w, doc_id, v, start)."""
+def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions (h, doc_id, v, start, region, at, gram: place and length of what all their windows hold; at -1: the anchor, not found yet) -> the parts
+    whose windows hold the half of the missing bytes before it, or else one byte over the half behind, with a key and a hash of the part (h, r, doc_id, v, start, region, at, gram)."""
     for batch in batches:
-        for row in range(0, batch.num_rows, 1000):
-            part = batch.slice(row, 1000)
-            doc, v, start = (part.column(i).to_numpy() for i in (1, 2, 3))
+        for row in range(0, batch.num_rows, 5000):
+            part = batch.slice(row, 5000)
+            h, doc, v, start, at, gram = (part.column(i).to_numpy() for i in (0, 1, 2, 3, 5, 6))
             parts = part.column(4).to_pylist()
             size = np.array([len(x) for x in parts])
-            n = size - LENGTH + 1
-            owner = np.repeat(np.arange(len(n)), n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.concatenate([[0], np.cumsum(size)])[owner] + place
-            w = slice_hash(prefix_sums(np.frombuffer(b"".join(parts), np.uint8)), at, at + LENGTH).view(np.int64)
-            yield pa.record_batch([pa.array(w), pa.array(doc[owner]), pa.array(v[owner]), pa.array(start[owner] + place)], names=["w", "doc_id", "v", "start"])
+            edge = np.concatenate([[0], np.cumsum(size)])
+            raw = np.frombuffer(b"".join(parts), np.uint8)
+            sums = prefix_sums(raw)
+            if (at < 0).any():  # the anchor is the first of its kind in the region
+                n = np.where(at < 0, size - GRAM + 1, 0)
+                owner = np.repeat(np.arange(len(n)), n)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                lo = edge[owner] + place
+                same = np.flatnonzero(slice_hash(sums, lo, lo + GRAM).view(np.int64) == h[owner])
+                first = same[np.append(True, owner[same[1:]] != owner[same[:-1]])] if len(same) else same
+                at = at.copy()
+                at[owner[first]] = place[first]
+            windows, missing = size - LENGTH + 1, LENGTH - gram
+            before = -(-missing // 2)
+            behind = missing // 2 + 1
+            upto = np.clip(at - before + 1, 0, windows)  # windows from here on hold fewer bytes before the gram
+            for lo, hi, g0, g1, side in ((0 * upto, upto, at - before, at + gram, 0), (upto, windows, at, at + gram + behind, 1)):
+                k = np.flatnonzero(hi > lo)
+                if len(k):
+                    a, b, x, y = (edge[k] + z[k] for z in (lo, hi + LENGTH - 1, g0, g1))
+                    key = slice_hash(sums, x, y) * U(2) + U(side)
+                    key = (key ^ (h[k].view(U) >> U(7))) * U(0x9E3779B97F4A7C15)
+                    cut = [p[i:j] for p, i, j in zip((parts[i] for i in k), lo[k].tolist(), (hi + LENGTH - 1)[k].tolist())]
+                    columns = (key.view(np.int64), slice_hash(sums, a, b).view(np.int64), doc[k], v[k], start[k] + lo[k])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                    yield pa.record_batch([*map(pa.array, columns, kinds), pa.array(cut, pa.binary()), pa.array((g0 - lo)[k], pa.int32()), pa.array((g1 - g0)[k], pa.int32())], names=["h", "r", "doc_id", "v", "start", "region", "at", "gram"])
 
 
 def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +313,26 @@ def numbered(docs: DataFrame) -> DataFrame:
     return hashed.join(small(variants), ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def hot_spans(regions: DataFrame, parts: int) -> DataFrame:
+    """Spans (doc_id, v, lo, hi) of the windows of hot anchors' regions (h, doc_id, v, start, region) that have an earlier copy."""
+    place = ["doc_id", "v", "start"]
+    left, found = regions.select("h", *place, "region", F.lit(-1).alias("at"), F.lit(GRAM).alias("gram")), None
+    while True:  # the gram grows each time, to a whole window at last, of which there is one a key
+        made = stored(left.mapInArrow(parted, "h long, r long, doc_id long, v int, start long, region binary, at int, gram int"), "parts")
+        first = F.min(F.struct(*place, "region", "at", "gram")).alias("first")
+        firsts = stored(made.groupBy("h", "r").agg(F.count(F.lit(1)).alias("n"), first), "firsts")
+        twice = firsts.filter("n > 1").select("h", "r", F.struct(*(F.col(f"first.{c}").alias(c) for c in place)).alias("first"))
+        whole = made.join(small(twice), ["h", "r"]).filter(F.struct(*place) != F.col("first")).select("doc_id", "v", F.col("start").alias("lo"), (F.col("start") + F.length("region")).alias("hi"))
+        sizes = stored(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+        several = firsts.select("h", "first.*").join(small(sizes), "h")
+        cold = several.filter(F.col("size") <= HOT).select("h", *place, "region").repartition(parts, "h").sortWithinPartitions("h", *place)
+        here = whole.union(cold.mapInArrow(earlier_windows, "doc_id long, v int, lo long, hi long"))
+        found = here if found is None else found.union(here)
+        if sizes.filter(F.col("size") > HOT).isEmpty():
+            return found
+        left = several.filter(F.col("size") > HOT).select("h", *place, "region", "at", "gram")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = keyed_documents(docs)
     known = numbered(docs.filter(F.col("doc_id").isNotNull()))
@@ -307,10 +350,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cold = bytes_.join(small(hot), "h", "left_anti") if any_hot else bytes_
     spans = cold.repartition(parts, "h").sortWithinPartitions("h", *key, "start").mapInArrow(earlier_windows, "doc_id long, v int, lo long, hi long")
     if any_hot:
-        codes = bytes_.join(small(hot), "h", "left_semi").select("h", *key, "start", "region").mapInArrow(window_codes, "w long, doc_id long, v int, start long")
-        place = F.struct(*key, "start")
-        twice = stored(codes.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("w", "first"), "windows")
-        spans = spans.union(codes.join(small(twice), "w").filter(place != F.col("first")).select(*key, F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi")))
+        spans = spans.union(hot_spans(bytes_.join(small(hot), "h", "left_semi"), parts))
     whole = sifted.filter("whole").select(*key, F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("hi"))
     spans = spans.union(whole).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     kept = known.join(spans, key, "left").select("doc_id", "text", "spans")
