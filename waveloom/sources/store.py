@@ -1,7 +1,7 @@
 """Two Python data sources over a folder that all machines share.
 
 ``waveloom_series``: a table of series in chunks, each chunk a Parquet file with a zone (least and greatest value of each orderable column) in the
-committed list. A read takes the filters that Spark pushes, and only chunks whose zone can hold a match become partitions.
+committed list. A read takes the filters that Spark pushes, and only chunks whose zone can hold a match are read, small ones together in a partition.
 
 ``waveloom_files``: rows (name, content) as a folder of files. Names that exist already refuse the whole write, unless overwriting.
 
@@ -29,6 +29,7 @@ from pyspark.sql.types import StructType
 
 SERIES, FILES = "waveloom_series", "waveloom_files"
 CHUNK_ROWS = 65_536
+SINGLE = 100  # chunks that are read in a partition each
 LIST, JOBS = "_committed.json", "_jobs"
 
 
@@ -61,8 +62,8 @@ class Written(WriterCommitMessage):
 
 
 @dataclass
-class Chunk(InputPartition):
-    file: str
+class Chunks(InputPartition):
+    files: list
 
 
 # ---------------------------------------------------------------- series
@@ -109,16 +110,26 @@ class SeriesReader(DataSourceReader):
                     self.filters.append((f.attribute[0], op, value))
             yield f
 
-    def partitions(self) -> list[Chunk]:
-        held = _read_list(*_open(self.path)).get("chunks", [])
-        return [Chunk(c["file"]) for c in held if may_match(c["zone"], self.filters)]
-
-    def read(self, partition: Chunk | None) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Chunks]:
+        """Chunks in the list's order, one each up to SINGLE; of more, small ones together: a task for each would cost far more than its rows."""
+        held = [c for c in _read_list(*_open(self.path)).get("chunks", []) if may_match(c["zone"], self.filters)]
+        most = 0 if len(held) <= SINGLE else min(CHUNK_ROWS, sum(c["rows"] for c in held) // SINGLE)
+        found, rows = [], CHUNK_ROWS
+        for c in held:
+            if rows + c["rows"] > most:
+                found.append(Chunks([]))
+                rows = 0
+            found[-1].files.append(c["file"])
+            rows += c["rows"]
+        return found
+
+    def read(self, partition: Chunks | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's one partition where there is none
             return
         fs, at = _open(self.path)
-        with fs.open_input_file(f"{at}/{partition.file}") as f:
-            yield from pq.ParquetFile(f).iter_batches()
+        for file in partition.files:
+            with fs.open_input_file(f"{at}/{file}") as f:
+                yield from pq.ParquetFile(f).iter_batches()
 
 
 class SeriesWriter(DataSourceArrowWriter):
