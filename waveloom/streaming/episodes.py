@@ -1,7 +1,7 @@
 """Streaming ingestion with timers: chunks of episodes arrive late and out of order, state per episode stays bounded, episodes close.
 
 State of an episode: a map of chunks that came early (one entry a chunk, read and written one at a time), and one row of numbers (next chunk, chunks
-waiting, place of the end, newest event time, resampler memory). An episode closes when its end mark and all chunks before it are there, or when the
+waiting, place of the end, newest event time, resampler memory). Chunks that come early and are due within the same batch never enter the state. An episode closes when its end mark and all chunks before it are there, or when the
 watermark passes its last chunk by ``patience``: what is there then comes out in order, and an error row names what is missing. A closed
 episode keeps only a mark, for ``keep``; chunks that come after the close, twice, or behind one that was given up are error rows. At most
 ``most_early`` chunks wait: beyond that the first gap is given up with an error row, so no state grows without bound.
@@ -85,16 +85,27 @@ class Episodes(StatefulProcessor):
 
     def _load(self, key: tuple) -> None:
         self.key, self.made_rows = key[0], []
-        held = self.head.get() if self.head.exists() else None
+        held = self.head.get()
         self.status, self.due, self.waiting, self.end_seq, self.newest, memory = held if held is not None else (OPEN, 0, 0, None, 0, [])
+        self.timer = self._timer() if held is not None else None
+        self.fresh, self.stored = {}, self.waiting  # early chunks of this batch, and how many the state holds
         self.worker = unpacked(list(memory), self.lowpass)
 
     def _save(self) -> None:
         """Keeps the state, and the one timer: ``patience`` after the newest chunk, and ``keep`` more once closed."""
         self.head.update((self.status, self.due, self.waiting, self.end_seq, self.newest, packed(self.worker)))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(self.newest + self.patience + (self.keep if self.status == CLOSED else 0))
+        for seq, (rate, x) in self.fresh.items():
+            self.early.updateValue((seq,), (rate, [float(v) for v in x]))
+        if self.timer != self._timer():
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            self.handle.registerTimer(self._timer())
+
+    def _timer(self) -> int:
+        return self.newest + self.patience + (self.keep if self.status == CLOSED else 0)
+
+    def _waits(self, seq: int) -> bool:
+        return seq in self.fresh or self.stored > 0 and self.early.containsKey((seq,))
 
     def _out(self) -> pd.DataFrame:
         return pd.DataFrame(self.made_rows, columns=["episode_id", "seq", "first", "y", "error"])
@@ -109,12 +120,12 @@ class Episodes(StatefulProcessor):
             self.end_seq = seq
         elif seq < self.due:
             self._error(seq, "late or twice")
-        elif self.early.containsKey((seq,)):
+        elif self._waits(seq):
             self._error(seq, "twice")
         elif seq == self.due:
             self._take(seq, rate, x)
         else:
-            self.early.updateValue((seq,), (rate, [float(v) for v in x]))
+            self.fresh[seq] = rate, x
             self.waiting += 1
 
     def _take(self, seq: int, rate: float, x) -> None:
@@ -127,15 +138,20 @@ class Episodes(StatefulProcessor):
         self.due = seq + 1
 
     def _drain(self) -> None:
-        while self.waiting and self.early.containsKey((self.due,)):
-            seq, (rate, x) = self.due, self.early.getValue((self.due,))
-            self.early.removeKey((seq,))
+        while self.waiting and self._waits(self.due):
+            seq = self.due
+            if seq in self.fresh:
+                rate, x = self.fresh.pop(seq)
+            else:
+                rate, x = self.early.getValue((seq,))
+                self.early.removeKey((seq,))
+                self.stored -= 1
             self.waiting -= 1
             self._take(seq, rate, x)
 
     def _skip(self, why: str) -> None:
         """Gives up the gap before the first chunk that waits, and goes on from there."""
-        first = min(int(k[0]) for k in self.early.keys())
+        first = min([*self.fresh, *(int(k[0]) for k in (self.early.keys() if self.stored else ()))])
         if first > self.due:
             self._error(self.due, f"chunks {why}: {self.due} to {first - 1}")
         self.due = first
@@ -144,7 +160,9 @@ class Episodes(StatefulProcessor):
     def _close(self) -> None:
         made = self.worker.made if self.worker else 0
         self.made_rows.append((self.key, self.due, made, self.worker.flush() if self.worker else np.zeros(0), None))
-        self.early.clear()
+        if self.stored:
+            self.early.clear()
+        self.fresh, self.stored = {}, 0
         self.status, self.waiting, self.worker = CLOSED, 0, None
 
 
