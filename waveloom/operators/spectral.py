@@ -20,7 +20,7 @@ CLASSES = 12
 def haloed(df: DataFrame, t: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
     """df with block and own: each row in its block of ``size`` and, with own false, in those that look back or ahead to it."""
     at = F.col(t)
-    each = df.withColumn("block", F.explode(F.sequence(F.floor((at - after) / size), F.floor((at + before) / size))))
+    each = df.withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((at - after) / size)), F.floor((at + before) / size))))
     return each.withColumn("own", F.col("block") == F.floor(at / size))
 
 
@@ -34,21 +34,37 @@ def bin_power(size: int) -> Column:
     return F.when(F.col("k").isin(0, size // 2), 1.0).otherwise(2.0) * F.col("mag") * F.col("mag")
 
 
+def framed(spec: DataFrame, key: str, size: int) -> DataFrame:
+    """key, f, mags: a spectrum in long form with a row a frame, its magnitudes by bin."""
+    held = F.map_from_entries(F.collect_list(F.struct("k", "mag")))
+    return spec.groupBy(key, "f").agg(held.alias("m")).select(key, "f", F.transform(F.sequence(F.lit(0), F.lit(size // 2)), lambda k: F.try_element_at("m", k)).alias("mags"))
+
+
+def frame_peaks(frames: DataFrame, keys: list[str], size: int, most: int = 3, silence_db: float | None = None) -> DataFrame:
+    """frames (keys, f, mags) with p, (m, k) of the ``most`` loudest local peaks over bins and frames, instead of mags; those without any are left out.
+    Magnitudes count to 6 decimals, then the lower bin. Frames under ``silence_db`` have no peaks and bound no neighbour; the first and last bin are none."""
+    power = F.aggregate(F.transform("mags", lambda x, k: F.when(k.isin(0, size // 2), 1.0).otherwise(2.0) * x * x), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    loud = F.lit(True) if silence_db is None else F.exists("mags", lambda x: x.isNotNull()) & (F.round(level_db(power, size), 6) >= silence_db)
+    held = frames.withColumn("mags", F.when(loud, F.transform("mags", lambda x: F.round(x, 6))))
+    time = Window.partitionBy(*keys).orderBy("f")
+    beside = lambda g, d: F.when(g("f").over(time) == F.col("f") + d, g("mags").over(time))
+    near = held.withColumns({"__before": beside(F.lag, -1), "__after": beside(F.lead, 1)})
+
+    def top(k: Column) -> Column:
+        m, before, after = F.get("mags", k), F.get("__before", k), F.get("__after", k)
+        return (m > F.get("mags", k - 1)) & (m >= F.get("mags", k + 1)) & (before.isNull() | (m >= before)) & (after.isNull() | (m >= after))
+
+    inner = F.sequence(F.lit(1), F.lit(size // 2 - 1)) if size > 3 else F.array().cast("array<int>")
+    most_loud = F.slice(F.sort_array(F.transform(F.filter(inner, top), lambda k: F.struct(F.get("mags", k).alias("m"), (-k).alias("k"))), asc=False), 1, most)
+    found = near.withColumn("p", F.transform(most_loud, lambda z: F.struct(z["m"].alias("m"), (-z["k"]).alias("k"))))
+    return found.filter(F.size("p") > 0).drop("mags", "__before", "__after")
+
+
 def local_peaks(spec: DataFrame, key: str, size: int, most: int = 3, silence_db: float | None = None) -> DataFrame:
-    """key, f, k, m, rank: the ``most`` loudest local peaks over bins and frames of each frame (magnitudes to 6 decimals, then the lower bin).
-    Frames under ``silence_db`` have none and bound no neighbour; the first and last bin are none."""
-    held = spec.select(key, "f", "k", "mag", F.round("mag", 6).alias("m"))
-    frame = Window.partitionBy(key, "f")
-    if silence_db is not None:
-        held = held.withColumn("level", F.round(level_db(F.sum(bin_power(size)).over(frame), size), 6)).filter(F.col("level") >= silence_db)
-    bins = frame.orderBy("k")
-    held = held.withColumns({"lo": F.lag("m").over(bins), "hi": F.lead("m").over(bins)})
-    near = haloed(held, "f", FRAMES, 1, 1)
-    time = Window.partitionBy(key, "block", "k").orderBy("f")
-    beside = lambda g, d: F.when(g("f").over(time) == F.col("f") + d, g("m").over(time))
-    near = near.withColumns({"before": beside(F.lag, -1), "after": beside(F.lead, 1)}).filter("own")
-    top = near.filter("m > lo AND m >= hi AND (before IS NULL OR m >= before) AND (after IS NULL OR m >= after)")
-    return top.withColumn("rank", F.row_number().over(frame.orderBy(F.desc("m"), "k"))).filter(F.col("rank") <= most).select(key, "f", "k", "m", "rank")
+    """key, f, k, m, rank: the peaks of frame_peaks for a spectrum in long form, a row each."""
+    near = haloed(framed(spec, key, size), "f", FRAMES, 1, 1).repartition(key, "block")
+    found = frame_peaks(near, [key, "block"], size, most, silence_db).filter("own")
+    return found.select(key, "f", F.posexplode("p").alias("i", "z")).select(key, "f", F.col("z.k").alias("k"), F.col("z.m").alias("m"), (F.col("i") + 1).alias("rank"))
 
 
 def constellation(peaks: DataFrame, tops: DataFrame, key: str, max_dt: int = 32, targets: int = 4, quant: int = 2, occur: int = 8) -> DataFrame:
@@ -58,14 +74,27 @@ def constellation(peaks: DataFrame, tops: DataFrame, key: str, max_dt: int = 32,
     peak of the frame anchors one landmark a target. Frames without max_dt frames after them (tops: key, top) anchor none. r = 0, 1, ..
     numbers a hash's places in the key by time, then by bin; the first ``occur`` are kept.
     """
-    frames = peaks.groupBy(key, "f").agg(F.array_sort(F.collect_list(F.struct("rank", "k", "m"))).alias("p"))  # as many as a frame has peaks
-    near = haloed(frames, "f", FRAMES, 0, max_dt)
+    packed = F.array_sort(F.collect_list(F.struct("rank", "k", "m")))  # as many as a frame has peaks
+    frames = peaks.groupBy(key, "f").agg(F.transform(packed, lambda z: F.struct(z["m"].alias("m"), z["k"].alias("k"))).alias("p"))
+    near = haloed(frames, "f", FRAMES, 0, max_dt).join(tops, key).withColumn("own", F.col("own") & (F.col("f") <= F.col("top") - max_dt)).repartition(key, "block")
+    return paired(near, key, max_dt, targets, quant, occur)
+
+
+def frame_constellation(frames: DataFrame, key: str, size: int, most: int, silence_db: float | None, max_dt: int = 32, targets: int = 4, quant: int = 2, occur: int = 8) -> DataFrame:
+    """The landmarks of constellation from frames that lie in their blocks (key, block, own, f, mags), each block with max_dt + 1 frames after it and one before."""
+    later = F.lead("f", max_dt).over(Window.partitionBy(key, "block").orderBy("f")).isNotNull()
+    near = frames.withColumn("own", F.col("own") & later)
+    return paired(frame_peaks(near, [key, "block"], size, most, silence_db), key, max_dt, targets, quant, occur)
+
+
+def paired(near: DataFrame, key: str, max_dt: int, targets: int, quant: int, occur: int) -> DataFrame:
+    """Landmarks of frames in blocks (key, block, f, p); own: whether the frame anchors any in its block."""
     ahead = Window.partitionBy(key, "block").orderBy("f").rangeBetween(1, max_dt)
-    best = F.struct((-F.col("p")[0]["m"]).alias("m"), F.col("f").alias("f"), F.col("p")[0]["k"].alias("k"))
-    held = near.withColumn("to", F.slice(F.array_sort(F.collect_list(best).over(ahead)), 1, targets)).filter("own").join(tops, key).filter(F.col("f") <= F.col("top") - max_dt)
+    best = F.struct(F.col("p")[0]["m"].alias("m"), (-F.col("f")).alias("f"), F.col("p")[0]["k"].alias("k"))
+    held = near.withColumn("to", F.slice(F.sort_array(F.collect_list(best).over(ahead), asc=False), 1, targets)).filter("own")
     pairs = held.select(key, "f", F.explode("p").alias("a"), "to").select(key, "f", F.col("a.k").alias("k"), F.explode("to").alias("b"))
     q = lambda x: F.floor(x / quant + 0.5).cast("long")
-    marks = pairs.select(key, F.col("f").alias("t"), "k", ((q(F.col("k")) * 1024 + q(F.col("b.k"))) * 64 + F.col("b.f") - F.col("f")).alias("hash"), F.col("b.f").alias("bf"))
+    marks = pairs.select(key, F.col("f").alias("t"), "k", ((q(F.col("k")) * 1024 + q(F.col("b.k"))) * 64 - F.col("b.f") - F.col("f")).alias("hash"), (-F.col("b.f")).alias("bf"))
     place = F.row_number().over(Window.partitionBy(key, "hash").orderBy("t", "k", "bf"))
     return marks.withColumn("r", place - 1).filter(F.col("r") < occur).select("hash", key, "t", "r")
 

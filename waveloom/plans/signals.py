@@ -48,16 +48,31 @@ sp AS (SELECT f.user_id, f, k, sqrt(sum(value * h * c) * sum(value * h * c) + su
 DFT_SQL = dft_sql(SIZE, HOP)
 
 
+def frames(ev: DataFrame, keys: list[str], size: int, hop: int, *carried: str) -> DataFrame:
+    """keys, f, carried, mags: Hann-windowed transform of each whole block of ``size`` values every ``hop``, a row a block with its magnitudes by bin.
+
+    ev: keys, t, value. Each hop's values are put beside each other and then the hops, by windows in one order, so that the values are neither
+    copied to every block nor to every bin. Blocks are short, so the transform is a product with a constant. Null values count as 0, unless all are.
+    """
+    order = Window.partitionBy(*keys).orderBy("t")
+    ahead = lambda x, n: F.lead(x, n).over(order) if n else F.col(x)
+    hops = ev.withColumns({"__0": F.array(*[ahead("value", j) for j in range(min(hop, size))]), "__end": F.lead("t", size - 1).over(order)}).filter(F.col("t") % hop == 0)
+    beside = hops.withColumns({f"__{i}": ahead("__0", i) for i in range(1, -(-size // hop))}).filter("__end IS NOT NULL")
+    x = [F.get(f"__{j // hop}", F.lit(j % hop)) for j in range(size)]
+    table = _dft(size)
+    windowed = F.array(*[F.coalesce(x[j] * h, F.lit(0.0)) for k, j, h, _, _ in table if k == 0])
+    rows = F.array(*[F.struct(*[F.array(*[F.lit(row[i]) for row in table if row[0] == k]).alias(n) for i, n in ((3, "c"), (4, "s"))]) for k in range(size // 2 + 1)])  # a constant
+    dot = lambda w: F.aggregate(F.zip_with("__x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    parts = F.transform(rows, lambda w: F.struct(dot(w["c"]).alias("re"), dot(w["s"]).alias("im")))
+    mags = F.transform(parts, lambda p: F.when(F.col("__some"), F.sqrt(p["re"] * p["re"] + p["im"] * p["im"])))
+    held = beside.select(*keys, F.floor(F.col("t") / hop).alias("f"), *carried, windowed.alias("__x"), F.coalesce(*x).isNotNull().alias("__some"))
+    return held.select(*keys, "f", *carried, mags.alias("mags"))
+
+
 def spectrum(spark: SparkSession, sf_dir: str, size: int = SIZE, hop: int = HOP) -> DataFrame:
-    """user_id, f, k, mag: Hann-windowed transform of blocks of ``size`` values every ``hop``, by joining the constant transform table."""
-    ev = series(spark, sf_dir).select("user_id", "t", "value")
-    top = ev.groupBy("user_id").agg(F.max("t").alias("top"))
-    lowest = F.greatest(F.lit(0), F.floor((F.col("t") - size) / hop) + 1)
-    blocks = ev.withColumn("f", F.explode(F.sequence(lowest, F.floor(F.col("t") / hop)))).withColumn("j", (F.col("t") - F.col("f") * hop).cast("int"))
-    w = F.broadcast(spark.createDataFrame(_dft(size), "k int, j int, h double, c double, s double"))
-    re, im = F.sum(F.col("value") * F.col("h") * F.col("c")), F.sum(F.col("value") * F.col("h") * F.col("s"))
-    mags = blocks.join(w, "j").groupBy("user_id", "f", "k").agg(F.sqrt(re * re + im * im).alias("mag"))
-    return mags.join(top, "user_id").filter(F.col("f") * hop + size - 1 <= F.col("top")).drop("top")
+    """user_id, f, k, mag: Hann-windowed transform of blocks of ``size`` values every ``hop``."""
+    ev = series(spark, sf_dir).filter("user_id IS NOT NULL").select("user_id", "t", F.col("value").cast("double").alias("value"))
+    return frames(ev, ["user_id"], size, hop).select("user_id", "f", F.posexplode_outer("mags").alias("k", "mag"))
 
 
 @query(f"WITH {DFT_SQL}, d AS (SELECT user_id, f, k, mag, lag(mag) OVER (PARTITION BY user_id, k ORDER BY f) AS prev FROM sp) SELECT user_id, f, round(sum(greatest(0.0, mag - coalesce(prev, mag))) / sum(mag), 5) AS flux FROM d GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from waveloom.operators import filters as L
 from waveloom.operators import spectral as P
 from waveloom.operators.nearest import backward_forward
 from waveloom.plans.base import EV, query, series
-from waveloom.plans.signals import dft_sql, spectrum
+from waveloom.plans.signals import dft_sql, frames, spectrum
 
 SIZE, HOP, QUIET = 16, 4, 24.0
 MAX_DT, TARGETS, QUANT, OCCUR = 4, 2, 2, 3
@@ -45,9 +45,10 @@ FROM pk JOIN tg f2 ON f2.user_id = pk.user_id AND f2.f = pk.f JOIN tops ON tops.
 SELECT hash, user_id, t, row_number() OVER (PARTITION BY user_id, hash ORDER BY t, k, dt) - 1 AS r FROM lm QUALIFY r < {OCCUR}""")
 def constellation_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landmarks of pairs of spectral peaks; quiet frames have no peaks."""
-    spec = wide(spark, sf_dir)
-    peaks = P.local_peaks(spec, "user_id", SIZE, 3, QUIET)
-    return P.constellation(peaks, tops(spec), "user_id", MAX_DT, TARGETS, QUANT, OCCUR)
+    ev = series(spark, sf_dir).filter("user_id IS NOT NULL").select("user_id", "t", F.col("value").cast("double").alias("value"))
+    dealt = P.haloed(ev, "t", P.FRAMES * HOP, HOP, MAX_DT * HOP + SIZE).repartition("user_id", "block")  # as far as the targets of a block's last frame, their neighbours and those frames' values
+    spec = frames(dealt, ["user_id", "block"], SIZE, HOP, "own")
+    return P.frame_constellation(spec, "user_id", SIZE, 3, QUIET, MAX_DT, TARGETS, QUANT, OCCUR)
 
 
 ACTIVATION = f"""{SPEC}, {TOPS}, d AS (SELECT user_id, f, k, CASE WHEN mag > 0 THEN 20 * log10(mag) END AS db FROM sp), e AS (SELECT user_id, f, k, coalesce(greatest(db, max(db) OVER w - 120), max(db) OVER w - 120, -200.0) AS db FROM d WINDOW w AS (PARTITION BY user_id, f)),
@@ -114,5 +115,5 @@ def periodicity_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greatest autocorrelation of each frame's window of the low-passed, thinned series; frames without a whole window are 0."""
     y = L.filtered(series(spark, sf_dir), "user_id", [SMOOTH], "value")
     thin = y.filter(F.col("t") % THIN == 0).select("user_id", F.floor(F.col("t") / THIN).alias("t"), F.col("y").alias("x"))
-    frames = thin.groupBy("user_id").agg(F.max("t").alias("top")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / JUMP))).alias("frame")).withColumn("start", F.col("frame") * JUMP)
-    return P.periodicity(thin, "user_id", frames, WINDOW, LAGS).withColumn("value", F.round("value", 5))
+    places = thin.groupBy("user_id").agg(F.max("t").alias("top")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / JUMP))).alias("frame")).withColumn("start", F.col("frame") * JUMP)
+    return P.periodicity(thin, "user_id", places, WINDOW, LAGS).withColumn("value", F.round("value", 5))
