@@ -78,32 +78,47 @@ def _carried(sums: DataFrame, key: str, kind: str, step: np.ndarray, fan: int) -
     is an affine map, state -> state @ step**n + c, and so is a run of blocks, so runs of ``fan`` blocks are composed, carried on one level up
     in the same way, and opened again: no group has more than ``fan`` rows, whatever the length of a key."""
     size = len(step)
-
-    def passed(pdf: pd.DataFrame, state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, int]:
-        before = []
-        powers = {n: np.linalg.matrix_power(step, int(n)) for n in set(pdf["n"])}
-        for n, c in zip(pdf["n"], pdf["c"]):
-            before.append(state)
-            state = state @ powers[n] + np.asarray(c)
-        return before, state, int(pdf["n"].sum())
-
-    def opened(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        first = pdf["state"].iloc[0]
-        before, _, _ = passed(pdf, np.zeros(size) if first is None else np.asarray(first, float))
-        return pdf.assign(state=before)[[key, "block", "state"]]
-
-    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, state, n = passed(pdf.sort_values("block"), np.zeros(size))
-        return pd.DataFrame({key: pdf[key].iloc[:1], "block": pdf["run"].iloc[:1], "n": [n], "c": [state]})
-
-    runs = sums.withColumn("run", F.floor(F.col("block") / fan).cast("long"))
+    powers: dict[int, np.ndarray] = {}
+
+    def passed(pdf: pd.DataFrame, states: np.ndarray) -> list[np.ndarray]:
+        """The states before the blocks of each run (a row each), runs side by side, one after the other in flat arrays; ``states`` moves on to the runs' ends."""
+        lens = np.array([len(n) for n in pdf["n"]])
+        first = np.cumsum(lens) - lens
+        ns, cs = np.concatenate(list(pdf["n"])), np.concatenate(list(pdf["c"])).reshape(-1, size)
+        before = np.empty_like(cs)
+        for j in range(lens.max()):
+            live = np.flatnonzero(lens > j)
+            at = first[live] + j
+            before[at] = states[live]
+            for n in np.unique(ns[at]):
+                same = ns[at] == n
+                if n not in powers:
+                    powers[n] = np.linalg.matrix_power(step, int(n))
+                states[live[same]] = states[live[same]] @ powers[n] + cs[at[same]]
+        return [v.ravel() for v in np.split(before, first[1:])]
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in filter(len, batches):
+            states = np.array([np.zeros(size) if s is None else s for s in pdf["state"]], float).reshape(len(pdf), size)
+            yield pdf.assign(states=passed(pdf, states))[[key, "blocks", "states"]]
+
+    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in filter(len, batches):
+            states = np.zeros((len(pdf), size))
+            passed(pdf, states)
+            yield pd.DataFrame({key: pdf[key], "block": pdf["run"], "n": [sum(n) for n in pdf["n"]], "c": list(states)})
+
+    rows = F.array_sort(F.collect_list(F.struct("block", "n", "c")))  # at most ``fan``
+    each = sums.withColumn("run", F.floor(F.col("block") / fan).cast("long")).groupBy(key, "run").agg(rows.alias("r"))
+    part = lambda name: F.transform("r", lambda z: z[name])
+    runs = stored(each.select(key, "run", part("block").alias("blocks"), part("n").alias("n"), F.flatten(part("c")).alias("c")), "runs")
     if (runs.agg(F.max("run")).first()[0] or 0) == 0:
         held = runs.withColumn("state", F.lit(None).cast("array<double>"))
     else:
-        above = _carried(stored(runs.groupBy(key, "run").applyInPandas(composed, f"{key} {kind}, block long, n long, c array<double>"), "runs"), key, kind, step, fan)
+        above = _carried(stored(runs.select(key, "run", "n", "c").mapInPandas(composed, f"{key} {kind}, block long, n long, c array<double>"), "composed"), key, kind, step, fan)
         held = runs.join(above.select(key, F.col("block").alias("run"), "state"), [key, "run"])
-    return held.groupBy(key, "run").applyInPandas(opened, f"{key} {kind}, block long, state array<double>")
+    done = held.select(key, "blocks", "n", "c", "state").mapInPandas(opened, f"{key} {kind}, blocks array<long>, states array<double>")
+    return done.select(key, F.inline(F.transform("blocks", lambda b, i: F.struct(b.alias("block"), F.slice("states", i * size + 1, size).alias("state")))))
 
 
 def filter_bank(df: DataFrame, key: str, banks: list[list[tuple[float, float, float, float, float]]], x: str = "x", block: int = BLOCK, fan: int = FAN) -> DataFrame:
