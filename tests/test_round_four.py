@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from types import SimpleNamespace
 
 from waveloom.llm import op4_pii_surrogates as q4
@@ -16,3 +17,19 @@ def test_a_cluster_without_a_key_draws_one_of_its_own():
     one, again, other = (q4.key_of(session("spark://driver:7077", app)) for app in ("app-1", "app-1", "app-2"))
     assert one == again != other and q4.STAND_IN not in (one, other) and min(len(one), len(other)) == 64
     assert q4.key_of(session("spark://driver:7077", "app-1", "given")) == "given" and q4.key_of(session("local[4]", "app-3")) == q4.STAND_IN
+
+
+def test_entities_without_room_get_longer_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(q4, "ROOM", 1)
+    full = [f"{a:x}::{b:x}" for a in range(16) for b in range(16) if any(c.isdigit() for c in f"{a:x}{b:x}")]  # 220 of 256 values of that form
+    values = [*full, "token=......", "token=------", "secret: ______"]
+    rows = q4.surrogates(spark.createDataFrame([(x,) for x in values], "value string"), "k").collect()
+    made = {r["value"]: r["surrogate"] for r in rows}
+    assert len(made) == len(set(made.values())) == len(values) and not set(made.values()) & set(values)
+    assert all(re.fullmatch(r"[0-9a-f]{1,4}::[0-9a-f]{1,4}", made[v]) for v in full) and all(made[v].startswith(v) for v in values[220:223])
+
+
+def test_a_host_of_very_many_labels(spark):
+    text = "write to a.b@" + "bc." * 60_000 + "com today"
+    out = q4.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").collect()
+    assert out[0]["n_entities"] == 1 and "a.b@" not in out[0]["text"] and out[0]["text"].endswith(" today")
