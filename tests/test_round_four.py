@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 from types import SimpleNamespace
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from waveloom.library import Library
 from waveloom.llm import op4_pii_surrogates as q4
+from waveloom.operators import refine as R
 
 
 def session(master: str, app: str, key: str | None = None):
@@ -33,3 +38,24 @@ def test_a_host_of_very_many_labels(spark):
     text = "write to a.b@" + "bc." * 60_000 + "com today"
     out = q4.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").collect()
     assert out[0]["n_entities"] == 1 and "a.b@" not in out[0]["text"] and out[0]["text"].endswith(" today")
+
+
+def test_refinement_makes_the_frames_of_its_windows_alone(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, 12)))
+    held = {k: unit(n) for k, n in ((0, 300), (1, 900), (2, 900), (3, 900), (4, 900))}
+    for k, at in ((1, 3), (2, 500), (3, 838)):
+        held[k][at: at + 60] = held[0][100:160]
+    frames = spark.createDataFrame([(k, t, x.tolist()) for k, v in held.items() for t, x in enumerate(v)], "id long, t long, v array<double>")
+    estimates = spark.createDataFrame([(1, 5, 65, True), (2, 498, 560, True), (3, 840, 900, True), (4, 70, 130, False)], "id long, at long, until long, present boolean")
+    rule, made = R.Rule(search=12, pad=20, threshold=0.7, least_run=10), []
+
+    def near(windows):
+        made.append(frames.join(windows, "id").filter("t >= lo AND t < hi").select("id", "t", "v"))
+        return made[-1]
+
+    lengths = frames.groupBy(F.col("id").alias("doc_id")).count().withColumnRenamed("count", "n")
+    whole, cut = Library(None, lengths, frames), Library(None, lengths, near=near)
+    want, got = (sorted(map(tuple, x.refine(0, estimates, 100, 160, rule).collect()), key=repr) for x in (whole, cut))
+    assert want == got and sum(r[1] for r in got) == 4
+    assert [sorted((r["id"], r["count"]) for r in x.groupBy("id").count().collect()) for x in made] == [[(0, 100)], [(1, 60 + 20 + 12 + 5), (2, 60 + 40 + 24), (3, 20 + 12 + 60)]]

@@ -5,6 +5,7 @@ Each method is a plan over the tables given; nothing is held on the driver but i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -17,12 +18,14 @@ from waveloom.plans.shared import stored
 
 @dataclass(frozen=True)
 class Library:
-    """landmarks: hash, doc_id, t, r; frames: id, t, v and feature columns; seconds: id, duration; lengths: doc_id, n."""
+    """landmarks: hash, doc_id, t, r; frames: id, t, v and feature columns; seconds: id, duration; lengths: doc_id, n.
+    near: makes the frames of a table of windows (id, lo, hi) instead, where those of all members would be too many; a member has ``n`` of them."""
 
     landmarks: DataFrame | None
     lengths: DataFrame
     frames: DataFrame | None = None
     seconds: DataFrame | None = None
+    near: Callable[[DataFrame], DataFrame] | None = None
 
     def add(self, other: Library) -> Library:
         """The members of both."""
@@ -44,6 +47,10 @@ class Library:
 
     def refine(self, reference, estimates: DataFrame, a: int, b: int, rule: R.Rule = R.Rule()) -> DataFrame:
         """Exact bounds of frames a to b of one member in the others (estimates: id, at, until, present)."""
+        if self.near is not None:
+            n = self.lengths.filter(self.lengths["doc_id"] == reference).agg({"n": "sum"}).first()[0]
+            window = estimates.sparkSession.createDataFrame([(reference, max(0, a - rule.pad), b + rule.pad)], "id long, lo long, hi long")
+            return R.refined(stored(self.near(window), "reference"), lambda windows: self.near(windows.filter(windows["id"] != reference)), estimates, a, b, n, rule=rule)
         own, others = self.frames.filter(self.frames["id"] == reference), self.frames.filter(self.frames["id"] != reference)
         return R.refined(own, others, estimates, a, b, own.count(), rule=rule)
 

@@ -5,6 +5,7 @@ Everything is counted in frames. Members that don't hold the passage are marked
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,13 @@ class Rule:
 
 BROADCAST_FRAMES = 20_000  # frames of a passage's core sent whole up to here, joined by shuffle above
 
+def windows(estimates: DataFrame, a: int, b: int, rule: Rule, frames: int) -> DataFrame:
+    """id, lo, hi: the frames of each present member that any offset tried can set beside those around the passage."""
+    low, high = max(0, a - rule.pad), min(frames, b + rule.pad)
+    guess = F.col("at") - a
+    return estimates.filter("present").groupBy("id").agg(F.greatest(F.lit(0), F.min(guess) + low - rule.search).cast("long").alias("lo"), F.greatest(F.lit(0), F.max(guess) + high + rule.search).cast("long").alias("hi"))
+
+
 def relocked(reference: DataFrame, others: DataFrame, estimates: DataFrame, a: int, b: int, v: str, rule: Rule) -> DataFrame:
     """id, d: the offset with the greatest mean similarity over the passage's core (6 decimals, the least of equals), ``search`` around the estimate."""
     cut = int((b - a) * rule.shrink + 0.5)
@@ -87,14 +95,18 @@ def steepest(profile: DataFrame, low: int, rule: Rule) -> DataFrame:
 BOUNDARIES = {"threshold": extents, "gradient": steepest}
 
 
-def refined(reference: DataFrame, others: DataFrame, estimates: DataFrame, a: int, b: int, frames: int, v: str = "v", rule: Rule = Rule()) -> DataFrame:
+def refined(reference: DataFrame, others: DataFrame | Callable[[DataFrame], DataFrame], estimates: DataFrame, a: int, b: int, frames: int, v: str = "v", rule: Rule = Rule()) -> DataFrame:
     """id, present, start, stop, sim, refined, d, is_reference: one row a member of ``estimates`` (id, at, until, present), and one of the reference (id null).
 
     An unconfirmed member (no run, or too short a one) keeps its estimate, one under ``least_sim`` or over ``longest`` is absent. A
     passage that no member confirms gives no row. How an extent is read is ``rule.boundary``, one of BOUNDARIES (more can be added:
-    a function of profile, low and rule). Offsets, profiles and the members' own extents are written to the shared folder, each made once.
+    a function of profile, low and rule). ``others`` may be a function that gives the frames of a table of windows (id, lo, hi), where the
+    whole table is long to make; only those frames are taken, once. Offsets, profiles and the members' own extents are written to the shared folder, each made once.
     """
     low = max(0, a - rule.pad)
+    near = windows(estimates, a, b, rule, frames)
+    others = others(near) if callable(others) else others.join(near, "id").filter("t >= lo AND t < hi").drop("lo", "hi")
+    others = stored(others.select("id", "t", v), "near")
     offsets = stored(relocked(reference, others, estimates, a, b, v, rule), "offsets")
     profile = stored(profiles(reference, others, offsets, a, b, v, rule, frames), "profiles")
     cut = stored(BOUNDARIES[rule.boundary](profile, low, rule), "extents")
