@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waveloom.library import Library
 from waveloom.llm import op4_pii_surrogates as q4
+from waveloom.operators import landmarks as L
 from waveloom.operators import refine as R
 
 
@@ -59,3 +60,36 @@ def test_refinement_makes_the_frames_of_its_windows_alone(spark):
     want, got = (sorted(map(tuple, x.refine(0, estimates, 100, 160, rule).collect()), key=repr) for x in (whole, cut))
     assert want == got and sum(r[1] for r in got) == 4
     assert [sorted((r["id"], r["count"]) for r in x.groupBy("id").count().collect()) for x in made] == [[(0, 100)], [(1, 60 + 20 + 12 + 5), (2, 60 + 40 + 24), (3, 20 + 12 + 60)]]
+
+
+def test_rows_are_ordered_by_all_keys_in_one_number():
+    rng = np.random.default_rng(4)
+    for keys in ([rng.integers(0, 9, 500), rng.integers(-5, 5, 500), rng.integers(0, 3, 500)], [rng.integers(-(1 << 40), 1 << 40, 500) // (1 << 36), rng.integers(0, 1 << 45, 500), rng.integers(0, 7, 500)],
+                 [rng.integers(0, 4, 500), rng.integers(-(1 << 62), 1 << 62, 500), rng.integers(0, 2, 500), rng.integers(-(1 << 62), 1 << 62, 500)], [np.zeros(0, np.int64)] * 2):
+        got, want = L.order_of(*keys), np.lexsort(keys[::-1])
+        assert sorted(got) == list(range(len(keys[0]))) and all((x[got] == x[want]).all() for x in keys)
+
+
+def test_votes_against_owners_match_brute_force():
+    rng = np.random.default_rng(6)
+    ids, sizes = rng.permutation(1000)[:30], rng.integers(300, 310, 30)
+    at = rng.permutation(30 * 300)[:4000]
+    doc, place, x = at // 300, at % 300, rng.integers(0, 300, 4000).astype(np.uint64)
+    order = np.lexsort((place, doc, x))
+    doc, place, x = doc[order], 4 * place[order] + (x[order] % np.uint64(4)).astype(np.int64), x[order]
+    want = set()
+    for h in range(300):
+        held = [(int(d), int(p)) for y, d, p in zip(x, doc, place) if y == h]
+        owner = min({d for d, _ in held}, key=lambda d: (-sizes[d], ids[d]))
+        mine = [p for d, p in held if d == owner]
+        for d in {d for d, _ in held} - {owner}:
+            bins: dict[int, int] = {}
+            for q in (q for e, q in held if e == d):
+                for p in mine:
+                    bins[p // 4 - q // 4] = min(p // 4, bins.get(p // 4 - q // 4, p // 4))
+            want |= {(ids[d], ids[owner], delta, ta, mine[0] - 4 * ta) for delta, ta in bins.items()}
+    cast = L.cast(x, ids, sizes, doc, place)
+    rows = list(zip(*(y.tolist() for y in cast)))
+    assert len(rows) == len(want) > 2000 and set(rows) == want
+    for bins in (False, True):
+        assert sorted(zip(*(y.tolist() for y in L.unpacked_votes(L.packed_votes(cast[0] % 3, *cast, bins=bins))))) == sorted(rows)
