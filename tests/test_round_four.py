@@ -6,6 +6,7 @@ import re
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from waveloom.library import Library
@@ -93,3 +94,15 @@ def test_votes_against_owners_match_brute_force():
     assert len(rows) == len(want) > 2000 and set(rows) == want
     for bins in (False, True):
         assert sorted(zip(*(y.tolist() for y in L.unpacked_votes(L.packed_votes(cast[0] % 3, *cast, bins=bins))))) == sorted(rows)
+
+
+def test_tokens_are_hashed_where_they_stand(monkeypatch):
+    texts = ["", " ", "a", " a  b ", "żółw i 王 and\nmore\ttext", "x" * 300, "one two " * 40, "", "end"]
+    for k, block in enumerate((L.BLOCK, 7, 64)):
+        monkeypatch.setattr(L, "BLOCK", block)
+        for part in (texts, texts[3:], texts[:1], []):
+            for kind in (pa.string(), pa.large_string()):
+                held = pa.array(["before it", *part, "after"], kind).slice(1, len(part))
+                h, size = L.tokens_of(held)
+                words = [w for x in part for w in x.split(" ")]
+                assert size.tolist() == [len(x.split(" ")) for x in part] and (h == (L.token_hashes(pa.array(words, pa.string())) if words else h)).all() and len(h) == len(words), (k, part)
